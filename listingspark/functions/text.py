@@ -63,25 +63,31 @@ def char_of(code_point: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code_point), 8, "0")), "UTF-32")
 
 
-def _decode_entity(token: Column) -> Column:
-    code = F.lower(F.substr(token, F.lit(2), F.length(token) - 2))
+def _decode_piece(piece: Column) -> Column:
+    """What follows an ampersand: an entity and the text after it, or plain text that keeps its ampersand."""
+    body = F.lower(F.regexp_extract(piece, r"(?i)^(#x?[0-9a-f]{1,64}|[a-z]{1,64});", 1))
     names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
-    digits = F.regexp_extract(code, r"^#(\d{1,8})", 1)
-    hexes = F.regexp_extract(code, r"^#x([0-9a-f]{1,8})$", 1)
-    point = (
-        F.when(hexes != "", F.conv(hexes, 16, 10).try_cast("bigint"))
-        .when(digits != "", digits.try_cast("bigint"))
-    )
-    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-    return (
-        F.when(code.startswith("#"), F.coalesce(F.when(valid, char_of(point)), token))
-        .otherwise(F.coalesce(F.try_element_at(names, code), token))
-    )
+
+    def char(code: Column) -> Column:
+        hexes = F.regexp_extract(code, r"^#x([0-9a-f]{1,8})$", 1)
+        point = F.when(code.startswith("#x"), F.when(hexes != "", F.conv(hexes, 16, 10).try_cast("bigint"))).otherwise(
+            F.regexp_extract(code, r"^#(\d{1,8})", 1).try_cast("bigint")
+        )
+        number = let(point, lambda p: F.when(p.between(1, 0x10FFFF) & ~p.between(0xD800, 0xDFFF), char_of(p)))
+        return F.when(code == "", F.lit(None).cast("string")).when(code.startswith("#"), number).otherwise(F.try_element_at(names, code))
+
+    def rebuild(code: Column) -> Column:
+        return let(char(code), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), piece)).otherwise(
+            F.concat(c, F.substr(piece, F.length(code) + 2))
+        ))
+
+    return let(body, rebuild)
 
 
 def decode_entities(c: Column) -> Column:
     """Decode named, decimal and hexadecimal entities once; ``&amp;lt;`` becomes ``&lt;``."""
-    return regexp_map(c, r"(?i)&(?:#x?[0-9a-f]+|[a-z]+);", _decode_entity)
+    pieces = F.split(c, "&", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p))), "")
 
 
 def strip_element(c: Column, name: str) -> Column:
@@ -101,16 +107,30 @@ def strip_element(c: Column, name: str) -> Column:
             ),
         )
 
-    return let(c, cut)
+    return let(c, lambda v: F.when(_spelled(v, name), cut(v)).otherwise(v))
+
+
+def _spelled(v: Column, name: str) -> Column:
+    """Whether a closing tag may be there, whatever its casing: a byte search that spares most texts the regex."""
+    a, b = name[0], name[1]
+    found = F.lit(False)
+    for pair in (a + b, a + b.upper(), a.upper() + b, (a + b).upper()):
+        found = found | v.contains(f"</{pair}")
+    return found
 
 
 def html_to_text(c: Column) -> Column:
-    """Readable text of an HTML fragment."""
-    text = strip_element(strip_element(c, "script"), "style")
-    text = F.regexp_replace(text, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
-    text = F.regexp_replace(text, rf"(?i)<br{SPACE}*/?>", "\n")
-    text = decode_entities(F.regexp_replace(text, r"<[^<>]+>", " "))
-    text = F.regexp_replace(text, "[ \t\u00a0]+", " ")
+    """Readable text of an HTML fragment. Text without markup or entities skips those passes."""
+
+    def unmark(v: Column) -> Column:
+        text = strip_element(strip_element(v, "script"), "style")
+        text = F.regexp_replace(text, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
+        text = F.regexp_replace(text, rf"(?i)<br{SPACE}*/?>", "\n")
+        return F.when(v.contains("<"), F.regexp_replace(text, r"<[^<>]+>", " ")).otherwise(v)
+
+    decoded = let(let(c, unmark), lambda v: F.when(v.contains("&"), decode_entities(v)).otherwise(v))
+    spaced = F.replace(F.replace(decoded, F.lit("\t"), F.lit(" ")), F.lit("\u00a0"), F.lit(" "))
+    text = F.regexp_replace(spaced, " {2,}", " ")
     return trim_all(F.regexp_replace(text, f"\n{SPACE}+", "\n"))
 
 

@@ -209,26 +209,34 @@ def redact_url(url: Column) -> Column:
     )
 
 
-def pointer_path(pointer: str) -> str | None:
-    """An RFC 6901 pointer as a variant path; None for text that is not a pointer."""
-    if pointer == "":
-        return "$"
-    if not pointer.startswith("/"):
-        return None
-    path = "$"
-    for raw in pointer[1:].split("/"):
-        key = raw.replace("~1", "/").replace("~0", "~")
-        path += f"[{key}]" if key.isdigit() else '["' + key + '"]'
-    return path
-
-
-def pointer_get(document: Column, pointer: str, as_type: str = "variant") -> Column:
-    """RFC 6901 lookup in a variant. A digit segment may also name an object key."""
-    path = pointer_path(pointer)
-    if path is None:
-        return F.lit(None).cast(as_type)
-    found = F.try_variant_get(document, path, as_type)
-    if "[" in path and any(part.isdigit() for part in pointer.split("/")[1:]):
-        named = "$" + "".join('["' + p.replace("~1", "/").replace("~0", "~") + '"]' for p in pointer.split("/")[1:])
-        found = F.coalesce(found, F.try_variant_get(document, named, as_type))
-    return found
+def pointer_path(pointer: Column, digits_are_indexes: bool = True) -> Column:
+    """An RFC 6901 pointer as a variant path; null for text that is not a pointer."""
+
+    def segment(raw: Column) -> Column:
+        key = F.replace(F.replace(raw, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        named = F.concat(F.lit('["'), key, F.lit('"]'))
+        if not digits_are_indexes:
+            return named
+        return F.when(key.rlike(r"^(0|[1-9]\d{0,8})$"), F.concat(F.lit("["), key, F.lit("]"))).otherwise(named)
+
+    steps = F.transform(F.split(F.substr(pointer, F.lit(2)), "/", -1), segment)
+    return F.when(pointer == "", "$").when(
+        pointer.startswith("/") & ~pointer.contains('"'), F.concat(F.lit("$"), F.array_join(steps, ""))
+    )
+
+
+def pointer_get(document: Column, pointer: Column, as_type: str = "variant") -> Column:
+    """RFC 6901 lookup in a variant; the pointer is data, so it may differ from row to row.
+
+    A digit segment is an index into an array, and a plain key of an object.
+    """
+    indexed = F.try_variant_get(document, pointer_path(pointer), as_type)
+    named = F.try_variant_get(document, pointer_path(pointer, digits_are_indexes=False), as_type)
+    return F.coalesce(indexed, F.when(pointer.rlike(r"/\d+(/|$)"), named))
+
+
+def pointer_text(document: Column, pointer: Column) -> Column:
+    """A string (trimmed) or number at a pointer as text; anything else, or no pointer, is an empty string."""
+    kind = F.schema_of_variant(pointer_get(document, pointer))
+    plain = (kind == "STRING") | kind.rlike("^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+    return F.coalesce(F.when(plain & (pointer != ""), trim_all(pointer_get(document, pointer, "string"))), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("feeds",)
+TOPICS = ("feeds", "landed")
 
 
 def _modules():
