@@ -49,13 +49,13 @@ def url_struct(url: Column) -> Column:
         port = F.regexp_extract(authority, _AUTHORITY, 3)
         path = F.regexp_extract(v, _URL, 3)
         default = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
-        parts = F.struct(
-            scheme.alias("scheme"),
-            F.regexp_extract(authority, _AUTHORITY, 1).alias("user"),
-            F.lower(F.regexp_extract(authority, _AUTHORITY, 2)).alias("host"),
-            F.when(default, "").otherwise(port).alias("port"),
-            remove_dots(F.when(path == "", "/").otherwise(encode_path(path))).alias("path"),
-            encode_query(F.regexp_extract(v, _URL, 4)).alias("query"),
+        parts = F.named_struct(
+            F.lit("scheme"), scheme,
+            F.lit("user"), F.regexp_extract(authority, _AUTHORITY, 1),
+            F.lit("host"), F.lower(F.regexp_extract(authority, _AUTHORITY, 2)),
+            F.lit("port"), F.when(default, "").otherwise(port),
+            F.lit("path"), remove_dots(F.when(path == "", "/").otherwise(encode_path(path))),
+            F.lit("query"), encode_query(F.regexp_extract(v, _URL, 4)),
         )
         wellformed = v.rlike(r"^(?i:https?)://(?:[^/?#@]*@)?(?:\[[0-9a-fA-F:.]+\]|[^/?#@:\s\[\]<>|^%\\]+)(?::\d{0,5})?(?:[/?#]|$)")
         return F.when(wellformed, parts)

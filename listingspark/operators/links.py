@@ -53,15 +53,19 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def career_score(text: Column, path: Column, same_domain: Column) -> Column:
     """How much a link reads like a careers destination."""
-    lower_text, lower_path = F.lower(text), F.lower(path)
-    segments = F.split(lower_path, "/")
-    score = F.lit(0)
-    for term in CAREER_TERMS:
-        slug = term.replace(" ", "-")
-        score = score + F.when(lower_text == term, 6).when(lower_text.contains(term), 3).otherwise(0)
-        score = score + F.when(F.array_contains(segments, slug), 5).when(lower_path.contains(slug), 1).otherwise(0)
-    score = score - F.when(lower_path.contains("/blog/") | lower_path.contains("/news/"), 4).otherwise(0)
-    return score + F.when(~same_domain, 2).otherwise(0)
+
+    def rate(p: Column) -> Column:
+        score = F.lit(0)
+        for term in CAREER_TERMS:
+            slug = term.replace(" ", "-")
+            score = score + F.when(p["text"] == term, 6).when(p["text"].contains(term), 3).otherwise(0)
+            score = score + F.when(F.array_contains(p["segments"], slug), 5).when(p["path"].contains(slug), 1).otherwise(0)
+        return score - F.when(p["path"].contains("/blog/") | p["path"].contains("/news/"), 4).otherwise(0)
+
+    seen = let(F.lower(path), lambda low: F.named_struct(
+        F.lit("text"), F.lower(text), F.lit("path"), low, F.lit("segments"), F.split(low, "/")
+    ))
+    return let(seen, rate) + F.when(~same_domain, 2).otherwise(0)
 
 
 def rank_career_links(pages: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     """One row per host with the rules that bind an agent: its own group, else the wildcard group."""
     wanted = rules.filter(F.col("agent").isin(agent.lower(), "*"))
     collected = wanted.groupBy("host", "agent").agg(
-        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("allow", "path"))).alias("rules")
+        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("line", "allow", "path"))).alias("rules")
     )
     return collected.groupBy("host").agg(F.max_by("rules", (F.col("agent") != "*").cast("int")).alias("rules"))
 
@@ -85,9 +85,12 @@ def robots_verdict(links: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """
     bound = agent_rules(rules, agent)
     joined = spread_join(links, bound, "host", "path", "left")
-    matching = F.filter(F.coalesce("rules", F.array().cast("array<struct<allow:boolean,path:string>>")),
+    matching = F.filter(F.coalesce("rules", F.array().cast("array<struct<line:int,allow:boolean,path:string>>")),
                         lambda r: rule_matches(r["path"], F.col("path")))
-    best = F.array_max(F.transform(matching, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"), r["path"].alias("path"))))
+    # longest first, then an allowance, then the rule that stands first
+    best = F.array_max(F.transform(matching, lambda r: F.struct(
+        F.length(r["path"]).alias("n"), r["allow"].alias("allow"), (-r["line"]).alias("order"), r["path"].alias("path")
+    )))
     judged = joined.withColumn("best", best)
     allowed = F.coalesce(F.col("best.allow"), F.lit(True))
     return judged.select(

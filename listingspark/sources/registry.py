@@ -18,8 +18,6 @@ from ..operators.contracts import LISTING_TEXT, listing_violations
 
 CONTEXT = ("source_id", "board", "company", "page_no")
 
-LISTING_DEFAULTS: dict[str, Column] = {}
-
 
 def _defaults() -> dict[str, Column]:
     return {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("feeds", "landed")
+TOPICS = ("feeds", "landed", "scalars", "gating", "joined", "totals")
 
 
 def _modules():
