@@ -129,7 +129,7 @@ def resolve_url(href: Column, base: Column) -> Column:
     Null for other schemes and for text that cannot be read as a URL.
     """
 
-    def pick(h: Column) -> Column:
+    def pick(h: Column, base: Column) -> Column:
         origin = F.concat(base["scheme"], F.lit("://"), base["host"], F.when(base["port"] != "", F.concat(F.lit(":"), base["port"])).otherwise(""))
         folder = F.regexp_extract(base["path"], r"(?s)^(.*/)", 1)
         absolute = (
@@ -143,7 +143,7 @@ def resolve_url(href: Column, base: Column) -> Column:
         )
         return let(url_struct(absolute), lambda p: F.when(p.isNotNull(), url_text(p)))
 
-    return let(F.regexp_replace(trim_all(href), r"(?s)#.*$", ""), pick)
+    return let(base, lambda b: let(F.regexp_replace(trim_all(href), r"(?s)#.*$", ""), lambda h: pick(h, b)))
 
 
 def as_https(url: Column) -> Column:

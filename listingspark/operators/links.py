@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import SUPPORTED_VENDORS
-from ..functions.text import SPACE, collapse, html_to_text, let
-from ..functions.urls import ATS_HOSTS, as_https, host_allowed, host_of, registrable_domain, resolve_url, url_struct
+from ..functions.rows import with_once
+from ..functions.text import collapse, html_to_text, let
+from ..functions.urls import ATS_HOSTS, as_https, host_allowed, host_of, registrable_domain, resolve_url, url_struct, url_text
 
 # Words that make a link read like a careers link.
 CAREER_TERMS = (
@@ -32,19 +33,13 @@ def anchors(pages: DataFrame, *keep: str) -> DataFrame:
     closing anchor can hold a complete one, so the lazy match stays linear.
     """
     head = F.regexp_extract(F.col("html"), r"(?is)^.*</a>", 0)
-    found = pages.select(
-        "page_id", *keep, url_struct(F.col("url")).alias("base"),
-        F.posexplode(F.regexp_extract_all(head, F.lit(_ANCHOR), F.lit(0))).alias("pos", "tag"),
+    based = pages.select("page_id", *keep, F.regexp_extract_all(head, F.lit(_ANCHOR), F.lit(0)).alias("tags"), "url")
+    found = with_once(based, base=url_struct(F.col("url"))).select(
+        "page_id", *keep, "base", F.posexplode("tags").alias("pos", "tag")
     )
     text = collapse(F.regexp_replace(F.regexp_extract("tag", _ANCHOR, 2), r"<[^>]+>", " "))
-    return (
-        found.select(
-            "page_id", *keep, "pos", "base",
-            as_https(resolve_url(F.regexp_extract("tag", _ANCHOR, 1), F.col("base"))).alias("href"),
-            text.alias("text"),
-        )
-        .filter(F.col("href").isNotNull())
-    )
+    href = as_https(resolve_url(F.regexp_extract("tag", _ANCHOR, 1), F.col("base")))
+    return with_once(found, href=href, text=text).drop("tag").filter(F.col("href").isNotNull())
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -70,12 +65,10 @@ def career_score(text: Column, path: Column, same_domain: Column) -> Column:
 
 def rank_career_links(pages: DataFrame) -> DataFrame:
     """Per page the links that lead to its careers section, best first; one row per URL."""
-    target = url_struct(F.col("href"))
-    links = anchors(pages).withColumns({"target": target, "home": registrable_domain(F.col("base.host"))})
-    links = links.withColumn(
-        "same", F.coalesce(registrable_domain(F.col("target.host")) == F.col("home"), F.lit(False))
-    ).filter(F.col("same") | F.col("target.host").rlike(ATS_HOSTS))
-    scored = links.withColumn("score", career_score(F.col("text"), F.col("target.path"), F.col("same"))).filter("score > 0")
+    links = with_once(anchors(pages), target=url_struct(F.col("href")), home=registrable_domain(F.col("base.host")))
+    links = with_once(links, same=F.coalesce(registrable_domain(F.col("target.host")) == F.col("home"), F.lit(False)))
+    kept = links.filter(F.col("same") | F.col("target.host").rlike(ATS_HOSTS))
+    scored = with_once(kept, score=career_score(F.col("text"), F.col("target.path"), F.col("same"))).filter("score > 0")
     best = scored.groupBy("page_id", "href").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), F.asc("pos"))
     return best.withColumn("rank", F.row_number().over(order)).select("page_id", "href", "score", "rank")
@@ -136,10 +129,11 @@ def candidate_urls(pages: DataFrame) -> DataFrame:
         )
     # bounded like the anchors; the first src or href of the tag counts
     embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^>]{{0,{MAX_TAG}}}?(?:src|href)=[\"']([^\"']+)[\"']"
-    embeds = pages.select(
-        "page_id", F.lit(2).alias("tier"), url_struct(F.col("url")).alias("base"),
-        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(embed), F.lit(1))).alias("pos", "raw"),
-    ).select("page_id", "tier", "pos", resolve_url(F.col("raw"), F.col("base")).alias("href"))
+    tags = pages.select("page_id", "url", F.regexp_extract_all(F.col("html"), F.lit(embed), F.lit(1)).alias("raws"))
+    raws = with_once(tags, base=url_struct(F.col("url"))).select(
+        "page_id", F.lit(2).alias("tier"), "base", F.posexplode("raws").alias("pos", "raw")
+    )
+    embeds = with_once(raws, href=resolve_url(F.col("raw"), F.col("base"))).select("page_id", "tier", "pos", "href")
     bare = anchors(pages).filter(
         F.col("text").rlike(CAREER_SIGNAL) | url_struct(F.col("href"))["path"].rlike(CAREER_SIGNAL)
     ).select("page_id", F.lit(3).alias("tier"), "pos", "href")
@@ -148,7 +142,7 @@ def candidate_urls(pages: DataFrame) -> DataFrame:
 
 def detect_ats(pages: DataFrame) -> DataFrame:
     """The vendor board each page points to: the first candidate URL that names one."""
-    hits = candidate_urls(pages).withColumn("hit", detect_vendor(F.col("href"))).filter(F.col("hit").isNotNull())
+    hits = with_once(candidate_urls(pages), hit=detect_vendor(F.col("href"))).filter(F.col("hit").isNotNull())
     first = hits.groupBy("page_id").agg(F.min_by("hit", F.struct("tier", "pos")).alias("hit"))
     return first.select(
         "page_id", F.col("hit.vendor").alias("vendor"), F.col("hit.board").alias("board"),
@@ -161,25 +155,21 @@ _START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
 
 def start_tags(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
     """Start tags of a page with their position and the text that follows each up to the next one."""
-    return pages.select(
-        "page_id", *keep, url_struct(F.col("url")).alias("base"),
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(0)).alias("tag"),
-            F.slice(F.split(F.col("html"), pattern, -1), F.lit(2), F.lit(2**30)).alias("after"),
-        )).alias("pos", "t"),
+    zipped = F.arrays_zip(
+        F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(0)).alias("tag"),
+        F.slice(F.split(F.col("html"), pattern, -1), F.lit(2), F.lit(2**30)).alias("after"),
+    )
+    tags = pages.select("page_id", "url", *keep, zipped.alias("tags"))
+    return with_once(tags, base=url_struct(F.col("url"))).select(
+        "page_id", *keep, "base", F.posexplode("tags").alias("pos", "t")
     ).select("page_id", *keep, "base", "pos", F.col("t.tag").alias("tag"), F.col("t.after").alias("after"))
 
 
 def _crawl_links(pages: DataFrame) -> DataFrame:
-    tags = start_tags(pages, _START_TAG)
-    raw = F.regexp_extract("tag", rf"(?i){_HREF}", 1)
-    links = tags.withColumn("raw", raw).filter((F.col("raw") != "") & (F.length("raw") <= 2048))
-    links = links.withColumn("href", resolve_url(F.col("raw"), F.col("base")))
-    home = F.concat(F.col("base.scheme"), F.lit("://"), F.col("base.host"), F.col("base.path"),
-                    F.when(F.col("base.query") != "", F.concat(F.lit("?"), F.col("base.query"))).otherwise(""))
-    return links.filter(
-        F.col("href").isNotNull() & host_allowed(F.col("href"), F.col("base.host")) & (F.col("href") != home)
-    )
+    tags = with_once(start_tags(pages, _START_TAG), raw=F.regexp_extract("tag", rf"(?i){_HREF}", 1))
+    usable = tags.filter((F.col("raw") != "") & (F.length("raw") <= 2048))
+    links = with_once(usable, href=resolve_url(F.col("raw"), F.col("base")), home=url_text(F.col("base")))
+    return links.filter(F.col("href").isNotNull() & host_allowed(F.col("href"), F.col("base.host")) & (F.col("href") != F.col("home")))
 
 
 def posting_links(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import iso_date
 from ..functions.labels import employment_class, external_id, period_unit
 from ..functions.numbers import currency_of, salary_lenient
+from ..functions.rows import with_once
 from ..functions.text import first_nonblank, html_to_text, join_nonblank, let, trim_all
 from ..functions.urls import ATS_HOSTS, canonical_url, pointer_get, pointer_text, registrable_domain, resolve_url, url_admitted, url_struct
 from ..operators.pages import country_of, first_location, jsonld_postings
@@ -82,13 +83,15 @@ def normalize_careers(pages: DataFrame) -> DataFrame:
     the source's careers URL. Such a scan never proves a complete inventory.
     """
     found = jsonld_postings(pages, "source_id", "board", "company", "start_url")
-    resolved = found.withColumn(
-        "abs", resolve_url(F.try_variant_get("item", "$.url", "string"), url_struct(F.col("url")))
+    resolved = with_once(
+        found, abs=resolve_url(F.try_variant_get("item", "$.url", "string"), url_struct(F.col("url"))),
+        home=registrable_domain(url_struct(F.col("start_url"))["host"]),
     ).filter(url_admitted(F.col("abs")))
-    host = url_struct(F.col("abs"))["host"]
-    home = registrable_domain(url_struct(F.col("start_url"))["host"])
-    allowed = resolved.filter(F.coalesce(registrable_domain(host) == home, F.lit(False)) | host.rlike(ATS_HOSTS))
-    keyed = allowed.withColumn("eid", external_id(_identifier(F.col("item")), F.col("abs")))
+    hosted = with_once(resolved, host=url_struct(F.col("abs"))["host"])
+    allowed = hosted.filter(
+        F.coalesce(registrable_domain(F.col("host")) == F.col("home"), F.lit(False)) | F.col("host").rlike(ATS_HOSTS)
+    )
+    keyed = with_once(allowed, eid=external_id(_identifier(F.col("item")), F.col("abs")))
     # the place of an identity is where it first occurs, its content the last one seen
     place = F.struct("page_id", "pos")
     content = F.struct("board", "company", "page_id", "pos", "item", "abs")
@@ -120,7 +123,7 @@ def paged_payloads(pages: DataFrame) -> DataFrame:
     array = F.try_variant_get(
         pointer_get(F.try_parse_json(F.col("payload")), F.col("jobs_path")), "$", "array<variant>"
     )
-    sized = pages.filter(F.col("page_no").between(1, MAX_REPLAY_PAGES)).withColumn("items", array)
+    sized = with_once(pages.filter(F.col("page_no").between(1, MAX_REPLAY_PAGES)), items=array)
     empty = F.when(F.coalesce(F.size("items"), F.lit(0)) == 0, F.col("page_no"))
     # one small row per page decides where reading stops; the payloads themselves are not moved
     stops = sized.groupBy("source_id").agg(F.min(empty).alias("stop"), F.max("page_no").alias("last_page"))
@@ -142,16 +145,17 @@ def captured_items(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     ``patterns`` has one row per source: ``url_template, jobs_path`` and a JSON pointer per field
     (``title, url, id, location, description, posted_at``; null when unmapped).
     """
-    fields = F.struct(*[F.col(f"p_{n}").alias(n) for n in ("title", "url", "id", "location", "description", "posted_at")])
-    known = patterns.select("source_id", "url_template", "jobs_path", fields.alias("map"))
-    read = paged_payloads(pages.join(known, "source_id"))
+    pointers = [f"p_{n}" for n in ("title", "url", "id", "location", "description", "posted_at")]
+    read = paged_payloads(pages.join(patterns.select("source_id", "url_template", "jobs_path", *pointers), "source_id"))
     items = read.select(
-        "source_id", "board", "company", "page_no", "url_template", "map", "ran_out", F.posexplode("items").alias("ordinal", "item")
+        "source_id", "board", "company", "page_no", "url_template", *pointers, "ran_out", F.posexplode("items").alias("ordinal", "item")
     ).filter(F.schema_of_variant("item").startswith("OBJECT"))
-    usable = items.withColumn("abs", captured_url(F.col("item"), F.col("map.url"), F.col("url_template"))).filter(
-        F.col("abs").isNotNull() & (pointer_text(F.col("item"), F.col("map.title")) != "")
+    read_items = with_once(
+        items, abs=captured_url(F.col("item"), F.col("p_url"), F.col("url_template")),
+        title=pointer_text(F.col("item"), F.col("p_title")), place=F.struct("page_no", "ordinal"),
     )
-    order = Window.partitionBy("source_id").orderBy("page_no", "ordinal")
+    usable = read_items.filter(F.col("abs").isNotNull() & (F.col("title") != ""))
+    order = Window.partitionBy("source_id").orderBy("place")
     # one row past the cap is kept so that reaching it shows
     return usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_REPLAY_JOBS)
 
@@ -165,20 +169,22 @@ def replay_status(items: DataFrame) -> DataFrame:
 
 def normalize_field_map(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Saved API responses as contract rows through their source's pointers."""
-    item, fields, url = F.col("item"), F.col("map"), F.col("abs")
-    captured = pointer_text(item, fields["description"])
-    title, location = pointer_text(item, fields["title"]), pointer_text(item, fields["location"])
+    item, url = F.col("item"), F.col("abs")
+    rows = with_once(
+        captured_items(pages, patterns), captured=pointer_text(item, F.col("p_description")), location=pointer_text(item, F.col("p_location"))
+    )
+    captured, title, location = F.col("captured"), F.col("title"), F.col("location")
     columns = {
-        "external_id": first_nonblank(pointer_text(item, fields["id"]), canonical_url(url)),
+        "external_id": first_nonblank(pointer_text(item, F.col("p_id")), canonical_url(url)),
         "title": title,
         "company": first_nonblank(F.col("company"), F.col("board")),
         "description": F.when(F.length(captured) >= 20, captured).otherwise(no_description(url)),
         "location": location,
         "work_type": F.when(F.concat(title, F.lit(" "), location).rlike("(?i)remote"), "Remote").otherwise("Unknown"),
         "job_url": url,
-        "posted_at": iso_date(pointer_text(item, fields["posted_at"])),
+        "posted_at": iso_date(pointer_text(item, F.col("p_posted_at"))),
     }
-    return _finish_plain(captured_items(pages, patterns), columns, "CapturedApi", ("source_id", "page_no", "ordinal"))
+    return _finish_plain(rows, columns, "CapturedApi", ("source_id", "page_no", "ordinal"))
 
 
 def normalize_crawled(rows: DataFrame) -> DataFrame:
