@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("feeds", "landed", "scalars", "gating", "joined", "totals")
+TOPICS = ("feeds", "landed", "scalars", "gating", "joined", "totals", "merges")
 
 
 def _modules():
