@@ -157,22 +157,20 @@ def main_content(html: Column) -> Column:
     return let(html, one)
 
 
+_CHROME_OPEN = rf"<(?:nav|header|footer)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
+_CHROME = (
+    rf"(?is)<(nav|header|footer)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>.*?</\1(?![A-Za-z0-9-])[^<>]*>"
+    rf"|({_CHROME_OPEN}.*)"
+)
+
+
 def strip_chrome(html: Column) -> Column:
-    """Each navigation, header and footer element becomes a space."""
-
-    def cut(v: Column) -> Column:
-        text = v
-        for name in ("nav", "header", "footer"):
-            text = let(text, lambda t, name=name: let(
-                F.regexp_extract(t, rf"(?is)^.*</{name}(?![A-Za-z0-9-])[^<>]*>", 0),
-                lambda head: F.concat(
-                    F.regexp_replace(head, rf"(?is)<{name}(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>.*?</{name}(?![A-Za-z0-9-])[^<>]*>", " "),
-                    F.substr(t, F.length(head) + 1),
-                ),
-            ))
-        return text
-
-    return let(html, cut)
+    """Each navigation, header and footer element becomes a space.
+
+    The first one that never closes ends the search: the rest of the page is matched once and
+    kept, so no later element is searched for again.
+    """
+    return F.regexp_replace(html, F.lit(_CHROME), F.lit(" $2"))
 
 
 def page_body(html: Column) -> Column:

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.text import let
 from ..functions.urls import _form_pair, pointer_get, url_struct, url_text
@@ -54,7 +55,7 @@ def _array_pointer(text: str | None) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def listing_array_pointer(payloads: pd.Series) -> pd.Series:
     """Pointer to the first array of two or more posting-like objects. The search descends to any depth,
     which no built-in expression can, so it runs on Arrow batches."""

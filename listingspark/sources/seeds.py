@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.rows import with_once
 from ..functions.text import let, trim_all
 from ..functions.urls import registrable_domain, url_admitted, url_struct, url_text
 
@@ -55,7 +56,7 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
 
     A first line made only of column names is a header and says which fields to read.
     """
-    filled = lines.filter(trim_all(F.col("text")) != "").withColumn("fields", split_fields(F.col("text")))
+    filled = with_once(lines.filter(trim_all(F.col("text")) != ""), fields=split_fields(F.col("text")))
     first = filled.groupBy("list_id").agg(F.min_by(F.struct("line", "fields"), "line").alias("first"))
     headed = first.select(
         "list_id", F.col("first.line").alias("first_line"),
@@ -68,7 +69,7 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
 
     name_at, domain_at = position("(?i)^(company|name)$"), position("(?i)^(website|domain|url)$")
     sites = F.transform("fields", lambda f: F.struct(f.alias("field"), website_of(f).alias("site")))
-    named = rows.withColumns({"sites": sites, "name_at": name_at, "domain_at": domain_at})
+    named = with_once(rows, sites=sites, name_at=name_at, domain_at=domain_at)
     by_header = F.coalesce(F.col("domain_at"), F.lit(0)) > 0
     free_site = F.get(F.filter("sites", lambda s: s["site"].isNotNull()), 0)["site"]
     free_name = F.get(F.filter("sites", lambda s: s["site"].isNull() & (s["field"] != "")), 0)["field"]
@@ -77,10 +78,8 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
         by_header, F.when(F.col("name_at") > 0, F.get("fields", F.col("name_at").cast("int") - 1))
     ).otherwise(free_name)
     domain = F.regexp_replace(url_struct(F.col("site"))["host"], r"^www\.", "")
-    return (
-        named.select("list_id", "line", site.alias("site"), F.coalesce(name, F.lit("")).alias("name"))
-        .withColumn("domain", domain)
-    )
+    picked = with_once(named, site=site, name=F.coalesce(name, F.lit(""))).select("list_id", "line", "site", "name")
+    return with_once(picked, domain=domain)
 
 
 def import_seeds(lines: DataFrame, limit: int = IMPORT_LIMIT) -> DataFrame:

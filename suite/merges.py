@@ -241,7 +241,7 @@ ORACLE = {
     "advance_schedule": sql("v_sources", f"SELECT source_id, coalesce(d, false) AS claimed, CAST(CASE WHEN d THEN CASE schedule WHEN 'Hourly' THEN 1706662800 WHEN 'Every 4 hours' THEN 1706673600 WHEN 'Twice daily' THEN 1706702400 ELSE 1706745600 END ELSE epoch(next_run_at) END AS BIGINT) AS next_s FROM v_sources LEFT JOIN ("
         f"SELECT source_id, true AS d FROM v_sources WHERE enabled AND schedule <> 'Manual' AND owner_id IS NOT NULL AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '{EVENTS_AS_OF}') ORDER BY next_run_at ASC NULLS LAST, source_id LIMIT 25) USING (source_id)"),
     "fold_runs": "SELECT run_id, status, events, CASE WHEN status <> 'Running' THEN last_ms - first_ms END AS duration_ms FROM (SELECT event_id // 4 AS run_id, arg_max(CASE event_type WHEN 'purchase' THEN 'Succeeded' WHEN 'view' THEN 'Partial' WHEN 'error' THEN 'Failed' ELSE 'Running' END, (ts, event_id)) AS status, count(*) AS events, "
-        "epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms FROM events GROUP BY 1)",
+        "epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1)",
     "cascade_disable": sql("v_candidates v_watchlist v_sources", "SELECT 'candidate' AS kind, candidate_id AS id, CAST(NULL AS VARCHAR) AS state FROM v_candidates WHERE candidate_id % 6 <> 1 UNION ALL SELECT 'watch', watch_id, NULL FROM v_watchlist w WHERE NOT EXISTS (SELECT 1 FROM v_candidates c WHERE candidate_id % 6 = 1 AND c.watch_id = w.watch_id AND c.user_id = w.user_id) "
         "UNION ALL SELECT 'source', source_id, CASE WHEN off THEN 'false/Manual' ELSE concat(CASE WHEN enabled THEN 'true' ELSE 'false' END, '/', schedule) END FROM (SELECT *, EXISTS (SELECT 1 FROM v_candidates c WHERE candidate_id % 6 = 1 AND c.source_id = s.source_id AND c.user_id = s.owner_id) AS off FROM v_sources s)"),
     "fold_state": "SELECT concat('k', user_id) AS key, arg_max(concat(event_type, event_id), (date_trunc('hour', ts), event_id)) AS value, max(date_trunc('hour', ts)) AS updated_at FROM events GROUP BY 1",
