@@ -38,7 +38,7 @@ def encode_query(c: Column) -> Column:
 
 
 def url_struct(url: Column) -> Column:
-    """``struct(scheme, user, host, port, path, query)``; null when the text is not an absolute web URL.
+    """``struct(origin, scheme, user, host, port, path, query)``; null when the text is not an absolute web URL.
 
     Scheme and host are lower case, a default port is dropped and an empty path is ``/``.
     """
@@ -49,10 +49,16 @@ def url_struct(url: Column) -> Column:
         port = F.regexp_extract(authority, _AUTHORITY, 3)
         path = F.regexp_extract(v, _URL, 3)
         default = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+        user = F.regexp_extract(authority, _AUTHORITY, 1)
+        host = F.lower(F.regexp_extract(authority, _AUTHORITY, 2))
+        shown_port = F.when(default | (port == ""), "").otherwise(F.concat(F.lit(":"), port))
         parts = F.named_struct(
+            F.lit("origin"), F.concat(
+                scheme, F.lit("://"), F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), host, shown_port
+            ),
             F.lit("scheme"), scheme,
-            F.lit("user"), F.regexp_extract(authority, _AUTHORITY, 1),
-            F.lit("host"), F.lower(F.regexp_extract(authority, _AUTHORITY, 2)),
+            F.lit("user"), user,
+            F.lit("host"), host,
             F.lit("port"), F.when(default, "").otherwise(port),
             F.lit("path"), remove_dots(F.when(path == "", "/").otherwise(encode_path(path))),
             F.lit("query"), encode_query(F.regexp_extract(v, _URL, 4)),
@@ -82,20 +88,13 @@ def remove_dots(path: Column) -> Column:
         tail = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         return F.concat(F.lit("/"), F.array_join(F.concat(folded, tail), "/"))
 
-    return let(path, lambda v: F.when(v.rlike(r"/\.\.?(/|$)"), walk(v)).otherwise(v))
+    return let(path, lambda v: F.when(v.contains("/.") & v.rlike(r"/\.\.?(/|$)"), walk(v)).otherwise(v))
 
 
 def url_text(parts: Column, query: Column | None = None) -> Column:
     """The text of a URL from its parts, without fragment."""
     query = parts["query"] if query is None else query
-    return F.concat(
-        parts["scheme"], F.lit("://"),
-        F.when(parts["user"] != "", F.concat(parts["user"], F.lit("@"))).otherwise(""),
-        parts["host"],
-        F.when(parts["port"] != "", F.concat(F.lit(":"), parts["port"])).otherwise(""),
-        parts["path"],
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
+    return F.concat(parts["origin"], parts["path"], F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def _form_pair(pair: Column) -> Column:
@@ -129,21 +128,28 @@ def resolve_url(href: Column, base: Column) -> Column:
     Null for other schemes and for text that cannot be read as a URL.
     """
 
-    def pick(h: Column, base: Column) -> Column:
-        origin = F.concat(base["scheme"], F.lit("://"), base["host"], F.when(base["port"] != "", F.concat(F.lit(":"), base["port"])).otherwise(""))
-        folder = F.regexp_extract(base["path"], r"(?s)^(.*/)", 1)
-        absolute = (
-            F.when(h.rlike(r"^(?i:https?)://"), h)
-            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-            .when(h.startswith("//"), F.concat(base["scheme"], F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when(h.startswith("?"), F.concat(origin, base["path"], h))
-            .when(h == "", url_text(base))
-            .otherwise(F.concat(origin, folder, h))
+    def absolute(h: Column) -> Column:
+        return let(url_struct(h), lambda p: F.when(p.isNotNull(), url_text(p)))
+
+    def relative(h: Column, b: Column) -> Column:
+        # most links of a page are paths on its own host: they need no parsing of their own
+        at = F.instr(h, "?")
+        path = F.when(at > 0, F.substr(h, F.lit(1), at - 1)).otherwise(h)
+        query = F.when(at > 0, encode_query(F.substr(h, at + 1))).when(h == "", b["query"]).otherwise("")
+        full = let(path, lambda p: F.when(p == "", b["path"]).when(p.startswith("/"), encode_path(p)).otherwise(
+            F.concat(F.regexp_extract(b["path"], r"(?s)^(.*/)", 1), encode_path(p))
+        ))
+        return F.concat(b["origin"], remove_dots(full), let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+
+    def pick(h: Column, b: Column) -> Column:
+        return (
+            F.when(h.startswith("//"), absolute(F.concat(b["scheme"], F.lit(":"), h)))
+            .when(~h.startswith("/") & h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(h.rlike(r"^(?i:https?)://"), absolute(h)))
+            .otherwise(F.when(b.isNotNull(), relative(h, b)))
         )
-        return let(url_struct(absolute), lambda p: F.when(p.isNotNull(), url_text(p)))
 
-    return let(base, lambda b: let(F.regexp_replace(trim_all(href), r"(?s)#.*$", ""), lambda h: pick(h, b)))
+    whole = let(trim_all(href), lambda h: F.when(h.contains("#"), F.regexp_replace(h, r"(?s)#.*$", "")).otherwise(h))
+    return let(base, lambda b: let(whole, lambda h: pick(h, b)))
 
 
 def as_https(url: Column) -> Column:

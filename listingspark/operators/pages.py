@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import first_nonblank, html_to_text, join_nonblank, let, trim_all
-from ..functions.urls import url_struct
+from ..functions.rows import with_once
+from ..functions.text import html_to_text, join_nonblank, let, trim_all
 from ..sources.registry import shape_ok, text_at
 from .links import MAX_TAG
 
@@ -192,20 +192,17 @@ def page_body(html: Column) -> Column:
 def page_posting(pages: DataFrame) -> DataFrame:
     """The posting a page carries: its structured one, else heading, location element and body."""
     first = F.get(F.filter(jsonld_nodes(F.col("html")), lambda n: is_posting(n) & (trim_all(text_at(n, "title")) != "")), 0)
-    rows = pages.select("page_id", "url", "html", first.alias("item"))
-    place = join_nonblank(
-        ", ", first_location(F.col("item"), ".addressLocality"), first_location(F.col("item"), ".addressRegion"), country_of(F.col("item"))
-    )
-    structured = F.col("item").isNotNull()
-    title = F.when(structured, trim_all(text_at(F.col("item"), "title"))).otherwise(heading_text(F.col("html")))
-    return (
-        rows.select(
-            "page_id", "url", title.alias("title"),
-            F.when(structured, place).otherwise(location_text(F.col("html"))).alias("location"),
-            F.when(structured, html_to_text(text_at(F.col("item"), "description")))
-            .otherwise(F.substr(page_body(F.col("html"))["text"], F.lit(1), F.lit(20_000))).alias("description"),
-            F.when(structured, F.try_variant_get(F.col("item"), "$.datePosted", "string")).alias("posted_at"),
-            F.when(structured, "json-ld").otherwise("markup").alias("origin"),
-        )
-        .filter(F.col("title") != "")
+    item, structured = F.col("item"), F.col("item").isNotNull()
+    rows = with_once(pages.select("page_id", "url", "html"), item=first)
+    titled = with_once(
+        rows, title=F.when(structured, trim_all(text_at(item, "title"))).otherwise(heading_text(F.col("html")))
+    ).filter(F.col("title") != "")
+    place = join_nonblank(", ", first_location(item, ".addressLocality"), first_location(item, ".addressRegion"), country_of(item))
+    return titled.select(
+        "page_id", "url", "title",
+        F.when(structured, place).otherwise(location_text(F.col("html"))).alias("location"),
+        F.when(structured, html_to_text(text_at(item, "description")))
+        .otherwise(F.substr(page_body(F.col("html"))["text"], F.lit(1), F.lit(20_000))).alias("description"),
+        F.when(structured, F.try_variant_get(item, "$.datePosted", "string")).alias("posted_at"),
+        F.when(structured, "json-ld").otherwise("markup").alias("origin"),
     )

@@ -22,14 +22,14 @@ c = F.col
 SLICES = 3
 
 
-def landed_stream(df: DataFrame, slice_by: str, name: str) -> DataFrame:
-    """Write ``df`` as a few landings, in order, and stream them one after the other."""
+def stream_landings(df: DataFrame, slice_by: str, name: str, writer_of) -> None:
+    """Land ``df`` in a few slices; after each one the stream runs until it has caught up."""
     spark = df.sparkSession
-    folder = working_folder(spark, name)
+    folder, checkpoint = working_folder(spark, f"{name}-landing"), working_folder(spark, f"{name}-checkpoint")
     for i in range(SLICES):
         df.filter(F.expr(f"{slice_by} = {i}")).write.parquet(f"{folder}/landing-{i}")
-    files = max(1, df.rdd.getNumPartitions())
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/landing-*")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/landing-*")
+        jobs.run_available(writer_of(stream, checkpoint))
 
 
 def _table(spark, name: str) -> VersionedTable:
@@ -59,8 +59,7 @@ def stream_ingest(spark, sf):
             "changes", F.coalesce("changes", F.lit(0)) + F.when(c("outcome") == "updated", 1).otherwise(0)
         ).drop("outcome")
 
-    stream = landed_stream(base.unionByName(changed), "slice", "ingest-landing").drop("slice")
-    jobs.run_available(jobs.ingest(stream, normalize, table, into, working_folder(spark, "ingest-checkpoint")))
+    stream_landings(base.unionByName(changed), "slice", "ingest", lambda s, at: jobs.ingest(s.drop("slice"), normalize, table, into, at))
     return table.current().select("owner_id", "job_id", "title", "description_hash", "changes")
 
 
@@ -71,11 +70,13 @@ def stream_alerts(spark, sf):
         F.expr("job_id % 2").alias("slice"),
     )
     doubled = drafts.unionByName(drafts.withColumn("slice", F.lit(2)))
-    stream = landed_stream(doubled, "slice", "alerts-landing").drop("slice")
     out = working_folder(spark, "alerts-out")
-    writer = jobs.new_alerts(stream, "at", "3650 days").select("user_id", "dedupe_key").writeStream.outputMode("append").format("parquet").option(
-        "path", out).option("checkpointLocation", working_folder(spark, "alerts-checkpoint"))
-    jobs.run_available(writer)
+
+    def writer(stream: DataFrame, at: str):
+        fresh = jobs.new_alerts(stream.drop("slice"), "at", "3650 days").select("user_id", "dedupe_key")
+        return fresh.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", at)
+
+    stream_landings(doubled, "slice", "alerts", writer)
     return spark.read.parquet(out)
 
 
@@ -85,9 +86,8 @@ def _sliced_events(spark, sf):
 
 def stream_health(spark, sf):
     table = _table(spark, "health")
-    stream = landed_stream(_sliced_events(spark, sf), "slice", "health-landing")
-    beats = jobs.last_beats(stream, "user_id", "ts")
-    jobs.run_available(jobs.upsert_stream(beats, table, jobs.keep_latest(["user_id"]), working_folder(spark, "health-checkpoint"), "update"))
+    stream_landings(_sliced_events(spark, sf), "slice", "health", lambda s, at: jobs.upsert_stream(
+        jobs.last_beats(s, "user_id", "ts"), table, jobs.keep_latest(["user_id"]), at, "update"))
     rows = jobs.health(table.current(), F.lit("2024-01-30 23:00:00").cast("timestamp"), minutes=600)
     return rows.select("user_id", F.unix_micros("last_at").alias("last_us"), "healthy")
 
@@ -103,13 +103,15 @@ RATE = dict(limit=2, seconds=43_200)
 
 def stream_rate(spark, sf):
     out = working_folder(spark, "rate-out")
-    stream = landed_stream(_timed(spark, sf), "slice", "rate-landing")
-    counted = jobs.rate_counter(stream, "user_id", "ts", **RATE)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    jobs.run_available(counted.writeStream.outputMode("update").option("checkpointLocation", working_folder(spark, "rate-checkpoint")).foreachBatch(keep))
+    def writer(stream: DataFrame, at: str):
+        counted = jobs.rate_counter(stream, "user_id", "ts", **RATE)
+        return counted.writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(keep)
+
+    stream_landings(_timed(spark, sf), "slice", "rate", writer)
     return jobs.total_windows(spark.read.parquet(out))
 
 
@@ -119,18 +121,16 @@ def rate_windows(spark, sf):
 
 def stream_digest(spark, sf):
     table = _table(spark, "digest")
-    stream = landed_stream(_timed(spark, sf), "slice", "digest-landing")
-    hours = jobs.digests_per_hour(stream, "ts")
-    jobs.run_available(jobs.upsert_stream(hours, table, jobs.keep_latest(["user_id", "hour"]), working_folder(spark, "digest-checkpoint"), "update"))
+    stream_landings(_timed(spark, sf), "slice", "digest", lambda s, at: jobs.upsert_stream(
+        jobs.digests_per_hour(s, "ts"), table, jobs.keep_latest(["user_id", "hour"]), at, "update"))
     return table.current().select("user_id", F.unix_seconds("hour").alias("hour_s"), "events")
 
 
 def stream_run_fold(spark, sf):
     table = _table(spark, "runs")
     events = run_events(spark, sf).withColumns({"at": c("at").cast("timestamp"), "slice": F.expr(f"seq % {SLICES}")})
-    stream = landed_stream(events, "slice", "runs-landing")
-    states = jobs.run_states(stream)
-    jobs.run_available(jobs.upsert_stream(states, table, jobs.keep_latest(["run_id"]), working_folder(spark, "runs-checkpoint"), "update"))
+    stream_landings(events, "slice", "runs", lambda s, at: jobs.upsert_stream(
+        jobs.run_states(s), table, jobs.keep_latest(["run_id"]), at, "update"))
     return table.current().select("run_id", "status", F.unix_micros("last_at").alias("last_us"), "events")
 
 
