@@ -20,10 +20,10 @@ POSTING_PATH = (
     r"(?![A-Za-z0-9_])[^?]*/[^/?]+|/[^/?]*-[0-9]{3,}"
 )
 
-# No start tag is longer than this; a bounded run keeps a page of unclosed tags linear.
+# No start tag is longer than this, and none holds a raw "<": a page of unclosed tags stays linear.
 MAX_TAG = 4096
 _HREF = r"href=[\"']([^\"'#]+)[\"']"
-_ANCHOR = rf"(?is)<a(?![A-Za-z0-9_])[^>]{{0,{MAX_TAG}}}{_HREF}[^>]{{0,{MAX_TAG}}}>(.*?)</a>"
+_ANCHOR = rf"(?is)<a(?![A-Za-z0-9_])[^<>]{{0,{MAX_TAG}}}{_HREF}[^<>]{{0,{MAX_TAG}}}>(.*?)</a>"
 
 
 def anchors(pages: DataFrame, *keep: str) -> DataFrame:
@@ -37,7 +37,7 @@ def anchors(pages: DataFrame, *keep: str) -> DataFrame:
     found = with_once(based, base=url_struct(F.col("url"))).select(
         "page_id", *keep, "base", F.posexplode("tags").alias("pos", "tag")
     )
-    text = collapse(F.regexp_replace(F.regexp_extract("tag", _ANCHOR, 2), r"<[^>]+>", " "))
+    text = collapse(F.regexp_replace(F.regexp_extract("tag", _ANCHOR, 2), r"<[^<>]+>", " "))
     href = as_https(resolve_url(F.regexp_extract("tag", _ANCHOR, 1), F.col("base")))
     return with_once(found, href=href, text=text).drop("tag").filter(F.col("href").isNotNull())
 
@@ -128,7 +128,7 @@ def candidate_urls(pages: DataFrame) -> DataFrame:
             pages.select("page_id", F.lit(1).alias("tier"), F.posexplode("chain").alias("pos", "href"))
         )
     # bounded like the anchors; the first src or href of the tag counts
-    embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^>]{{0,{MAX_TAG}}}?(?:src|href)=[\"']([^\"']+)[\"']"
+    embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^<>]{{0,{MAX_TAG}}}?(?:src|href)=[\"']([^\"']+)[\"']"
     tags = pages.select("page_id", "url", F.regexp_extract_all(F.col("html"), F.lit(embed), F.lit(1)).alias("raws"))
     raws = with_once(tags, base=url_struct(F.col("url"))).select(
         "page_id", F.lit(2).alias("tier"), "base", F.posexplode("raws").alias("pos", "raw")
@@ -150,7 +150,7 @@ def detect_ats(pages: DataFrame) -> DataFrame:
     )
 
 
-_START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
+_START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
 
 
 def start_tags(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .links import MAX_TAG
 MAX_BLOCKS = 1000
 
 # An opening script tag whose type is JSON-LD, and its body.
-_SCRIPT = rf"(?is)<script(?![a-z0-9])([^>]{{0,{MAX_TAG}}})>(.*?)</script"
+_SCRIPT = rf"(?is)<script(?![a-z0-9])([^<>]{{0,{MAX_TAG}}})>(.*?)</script"
 
 POSTING_SHAPE = {
     '$["@type"]': "S", "title": "S", "description": "S", "url": "S", "identifier": "SNO~?", "datePosted": "S~?",
@@ -76,16 +76,16 @@ def country_of(item: Column) -> Column:
     return F.when(kind == "STRING", first_location(item, ".addressCountry")).otherwise(named)
 
 
-_H1 = rf"(?is)<h1(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>(.*?)</h1(?![A-Za-z0-9-])"
+_H1 = rf"(?is)<h1(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>(.*?)</h1(?![A-Za-z0-9-])"
 _PLACE = (
-    rf"(?is)<[A-Za-z0-9-]+(?![^>]{{0,{MAX_TAG}}}<)[^>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*location[^\"'>]*[\"']"
-    rf"[^>]{{0,{MAX_TAG}}}>(.*?)</"
+    rf"(?is)<[A-Za-z0-9-]+(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*location[^\"'>]*[\"']"
+    rf"[^<>]{{0,{MAX_TAG}}}>(.*?)</"
 )
 _CONTAINER = (
-    rf"(?is)<(div|section|article)(?![A-Za-z0-9-])(?=[^>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*description[^\"'>]*[\"'])"
-    rf"[^>]{{0,{MAX_TAG}}}>"
+    rf"(?is)<(div|section|article)(?![A-Za-z0-9-])(?=[^<>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*description[^\"'>]*[\"'])"
+    rf"[^<>]{{0,{MAX_TAG}}}>"
 )
-_MAIN = rf"(?is)<(main|article)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
+_MAIN = rf"(?is)<(main|article)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
 
 
 def _upto_last(html: Column, close: str) -> Column:
@@ -100,7 +100,7 @@ def heading_text(html: Column) -> Column:
 
 def location_text(html: Column) -> Column:
     """Text of the first element whose class, id or data attribute names a location."""
-    return html_to_text(F.regexp_extract(html, _PLACE, 1))
+    return html_to_text(F.regexp_extract(_upto_last(html, "</"), _PLACE, 1))
 
 
 def balanced_container(html: Column) -> Column:
@@ -112,7 +112,7 @@ def balanced_container(html: Column) -> Column:
     opening = F.regexp_extract(html, _CONTAINER, 0)
     name = F.lower(F.regexp_extract(html, _CONTAINER, 1))
     rest = F.substr(html, F.instr(html, opening) + F.length(opening))
-    any_tag = rf"(?i)</?(?:div|section|article)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
+    any_tag = rf"(?i)</?(?:div|section|article)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
 
     def inner(p: Column) -> Column:
         tags = F.regexp_extract_all(p["rest"], F.lit(any_tag), F.lit(0))
@@ -157,9 +157,9 @@ def main_content(html: Column) -> Column:
     return let(html, one)
 
 
-_CHROME_OPEN = rf"<(?:nav|header|footer)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>"
+_CHROME_OPEN = rf"<(?:nav|header|footer)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
 _CHROME = (
-    rf"(?is)<(nav|header|footer)(?![A-Za-z0-9-])[^>]{{0,{MAX_TAG}}}>.*?</\1(?![A-Za-z0-9-])[^<>]*>"
+    rf"(?is)<(nav|header|footer)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>.*?</\1(?![A-Za-z0-9-])[^<>]*>"
     rf"|({_CHROME_OPEN}.*)"
 )
 
