@@ -27,9 +27,12 @@ def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+_OTHER_SPACE = "[" + SPACE_CHARS.replace(" ", "") + "]"
+
+
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """Runs of white space become one space; ends are trimmed. A lone plain space is not rewritten."""
+    return F.trim(F.regexp_replace(c, f"{_OTHER_SPACE}{SPACE}*| {SPACE}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.countries import country_coverage, country_match
+from ..functions.rows import with_once
 from ..functions.text import keyword_text, let, normalized_text
 from .joins import spread_join
 
@@ -52,9 +53,8 @@ def keyword_gate(listings: DataFrame, prefs: DataFrame) -> DataFrame:
     rules = prefs.select(F.col("user_id").alias("owner_id"), "include_keywords", "negative_keywords")
     joined = spread_join(listings, rules, "owner_id", "job_id")
     text = keyword_text(F.col("title"), F.col("company"), F.col("description"))
-    return joined.withColumn("gate", keyword_verdict(text, F.col("include_keywords"), F.col("negative_keywords"))).select(
-        *listings.columns, "gate.passed", "gate.reason", "gate.keyword"
-    )
+    judged = with_once(joined, gate=keyword_verdict(text, F.col("include_keywords"), F.col("negative_keywords")))
+    return judged.select(*listings.columns, "gate.passed", "gate.reason", "gate.keyword")
 
 
 def hard_filter_reason(coverage: Column, listing: dict[str, Column], prefs: dict[str, Column]) -> Column:

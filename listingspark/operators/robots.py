@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rows import with_once
 from ..functions.text import let, trim_all
 from .joins import spread_join
 
@@ -91,7 +92,7 @@ def robots_verdict(links: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     best = F.array_max(F.transform(matching, lambda r: F.struct(
         F.length(r["path"]).alias("n"), r["allow"].alias("allow"), (-r["line"]).alias("order"), r["path"].alias("path")
     )))
-    judged = joined.withColumn("best", best)
+    judged = with_once(joined, best=best)
     allowed = F.coalesce(F.col("best.allow"), F.lit(True))
     return judged.select(
         *links.columns, allowed.alias("allowed"), F.when(~allowed, F.concat(F.lit("Disallow: "), F.col("best.path"))).alias("matched_rule")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import with_once
 from ..functions.text import content_hash, keyword_text
 from ..functions.urls import canonical_url
 from ..operators import merge, reports
@@ -32,14 +33,15 @@ def scan(
     """
     owned = spread_join(normalized.filter(F.size("violations") == 0), sources.select("source_id", "owner_id"), "source_id", "external_id")
     rules = prefs.select(F.col("user_id").alias("owner_id"), "include_keywords", "negative_keywords")
-    gated = spread_join(owned, rules, "owner_id", "external_id", "left").withColumns({
-        "gate": keyword_verdict(
+    gated = with_once(
+        spread_join(owned, rules, "owner_id", "external_id", "left"),
+        gate=keyword_verdict(
             keyword_text(F.col("title"), F.col("company"), F.col("description")),
             F.coalesce("include_keywords", F.array().cast("array<string>")),
             F.coalesce("negative_keywords", F.array().cast("array<string>")),
         ),
-        "canonical_hash": content_hash(canonical_url(F.col("job_url"))),
-    })
+        canonical_hash=content_hash(canonical_url(F.col("job_url"))),
+    )
     passed = gated.filter("gate.passed")
     incoming = passed.select(
         "owner_id", "canonical_hash", F.col("canonical_hash").alias("job_id"), "title", "description_hash",

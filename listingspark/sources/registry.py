@@ -37,7 +37,8 @@ class Provider:
     ``items`` turns the payload column into an array of items (variants or structs),
     ``shape`` maps a path to the kinds it may have (see :func:`shape_ok`),
     ``fields`` maps an item and the source context to listing columns, and
-    ``problem`` names an item that parses but cannot be a listing.
+    ``problem`` names an item that parses but cannot be a listing. ``after`` may refine the mapped
+    rows, where a column needs another one that is costly to read twice.
     """
 
     name: str
@@ -48,6 +49,7 @@ class Provider:
     can_mark_removals: bool = True
     max_pages: int | None = None
     accepts: Callable[[Column], Column] | None = None
+    after: Callable[[DataFrame], DataFrame] | None = None
 
 
 _providers: dict[str, Provider] = {}
@@ -157,6 +159,8 @@ def _map_items(items: DataFrame, feed: Provider) -> DataFrame:
         F.col("ctx_source_id").alias("source_id"), F.col("ctx_page_no").alias("page_no"), "ordinal",
         *[c.alias(n) for n, c in columns.items()], problem.alias("problem"),
     )
+    if feed.after is not None:
+        mapped = feed.after(mapped)
     return finish(mapped, feed.name, ("source_id", "page_no", "ordinal"))
 
 

@@ -42,20 +42,16 @@ def _jsonld(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
     applicants = F.when(F.size(listed) > 0, F.concat(F.lit("Applicants: "), F.array_join(listed, ", "))).otherwise("")
     kinds = F.try_variant_get(item, "$.employmentType", "array<string>")
     kind = F.when(kinds.isNotNull(), F.array_join(kinds, " ")).otherwise(text_at(item, "employmentType"))
-    description = html_to_text(text_at(item, "description"))
-    remote = text_at(item, "jobLocationType").rlike("(?i)TELECOMMUTE") | F.concat(
-        text_at(item, "title"), F.lit(" "), description
-    ).rlike("(?i)remote")
     single = _salary_text(item, "value")
     return {
         "external_id": external_id(_identifier(item), text_at(item, "url")),
         "title": text_at(item, "title"),
         "company": first_nonblank(text_at(item, "hiringOrganization.name"), ctx["company"], ctx["board"]),
-        "description": description,
+        "description": html_to_text(text_at(item, "description")),
         "location": join_nonblank(" · ", place, applicants),
         "country": country_of(item),
         "employment_type": employment_class("JSON-LD", kind),
-        "work_type": F.when(remote, "Remote").otherwise("Unknown"),
+        "work_type": F.when(text_at(item, "jobLocationType").rlike("(?i)TELECOMMUTE"), "Remote").otherwise("Unknown"),
         "salary_min": F.coalesce(_salary_text(item, "minValue"), single).cast("double"),
         "salary_max": F.coalesce(_salary_text(item, "maxValue"), single).cast("double"),
         "salary_period": period_unit(F.try_variant_get(item, "$.baseSalary.value.unitText", "string")),
@@ -65,7 +61,15 @@ def _jsonld(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-JSON_LD = register_provider(Provider("JSON-LD", lambda payload: F.array().cast("array<variant>"), _jsonld))
+def _remote_by_text(rows: DataFrame) -> DataFrame:
+    """A posting whose title or text speaks of remote work is remote."""
+    spoken = F.concat_ws(" ", "title", "description").rlike("(?i)remote")
+    return rows.withColumn("work_type", F.when(spoken, "Remote").otherwise(F.col("work_type")))
+
+
+JSON_LD = register_provider(
+    Provider("JSON-LD", lambda payload: F.array().cast("array<variant>"), _jsonld, after=_remote_by_text)
+)
 
 
 def normalize_jsonld(pages: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def normalize_careers(pages: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in columns.items()],
         F.lit("").alias("industry"), F.lit("Unknown").alias("seniority"), F.lit(None).cast("string").alias("problem"),
     )
-    return finish(mapped, "Careers", ("source_id", "page_no", "ordinal"))
+    return finish(_remote_by_text(mapped), "Careers", ("source_id", "page_no", "ordinal"))
 
 
 def paged_payloads(pages: DataFrame) -> DataFrame:
