@@ -11,7 +11,9 @@ SPACE_CHARS = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-SPACE = f"[{SPACE_CHARS}]"
+# As a character class. Printable ASCII is refused first, so most of a text costs one comparison per character.
+_WIDE = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[[^!-~]&&[\t\n\x0b\f\r {_WIDE}]]"
 
 # Named entities that are decoded; every other name is left alone.
 NAMED_ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
@@ -27,7 +29,7 @@ def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
-_OTHER_SPACE = "[" + SPACE_CHARS.replace(" ", "") + "]"
+_OTHER_SPACE = f"[[^ -~]&&[\t\n\x0b\f\r{_WIDE}]]"
 
 
 def collapse(c: Column) -> Column:
