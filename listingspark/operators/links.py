@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import SUPPORTED_VENDORS
 from ..functions.rows import with_once
 from ..functions.text import collapse, html_to_text, let
-from ..functions.urls import ATS_HOSTS, as_https, host_allowed, host_of, registrable_domain, resolve_url, url_struct, url_text
+from ..functions.urls import ATS_HOSTS, as_https, host_allowed, registrable_domain, resolve_url, url_struct, url_text
 
 # Words that make a link read like a careers link.
 CAREER_TERMS = (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import round_half_up
-from ..functions.text import let
 from .contracts import FACTORS, INTEREST, QUALIFICATION
 from .joins import spread_join
 

@@ -14,9 +14,9 @@ from listingspark.streaming import jobs
 
 from . import duck
 from .feeds import payloads
-from .gating import EVENTS_AS_OF, moment
+from .gating import moment
 from .merges import run_events
-from .views import pick, sql, view
+from .views import sql, view
 
 c = F.col
 SLICES = 3
