@@ -46,7 +46,11 @@ def _ratio(part: Column, whole: Column) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """``doc_id`` with counts and ratios of each text."""
     text = F.coalesce("text", F.lit(""))
-    rows = own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"))
+    return _measured(own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text")))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` with measures instead of ``text``."""
     rows = with_once(rows, _words=words(F.col("text")), _lines=F.filter(F.split("text", "\n"), lambda line: line.rlike(f"[^{SPACE}]")))
     rows = with_once(
         rows,
@@ -116,6 +120,17 @@ def verdict(rules=RULES) -> Column:
 
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` of every text."""
+    return _judged(measures(docs), rules)
+
+
+def _judged(rows: DataFrame, rules) -> DataFrame:
     n = F.col("n_words")
-    rows = measures(docs).withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT))
+    rows = rows.withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT))
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_rows(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept, all their columns as they were."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = _judged(_measured(whole.withColumn("text", F.coalesce(F.col("_row").getField("text"), F.lit("")))), rules)
+    return rows.filter("kept").select("_row.*")

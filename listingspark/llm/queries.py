@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sharding, url_filter
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, sharding, toxicity, url_filter
 from .texts import read
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def fold(parts: int, held: int) -> Column:
+    """Whether a row's ``doc_id`` is in the fold that must not be learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == held, F.lit(False))
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clustered(read(spark, sf_dir, "documents"), jaccard_join.Likeness(size=4, percent=85))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(3, 1))
+    return rows.select("doc_id", fold(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licensed(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language_id.language(read(spark, sf_dir, "documents"), fold(4, 2))
+    return rows.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(read(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {q.__name__: q for q in (op3_quality_rules, op6_url_filter, op9_sharding)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "matches", "length", "doc_start", "item_start", "item_words")
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_packing, op5_license_scan, op6_url_filter, op7_language_id, op8_html_extraction, op9_sharding,
+        op10_decontamination,
+    )
+}
 ORACLE: dict[str, str] = {}

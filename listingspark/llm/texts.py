@@ -28,9 +28,9 @@ def words(text: Column) -> Column:
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, missing ones as null; further columns of a table never clash with an operator's own."""
-    found = set(df.columns)
-    kinds = {"doc_id": "bigint", "page_id": "bigint"}
-    return df.select(*[F.col(f"`{n}`") if n in found else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names])
+    ids = ("doc_id", "page_id", "item_id")
+    of = lambda n: F.col(f"`{n}`") if n in df.columns else F.lit(None)
+    return df.select(*[of(n).cast("bigint" if n in ids else "int" if n == "toxic" else "string").alias(n) for n in names])
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -71,6 +71,7 @@ def _byte_values() -> np.ndarray:
 _BYTE = _byte_values()
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[ord(c) for c in _SPACES]] = True
+_SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _POWERS: list[np.ndarray] = []
 
 
@@ -88,9 +89,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, plain: bool = False, places: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of consecutive texts, A-Z lower-cased, and where each text's words begin.
 
+    ``plain`` counts all ASCII signs as white space; ``places`` adds the byte at which each word begins.
+
     ``data`` holds the texts' UTF-8 bytes one after the other, ``offsets`` where each begins and the last one ends.
     A word's hash is a polynomial of its bytes, read off two prefix sums, so all words cost one pass without a loop.
     """
@@ -98,8 +101,9 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     offsets = offsets - offsets[0]
     size = len(data)
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ink = ~_WHITE[data]
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, np.zeros(0, np.int64)) if places else none
+    ink = ~(_SIGN if plain else _WHITE)[data]
     first = np.zeros(size + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(size, dtype=bool)
@@ -111,7 +115,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     power, inverse = _powers(size + 1)
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[:size], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + _STEP), np.searchsorted(starts, offsets)
+    found = mix((sums[ends] - sums[starts]) * inverse[starts] + _STEP), np.searchsorted(starts, offsets)
+    return (*found, starts) if places else found
 
 
 def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
