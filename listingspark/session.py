@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +35,20 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables and stream checkpoints.
+    """A fresh folder for intermediate tables and stream checkpoints, below the one that all executors share.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a session
-    without that setting (a local test) falls back to a temporary folder.
+    A cluster names that folder in ``spark.checkpoint.dir``. Only where the whole session runs on one machine and
+    names none is it a temporary folder, which goes when the process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="listingspark-")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="listingspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
