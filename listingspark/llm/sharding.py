@@ -49,7 +49,8 @@ def sharded(docs: DataFrame, shards: int = 16, weights: Sequence[float] | None =
     )
     rows = written(rows, "shards")
     buckets = max(4, rows.count() // (BUCKET_ROWS * len(weights)) + 1)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    spread = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)) + F.col("text_crc32")
+    rows = rows.withColumn("_bucket", F.pmod(spread, F.lit(buckets)))
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
