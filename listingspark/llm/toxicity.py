@@ -35,7 +35,7 @@ from .texts import own_columns
 BITS = 18
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5, 6)
-WINDOW = 3
+WINDOW = 2
 #: Bounds of the labelled sample: documents of either class, and code points that a sampled text may have.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 3_000, 8_000
 THRESHOLD = 0.7
