@@ -78,7 +78,7 @@ def placed(rows: DataFrame, masks: tuple, key: str) -> DataFrame:
 
 def row_key() -> Column:
     """Tells rows apart by id and text."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -112,14 +112,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _best(words: Column, item: Column, diagonal: Column) -> Column:
-    """The best-scoring stretch of the item on a diagonal: places ``first`` and ``last`` in the item, and equal words."""
+    """The best-scoring stretch of the item on a diagonal, of those the one with most equal words: places ``first`` and ``last`` in the item, and equal words."""
     def step(s: Column, same: Column) -> Column:
-        begin = s["score"] <= 0
+        begin = s["score"] < 0
         score = F.greatest(s["score"], F.lit(0)) + F.when(same, 1).otherwise(-MISMATCH)
         at = s["at"]
         start = F.when(begin, at).otherwise(s["from"])
         equal = F.when(begin, 0).otherwise(s["equal"]) + F.when(same, 1).otherwise(0)
-        better = score > s["best"]
+        better = (score > s["best"]) | ((score == s["best"]) & (equal > s["matches"]))
         return F.struct(
             (at + 1).alias("at"), score.alias("score"), start.alias("from"), equal.alias("equal"), F.greatest(score, s["best"]).alias("best"),
             F.when(better, start).otherwise(s["first"]).alias("first"), F.when(better, at).otherwise(s["last"]).alias("last"), F.when(better, equal).otherwise(s["matches"]).alias("matches"),
@@ -133,4 +133,5 @@ def _best(words: Column, item: Column, diagonal: Column) -> Column:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, all their columns as they were."""
     leaks = overlaps(docs, benchmark).select("row_key").distinct()
-    return docs.withColumn("_row_key", row_key()).join(leaks, F.col("_row_key") == F.col("row_key"), "left_anti").drop("_row_key")
+    whole = docs.select(row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return whole.join(leaks, "row_key", "left_anti").select("_row.*")

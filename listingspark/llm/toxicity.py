@@ -39,6 +39,8 @@ WINDOW = 2
 #: Bounds of the labelled sample: documents of either class, and code points that a sampled text may have.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 3_000, 8_000
 THRESHOLD = 0.7
+#: Gradient steps of a training round at least.
+STEPS = 300
 
 
 def _buckets(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,6 +173,7 @@ def _fit(windows, classes, table, soft, bias, rng, epochs: int, rate: float, bat
     weight = len(classes) / (2 * np.maximum(np.bincount(classes, minlength=2), 1))
     sizes = np.array([len(w) for w in windows])
     dim = table.shape[1]
+    epochs = max(epochs, -(-STEPS * batch // len(windows)))  # a small sample is passed over more often
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(windows))
