@@ -16,9 +16,11 @@ from the number of sets and how many tokens two sets share on average, both meas
 
 Sets that share an index entry are candidates. Equal sets are one node from the start. Links only matter as far as
 they join components, so candidates are verified in rounds: first each node against the entry's smallest node that it
-shares most entries with, then against one node of another component, and at last every pair of nodes that share an
-entry but still lie in different components. Each round is a table of links in the shared folder; no link between
-components is lost, and no group of copies is ever expanded into all its pairs.
+shares most entries with, then against one node of another component. Nodes that share an entry but still lie in
+different components are then compared by parities, in blocks: a set's tokens are counted modulo 2 in as many hash
+classes as eight times its size, and two sets differ in at least as many tokens as classes. What that allows is
+verified, first the nearest node of each other component, at last all. Each round's links are a table in the shared
+folder; no link between components is lost, and no group of copies is expanded into all its pairs.
 
 Defined cases: null and blank texts have an empty set and link with nothing; rows without ``doc_id`` are returned with
 no component; equal rows are equal; other columns are ignored; an empty table gives an empty result.
@@ -41,7 +43,9 @@ from .texts import hashed_words, mix, own_columns, shingle_hashes, signed, text_
 PROBE = 1024
 #: What a pair to verify costs, in index rows.
 PAIR_COST = 40.0
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Nodes of an entry that are compared in one task with as many others.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -200,6 +204,22 @@ def indexed(docs: DataFrame, like: Likeness, layouts: dict[int, Layout]) -> Data
     return docs.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
+def with_parity(texts: DataFrame, like: Likeness) -> DataFrame:
+    """``texts`` (``node, n, text``) with the parities of the sets; texts that are not the node's go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bits, good = batch.column(0).to_pylist(), [], []
+            for k, tokens in enumerate(sets_of(batch.column(2), like.size)):
+                if node_of(tokens) == nodes[k]:  # an id may be shared by several texts
+                    good.append(k)
+                    bits.append(parity(tokens))
+            kept = batch.take(pa.array(good, pa.int64()))
+            yield pa.record_batch([*kept.columns, pa.array(bits, pa.binary())], ["node", "n", "text", "bits"])
+
+    return texts.mapInArrow(run, "node bigint, n bigint, text string, bits binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs ``a, b`` of nodes that link; ``texts`` has ``node, n, text``."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("text").alias(f"text_{x}"))
@@ -208,24 +228,91 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for k, (a, b) in enumerate(zip(sets_of(batch.column(2), like.size), sets_of(batch.column(3), like.size), strict=True)):
-                # an id may be shared by several texts: only the one that the node stands for counts
-                if node_of(a) == batch.column(0)[k].as_py() and node_of(b) == batch.column(1)[k].as_py() and like.linked(a, b):
-                    good.append(k)
+            sides = zip(sets_of(batch.column(2), like.size), sets_of(batch.column(3), like.size), strict=True)
+            good = [k for k, (a, b) in enumerate(sides) if like.linked(a, b)]
             yield pa.record_batch([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens per hash class, about eight classes a token. Sets that differ in d tokens differ in at most d classes."""
+    bits = 1 << min(max(len(tokens).bit_length() + 3, 6), 16)
+    odd = np.bincount(((tokens >> np.uint64(16)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the entries that still lie in several components, with their root."""
+    """Members of the entries that still lie in several components, with their root, the entry's smallest root and a node of it."""
     rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
-    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", "root").alias("rep")).filter("low != high")
+    ends = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", "root").alias("rep"), F.count("*").alias("many")
+    ).filter("low != high")
     return written(rooted.join(ends, "key"), "mixed")
 
 
+def _near_pairs(mixed: DataFrame, texts: DataFrame, like: Likeness, best: bool) -> DataFrame:
+    """Pairs of nodes of different components that share an entry and whose parities allow a link.
+
+    An entry's nodes fall into blocks of about ``BLOCK``; two blocks are compared at a time, parity by parity, and what
+    is left comes out, with ``best`` only the nearest node of each other component.
+    """
+    marks = texts.select("node", "n", "bits")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    rows = mixed.select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("own"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "node", "root", "own", meets).join(marks, "node")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+        found: set[tuple[int, int]] = set()
+        for batch in batches:
+            for key, i, j, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    found |= _allowed(group, now, like, best)
+                    group, now = [], (key, i, j)
+                    if len(found) > 50_000:
+                        yield _pair_batch(found)
+                        found = set()
+                group.append(row)
+        yield _pair_batch(found | _allowed(group, now, like, best))
+
+    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.select("key", "i", "j", "node", "root", "own", "n", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
+
+
+def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -> set[tuple[int, int]]:
+    """Pairs of a group's rows ``node, root, own, n, bits`` whose parities allow a link: of different roots, and of both blocks if it has two."""
+    if len({row[1] for row in group}) < 2:
+        return set()
+    cross = key[1] != key[2]
+    least = min(len(row[4]) for row in group)
+    marks = np.empty((len(group), least // 8), dtype=np.uint64)
+    for k, row in enumerate(group):  # longer parities are folded to the shortest one's classes
+        marks[k] = np.bitwise_xor.reduce(np.frombuffer(row[4], dtype=np.uint64).reshape(-1, least // 8), axis=0)
+    node, root, own, n = (np.array([row[c] for row in group], dtype=np.int64) for c in range(4))
+    out: set[tuple[int, int]] = set()
+    for k in range(len(group)):
+        others = np.flatnonzero((root > root[k]) & ((own != own[k]) if cross else True))
+        if not len(others):
+            continue
+        far = np.bitwise_count(marks[others] ^ marks[k]).sum(axis=1, dtype=np.int64)
+        near = far <= (100 - like.percent) * (n[others] + n[k]) // (100 + like.percent)
+        others, far = others[near], far[near]
+        if best and len(others):
+            order = np.argsort(far, kind="stable")
+            others = others[order][np.unique(root[others][order], return_index=True)[1]]
+        out |= {(min(x, y), max(x, y)) for x, y in zip([int(node[k])] * len(others), node[others].tolist(), strict=True)}
+    return out
+
+
 def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, Layout] | None = None, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     own = own_columns(docs, "doc_id", "text")
@@ -238,7 +325,7 @@ def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, L
     shared = index.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).filter("rep != last").drop("last")
     members = written(index.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes, "node")
-    texts = written(own.join(wanted, "doc_id").select("node", "n", "text"), "texts")
+    texts = written(with_parity(own.join(wanted, "doc_id").select("node", "n", "text"), like), "texts")
 
     # each node with the smallest node of an entry, the one it shares most entries with
     votes = members.filter("node != rep").groupBy("node", "rep").count().groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
@@ -246,22 +333,24 @@ def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, L
     links = written(verified(tested, texts, like), "linked")
     roots = components(links)
     members = members.drop("rep")
-    for step in range(star_rounds + 1):
+    for step in ["star"] * star_rounds + ["nearest", "all"]:
         mixed = _mixed(members, roots)
         if mixed.isEmpty():
             break
         members = mixed.select("key", "node")
-        if step < star_rounds:
-            found = mixed.filter("root != low").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        else:  # all that is left between components
-            other = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            found = mixed.join(other, "key").filter("root < root_b").select(F.col("node").alias("a"), "b")
-        either = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if step == "star":
+            found = mixed.filter("root != low").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
+        else:
+            found = written(_near_pairs(mixed, texts, like, step == "nearest"), "near")
+            if found.isEmpty():
+                break
         old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = written(either.join(old, ["a", "b"], "left_anti"), "pairs")
+        new = written(found.join(old, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(new)
-        links = links.unionByName(written(verified(new, texts, like), "linked"))
-        roots = components(links)
+        more = written(verified(new, texts, like), "linked")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
 
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = nodes.join(roots.join(least, "root"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -271,6 +360,7 @@ def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, L
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """One row of each component, that of the smallest id, and all rows without id; all columns as they were."""
-    found = clustered(docs, like).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    found = clustered(docs, like).filter("doc_id = component_id").select("doc_id").distinct()
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = whole.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(whole.filter("doc_id is null")).select("_row.*")
