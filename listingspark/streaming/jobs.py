@@ -107,29 +107,37 @@ def _fold_instants(instants: np.ndarray, counts: np.ndarray, expires: int | None
     return windows, expires, running
 
 
-def rate_counter(events: DataFrame, key: str, at: str, limit: int = 10, seconds: int = 900) -> DataFrame:
+def rate_counter(events: DataFrame, key: str, at: str, limit: int = 10, seconds: int = 900, delay: str = "1 day") -> DataFrame:
     """Attempts per key in windows that start at the first event, with state per key.
 
-    Each batch emits what it added to a window; the parts of a window that spans batches add up.
-    Events count in the order they arrive, and only the open window is kept.
+    Each batch emits what it added to a window; the parts of a window that spans batches add up. A batch's events
+    of a key are counted per millisecond and folded in time order, however they are spread over Arrow frames. Only
+    the open window is kept, and no longer than until the watermark, ``delay`` behind, has passed it.
     """
     span = seconds * 1000
+    columns = ["window_start_ms", "expires_ms", "attempts", "over_limit"]
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         expires, running = state.get if state.exists else (None, 0)
-        rows: list[list[int]] = []
+        instants, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for frame in frames:
-            instants = np.sort(frame["ms"].to_numpy())
-            part, expires, running = _fold_instants(instants, np.ones(len(instants), dtype=np.int64), expires, running, limit, span)
-            rows += part
+            more = frame["ms"].to_numpy()
+            instants, place = np.unique(np.concatenate([instants, more]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, np.ones(len(more), dtype=np.int64)])).astype(np.int64)
+        rows, expires, running = _fold_instants(instants, counts, expires, running, limit, span)
         state.update((expires, running))
-        out = pd.DataFrame(rows, columns=["window_start_ms", "expires_ms", "attempts", "over_limit"])
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs()) + 1)
+        out = pd.DataFrame(rows, columns=columns)
         out.insert(0, "key", group[0])
         yield out
 
-    millis = F.unix_millis(F.col(at).cast("timestamp"))
-    return events.select(F.col(key).cast("string").alias("key"), millis.alias("ms")).groupBy("key").applyInPandasWithState(
-        fold, RATE_SCHEMA, "expires long, running long", "update", GroupStateTimeout.NoTimeout
+    instant = F.col(at).cast("timestamp")
+    rows = events.select(F.col(key).cast("string").alias("key"), instant.alias("at"), F.unix_millis(instant).alias("ms")).withWatermark("at", delay)
+    return rows.groupBy("key").applyInPandasWithState(
+        fold, RATE_SCHEMA, "expires long, running long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -165,10 +173,9 @@ def total_windows(parts: DataFrame) -> DataFrame:
 
 
 def purge_by_date(table: VersionedTable, date_column: str, at: str, cutoff: Column) -> int:
-    """Retention on a table partitioned by date: old partitions are not even read."""
-    rows = table.current()
-    kept = rows.filter((F.col(date_column) >= F.to_date(cutoff)) & (F.col(at) >= cutoff))
-    return table.replace(kept, partition_by=(date_column,))
+    """Retention on a table whose parts are dates: expired days are dropped unread, the day of the cutoff is filtered, later ones stay."""
+    day = table.spark.range(1).select(F.to_date(cutoff).cast("string").alias("day")).first().day
+    return table.keep(lambda part: part >= day, [day], lambda rows: rows.filter((F.col(date_column) >= F.to_date(cutoff)) & (F.col(at) >= cutoff)))
 
 
 def latest_version_rows(table: VersionedTable, keys: list[str], *order: str) -> DataFrame:

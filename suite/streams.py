@@ -9,7 +9,7 @@ from listingspark.functions.urls import canonical_url
 from listingspark.operators import merge
 from listingspark.session import working_folder
 from listingspark.sources import registry
-from listingspark.sources.tables import VersionedTable
+from listingspark.sources.tables import VersionedTable, by_key
 from listingspark.streaming import jobs
 
 from . import duck
@@ -32,15 +32,15 @@ def stream_landings(df: DataFrame, slice_by: str, name: str, writer_of) -> None:
         jobs.run_available(writer_of(stream, checkpoint))
 
 
-def _table(spark, name: str) -> VersionedTable:
-    return VersionedTable(spark, working_folder(spark, name))
+def _table(spark, name: str, *keys: str) -> VersionedTable:
+    return VersionedTable(spark, working_folder(spark, name), by_key(*keys))
 
 
 def stream_ingest(spark, sf):
     """Payloads of one feed streamed into the listings; later landings bring changed descriptions."""
     base = payloads(spark, sf, "Remotive").withColumn("slice", F.expr("page_no % 2"))
     changed = base.filter("slice = 0 AND page_no % 4 = 0").withColumns({"slice": F.lit(2), "payload": F.replace("payload", F.lit("R&amp;D"), F.lit("Research"))})
-    table = _table(spark, "stream-ingest")
+    table = _table(spark, "stream-ingest", "owner_id", "canonical_hash")
 
     def normalize(batch: DataFrame) -> DataFrame:
         rows = registry.normalize(batch, "Remotive").filter(F.size("violations") == 0)
@@ -85,7 +85,7 @@ def _sliced_events(spark, sf):
 
 
 def stream_health(spark, sf):
-    table = _table(spark, "health")
+    table = _table(spark, "health", "user_id")
     stream_landings(_sliced_events(spark, sf), "slice", "health", lambda s, at: jobs.upsert_stream(
         jobs.last_beats(s, "user_id", "ts"), table, jobs.keep_latest(["user_id"]), at, "update"))
     rows = jobs.health(table.current(), F.lit("2024-01-30 23:00:00").cast("timestamp"), minutes=600)
@@ -120,14 +120,14 @@ def rate_windows(spark, sf):
 
 
 def stream_digest(spark, sf):
-    table = _table(spark, "digest")
+    table = _table(spark, "digest", "user_id", "hour")
     stream_landings(_timed(spark, sf), "slice", "digest", lambda s, at: jobs.upsert_stream(
         jobs.digests_per_hour(s, "ts"), table, jobs.keep_latest(["user_id", "hour"]), at, "update"))
     return table.current().select("user_id", F.unix_seconds("hour").alias("hour_s"), "events")
 
 
 def stream_run_fold(spark, sf):
-    table = _table(spark, "runs")
+    table = _table(spark, "runs", "run_id")
     events = run_events(spark, sf).withColumns({"at": c("at").cast("timestamp"), "slice": F.expr(f"seq % {SLICES}")})
     stream_landings(events, "slice", "runs", lambda s, at: jobs.upsert_stream(
         jobs.run_states(s), table, jobs.keep_latest(["run_id"]), at, "update"))
@@ -135,9 +135,9 @@ def stream_run_fold(spark, sf):
 
 
 def stream_activity_purge(spark, sf):
-    table = _table(spark, "activity")
+    table = VersionedTable(spark, working_folder(spark, "activity"), c("day"))
     rows = view(spark, sf, "v_activity").withColumn("day", F.to_date("created_at"))
-    table.replace(rows, partition_by=("day",))
+    table.replace(rows)
     jobs.purge_by_date(table, "day", "created_at", moment("2024-01-17 09:00:00"))
     return table.current().select("id", "user_id", "created_at")
 

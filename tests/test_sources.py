@@ -97,3 +97,33 @@ def test_versions_appear_only_when_complete(spark, tmp_path):
     table.upsert(spark.range(2), add, version=1)
     table.upsert(spark.range(2), add, version=1)  # a repeated batch
     assert table.current().count() == 5
+
+
+def test_an_upsert_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    from listingspark.sources.tables import by_key
+    from listingspark.streaming import jobs
+
+    table = VersionedTable(spark, str(tmp_path / "t"), by_key("id", buckets=8))
+    rows = spark.range(100).withColumn("v", F.lit(0))
+    merge = jobs.keep_latest(["id"])
+    table.upsert(rows, merge)
+    before = table.state()
+    table.upsert(spark.range(5, 6).withColumn("v", F.lit(1)), merge)
+    after = table.state()
+    assert len(before) == len(after) == 8 and sum(before[p] != after[p] for p in before) == 1
+    assert sorted(map(tuple, table.current().collect())) == [(i, int(i == 5)) for i in range(100)]
+    table.upsert(rows.limit(0), merge)
+    assert table.state() == after
+    assert table.vacuum(1) == 1 and table.current().count() == 100 and len(table.versions()) == 1
+
+
+def test_retention_drops_days_unread(spark, tmp_path):
+    from listingspark.streaming import jobs
+
+    rows = spark.sql("SELECT id, timestamp'2024-01-01' + make_dt_interval(0, id * 6) AS at FROM range(20)").withColumn("day", F.to_date("at"))
+    table = VersionedTable(spark, str(tmp_path / "t"), F.col("day"))
+    table.replace(rows)
+    jobs.purge_by_date(table, "day", "at", F.lit("2024-01-03 09:00:00").cast("timestamp"))
+    assert sorted(r.id for r in table.current().collect()) == list(range(10, 20))
+    state = table.state()
+    assert sorted(state) == ["2024-01-03", "2024-01-04", "2024-01-05"] and [state[d] for d in sorted(state)] == [1, 0, 0]
