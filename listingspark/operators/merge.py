@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import next_slot
 from ..functions.text import company_key
+from .joins import spread_join
 
 
 def last_by(df: DataFrame, keys: Iterable[str], *order: Column | str) -> DataFrame:
@@ -25,18 +26,20 @@ def merge(
     incoming: DataFrame,
     keys: list[str],
     *,
+    last: Iterable[Column | str] = (),
     changed: Column | None = None,
     take: Iterable[str] = (),
     touch: Iterable[str] = (),
     keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Full outer merge on ``keys``; every row gets an ``outcome``.
+    """Full outer merge on ``keys``; every row gets an ``outcome``. Of incoming rows with one key the last by ``last`` counts.
 
     ``take`` columns come from the incoming row when it is new or ``changed``, ``touch`` columns
     whenever there is an incoming row, ``keep`` columns only when the row is new. ``changed`` is
     written over ``c`` (current) and ``i`` (incoming) columns and defaults to always.
     """
     columns = [*take, *touch, *keep]
+    incoming = last_by(incoming, keys, *(last or [F.struct(*columns)]))
     c = current.select(*keys, F.struct(*columns).alias("c"))
     i = incoming.select(*keys, F.struct(*columns).alias("i"))
     joined = c.join(i, keys, "full_outer")
@@ -62,24 +65,24 @@ def insert_absent(current: DataFrame, incoming: DataFrame, keys: list[str], *ord
 LISTING_TAKE = ("title", "description_hash")
 
 
-def merge_listings(current: DataFrame, incoming: DataFrame, take: Iterable[str] = LISTING_TAKE) -> DataFrame:
+def merge_listings(current: DataFrame, incoming: DataFrame, take: Iterable[str] = LISTING_TAKE, touch: Iterable[str] = ()) -> DataFrame:
     """Listings of a scan into the stored ones, by owner and canonical URL hash.
 
     A new description replaces all fields; the same one only marks the listing as seen and active.
     When a URL occurs twice in a scan the last by ``ordinal`` counts. ``archived`` and
-    ``discovered_at`` are set once and never touched again.
+    ``discovered_at`` are set once and never touched again; ``touch`` names further columns that follow every scan.
     """
     return merge(
-        current, last_by(incoming, ["owner_id", "canonical_hash"], "ordinal"), ["owner_id", "canonical_hash"],
+        current, incoming, ["owner_id", "canonical_hash"], last=["ordinal"],
         changed=~F.col("c.description_hash").eqNullSafe(F.col("i.description_hash")),
-        take=take, touch=("last_seen", "lifecycle"), keep=("job_id", "archived", "discovered_at"),
+        take=take, touch=("last_seen", "lifecycle", *touch), keep=("job_id", "archived", "discovered_at"),
     )
 
 
 def merge_refs(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Where listings were seen, by source and external id: active again, with the listing it now names."""
     return merge(
-        current, last_by(incoming, ["source_id", "external_id"], "ordinal"), ["source_id", "external_id"],
+        current, incoming, ["source_id", "external_id"], last=["ordinal"],
         touch=("job_id", "active", "last_seen"),
     )
 
@@ -92,7 +95,7 @@ def retire_missing(refs: DataFrame, seen: DataFrame, verdicts: DataFrame) -> Dat
     """
     met = seen.select("source_id", "external_id").distinct().withColumn("_met", F.lit(True))
     allowed = verdicts.select("source_id", "may_retire")
-    joined = refs.join(met, ["source_id", "external_id"], "left").join(allowed, "source_id", "left")
+    joined = spread_join(refs.join(met, ["source_id", "external_id"], "left"), allowed, "source_id", "external_id", "left")
     retired = F.col("active") & F.coalesce(F.col("may_retire"), F.lit(False)) & F.col("_met").isNull()
     return joined.withColumn("retired", retired).select(
         *[(F.col("active") & ~F.col("retired")).alias("active") if n == "active" else F.col(n) for n in refs.columns], "retired"
@@ -120,7 +123,7 @@ def apply_removals(listings: DataFrame, refs_after: DataFrame) -> DataFrame:
 def merge_matches(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """The newest evaluation per user and listing replaces the stored one."""
     values = [n for n in current.columns if n not in ("user_id", "job_id")]
-    return merge(current, last_by(incoming, ["user_id", "job_id"], "evaluated_at"), ["user_id", "job_id"], touch=values)
+    return merge(current, incoming, ["user_id", "job_id"], last=["evaluated_at"], touch=values)
 
 
 def vector_cache(cached: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,15 +169,19 @@ def apply_archive(listings: DataFrame, actions: DataFrame) -> DataFrame:
 def link_by_key(candidates: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Imported companies and the watchlist entry of the same name.
 
-    An entry that already names another domain is left alone; a blank domain is filled in. When
-    several candidates share a name the lowest id decides the domain.
+    An entry that already names another domain is left alone; a blank domain is filled in, once: when
+    several candidates share a name the lowest id decides, and those of other domains are not linked.
     """
     entries = watchlist.select("user_id", "watch_id", "domain", company_key(F.col("company")).alias("key"))
     keyed = candidates.select("user_id", "candidate_id", F.col("domain").alias("found"), company_key(F.col("name")).alias("key"))
-    pairs = keyed.join(entries, ["user_id", "key"])
-    linked = pairs.filter((F.col("domain") == "") | (F.col("domain") == F.col("found")))
-    return linked.select(
-        "user_id", "candidate_id", "watch_id", (F.col("domain") == "").alias("backfill"), F.col("found").alias("domain")
+    # what a blank entry becomes, one row per user and name; entries then meet candidates by domain, not by name alone
+    first = keyed.groupBy("user_id", "key").agg(F.min_by(F.struct("found", "candidate_id"), "candidate_id").alias("first"))
+    named = entries.join(first, ["user_id", "key"]).select(
+        "user_id", "key", "watch_id", F.when(F.col("domain") == "", F.col("first.found")).otherwise(F.col("domain")).alias("found"),
+        F.when(F.col("domain") == "", F.col("first.candidate_id")).alias("fills"),
+    )
+    return keyed.join(named, ["user_id", "key", "found"]).select(
+        "user_id", "candidate_id", "watch_id", F.coalesce(F.col("fills") == F.col("candidate_id"), F.lit(False)).alias("backfill"), F.col("found").alias("domain")
     )
 
 
@@ -207,7 +214,7 @@ def mark_read(alerts: DataFrame, requests: DataFrame, as_of: Column) -> DataFram
     """Alerts after read requests: a request names one alert, or all of a user's when ``alert_id`` is null."""
     everything = requests.filter(F.col("alert_id").isNull()).select("user_id").distinct().withColumn("_all", F.lit(True))
     single = requests.filter(F.col("alert_id").isNotNull()).select("user_id", "alert_id").distinct().withColumn("_one", F.lit(True))
-    joined = alerts.join(everything, "user_id", "left").join(single, ["user_id", "alert_id"], "left")
+    joined = spread_join(alerts, everything, "user_id", "alert_id", "left").join(single, ["user_id", "alert_id"], "left")
     marked = ~F.col("is_read") & (F.coalesce(F.col("_all"), F.lit(False)) | F.coalesce(F.col("_one"), F.lit(False)))
     return joined.withColumn("marked", marked).withColumn("is_read", F.col("is_read") | F.col("marked")).drop("_all", "_one")
 
@@ -218,17 +225,25 @@ RETRYABLE = ("Resolved", "Failed", "Blocked", "Unsupported", "NoCareersPage")
 def candidate_transitions(candidates: DataFrame, results: DataFrame) -> DataFrame:
     """Apply discovery results fenced by attempt: one counts only if the company is still resolving that attempt.
 
-    Late results of an earlier attempt are marked ``fenced`` and change nothing.
+    Each company has one row. ``fenced`` says that only results of other attempts came; they change nothing and
+    :func:`fenced_results` lists them. Two results of one attempt count as one, the last by name.
     """
-    best = results.withColumnRenamed("status", "new_status").withColumnRenamed("attempts", "for_attempt")
-    joined = candidates.join(best, "candidate_id", "left")
-    valid = (F.col("status") == "Resolving") & (F.col("for_attempt") == F.col("attempts"))
-    effect = F.when(F.col("for_attempt").isNull(), "none").when(valid, "applied").otherwise("fenced")
+    of_attempt = results.groupBy("candidate_id", "attempts").agg(F.max("status").alias("new_status"))
+    sent = results.groupBy("candidate_id").agg(F.count("*").alias("results"))
+    joined = candidates.join(of_attempt, ["candidate_id", "attempts"], "left").join(sent, "candidate_id", "left")
+    valid = (F.col("status") == "Resolving") & F.col("new_status").isNotNull()
+    effect = F.when(F.col("results").isNull(), "none").when(valid, "applied").otherwise("fenced")
     return joined.withColumn("effect", effect).select(
         "candidate_id", "attempts", F.when(F.col("effect") == "applied", F.col("new_status")).otherwise(F.col("status")).alias("status"), "effect"
     )
 
 
+def fenced_results(candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """The results that change nothing, as their company is not resolving that attempt."""
+    open_ = candidates.filter(F.col("status") == "Resolving").select("candidate_id", "attempts")
+    return results.join(open_, ["candidate_id", "attempts"], "left_anti")
+
+
 def claim_candidates(candidates: DataFrame, as_of: Column) -> DataFrame:
     """Waiting or stuck companies go to resolving with one more attempt."""
     due = (F.col("status") == "Pending") | (

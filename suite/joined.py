@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingspark.functions.countries import country_coverage
+from listingspark.operators.joins import spread_join
 from listingspark.operators import links as link_ops, merge, reports, robots
 
 from . import duck
@@ -120,7 +121,7 @@ def page_paths(spark, sf):
 def robots_join(spark, sf):
     """How many rules bind each page's host for the agent."""
     bound = robots.agent_rules(robots.robots_rules(robots_files(spark, sf)), "PoliteBot")
-    return page_paths(spark, sf).join(bound, "host", "left").select("page_id", "host", F.coalesce(F.size("rules"), F.lit(0)).cast("bigint").alias("rules"))
+    return spread_join(page_paths(spark, sf), bound, "host", "page_id", "left").select("page_id", "host", F.coalesce(F.size("rules"), F.lit(0)).cast("bigint").alias("rules"))
 
 
 def blocks_join(spark, sf):
@@ -177,8 +178,8 @@ ORACLE = {
     "missing_refs": sql("v_refs v_refs_more v_incoming", "SELECT source_id, external_id, job_id FROM refs r WHERE active AND NOT EXISTS (SELECT 1 FROM v_incoming i WHERE i.source_id = r.source_id AND i.external_id = r.external_id)", REFS_SQL),
     "latest_run": sql("v_sources v_runs", "SELECT s.source_id, r.run_id, r.status, r.started_at FROM v_sources s LEFT JOIN (SELECT * FROM v_runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1) r ON r.source_id = s.source_id"),
     "runs_complete": sql("v_sources v_runs", "SELECT r.run_id, r.source_id % 20 AS user_id FROM v_runs r LEFT JOIN v_sources s ON s.source_id = r.source_id WHERE r.status NOT IN ('Succeeded','Partial') OR s.owner_id IS NULL OR s.owner_id <> r.source_id % 20"),
-    "link_by_key": sql("v_candidates v_watchlist", "SELECT c.user_id, candidate_id, w.watch_id, w.domain = '' AS backfill, c.domain FROM v_candidates c JOIN v_watchlist w ON w.user_id = c.user_id AND "
-        f"{duck.normalized('w.company')} = {duck.normalized('c.name')} AND (w.domain = '' OR w.domain = c.domain)"),
+    "link_by_key": sql("v_candidates v_watchlist", "SELECT user_id, candidate_id, watch_id, wd = '' AND candidate_id = lead_id AS backfill, domain FROM (SELECT c.user_id, candidate_id, w.watch_id, w.domain AS wd, c.domain, min(candidate_id) OVER (PARTITION BY w.watch_id) AS lead_id, arg_min(c.domain, candidate_id) OVER (PARTITION BY w.watch_id) AS lead_domain FROM v_candidates c JOIN v_watchlist w ON w.user_id = c.user_id AND "
+        f"{duck.normalized('w.company')} = {duck.normalized('c.name')} AND true) WHERE domain = CASE WHEN wd = '' THEN lead_domain ELSE wd END"),
     "country_join": sql("v_listings", "SELECT code, count(*) AS listings FROM v_listings JOIN hits USING (country, location) GROUP BY code", *coverage_ctes()),
     "robots_join": sql("", f"SELECT page_id, h.host, CAST(CASE WHEN n % 3 = 0 THEN 3 ELSE 2 + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END END AS BIGINT) AS rules FROM (SELECT page_id, {HOST} AS host FROM pages) p JOIN hosts h ON h.host = p.host", HOSTS_SQL),
     "blocks_join": sql("v_listings v_prefs", f"SELECT owner_id, {BLOCKED} AS reason, count(*) AS listings {BLOCKED_FROM} GROUP BY ALL", *coverage_ctes()),

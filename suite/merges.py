@@ -121,6 +121,8 @@ RESULTS = pick("Resolved|Failed|Blocked", "c_custkey")
 
 def candidate_transitions(spark, sf):
     results = view(spark, sf, "customer").filter("c_custkey % 5 <> 0").selectExpr("c_custkey AS candidate_id", "CAST(c_custkey % 3 AS INT) AS attempts", f"{RESULTS} AS status")
+    late = results.filter("candidate_id % 2 = 0").withColumns({"attempts": F.expr("attempts - 1"), "status": F.lit("Failed")})
+    results = results.unionByName(late).unionByName(results.filter("candidate_id % 4 = 0"))
     rows = merge.candidate_transitions(view(spark, sf, "v_candidates"), results)
     return rows.withColumn("attempts", c("attempts").cast("bigint"))
 
@@ -216,18 +218,18 @@ ORACLE = {
     "vector_cache": "SELECT doc_id AS owner_id, CASE WHEN doc_id % 7 = 0 THEN 'm2' ELSE 'm1' END AS model, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND doc_id % 10 <> 0 THEN 'reuse' ELSE 'compute' END AS action FROM documents",
     "insert_alerts": sql("v_matches v_listings v_prefs v_alerts", f"SELECT user_id, job_id, title, dedupe_key, score FROM (SELECT m.user_id, m.job_id, concat({duck.band('score')}, ': ', title) AS title, concat('match:', m.job_id, ':', score, ':', epoch_ms(evaluated_at)) AS dedupe_key, CAST(score AS BIGINT) AS score, "
         "row_number() OVER (PARTITION BY m.user_id ORDER BY evaluated_at DESC, m.job_id) AS n FROM v_matches m JOIN v_listings l ON l.job_id = m.job_id JOIN v_prefs p ON p.user_id = m.user_id WHERE NOT archived AND notifications_enabled AND score >= notify_min) d "
-        "WHERE n <= 200 AND NOT EXISTS (SELECT 1 FROM v_alerts a WHERE a.user_id = d.user_id AND a.dedupe_key = d.dedupe_key)"),
+        "WHERE NOT EXISTS (SELECT 1 FROM v_alerts a WHERE a.user_id = d.user_id AND a.dedupe_key = d.dedupe_key)"),
     "insert_listing_once": sql("v_stored v_incoming", "SELECT i.owner_id, i.canonical_hash, o AS ordinal, CASE WHEN s.job_id IS NULL AND o < 1000000 THEN 'added' ELSE 'This opportunity has already been added.' END AS outcome FROM (SELECT *, ordinal AS o FROM v_incoming UNION ALL SELECT *, ordinal + 1000000 FROM v_incoming WHERE job_id % 8 = 0) i "
         "LEFT JOIN v_stored s ON s.owner_id = i.owner_id AND s.canonical_hash = i.canonical_hash"),
     "apply_status": sql("v_saved v_status_log", "SELECT user_id, job_id, coalesce(n.status, s.status) AS status, coalesce(n.created_at, s.updated_at) AS updated_at, CASE WHEN n.status IS NULL THEN 'missing' WHEN s.status IS NULL THEN 'added' ELSE 'updated' END AS outcome FROM v_saved s "
         "FULL OUTER JOIN (SELECT user_id % 20 AS user_id, id % 900 AS job_id, status, created_at FROM v_status_log QUALIFY row_number() OVER (PARTITION BY user_id % 20, id % 900 ORDER BY created_at DESC, id DESC) = 1) n USING (user_id, job_id)"),
     "apply_archive": sql("v_listings", "SELECT l.job_id, CASE WHEN a.job_id IS NULL THEN CASE WHEN archived THEN TIMESTAMP '2024-01-01 00:00:00' END WHEN a.on THEN a.ts END AS archived_at FROM v_listings l LEFT JOIN ("
         "SELECT event_id % 1500 AS job_id, event_id % 2 = 0 AS \"on\", ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 1500 ORDER BY ts DESC, event_id DESC) = 1) a ON a.job_id = l.job_id".replace("a.on ", 'a."on" ')),
-    "import_candidates": sql("", "SELECT u AS user_id, p.line, p.domain, CASE WHEN p.domain IS NULL OR NOT (p.line = t.taken AND place <= 500) OR t.taken IS NULL THEN 'rejected' WHEN k.domain IS NOT NULL THEN 'duplicate' ELSE 'imported' END AS result FROM (SELECT *, CAST(substr(list_id, 5) AS BIGINT) AS u FROM p) p "
+    "import_candidates": sql("", "SELECT u AS user_id, p.line, p.domain, CASE WHEN p.domain IS NULL OR NOT p.line = t.taken OR t.taken IS NULL THEN 'rejected' WHEN k.domain IS NOT NULL THEN 'duplicate' ELSE 'imported' END AS result FROM (SELECT *, CAST(substr(list_id, 5) AS BIGINT) AS u FROM p) p "
         "LEFT JOIN t ON t.list_id = p.list_id AND t.domain = p.domain LEFT JOIN (SELECT DISTINCT c_custkey % 3 AS user_id, concat('site', c_custkey % 150, CASE WHEN c_custkey % 2 = 0 THEN '.com' ELSE '.org' END) AS domain FROM customer) k ON k.user_id = u AND k.domain = p.domain", *SEED_CTES),
     "purge": sql("v_alerts v_activity", f"SELECT 'alerts' AS table_name, alert_id AS id FROM v_alerts WHERE NOT (is_read AND created_at < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 90 DAY) UNION ALL SELECT 'activity', id FROM v_activity WHERE NOT created_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 14 DAY"),
     "mark_read": sql("v_alerts", "SELECT alert_id, user_id, is_read OR m AS is_read, NOT is_read AND m AS marked FROM (SELECT *, CASE WHEN user_id % 4 = 0 THEN EXISTS (SELECT 1 FROM v_alerts b WHERE b.user_id = a.user_id AND b.alert_id % 7 = 0) ELSE alert_id % 7 = 0 END AS m FROM v_alerts a)"),
-    "candidate_transitions": sql("v_candidates", f"SELECT candidate_id, CAST(attempts AS BIGINT) AS attempts, CASE WHEN e = 'applied' THEN {RESULTS.replace('c_custkey', 'candidate_id')} ELSE status END AS status, e AS effect FROM (SELECT *, CASE WHEN candidate_id % 5 = 0 THEN 'none' WHEN status = 'Resolving' AND attempts = candidate_id % 3 THEN 'applied' ELSE 'fenced' END AS e FROM v_candidates)"),
+    "candidate_transitions": sql("v_candidates", f"SELECT candidate_id, CAST(attempts AS BIGINT) AS attempts, CASE WHEN e = 'applied' THEN {RESULTS.replace('c_custkey', 'candidate_id')} WHEN e = 'late' THEN 'Failed' ELSE status END AS status, replace(e, 'late', 'applied') AS effect FROM (SELECT *, CASE WHEN candidate_id % 5 = 0 THEN 'none' WHEN status = 'Resolving' AND attempts = candidate_id % 3 THEN 'applied' WHEN status = 'Resolving' AND candidate_id % 2 = 0 AND attempts = candidate_id % 3 - 1 THEN 'late' ELSE 'fenced' END AS e FROM v_candidates)"),
     "candidate_claims": sql("v_candidates", f"SELECT candidate_id, CASE WHEN d THEN 'Resolving' ELSE status END AS status, CAST(attempts + CASE WHEN d THEN 1 ELSE 0 END AS BIGINT) AS attempts, d AS claimed FROM (SELECT *, status = 'Pending' OR (status = 'Resolving' AND last_checked_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 15 MINUTE) AS d FROM v_candidates)"),
     "candidate_retries": sql("v_candidates", "SELECT c_custkey AS candidate_id, c_custkey % 21 AS user_id, CASE WHEN status IN ('Resolved','Failed','Blocked','Unsupported','NoCareersPage') THEN 'Pending' ELSE 'refused' END AS outcome FROM customer LEFT JOIN v_candidates v ON v.candidate_id = c_custkey AND v.user_id = c_custkey % 21"),
     "merge_sources": sql("v_sources", "SELECT owner_id, identity, coalesce(r.provider, s.provider) AS provider, coalesce(r.board, s.board) AS board, CASE WHEN r.identity2 IS NOT NULL THEN r.source_url ELSE s.source_url END AS source_url, coalesce(s.source_id, r.source_id) AS source_id, coalesce(s.company, r.company) AS company, coalesce(s.schedule, 'Every 4 hours') AS schedule, coalesce(s.enabled, true) AS enabled, "

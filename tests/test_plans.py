@@ -26,19 +26,22 @@ def test_scan_conserves_rows(spark):
         (1, 1, 2, "c", "Broken", "C", "text", "https://x.com/c", "h3", ["description"]),
     ]
     normalized = spark.createDataFrame(rows, schema)
-    empty = "owner_id int, canonical_hash string, job_id string, title string, description_hash string, last_seen timestamp, lifecycle string, archived timestamp, discovered_at timestamp"
+    empty = "owner_id int, canonical_hash string, job_id string, title string, company string, description string, job_url string, description_hash string, last_run int, last_seen timestamp, lifecycle string, archived timestamp, discovered_at timestamp"
     listings = spark.createDataFrame([], empty)
     refs = spark.createDataFrame([], "source_id int, external_id string, job_id string, active boolean, last_seen timestamp")
-    sources = spark.createDataFrame([(1, 5)], "source_id int, owner_id int")
+    sources = spark.createDataFrame([(1, 5, 70)], "source_id int, owner_id int, run_id int")
     prefs = spark.createDataFrame([(5, [], ["terraform"])], "user_id int, include_keywords array<string>, negative_keywords array<string>")
     verdicts = spark.createDataFrame([(1, True)], "source_id int, may_retire boolean")
     at = F.lit("2024-01-01").cast("timestamp")
     first = scan.scan(normalized, normalized.select("source_id", "external_id"), verdicts, sources, prefs, listings, refs, at)
     count = first.counters.first()
-    assert (count.added, count.updated, count.filtered, count.removed) == (1, 0, 1, 0)
+    assert (count.run_id, count.added, count.updated, count.filtered, count.removed, count.discovered) == (70, 1, 0, 1, 0, 3)
+    assert [(r.company, r.description, r.job_url) for r in first.listings.collect()] == [("C", "text one", "https://x.com/a?utm_source=q")]
+    assert first.refs.join(first.listings, "job_id", "left_semi").count() == 1
     only_b = normalized.filter("external_id = 'b'")
     second = scan.scan(only_b, only_b.select("source_id", "external_id"), verdicts, sources, prefs, first.listings, first.refs, at)
     assert [(r.lifecycle) for r in second.listings.collect()] == ["Removed"]
+    assert [(r.run_id, r.removed) for r in second.counters.filter("removed > 0").collect()] == [(70, 1)]
     replay = scan.scan(normalized, normalized.select("source_id", "external_id"), verdicts, sources, prefs, first.listings, first.refs, at)
     assert replay.counters.first().added == 0
     assert sorted(map(tuple, replay.listings.collect())) == sorted(map(tuple, first.listings.collect()))
@@ -63,3 +66,32 @@ def test_rate_windows_match_a_plain_loop(spark, seconds):
         want.append((key, start, count, max(0, count - 3)))
     rows = jobs.rate_windows(df, "key", "ts", limit=3, seconds=seconds).collect()
     assert sorted((r.key, r.window_start_ms, r.attempts, r.over_limit) for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("frame", [3, 10_000])
+def test_streamed_rate_does_not_depend_on_frames(spark, tmp_path, frame):
+    """Forty events of one key, landed newest first."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frame)
+    try:
+        rows = spark.createDataFrame([("k", 60 * (40 - i)) for i in range(40)], "key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+        out = []
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        counted = jobs.rate_counter(stream, "key", "ts", limit=5, seconds=600)
+        jobs.run_available(counted.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/at").foreachBatch(lambda b, _: out.extend(b.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.window_start_ms // 60_000, r.attempts, r.over_limit) for r in out) == [(1, 11, 6), (12, 11, 6), (23, 11, 6), (34, 7, 2)]
+
+
+def test_state_rows_and_backfills_are_single(spark):
+    from listingspark.operators import merge
+
+    candidates = spark.createDataFrame([(1, 2, "Resolving"), (2, 1, "Resolved")], "candidate_id int, attempts int, status string")
+    results = spark.createDataFrame([(1, 1, "Failed"), (1, 2, "Resolved"), (1, 2, "Resolved"), (2, 1, "Failed")], "candidate_id int, attempts int, status string")
+    assert sorted(map(tuple, merge.candidate_transitions(candidates, results).collect())) == [(1, 2, "Resolved", "applied"), (2, 1, "Resolved", "fenced")]
+    assert sorted(map(tuple, merge.fenced_results(candidates, results).collect())) == [(1, 1, "Failed"), (2, 1, "Failed")]
+    named = spark.createDataFrame([(7, 5, "Acme", "b.com"), (7, 3, " ACME", "a.com"), (7, 9, "Acme", "a.com")], "user_id int, candidate_id int, name string, domain string")
+    watch = spark.createDataFrame([(7, 1, "acme", ""), (7, 2, "acme", "b.com")], "user_id int, watch_id int, company string, domain string")
+    got = sorted(map(tuple, merge.link_by_key(named, watch).select("candidate_id", "watch_id", "backfill", "domain").collect()))
+    assert got == [(3, 1, True, "a.com"), (5, 2, False, "b.com"), (9, 1, False, "a.com")]
