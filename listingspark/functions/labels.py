@@ -214,8 +214,8 @@ def target_text(profile: dict[str, Column], prefs: dict[str, Column]) -> Column:
 
 
 def listing_text(title: Column, company: Column, location: Column, work_type: Column, employment_type: Column,
-                 seniority: Column, industry: Column, description: Column, limit: int = 32_000) -> Column:
-    """What a listing offers, as the text that is embedded."""
+                 seniority: Column, industry: Column, description: Column, limit: int | None = None) -> Column:
+    """What a listing offers, as the text that is embedded; ``limit`` is what the embedding model can take."""
 
     def noted(value: Column) -> Column:
         return F.concat(value, F.when(value == "Unknown", " (not stated)").otherwise(""))
@@ -234,4 +234,4 @@ def listing_text(title: Column, company: Column, location: Column, work_type: Co
         F.concat(F.lit("Industry: "), stated(industry)),
         F.concat(F.lit("Description: "), description),
     )
-    return F.substr(text, F.lit(1), F.lit(limit))
+    return text if limit is None else F.substr(text, F.lit(1), F.lit(limit))

@@ -70,13 +70,13 @@ def char_of(code_point: Column) -> Column:
 
 def _decode_piece(piece: Column) -> Column:
     """What follows an ampersand: an entity and the text after it, or plain text that keeps its ampersand."""
-    body = F.lower(F.regexp_extract(piece, r"(?i)^(#x?[0-9a-f]{1,64}|[a-z]{1,64});", 1))
+    body = F.lower(F.regexp_extract(piece, r"(?i)^(#x?[0-9a-f]+|[a-z]+);", 1))
     names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
 
     def char(code: Column) -> Column:
-        hexes = F.regexp_extract(code, r"^#x([0-9a-f]{1,8})$", 1)
+        hexes = F.regexp_extract(code, r"^#x0*([0-9a-f]{1,8})$", 1)
         point = F.when(code.startswith("#x"), F.when(hexes != "", F.conv(hexes, 16, 10).try_cast("bigint"))).otherwise(
-            F.regexp_extract(code, r"^#(\d{1,8})", 1).try_cast("bigint")
+            F.regexp_extract(code, r"^#0*(\d{1,8})(?!\d)", 1).try_cast("bigint")
         )
         number = let(point, lambda p: F.when(p.between(1, 0x10FFFF) & ~p.between(0xD800, 0xDFFF), char_of(p)))
         return F.when(code == "", F.lit(None).cast("string")).when(code.startswith("#"), number).otherwise(F.try_element_at(names, code))

@@ -111,9 +111,8 @@ def visible(owner: Column, user_id) -> Column:
 def board_conditions(q: str = "", work: str = "", view: str = "", score: float = 0) -> list[Column]:
     """Board filters over joined rows (``status`` and ``score`` of the user may be null)."""
     conditions = [F.col("archived") if view == "archived" else ~F.col("archived")]
-    text = q[:200]
-    if text:
-        pattern = "%" + text.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_") + "%"
+    if q:
+        pattern = "%" + q.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_") + "%"
         conditions.append(F.col("title").ilike(pattern) | F.col("company").ilike(pattern) | F.col("location").ilike(pattern))
     if work:
         conditions.append(F.col("work_type") == work)

@@ -20,10 +20,10 @@ POSTING_PATH = (
     r"(?![A-Za-z0-9_])[^?]*/[^/?]+|/[^/?]*-[0-9]{3,}"
 )
 
-# No start tag is longer than this, and none holds a raw "<": a page of unclosed tags stays linear.
-MAX_TAG = 4096
+# A start tag holds no raw "<". Its rest is matched possessively or in an atomic group, so that one that never ends
+# costs one look at the text up to the next "<", and a page of unclosed tags stays linear however long its tags are.
 _HREF = r"href=[\"']([^\"'#]+)[\"']"
-_ANCHOR = rf"(?is)<a(?![A-Za-z0-9_])[^<>]{{0,{MAX_TAG}}}{_HREF}[^<>]{{0,{MAX_TAG}}}>(.*?)</a>"
+_ANCHOR = rf"(?is)<a(?![A-Za-z0-9_])(?>[^<>]*{_HREF})[^<>]*+>(.*?)</a>"
 
 
 def anchors(pages: DataFrame, *keep: str) -> DataFrame:
@@ -128,7 +128,7 @@ def candidate_urls(pages: DataFrame) -> DataFrame:
             pages.select("page_id", F.lit(1).alias("tier"), F.posexplode("chain").alias("pos", "href"))
         )
     # bounded like the anchors; the first src or href of the tag counts
-    embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^<>]{{0,{MAX_TAG}}}?(?:src|href)=[\"']([^\"']+)[\"']"
+    embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^<>]*?(?:src|href)=[\"']([^\"']+)[\"']"
     tags = pages.select("page_id", "url", F.regexp_extract_all(F.col("html"), F.lit(embed), F.lit(1)).alias("raws"))
     raws = with_once(tags, base=url_struct(F.col("url"))).select(
         "page_id", F.lit(2).alias("tier"), "base", F.posexplode("raws").alias("pos", "raw")
@@ -150,7 +150,7 @@ def detect_ats(pages: DataFrame) -> DataFrame:
     )
 
 
-_START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
+_START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^<>]*+>"
 
 
 def start_tags(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
@@ -167,7 +167,7 @@ def start_tags(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
 
 def _crawl_links(pages: DataFrame) -> DataFrame:
     tags = with_once(start_tags(pages, _START_TAG), raw=F.regexp_extract("tag", rf"(?i){_HREF}", 1))
-    usable = tags.filter((F.col("raw") != "") & (F.length("raw") <= 2048))
+    usable = tags.filter(F.col("raw") != "")
     links = with_once(usable, href=resolve_url(F.col("raw"), F.col("base")), home=url_text(F.col("base")))
     return links.filter(F.col("href").isNotNull() & host_allowed(F.col("href"), F.col("base.host")) & (F.col("href") != F.col("home")))
 
@@ -180,29 +180,34 @@ def posting_links(pages: DataFrame) -> DataFrame:
 
 def next_page(pages: DataFrame) -> DataFrame:
     """The first link a page marks as its next page: ``rel=next`` or the label "next"."""
-    label = F.regexp_extract(F.substr(F.col("after"), F.lit(1), F.lit(4096)), r"(?is)^(.*?)(?:</a(?![A-Za-z0-9_])|$)", 1)
+    label = F.regexp_extract("after", r"(?is)^(.*?)(?:</a(?![A-Za-z0-9_])|$)", 1)
     is_next = F.col("tag").rlike(r"(?i)rel=[\"']next[\"']") | (F.lower(html_to_text(label)) == "next")
     links = _crawl_links(pages).filter(is_next)
     return links.groupBy("page_id").agg(F.min_by("href", "pos").alias("href"))
 
 
-def page_evidence(pages: DataFrame, max_links: int = 150, max_length: int = 12_000) -> DataFrame:
-    """The links kept as evidence for a page: the first ones, until a long URL or their total length ends the list."""
-    links = anchors(pages).withColumn("text", F.substr(F.col("text"), F.lit(1), F.lit(200)))
+def page_evidence(pages: DataFrame, max_links: int | None = None, max_length: int | None = None) -> DataFrame:
+    """The links kept as evidence for a page, in order: all, or the first ones within a number or a total length."""
+    links = anchors(pages)
     order = Window.partitionBy("page_id").orderBy("pos")
-    ranked = links.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_links)
+    ranked = links.withColumn("n", F.row_number().over(order))
+    if max_links is not None:
+        ranked = ranked.filter(F.col("n") <= max_links)
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum(F.length("href") + F.length("text")).over(running)
-    stopped = F.max(F.when((F.length("href") > 2000) | (total > max_length), 1).otherwise(0)).over(running)
+    measured = ranked.withColumn("total", total)
+    if max_length is not None:
+        measured = measured.filter(F.col("total") <= max_length)
     return (
-        ranked.withColumns({"stopped": stopped, "total": total}).filter("stopped = 0")
+        measured
         .select("page_id", "n", "href", "text", F.col("total").alias("running_length"))
     )
 
 
-def page_text(html: Column, limit: int = 24_000) -> Column:
+def page_text(html: Column, limit: int | None = None) -> Column:
     """The text kept as evidence for a page."""
-    return F.substr(html_to_text(html), F.lit(1), F.lit(limit))
+    text = html_to_text(html)
+    return text if limit is None else F.substr(text, F.lit(1), F.lit(limit))
 
 
 def claims_grounded(claims: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,12 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rows import with_once
 from ..functions.text import html_to_text, join_nonblank, let, trim_all
 from ..sources.registry import shape_ok, text_at
-from .links import MAX_TAG
 
-MAX_BLOCKS = 1000
 
-# An opening script tag whose type is JSON-LD, and its body.
-_SCRIPT = rf"(?is)<script(?![a-z0-9])([^<>]{{0,{MAX_TAG}}})>(.*?)</script"
+# A script element; its body is captured if its type is JSON-LD.
+_LD_SCRIPT = r"(?is)<script(?![a-z0-9])(?:(?=[^<>]*?type=[\"']application/ld\+json[\"'])[^<>]*+>(.*?)|[^<>]*+>.*?)</script"
 
 POSTING_SHAPE = {
     '$["@type"]': "S", "title": "S", "description": "S", "url": "S", "identifier": "SNO~?", "datePosted": "S~?",
@@ -30,18 +28,14 @@ def is_posting(node: Column) -> Column:
 def jsonld_nodes(html: Column) -> Column:
     """All JSON-LD nodes of a page in order: a block may be one node, an array, or a graph.
 
-    Blocks that are not valid JSON have no nodes; at most a thousand blocks are read.
+    Blocks that are not valid JSON have no nodes.
     """
     head = F.regexp_extract(html, r"(?is)^.*</script", 0)
-    scripts = F.regexp_extract_all(head, F.lit(_SCRIPT), F.lit(0))
-    blocks = F.slice(
-        F.filter(scripts, lambda s: F.regexp_extract(s, _SCRIPT, 1).rlike(r"(?i)type=[\"']application/ld\+json[\"']")),
-        1, MAX_BLOCKS,
-    )
+    blocks = F.filter(F.regexp_extract_all(head, F.lit(_LD_SCRIPT), F.lit(1)), lambda body: body != "")
 
     def nodes(block: Column) -> Column:
         return let(
-            F.try_parse_json(F.regexp_extract(block, _SCRIPT, 2)),
+            F.try_parse_json(block),
             lambda v: F.coalesce(
                 F.try_variant_get(v, "$", "array<variant>"),
                 F.try_variant_get(v, '$["@graph"]', "array<variant>"),
@@ -76,16 +70,16 @@ def country_of(item: Column) -> Column:
     return F.when(kind == "STRING", first_location(item, ".addressCountry")).otherwise(named)
 
 
-_H1 = rf"(?is)<h1(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>(.*?)</h1(?![A-Za-z0-9-])"
+_H1 = rf"(?is)<h1(?![A-Za-z0-9-])[^<>]*+>(.*?)</h1(?![A-Za-z0-9-])"
 _PLACE = (
-    rf"(?is)<[A-Za-z0-9-]+(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*location[^\"'>]*[\"']"
-    rf"[^<>]{{0,{MAX_TAG}}}>(.*?)</"
+    rf"(?is)<[A-Za-z0-9-]+(?![A-Za-z0-9-])[^<>]*?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*location[^\"'>]*[\"']"
+    rf"[^<>]*+>(.*?)</"
 )
 _CONTAINER = (
-    rf"(?is)<(div|section|article)(?![A-Za-z0-9-])(?=[^<>]{{0,{MAX_TAG}}}?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*description[^\"'>]*[\"'])"
-    rf"[^<>]{{0,{MAX_TAG}}}>"
+    rf"(?is)<(div|section|article)(?![A-Za-z0-9-])(?=[^<>]*?(?:class|id|data-[a-z-]+)=[\"'][^\"'>]*description[^\"'>]*[\"'])"
+    rf"[^<>]*+>"
 )
-_MAIN = rf"(?is)<(main|article)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
+_MAIN = rf"(?is)<(main|article)(?![A-Za-z0-9-])[^<>]*+>"
 
 
 def _upto_last(html: Column, close: str) -> Column:
@@ -112,7 +106,7 @@ def balanced_container(html: Column) -> Column:
     opening = F.regexp_extract(html, _CONTAINER, 0)
     name = F.lower(F.regexp_extract(html, _CONTAINER, 1))
     rest = F.substr(html, F.instr(html, opening) + F.length(opening))
-    any_tag = rf"(?i)</?(?:div|section|article)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
+    any_tag = rf"(?i)</?(?:div|section|article)(?![A-Za-z0-9-])[^<>]*+>"
 
     def inner(p: Column) -> Column:
         tags = F.regexp_extract_all(p["rest"], F.lit(any_tag), F.lit(0))
@@ -157,9 +151,9 @@ def main_content(html: Column) -> Column:
     return let(html, one)
 
 
-_CHROME_OPEN = rf"<(?:nav|header|footer)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>"
+_CHROME_OPEN = rf"<(?:nav|header|footer)(?![A-Za-z0-9-])[^<>]*+>"
 _CHROME = (
-    rf"(?is)<(nav|header|footer)(?![A-Za-z0-9-])[^<>]{{0,{MAX_TAG}}}>.*?</\1(?![A-Za-z0-9-])[^<>]*>"
+    rf"(?is)<(nav|header|footer)(?![A-Za-z0-9-])[^<>]*+>.*?</\1(?![A-Za-z0-9-])[^<>]*>"
     rf"|({_CHROME_OPEN}.*)"
 )
 
@@ -202,7 +196,7 @@ def page_posting(pages: DataFrame) -> DataFrame:
         "page_id", "url", "title",
         F.when(structured, place).otherwise(location_text(F.col("html"))).alias("location"),
         F.when(structured, html_to_text(text_at(item, "description")))
-        .otherwise(F.substr(page_body(F.col("html"))["text"], F.lit(1), F.lit(20_000))).alias("description"),
+        .otherwise(page_body(F.col("html"))["text"]).alias("description"),
         F.when(structured, F.try_variant_get(item, "$.datePosted", "string")).alias("posted_at"),
         F.when(structured, "json-ld").otherwise("markup").alias("origin"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import let
 from ..functions.urls import _form_pair, pointer_get, url_struct, url_text
+from .joins import spread_join
 
 MAX_DEPTH = 100
 
@@ -142,7 +143,7 @@ def page_template(requests: DataFrame) -> DataFrame:
 
 def verify_field_map(payloads: DataFrame, patterns: DataFrame) -> DataFrame:
     """Whether a stored payload still gives postings and every mapped field; ``reason`` says what is missing."""
-    rows = payloads.join(patterns, "source_id").withColumn("found", pointer_get(F.try_parse_json("payload"), F.col("jobs_path")))
+    rows = spread_join(payloads, patterns, "source_id", "payload").withColumn("found", pointer_get(F.try_parse_json("payload"), F.col("jobs_path")))
     items = F.try_variant_get("found", "$", "array<variant>")
     first = F.get(F.col("items"), 0)
     reason = F.when(~F.coalesce(F.schema_of_variant("found").startswith("ARRAY"), F.lit(False)), "No postings at jobsPath").when(

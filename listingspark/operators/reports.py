@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import alert_body, alert_title, digest_line, digest_sentence
 from ..functions.dates import alert_key
 from .gates import ACTIVE_APPLICATION_STATES, visible
+from .joins import spread_join
 
 PAGE_SIZE = 50
 
@@ -26,7 +27,7 @@ def board_order(sort: str = "score") -> list[Column]:
 
 def page_with_total(rows: DataFrame, order: list[Column], page: int, size: int = PAGE_SIZE) -> DataFrame:
     """One page of rows; every row carries the filtered total, found by a partial count rather than a global window."""
-    page = max(1, min(10_000, page))
+    page = max(1, page)
     total = rows.agg(F.count("*").alias("n")).scalar()
     shown = rows.orderBy(*order).offset((page - 1) * size).limit(size)
     return shown.withColumn("total", total).withColumn("has_more", F.lit(page * size) < F.col("total"))
@@ -34,7 +35,7 @@ def page_with_total(rows: DataFrame, order: list[Column], page: int, size: int =
 
 def page_total(rows: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
     """The total and page facts on their own: a page past the end has no rows but still a total."""
-    page = max(1, min(10_000, page))
+    page = max(1, page)
     return rows.agg(F.count("*").alias("total")).select(
         "total", F.lit(page).cast("bigint").alias("page"), (F.lit(page * size) < F.col("total")).alias("has_more")
     )
@@ -66,7 +67,7 @@ def eval_candidates(listings: DataFrame, refs: DataFrame, sources: DataFrame, ma
     owned = listings.filter(F.col("owner_id").isNotNull() & (F.col("lifecycle") == "Active") & ~F.col("archived"))
     fresh = owned.join(seen, "job_id", "left_semi").withColumnRenamed("owner_id", "user_id")
     scored = fresh.join(matches.select("user_id", "job_id", "evaluated_at"), ["user_id", "job_id"], "left")
-    dated = scored.join(changed.select("user_id", "changed_at"), "user_id", "left")
+    dated = spread_join(scored, changed.select("user_id", "changed_at"), "user_id", "job_id", "left")
     stale = (
         F.col("evaluated_at").isNull() | (F.col("evaluated_at") < F.col("updated_at"))
         | (F.col("evaluated_at") < F.col("changed_at"))
@@ -112,10 +113,13 @@ def digest_window(as_of: Column, hours: Column | int) -> Column:
     return as_of - F.make_dt_interval(hours=bounded)
 
 
-def digest_items(scored: DataFrame, since: Column, limit: int = 50) -> DataFrame:
-    """The best evaluations of each user in the window; a digest looks at no more than fifty."""
+def digest_items(scored: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
+    """The evaluations of each user in the window, with ``limit`` only the best."""
+    recent = scored.filter(F.col("evaluated_at") >= since)
+    if limit is None:
+        return recent
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "job_id")
-    return scored.filter(F.col("evaluated_at") >= since).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    return recent.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
 
 
 def digest_counts(items: DataFrame, prefs: DataFrame) -> DataFrame:
@@ -136,12 +140,11 @@ def digest_top(items: DataFrame, prefs: DataFrame, limit: int = 5) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def digest_applications(saved: DataFrame, listings: DataFrame, limit: int = 10) -> DataFrame:
+def digest_applications(saved: DataFrame, listings: DataFrame, limit: int | None = None) -> DataFrame:
     active = listings.filter(~F.col("archived")).select("job_id", "title", "company")
     order = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "job_id")
-    return saved.filter(F.col("status").isin(*ACTIVE_APPLICATION_STATES)).join(active, "job_id").withColumn(
-        "rank", F.row_number().over(order)
-    ).filter(F.col("rank") <= limit)
+    rows = saved.filter(F.col("status").isin(*ACTIVE_APPLICATION_STATES)).join(active, "job_id")
+    return rows if limit is None else rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def new_listings(listings: DataFrame, since: Column) -> tuple[DataFrame, Column]:
@@ -173,7 +176,7 @@ def digests(users: DataFrame, listings: DataFrame, matches: DataFrame, saved: Da
         F.col("new_jobs"), F.lit(min(max(hours, 1), 720)), F.col("high_priority"), F.col("strong"), F.col("possible"), F.col("applications")
     )
     lines = F.transform(F.coalesce("top", F.array().cast("array<struct<rank:int,line:string>>")), lambda t: t["line"])
-    body = F.substr(F.array_join(F.concat(F.array(sentence), lines), "\n"), F.lit(1), F.lit(4000))
+    body = F.array_join(F.concat(F.array(sentence), lines), "\n")
     return filled.select("user_id", "new_jobs", "excellent", "strong", "possible", "high_priority", "applications", body.alias("body"))
 
 
@@ -215,8 +218,8 @@ def run_counters(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_warnings(warnings: DataFrame, filtered: DataFrame, limit: int = 100) -> DataFrame:
-    """The first hundred warnings of each run; a line on skipped listings comes first."""
+def run_warnings(warnings: DataFrame, filtered: DataFrame, limit: int | None = None) -> DataFrame:
+    """The warnings of each run in order, with ``limit`` the first ones; a line on skipped listings comes first."""
     n = F.col("filtered")
     summary = filtered.filter(n > 0).select(
         "run_id", F.lit(-1).cast("bigint").alias("seq"),
@@ -225,7 +228,9 @@ def run_warnings(warnings: DataFrame, filtered: DataFrame, limit: int = 100) ->
     order = Window.partitionBy("run_id").orderBy("seq")
     first = warnings.select("run_id", F.col("seq").cast("bigint").alias("seq"), "message").unionByName(summary).withColumn(
         "n", F.row_number().over(order)
-    ).filter(F.col("n") <= limit)
+    )
+    if limit is not None:
+        first = first.filter(F.col("n") <= limit)
     return first.select("run_id", "n", "message")
 
 
@@ -258,12 +263,14 @@ def activity_page(activity: DataFrame, user_id: int, before: tuple | None = None
     return shown.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limit: int = 200) -> DataFrame:
-    """Alerts owed to users who want them: scores at their threshold, the newest two hundred each."""
+def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alerts owed to users who want them: scores at their threshold, with ``limit`` the newest of each user."""
     wanted = prefs.filter("notifications_enabled").select("user_id", "notify_min")
-    hits = scored_join(matches, listings).join(wanted, "user_id").filter(F.col("score") >= F.col("notify_min"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("evaluated_at"), "job_id")
-    top = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    hits = spread_join(scored_join(matches, listings), wanted, "user_id", "job_id").filter(F.col("score") >= F.col("notify_min"))
+    top = hits
+    if limit is not None:
+        order = Window.partitionBy("user_id").orderBy(F.desc("evaluated_at"), "job_id")
+        top = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
     return top.select(
         "user_id", "job_id", F.lit("Match").alias("kind"), alert_title(F.col("score"), F.col("title")).alias("title"),
         alert_body(F.col("company"), F.col("location"), F.col("score"), F.col("reason")).alias("body"), "score",
@@ -273,8 +280,7 @@ def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limi
 
 def alerts_page(alerts: DataFrame, listings: DataFrame, user_id: int, limit: int = 100) -> DataFrame:
     """A person's newest alerts with the listing each is about, if any. Only the page itself is joined."""
-    size = min(max(limit, 1), 200)
-    page = alerts.filter(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("alert_id")).limit(size)
+    page = alerts.filter(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("alert_id")).limit(max(limit, 1))
     return page.join(listings.select("job_id", F.col("title").alias("job_title"), "lifecycle"), "job_id", "left")
 
 

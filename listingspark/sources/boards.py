@@ -10,10 +10,6 @@ from ..functions.text import first_nonblank, html_to_text, join_nonblank, let, t
 from .registry import Provider, flag_at, json_items, number_at, register_provider, text_at, texts_at
 
 
-def _short(c: Column) -> Column:
-    return F.substr(c, F.lit(1), F.lit(200))
-
-
 def _date_at(item: Column, *paths: str) -> Column:
     """The first of several fields that is present decides, even when it is unreadable."""
     return iso_date(F.coalesce(*[F.try_variant_get(item, f"$.{p}", "string") for p in paths]))
@@ -128,9 +124,9 @@ def _workable(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(job, "title")),
         "company": first_nonblank(html_to_text(item["account"]), ctx["company"], ctx["board"]),
         "description": html_to_text(text_at(job, "description")),
-        "location": _short(location),
-        "country": _short(country),
-        "industry": _short(first_nonblank(text_at(job, "industry"), text_at(job, "function"))),
+        "location": location,
+        "country": country,
+        "industry": first_nonblank(text_at(job, "industry"), text_at(job, "function")),
         "employment_type": employment_class("Workable", text_at(job, "employment_type")),
         "work_type": work_class(flag_at(job, "telecommuting"), location != ""),
         "job_url": text_at(job, "url"),
@@ -190,8 +186,8 @@ def _personio(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": text("name"),
         "company": first_nonblank(ctx["company"], ctx["board"]),
         "description": F.coalesce(F.array_join(F.filter(sections, lambda s: s != ""), "\n\n"), F.lit("")),
-        "location": _short(text("office")),
-        "industry": _short(text("occupationCategory")),
+        "location": text("office"),
+        "industry": text("occupationCategory"),
         "employment_type": employment_class("Personio", F.concat_ws(" ", text("employmentType"), text("schedule"))),
         "work_type": F.when(text("office").rlike("(?i)remote"), "Remote").otherwise("Unknown"),
         "job_url": F.coalesce(url, F.lit("")),
@@ -221,9 +217,9 @@ def _smartrecruiters(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "name")),
         "company": first_nonblank(text_at(item, "company.name"), ctx["company"], ctx["board"]),
         "description": html_to_text(join_nonblank("\n\n", *sections)),
-        "location": _short(location),
-        "country": _short(country),
-        "industry": _short(text_at(item, "industry.label")),
+        "location": location,
+        "country": country,
+        "industry": text_at(item, "industry.label"),
         "employment_type": employment_class("SmartRecruiters", text_at(item, "typeOfEmployment.label")),
         "work_type": work_class(flag_at(item, "location.remote"), location != ""),
         "job_url": F.coalesce(F.try_variant_get(item, "$.postingUrl", "string"), public),
@@ -247,8 +243,8 @@ def _rippling(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "name")),
         "company": first_nonblank(html_to_text(text_at(item, "companyName")), ctx["company"], ctx["board"]),
         "description": html_to_text(join_nonblank("\n\n", text_at(item, "description.role"), text_at(item, "description.company"))),
-        "location": _short(location),
-        "industry": _short(text_at(item, "department.label")),
+        "location": location,
+        "industry": text_at(item, "department.label"),
         "employment_type": employment_class("Rippling", kind),
         "work_type": work_class(location.rlike("(?i)remote"), location != ""),
         "job_url": text_at(item, "url"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-MAX_SCAN_JOBS = 5000
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +54,18 @@ def _xml_ok():
     return parsed["_c"].isNull()
 
 
-def scan_summary(pages: DataFrame, max_jobs: int = MAX_SCAN_JOBS) -> DataFrame:
+def scan_summary(pages: DataFrame, max_jobs: int | None = None) -> DataFrame:
     """Combine the pages of each scan the way it was read.
 
     ``pages`` has ``run_id, page_no, jobs, complete, has_next, can_mark_removals``. Reading stops at
-    the first page that is complete, has no continuation, or brings the listings to ``max_jobs``;
-    later pages do not count. Removals are allowed only if every page read allows them.
+    the first page that is complete, has no continuation, or brings the listings to ``max_jobs``
+    (no bound by default); later pages do not count. Removals are allowed only if every page read allows them.
     """
     order = Window.partitionBy("run_id").orderBy("page_no")
     running = F.sum("jobs").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stops = F.col("complete") | ~F.col("has_next") | (F.col("seen") >= max_jobs)
+    stops = F.col("complete") | ~F.col("has_next")
+    if max_jobs is not None:
+        stops = stops | (F.col("seen") >= max_jobs)
     marked = pages.withColumn("seen", running).withColumn("stops", stops)
     first_stop = F.min(F.when(F.col("stops"), F.col("page_no"))).over(Window.partitionBy("run_id"))
     read = marked.withColumn("stop", first_stop).filter(F.col("stop").isNull() | (F.col("page_no") <= F.col("stop")))
@@ -74,6 +75,10 @@ def scan_summary(pages: DataFrame, max_jobs: int = MAX_SCAN_JOBS) -> DataFrame:
         last.alias("last"),
     )
     done = F.col("last.complete")
+    # The notes a scan ends with
+    unfinished = "Scan ended before its last page; no removals were marked."
+    if max_jobs is not None:
+        unfinished = f"Scan stopped at the {max_jobs}-job safety cap; no removals were marked."
     return runs.select(
         "run_id", "pages", "discovered",
         F.when(done, "Succeeded").otherwise("Partial").alias("status"),
@@ -81,6 +86,6 @@ def scan_summary(pages: DataFrame, max_jobs: int = MAX_SCAN_JOBS) -> DataFrame:
         F.when(done & F.col("all_allow"), "").when(
             done, "This scan cannot prove the complete job inventory. Missing listings are not marked removed."
         ).when(
-            F.col("last.has_next"), F.concat(F.lit(f"Scan stopped at the {max_jobs}-job safety cap; no removals were marked."))
+            F.col("last.has_next"), unfinished
         ).otherwise("Source returned an incomplete page without a continuation cursor; no removals were marked.").alias("note"),
     )

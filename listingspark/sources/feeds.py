@@ -8,7 +8,7 @@ from ..functions.dates import iso_date
 from ..functions.labels import employment_class, period_code, period_word, work_class
 from ..functions.numbers import currency_of, salary_range
 from ..functions.text import first_nonblank, html_to_text, join_nonblank, trim_all
-from .boards import _date_at, _nonblank, _short
+from .boards import _date_at, _nonblank
 from .registry import Provider, json_items, number_at, register_provider, text_at, texts_at
 
 
@@ -59,7 +59,7 @@ def _jobicy(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "company": html_to_text(text_at(item, "companyName")),
         "description": html_to_text(text_at(item, "jobDescription")),
         "location": text_at(item, "jobGeo"),
-        "industry": _short(F.array_join(_one_or_many(item, "jobIndustry"), ", ")),
+        "industry": F.array_join(_one_or_many(item, "jobIndustry"), ", "),
         "employment_type": employment_class("Jobicy", F.array_join(_one_or_many(item, "jobType"), " ")),
         "work_type": F.lit("Remote"),
         "salary_min": number_at(item, "salaryMin"),
@@ -86,8 +86,8 @@ def _remotive(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "title")),
         "company": html_to_text(text_at(item, "company_name")),
         "description": html_to_text(text_at(item, "description")),
-        "location": _short(text_at(item, "candidate_required_location")),
-        "industry": _short(text_at(item, "category")),
+        "location": text_at(item, "candidate_required_location"),
+        "industry": text_at(item, "category"),
         "employment_type": employment_class("Remotive", text_at(item, "job_type")),
         "work_type": F.lit("Remote"),
         "job_url": text_at(item, "url"),
@@ -110,8 +110,8 @@ def _themuse(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "name")),
         "company": html_to_text(text_at(item, "company.name")),
         "description": html_to_text(text_at(item, "contents")),
-        "location": _short(location),
-        "industry": _short(F.array_join(F.filter(texts_at(item, "categories", "name"), lambda n: n != ""), ", ")),
+        "location": location,
+        "industry": F.array_join(F.filter(texts_at(item, "categories", "name"), lambda n: n != ""), ", "),
         "work_type": work_class(location.rlike("(?i)remote|flexible"), location != ""),
         "job_url": text_at(item, "refs.landing_page"),
         "posted_at": _date_at(item, "publication_date"),
@@ -124,7 +124,6 @@ register_provider(Provider(
      "refs": "O", "refs.landing_page": "S", "company": "O", "company.name": "S?"},
     problem=lambda i: F.when(html_to_text(text_at(i, "company.name")) == "", "no_employer"),
     can_mark_removals=False,
-    max_pages=5,
 ))
 
 
@@ -136,8 +135,8 @@ def _himalayas(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "title")),
         "company": html_to_text(text_at(item, "companyName")),
         "description": html_to_text(text_at(item, "description")),
-        "location": _short(F.array_join(texts_at(item, "locationRestrictions"), ", ")),
-        "industry": _short(F.array_join(F.slice(texts_at(item, "categories"), 1, 3), ", ")),
+        "location": F.array_join(texts_at(item, "locationRestrictions"), ", "),
+        "industry": F.array_join(texts_at(item, "categories"), ", "),
         "employment_type": employment_class("Himalayas", text_at(item, "employmentType")),
         "work_type": F.lit("Remote"),
         "salary_min": low.cast("double"),
@@ -173,9 +172,9 @@ def _wwr(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": trim_all(F.substr(text("title"), at + 1)),
         "company": F.when(at > 0, trim_all(F.substr(text("title"), F.lit(1), at - 1))).otherwise(""),
         "description": html_to_text(text("description")),
-        "location": _short(first_nonblank(text("region"), text("country"))),
-        "country": _short(text("country")),
-        "industry": _short(text("category")),
+        "location": first_nonblank(text("region"), text("country")),
+        "country": text("country"),
+        "industry": text("category"),
         "employment_type": employment_class("WeWorkRemotely", text("type")),
         "work_type": F.lit("Remote"),
         "job_url": text("link"),
@@ -209,9 +208,9 @@ def _usajobs(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, f"{d}.PositionTitle")),
         "company": first_nonblank(text_at(item, f"{d}.OrganizationName"), text_at(item, f"{d}.DepartmentName"), F.lit("USAJOBS")),
         "description": html_to_text(join_nonblank("\n\n", *parts)),
-        "location": _short(location),
+        "location": location,
         "country": F.lit("United States"),
-        "industry": _short(F.array_join(F.filter(texts_at(item, f"{d}.JobCategory", "Name"), lambda n: n != ""), ", ")),
+        "industry": F.array_join(F.filter(texts_at(item, f"{d}.JobCategory", "Name"), lambda n: n != ""), ", "),
         "employment_type": employment_class("USAJOBS", F.array_join(texts_at(item, f"{d}.PositionSchedule", "Name"), " ")),
         "work_type": F.when(location.rlike("(?i)remote|telework"), "Remote").otherwise("On-site"),
         "salary_min": low.cast("double"),
@@ -230,7 +229,6 @@ register_provider(Provider(
      "MatchedObjectDescriptor.PositionSchedule": "A?~", "MatchedObjectDescriptor.PositionRemuneration": "A?~"},
     accepts=lambda i: _nonblank(i, "MatchedObjectId", "MatchedObjectDescriptor.PositionTitle"),
     can_mark_removals=False,
-    max_pages=10,
 ))
 
 # The currency a country endpoint prices in.
@@ -252,8 +250,8 @@ def _adzuna(item: Column, ctx: dict[str, Column]) -> dict[str, Column]:
         "title": html_to_text(text_at(item, "title")),
         "company": html_to_text(text_at(item, "company.display_name")),
         "description": html_to_text(text_at(item, "description")),
-        "location": _short(location),
-        "industry": _short(text_at(item, "category.label")),
+        "location": location,
+        "industry": text_at(item, "category.label"),
         "employment_type": employment_class("Adzuna", kind),
         "work_type": work_class(
             F.concat(text_at(item, "title"), F.lit(" "), location).rlike("(?i)remote|work from home"), location != ""
@@ -275,5 +273,4 @@ register_provider(Provider(
     accepts=lambda i: _nonblank(i, "title"),
     problem=lambda i: F.when(text_at(i, "company.display_name") == "", "no_employer"),
     can_mark_removals=False,
-    max_pages=10,
 ))

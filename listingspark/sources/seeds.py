@@ -8,7 +8,6 @@ from ..functions.rows import with_once
 from ..functions.text import let, trim_all
 from ..functions.urls import registrable_domain, url_admitted, url_struct, url_text
 
-IMPORT_LIMIT = 500
 FIELD_LIMIT = 200
 _HEADER = r"(?i)^(company|name|website|domain|url)$"
 
@@ -82,24 +81,26 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
     return with_once(picked, domain=domain)
 
 
-def import_seeds(lines: DataFrame, limit: int = IMPORT_LIMIT) -> DataFrame:
+def import_seeds(lines: DataFrame, limit: int | None = None) -> DataFrame:
     """Every line with its outcome: ``imported`` or the reason it was rejected.
 
-    In line order a line without domain, a repeated domain, a line past the limit and an over-long
-    name are rejected, in that order of reasons. An over-long line uses up neither its domain nor a place.
+    In line order a line without domain, a repeated domain, a line past ``limit`` accepted ones (if given) and an
+    over-long name are rejected, in that order of reasons. Without a limit no list is ranked as a whole. An over-long line uses up neither its domain nor a place.
     """
     rows = parse_seeds(lines)
     usable = F.col("domain").isNotNull() & (F.length("name") <= FIELD_LIMIT) & (F.length("domain") <= FIELD_LIMIT)
     marked = rows.withColumn("usable", usable)
     # the first usable line of each domain takes the place; a domain column of null never does
     takes = marked.filter("usable").groupBy("list_id", "domain").agg(F.min("line").alias("line"))
-    order = Window.partitionBy("list_id").orderBy("line")
-    placed = takes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    accepted = placed.select("list_id", "domain", F.col("line").alias("taken_at"))
-    last = placed.groupBy("list_id").agg(
-        F.max(F.when(F.col("place") == limit, F.col("line"))).alias("full_at")
-    )
-    judged = marked.join(accepted, ["list_id", "domain"], "left").join(last, "list_id", "left")
+    if limit is None:
+        accepted = takes.withColumnRenamed("line", "taken_at")
+        judged = marked.join(accepted, ["list_id", "domain"], "left").withColumn("full_at", F.lit(None).cast("int"))
+    else:
+        order = Window.partitionBy("list_id").orderBy("line")
+        placed = takes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        accepted = placed.select("list_id", "domain", F.col("line").alias("taken_at"))
+        last = placed.groupBy("list_id").agg(F.max(F.when(F.col("place") == limit, F.col("line"))).alias("full_at"))
+        judged = marked.join(accepted, ["list_id", "domain"], "left").join(last, "list_id", "left")
     outcome = (
         F.when(F.col("domain").isNull(), "No domain found")
         .when(F.col("line") == F.col("taken_at"), "imported")

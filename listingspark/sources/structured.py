@@ -10,12 +10,10 @@ from ..functions.numbers import currency_of, salary_lenient
 from ..functions.rows import with_once
 from ..functions.text import first_nonblank, html_to_text, join_nonblank, let, trim_all
 from ..functions.urls import ATS_HOSTS, canonical_url, pointer_get, pointer_text, registrable_domain, resolve_url, url_admitted, url_struct
+from ..operators.joins import spread_join
 from ..operators.pages import country_of, first_location, jsonld_postings
 from .registry import Provider, _map_items, finish, register_provider, text_at, texts_at
 
-MAX_CAREERS_POSTINGS = 100
-MAX_REPLAY_PAGES = 20
-MAX_REPLAY_JOBS = 500
 
 
 def no_description(url: Column) -> Column:
@@ -79,11 +77,11 @@ def normalize_jsonld(pages: DataFrame) -> DataFrame:
     return _map_items(items, JSON_LD)
 
 
-def normalize_careers(pages: DataFrame) -> DataFrame:
+def normalize_careers(pages: DataFrame, most: int | None = None) -> DataFrame:
     """Structured postings of a company's own careers pages.
 
     A relative URL is resolved against its page, postings outside the company's domain and
-    the known ATS hosts are dropped, and a source yields at most a hundred. ``start_url`` is
+    the known ATS hosts are dropped; ``most`` bounds what one source yields. ``start_url`` is
     the source's careers URL. Such a scan never proves a complete inventory.
     """
     found = jsonld_postings(pages, "source_id", "board", "company", "start_url")
@@ -100,10 +98,9 @@ def normalize_careers(pages: DataFrame) -> DataFrame:
     place = F.struct("page_id", "pos")
     content = F.struct("board", "company", "page_id", "pos", "item", "abs")
     last = keyed.groupBy("source_id", "eid").agg(F.min(place).alias("first"), F.max_by(content, place).alias("last"))
-    capped = last.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy("first"))).filter(
-        F.col("rank") <= MAX_CAREERS_POSTINGS
-    )
-    items = capped.select(
+    if most is not None:
+        last = last.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy("first"))).filter(F.col("rank") <= most)
+    items = last.select(
         F.col("source_id").alias("ctx_source_id"), F.col("last.board").alias("ctx_board"),
         F.col("last.company").alias("ctx_company"), F.col("last.page_id").alias("page_no"),
         F.col("last.pos").alias("ordinal"), F.col("last.item").alias("item"), F.col("last.abs").alias("abs"), "eid",
@@ -118,21 +115,23 @@ def normalize_careers(pages: DataFrame) -> DataFrame:
     return finish(_remote_by_text(mapped), "Careers", ("source_id", "page_no", "ordinal"))
 
 
-def paged_payloads(pages: DataFrame) -> DataFrame:
+def paged_payloads(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Items of saved API responses, the way a replay reads them.
 
     ``pages`` has ``source_id, page_no, payload`` and the source's ``jobs_path``. Pages are read
-    in order up to the first empty one, at most twenty; every item carries its position in that order.
+    in order up to the first empty one, at most ``max_pages``; every item carries its position in that order.
     """
     array = F.try_variant_get(
         pointer_get(F.try_parse_json(F.col("payload")), F.col("jobs_path")), "$", "array<variant>"
     )
-    sized = with_once(pages.filter(F.col("page_no").between(1, MAX_REPLAY_PAGES)), items=array)
+    first = pages.filter(F.col("page_no") >= 1)
+    sized = with_once(first if max_pages is None else first.filter(F.col("page_no") <= max_pages), items=array)
     empty = F.when(F.coalesce(F.size("items"), F.lit(0)) == 0, F.col("page_no"))
-    # one small row per page decides where reading stops; the payloads themselves are not moved
+    # one small row per page decides where reading stops; the payloads move once, spread within a source
     stops = sized.groupBy("source_id").agg(F.min(empty).alias("stop"), F.max("page_no").alias("last_page"))
-    read = sized.join(stops, "source_id").filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
-    return read.withColumn("ran_out", F.col("stop").isNull() & (F.col("last_page") >= MAX_REPLAY_PAGES))
+    read = spread_join(sized, stops, "source_id", "page_no").filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
+    cut = F.lit(False) if max_pages is None else F.col("stop").isNull() & (F.col("last_page") >= max_pages)
+    return read.withColumn("ran_out", cut)
 
 
 def captured_url(item: Column, pointer: Column, template: Column) -> Column:
@@ -143,14 +142,14 @@ def captured_url(item: Column, pointer: Column, template: Column) -> Column:
     )
 
 
-def captured_items(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Usable items of saved API responses with the pattern that reads them, capped per source.
+def captured_items(pages: DataFrame, patterns: DataFrame, max_pages: int | None = None, max_items: int | None = None) -> DataFrame:
+    """Usable items of saved API responses with the pattern that reads them.
 
     ``patterns`` has one row per source: ``url_template, jobs_path`` and a JSON pointer per field
     (``title, url, id, location, description, posted_at``; null when unmapped).
     """
     pointers = [f"p_{n}" for n in ("title", "url", "id", "location", "description", "posted_at")]
-    read = paged_payloads(pages.join(patterns.select("source_id", "url_template", "jobs_path", *pointers), "source_id"))
+    read = paged_payloads(spread_join(pages, patterns.select("source_id", "url_template", "jobs_path", *pointers), "source_id", "page_no"), max_pages)
     items = read.select(
         "source_id", "board", "company", "page_no", "url_template", *pointers, "ran_out", F.posexplode("items").alias("ordinal", "item")
     ).filter(F.schema_of_variant("item").startswith("OBJECT"))
@@ -159,15 +158,17 @@ def captured_items(pages: DataFrame, patterns: DataFrame) -> DataFrame:
         title=pointer_text(F.col("item"), F.col("p_title")), place=F.struct("page_no", "ordinal"),
     )
     usable = read_items.filter(F.col("abs").isNotNull() & (F.col("title") != ""))
+    if max_items is None:
+        return usable
     order = Window.partitionBy("source_id").orderBy("place")
-    # one row past the cap is kept so that reaching it shows
-    return usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_REPLAY_JOBS)
+    return usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_items)
 
 
-def replay_status(items: DataFrame) -> DataFrame:
-    """Per source: items read and whether they prove the whole inventory. A cap that was hit proves nothing."""
+def replay_status(items: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Per source: items read and whether they prove the whole inventory. A bound that was hit proves nothing."""
+    below = F.lit(True) if max_items is None else F.col("items") < max_items
     return items.groupBy("source_id").agg(F.count("*").alias("items"), F.max("ran_out").alias("ran_out")).select(
-        "source_id", "items", (~F.col("ran_out") & (F.col("items") < MAX_REPLAY_JOBS)).alias("complete")
+        "source_id", "items", (~F.col("ran_out") & below).alias("complete")
     )
 
 

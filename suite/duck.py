@@ -32,8 +32,8 @@ def decode_entities(x: str) -> str:
     token = (
         "CASE lower(k) WHEN '&amp;' THEN '&' WHEN '&apos;' THEN '''' WHEN '&gt;' THEN '>' WHEN '&lt;' THEN '<' "
         "WHEN '&nbsp;' THEN ' ' WHEN '&quot;' THEN '\"' ELSE CASE "
-        "WHEN regexp_matches(k, '(?i)^&#x[0-9a-f]{1,5};$') THEN chr(CAST(lower(concat('0x', k[4:-2])) AS INTEGER)) "
-        "WHEN regexp_matches(k, '^&#[0-9]{1,6};$') THEN chr(CAST(k[3:-2] AS INTEGER)) ELSE k END END"
+        "WHEN regexp_matches(k, '(?i)^&#x0*[0-9a-f]{1,5};$') THEN chr(CAST(lower(concat('0x', regexp_extract(k, '(?i)^&#x0*([0-9a-f]{1,5});$', 1))) AS INTEGER)) "
+        "WHEN regexp_matches(k, '^&#0*[0-9]{1,6};$') THEN chr(CAST(regexp_extract(k, '^&#0*([0-9]{1,6});$', 1) AS INTEGER)) ELSE k END END"
     )
     return (
         "(SELECT array_to_string(list_transform(range(1, len(z.p) + 1), lambda i: concat(z.p[i], CASE WHEN i <= len(z.t) THEN z.t[i] ELSE '' END)), '') "

@@ -8,7 +8,7 @@ from listingspark.functions import labels
 from listingspark.operators import merge, pages as page_ops
 from listingspark.session import working_folder
 from listingspark.sources import bronze, registry, seeds, structured
-from listingspark.sources.tables import VersionedTable
+from listingspark.sources.tables import VersionedTable, by_key
 
 from . import duck
 from .feeds import COMPANY, OUTPUT, payloads, shown
@@ -122,11 +122,11 @@ def saved_patterns(spark, sf):
 
 SAVED = (
     "saved AS (SELECT *, n % 100 AS s, n // 100 + 1 AS page FROM v_feed JOIN supplier ON s_suppkey = n % 100)",
-    "stops AS (SELECT s, min(CASE WHEN n % 70 = 33 THEN page END) AS stop, max(page) AS last_page FROM saved WHERE page <= 20 GROUP BY s)",
+    "stops AS (SELECT s, min(CASE WHEN n % 70 = 33 THEN page END) AS stop, max(page) AS last_page FROM saved GROUP BY s)",
     "items AS (SELECT saved.*, k, CASE WHEN k = 0 THEN concat('Role ', n) WHEN n % 3 <> 0 THEN concat('Role remote ', n) END AS t, "
     "concat('https://api.acme', s, '.com/p/', n, CASE WHEN k = 0 THEN 'a' ELSE 'b' END) AS u, stop, last_page FROM saved JOIN stops USING (s) CROSS JOIN (VALUES (0), (1)) v(k) "
-    "WHERE page <= 20 AND (stop IS NULL OR page < stop) AND n % 5 <> 0)",
-    "usable AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY page, k) AS r FROM items WHERE t IS NOT NULL) WHERE r <= 500)",
+    "WHERE (stop IS NULL OR page < stop) AND n % 5 <> 0)",
+    "usable AS (SELECT * FROM items WHERE t IS NOT NULL)",
 )
 
 
@@ -214,12 +214,12 @@ SCAN_SQL = sql(
     "", "SELECT run_id, count(*) AS pages, CAST(sum(jobs) AS BIGINT) AS discovered, CASE WHEN arg_max(complete, page_no) THEN 'Succeeded' ELSE 'Partial' END AS status, "
     "arg_max(complete, page_no) AND bool_and(allow) AS may_retire, CASE WHEN arg_max(complete, page_no) AND bool_and(allow) THEN '' "
     "WHEN arg_max(complete, page_no) THEN 'This scan cannot prove the complete job inventory. Missing listings are not marked removed.' "
-    "WHEN arg_max(has_next, page_no) THEN 'Scan stopped at the 5000-job safety cap; no removals were marked.' "
+    "WHEN arg_max(has_next, page_no) THEN 'Scan ended before its last page; no removals were marked.' "
     "ELSE 'Source returned an incomplete page without a continuation cursor; no removals were marked.' END AS note "
     "FROM s WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.run_id = s.run_id AND b.page_no < s.page_no AND b.stops) GROUP BY run_id",
     "e AS (SELECT event_id // 12 AS run_id, event_id % 12 + 1 AS page_no, CAST(floor(value * 8) AS BIGINT) AS jobs, (event_id * 7) % 11 = 3 AS complete, "
     "(event_id * 5) % 13 <> 4 AS has_next, event_type <> 'error' AS allow FROM events)",
-    "s AS (SELECT *, complete OR NOT has_next OR sum(jobs) OVER (PARTITION BY run_id ORDER BY page_no) >= 5000 AS stops FROM e)",
+    "s AS (SELECT *, complete OR NOT has_next AS stops FROM e)",
 )
 
 
@@ -249,15 +249,14 @@ SEED_CTES = (
 
 
 def seed_import(spark, sf):
-    # a list of this size passes a smaller limit, so the limit is exercised too
-    return seeds.import_seeds(seed_lines(spark, sf), limit=150).withColumn("line", F.col("line").cast("bigint"))
+    return seeds.import_seeds(seed_lines(spark, sf)).withColumn("line", F.col("line").cast("bigint"))
 
 
 SEED_SQL = sql(
     "", "SELECT p.list_id, p.line, CASE WHEN name <> '' THEN name ELSE p.domain END AS name, p.domain, site AS website_url, "
-    "CASE WHEN p.domain IS NULL THEN 'No domain found' WHEN p.line = t.taken AND place <= 150 THEN 'imported' WHEN p.line > t.taken AND place <= 150 THEN 'Duplicate domain' "
-    "WHEN p.line > f.taken THEN 'Import limit is 150 rows' ELSE 'Company name or domain is too long' END AS outcome "
-    "FROM p LEFT JOIN t ON t.list_id = p.list_id AND t.domain = p.domain LEFT JOIN (SELECT list_id, taken FROM t WHERE place = 150) f ON f.list_id = p.list_id",
+    "CASE WHEN p.domain IS NULL THEN 'No domain found' WHEN p.line = t.taken THEN 'imported' WHEN p.line > t.taken THEN 'Duplicate domain' "
+    "ELSE 'Company name or domain is too long' END AS outcome "
+    "FROM p LEFT JOIN t ON t.list_id = p.list_id AND t.domain = p.domain",
     *SEED_CTES,
 )
 
@@ -270,8 +269,8 @@ def provider_alias(spark, sf):
 
 def sink_upsert(spark, sf):
     """Two landings into one versioned table; the second merges over the first."""
-    table = VersionedTable(spark, working_folder(spark, "sink-upsert"))
     keys = ["owner_id", "canonical_hash"]
+    table = VersionedTable(spark, working_folder(spark, "sink-upsert"), by_key(*keys))
     columns = ["title", "description_hash"]
     def into(base, rows):
         if base is None:
@@ -302,7 +301,7 @@ ORACLE = {
     "norm_careers_jsonld": _contract_sql(
         {k: v.replace("{url}", "abs") for k, v in _JSONLD.items()}, "capped",
         f"kept AS (SELECT *, {CAREERS_ABS} AS abs FROM v_feed WHERE n % 7 <> 0)",
-        "capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n % 5 ORDER BY n) AS r FROM kept) WHERE r <= 100)",
+        "capped AS (SELECT * FROM kept)",
     ),
     "norm_field_map": _contract_sql({
         "external_id": "CASE WHEN s % 2 = 0 THEN CAST(n AS VARCHAR) ELSE u END", "title": "t",
@@ -313,20 +312,20 @@ ORACLE = {
     }, "usable", *SAVED),
     "norm_crawled": _contract_sql(CRAWLED, "(SELECT * FROM c3 WHERE title0 <> '')",
         f"c1 AS (SELECT *, {KEPT_PARAMS} AS kept FROM pages)",
-        f"c2 AS (SELECT *, {duck.trim_all('substr(' + H(ARTICLE) + ', 1, 20000)')} AS body, {H(HEADING)} AS title0 FROM c1)",
+        f"c2 AS (SELECT *, {duck.trim_all(H(ARTICLE))} AS body, {H(HEADING)} AS title0 FROM c1)",
         f"c3 AS (SELECT *, {CANONICAL_PAGE} AS canonical FROM c2)", views=""),
     "bronze_json": bronze_sql("json"),
     "bronze_xml": bronze_sql("xml"),
     "bad_row_split": sql("v_feed",
         "SELECT source_id, CAST(page_no AS BIGINT) AS page_no, ordinal, fate, reason, count(*) AS items FROM ("
         "SELECT source_id, page_no, CAST(0 AS BIGINT) AS ordinal, CASE WHEN reason = '' THEN 'good' ELSE 'failed' END AS fate, reason FROM checked "
-        "UNION ALL SELECT source_id, page_no, 1, 'skipped', 'shape' FROM v_feed WHERE page_no <= 5) GROUP BY ALL",
+        "UNION ALL SELECT source_id, page_no, 1, 'skipped', 'shape' FROM v_feed) GROUP BY ALL",
         f"made AS (SELECT source_id, page_no, {H('title')} AS title, CASE WHEN n % 10 = 0 THEN '' ELSE 'x' END AS company, {H('body')} AS description, place AS location, '' AS country, "
         "dept AS industry, 'Unknown' AS employment_type, 'Unknown' AS seniority, 'Unknown' AS work_type, CAST(NULL AS BIGINT) AS salary_min, CAST(NULL AS BIGINT) AS salary_max, "
-        "'unknown' AS salary_period, 'Unknown' AS currency, url AS job_url FROM v_feed WHERE page_no <= 5)",
+        "'unknown' AS salary_period, 'Unknown' AS currency, url AS job_url FROM v_feed)",
         f"checked AS (SELECT *, CASE WHEN company = '' THEN 'no_employer' ELSE {duck.violations()} END AS reason FROM made)"),
     "scan_pages": SCAN_SQL,
-    "paged_payloads": sql("v_feed", "SELECT CAST(s AS BIGINT) AS source_id, count(*) AS items, NOT (bool_or(stop IS NULL AND last_page >= 20)) AND count(*) < 500 AS complete FROM usable GROUP BY s", *SAVED),
+    "paged_payloads": sql("v_feed", "SELECT CAST(s AS BIGINT) AS source_id, count(*) AS items, true AS complete FROM usable GROUP BY s", *SAVED),
     "seed_import": SEED_SQL,
     "provider_alias": sql("", "SELECT s_suppkey, p AS provider, p IS NULL AS unsupported FROM (SELECT s_suppkey, ['RemoteOK','WeWorkRemotely','JSON-LD','USAJOBS','SmartRecruiters','CapturedApi',NULL,'Lever'][s_suppkey % 8 + 1] AS p FROM supplier)"),
     "sink_upsert": sql("v_stored v_incoming", "SELECT owner_id, canonical_hash, coalesce(i.title, s.title) AS title, coalesce(i.description_hash, s.description_hash) AS description_hash "

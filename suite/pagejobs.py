@@ -35,7 +35,7 @@ LINKS_CTE = (
 
 
 def rank_career_links(spark, sf):
-    rows = link_ops.rank_career_links(career_pages(spark, sf)).filter(c("score") >= 7)
+    rows = link_ops.rank_career_links(career_pages(spark, sf)).filter(c("score") > 0)
     return rows.select("page_id", "href", c("score").cast("bigint").alias("score"), c("rank").cast("bigint").alias("rank"))
 
 
@@ -133,8 +133,8 @@ def page_evidence(spark, sf):
 
 
 EVIDENCE_SQL = (
-    "SELECT page_id, count(*) AS links, CAST(max(total) AS BIGINT) AS total_length, arg_max(w, i) AS last_text FROM (SELECT page_id, i, w, sum(30 - 8 + 4 + length(w) + least(length(w), 200)) OVER (PARTITION BY page_id ORDER BY i) AS total FROM ("
-    "SELECT n AS page_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT n, list_filter(string_split(clean, ' '), lambda w: w <> '') AS ws FROM v_feed)) WHERE i <= 150) WHERE total <= 12000 GROUP BY 1"
+    "SELECT page_id, count(*) AS links, CAST(max(total) AS BIGINT) AS total_length, arg_max(w, i) AS last_text FROM (SELECT page_id, i, w, sum(30 - 8 + 4 + length(w) + length(w)) OVER (PARTITION BY page_id ORDER BY i) AS total FROM ("
+    "SELECT n AS page_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT n, list_filter(string_split(clean, ' '), lambda w: w <> '') AS ws FROM v_feed))) GROUP BY 1"
 )
 
 
@@ -248,7 +248,7 @@ ORACLE = {
     "detect_ats": ATS_SQL,
     "posting_links": f"SELECT page_id, CASE WHEN k = 3 THEN path ELSE concat('https://', {HOST_SQL}, path) END AS href FROM pages CROSS JOIN (VALUES (0, '/jobs/engineer'), (2, '/careers/42/apply?x=1'), (3, 'https://jobs.lever.co/acme/positions/9')) v(k, path)",
     "next_page": f"SELECT page_id, concat('https://', {HOST_SQL}, regexp_extract(url, '://[^/?#]*([^?#]*)', 1), CASE WHEN page_id % 3 = 0 THEN '?page=2' ELSE '?page=9' END) AS href FROM pages WHERE page_id % 3 < 2 AND NOT (page_id % 3 = 0 AND {HTTPS_URL} LIKE '%?page=2') ",
-    "page_posting": sql("v_feed", f"SELECT page_id, {HEADING} AS title, 'Oslo Norway' AS location, sha256(substr({H(_ARTICLE)}, 1, 20000)) AS text_hash, CAST(NULL AS VARCHAR) AS posted_at, 'markup' AS origin FROM pages WHERE {HEADING} <> '' "
+    "page_posting": sql("v_feed", f"SELECT page_id, {HEADING} AS title, 'Oslo Norway' AS location, sha256({H(_ARTICLE)}) AS text_hash, CAST(NULL AS VARCHAR) AS posted_at, 'markup' AS origin FROM pages WHERE {HEADING} <> '' "
         "UNION ALL SELECT n + 1000000, concat('Role ', n % 97, CASE WHEN n % 9 = 0 THEN ' remote' ELSE '' END), CASE WHEN n % 2 = 0 THEN 'Oslo, Viken, NO' ELSE 'Rome, Italy' END, "
         f"sha256({duck.trim_all(chr(114) + 'egexp_replace(clean, ' + q(' {2,}') + ', ' + q(' ') + ', ' + q('g') + ')')}), posted, 'json-ld' FROM v_feed"),
     "page_body": BODY_SQL,

@@ -83,7 +83,7 @@ SIMS = (
 def role_blend(spark, sf):
     """Factor rows with the similarity of the listing vector of the same number."""
     sims = scoring.similar_listings(targets(spark, sf), view(spark, sf, "v_vectors")).select(c("vec_id").alias("part_key"), "similarity")
-    rows = view(spark, sf, "v_factors").join(sims, "part_key")
+    rows = view(spark, sf, "v_factors").join(sims, "part_key", "left")
     scored = evaluate.score_rows(rows, view(spark, sf, "v_prefs"))
     return scored.select("row_id", "part_key", "problem", *[c(n).cast("bigint").alias(n) for n in ("overall_score", "qualification_score", "interest_score")])
 
@@ -119,8 +119,13 @@ COUNTS = (
 )
 
 
+def digest_due(spark, sf):
+    """Whose digest hour has come."""
+    return reports.digest_due(view(spark, sf, "v_prefs"), moment("2001-08-02 16:20:00"))
+
+
 def digest_text(spark, sf):
-    """Digests of every person whose hour has come."""
+    """Digests of all people."""
     listings = view(spark, sf, "v_listings").withColumn("discovered_at", F.expr("timestamp_seconds(996624000 + (job_id * 37 % 1000) * 86)"))
     return reports.digests(
         view(spark, sf, "v_prefs"), listings, view(spark, sf, "v_matches"), view(spark, sf, "v_saved"), instant(ORDERS_AS_OF), 720,
@@ -132,15 +137,15 @@ ACTIVE = "('Preparing Application','Applied','Interviewing','Offer')"
 DIGEST_SQL = sql(
     "v_prefs v_listings v_matches v_saved",
     "SELECT user_id, new_jobs, sha256(body) AS body_hash, length(body) AS n_chars FROM ("
-    "SELECT user_id, new_jobs, substr(concat_ws(chr(10), concat_ws(' ', concat(new_jobs, ' ', CASE WHEN new_jobs = 1 THEN 'opportunity' ELSE 'opportunities' END, ' discovered in the last 720 hours.'), "
+    "SELECT user_id, new_jobs, concat_ws(chr(10), concat_ws(' ', concat(new_jobs, ' ', CASE WHEN new_jobs = 1 THEN 'opportunity' ELSE 'opportunities' END, ' discovered in the last 720 hours.'), "
     "CASE WHEN high_priority > 0 OR strong > 0 OR possible > 0 THEN concat(high_priority, ' high-priority, ', strong, ' strong and ', possible, ' possible matches were evaluated.') ELSE 'No evaluated opportunity reached your digest threshold yet.' END, "
-    "CASE WHEN apps > 0 THEN concat(apps, ' ', CASE WHEN apps = 1 THEN 'application needs' ELSE 'applications need' END, ' your attention.') END), top), 1, 4000) AS body FROM ("
-    "SELECT p.user_id, coalesce(excellent, 0) AS excellent, coalesce(strong, 0) AS strong, coalesce(possible, 0) AS possible, coalesce(high_priority, 0) AS high_priority, least(coalesce(apps, 0), 10) AS apps, top, "
+    "CASE WHEN apps > 0 THEN concat(apps, ' ', CASE WHEN apps = 1 THEN 'application needs' ELSE 'applications need' END, ' your attention.') END), top) AS body FROM ("
+    "SELECT p.user_id, coalesce(excellent, 0) AS excellent, coalesce(strong, 0) AS strong, coalesce(possible, 0) AS possible, coalesce(high_priority, 0) AS high_priority, coalesce(apps, 0) AS apps, top, "
     "coalesce(own, 0) + (SELECT count(*) FROM fresh WHERE owner_id IS NULL) AS new_jobs FROM v_prefs p LEFT JOIN counts c ON c.user_id = p.user_id LEFT JOIN tops t ON t.user_id = p.user_id "
     "LEFT JOIN pend a ON a.user_id = p.user_id LEFT JOIN (SELECT owner_id, count(*) AS own FROM fresh WHERE owner_id IS NOT NULL GROUP BY 1) o ON o.owner_id = p.user_id))",
     ITEMS_SQL.format(since="2001-07-03 00:00:00"),
-    f"counts AS (SELECT i.user_id, {COUNTS} FROM items i JOIN v_prefs p ON p.user_id = i.user_id WHERE n <= 50 GROUP BY 1)",
-    f"tops AS (SELECT user_id, string_agg(line, chr(10) ORDER BY n) AS top FROM (SELECT i.user_id, i.n, {LINE} AS line, row_number() OVER (PARTITION BY i.user_id ORDER BY n) AS r FROM items i JOIN v_prefs p ON p.user_id = i.user_id WHERE n <= 50 AND score >= digest_min) WHERE r <= 5 GROUP BY 1)",
+    f"counts AS (SELECT i.user_id, {COUNTS} FROM items i JOIN v_prefs p ON p.user_id = i.user_id GROUP BY 1)",
+    f"tops AS (SELECT user_id, string_agg(line, chr(10) ORDER BY n) AS top FROM (SELECT i.user_id, i.n, {LINE} AS line, row_number() OVER (PARTITION BY i.user_id ORDER BY n) AS r FROM items i JOIN v_prefs p ON p.user_id = i.user_id WHERE score >= digest_min) WHERE r <= 5 GROUP BY 1)",
     f"pend AS (SELECT s.user_id, count(*) AS apps FROM v_saved s JOIN v_listings l ON l.job_id = s.job_id WHERE NOT archived AND status IN {ACTIVE} GROUP BY 1)",
     "fresh AS (SELECT * FROM v_listings WHERE NOT archived AND 996624000 + (job_id * 37 % 1000) * 86 >= epoch(TIMESTAMP '2001-07-03 00:00:00'))",
 )
@@ -277,7 +282,7 @@ def distinct_ids(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    board_page, page_with_total, factor_scores, cosine, role_blend, dashboard, pipeline_counts, digest_counts, digest_text, month_spend, discovery_spend, unread,
+    board_page, page_with_total, factor_scores, cosine, role_blend, dashboard, pipeline_counts, digest_counts, digest_due, digest_text, month_spend, discovery_spend, unread,
     run_counters, run_warnings, live_refs, purge_counts, schedule_summary, vector_topk, latest_per_source, eval_batch, import_first_wins,
     best_link_per_url, robots_longest, status_timeline, activity_page, digest_top, due_sources, alerts_page, run_history, distinct_ids,
 )}
@@ -299,20 +304,21 @@ ACT = "act AS (SELECT * FROM v_activity WHERE user_id IS NULL OR user_id = 7)"
 ORACLE = {
     "board_page": sql("v_listings v_matches v_saved", f"SELECT job_id, title, company, CAST(score AS BIGINT) AS score, status, count(*) OVER () AS total, count(*) OVER () > 50 AS has_more FROM b JOIN coverage USING (country, location) "
         f"WHERE NOT archived AND {BOARD_OK} ORDER BY score DESC NULLS LAST, discovered_at DESC, job_id LIMIT 50", *coverage_ctes(), BOARD_JOIN_SQL),
-    "page_with_total": sql("v_listings v_matches v_saved", "SELECT count(*) AS total, CAST(2 AS BIGINT) AS page, 100 < count(*) AS has_more FROM b WHERE NOT archived UNION ALL SELECT count(*), 10000, 500000 < count(*) FROM b WHERE NOT archived", BOARD_JOIN_SQL),
+    "page_with_total": sql("v_listings v_matches v_saved", "SELECT count(*) AS total, CAST(2 AS BIGINT) AS page, 100 < count(*) AS has_more FROM b WHERE NOT archived UNION ALL SELECT count(*), 99999, 4999950 < count(*) FROM b WHERE NOT archived", BOARD_JOIN_SQL),
     "factor_scores": scores_sql("role", "v_factors f"),
     "cosine": sql("v_vectors", "SELECT user_id, vec_id, round(similarity, 6) AS similarity FROM sims", SIMS),
-    "role_blend": scores_sql("role * 0.6 + (similarity + 1) / 2 * 0.4", "v_factors f JOIN (SELECT vec_id, similarity FROM sims) s ON s.vec_id = f.part_key"),
+    "role_blend": scores_sql("CASE WHEN similarity IS NULL THEN role ELSE role * 0.6 + (similarity + 1) / 2 * 0.4 END", "v_factors f LEFT JOIN (SELECT vec_id, similarity FROM sims) s ON s.vec_id = f.part_key"),
     "dashboard": sql("v_listings", "SELECT count(*) AS total, count(*) FILTER (WHERE discovered_at >= TIMESTAMP '2024-01-25 00:00:00') AS new_today FROM v_listings WHERE NOT archived AND (owner_id IS NULL OR owner_id = 7)"),
     "pipeline_counts": sql("v_saved v_listings", f"SELECT s.user_id, count(*) FILTER (WHERE status = 'Saved') AS saved, count(*) FILTER (WHERE status IN {ACTIVE}) AS applications FROM v_saved s JOIN v_listings l ON l.job_id = s.job_id WHERE NOT archived GROUP BY 1"),
-    "digest_counts": sql("v_matches v_listings v_prefs", f"SELECT i.user_id, {COUNTS} FROM items i JOIN v_prefs p ON p.user_id = i.user_id WHERE n <= 50 GROUP BY 1", ITEMS_SQL.format(since="2000-01-01 00:00:00")),
+    "digest_counts": sql("v_matches v_listings v_prefs", f"SELECT i.user_id, {COUNTS} FROM items i JOIN v_prefs p ON p.user_id = i.user_id GROUP BY 1", ITEMS_SQL.format(since="2000-01-01 00:00:00")),
+    "digest_due": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 24 = 16",
     "digest_text": DIGEST_SQL,
     "month_spend": sql("v_matches v_prefs", "SELECT p.user_id, CAST(coalesce(s, 0) AS BIGINT) AS spent, budget_micros, coalesce(s, 0) + 3000 > budget_micros AS over_budget FROM v_prefs p LEFT JOIN (SELECT user_id, sum(cost_micros) AS s FROM v_matches WHERE evaluated_at >= TIMESTAMP '2001-07-01 00:00:00' GROUP BY 1) m ON m.user_id = p.user_id"),
     "discovery_spend": sql("v_activity v_prefs", "SELECT p.user_id, CAST(coalesce(s, 0) AS BIGINT) AS spent, budget_micros, coalesce(s, 0) + 50000 > budget_micros AS over_budget FROM v_prefs p LEFT JOIN (SELECT user_id, sum(CASE stage WHEN 'error' THEN 0 WHEN 'view' THEN 50000 ELSE cost_micros END) AS s FROM v_activity WHERE user_id IS NOT NULL AND stage IN ('purchase','error','view') AND created_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1) m ON m.user_id = p.user_id"),
     "unread": sql("v_alerts", "SELECT user_id, count(*) AS unread FROM v_alerts WHERE NOT is_read GROUP BY 1"),
     "run_counters": "SELECT event_id % 200 AS run_id, count(*) FILTER (WHERE event_type <> 'error') AS discovered, count(*) FILTER (WHERE event_type = 'click') AS added, count(*) FILTER (WHERE event_type = 'view') AS updated, count(*) FILTER (WHERE event_type = 'error') AS removed, count(*) FILTER (WHERE event_type = 'signup') AS filtered FROM events GROUP BY 1",
     "run_warnings": "SELECT run_id, n, message FROM (SELECT run_id, message, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM (SELECT event_id % 20 AS run_id, event_id AS seq, concat('listing ', event_id, ': could not read posting') AS message FROM events WHERE event_type = 'error' "
-        "UNION ALL SELECT run_id, -1, concat(k, ' ', CASE WHEN k = 1 THEN 'listing was' ELSE 'listings were' END, ' skipped by your keyword filters.') FROM (SELECT event_id % 20 AS run_id, count(*) AS k FROM events WHERE event_type = 'signup' AND (event_id % 20) % 3 <> 0 GROUP BY 1))) WHERE n <= 100",
+        "UNION ALL SELECT run_id, -1, concat(k, ' ', CASE WHEN k = 1 THEN 'listing was' ELSE 'listings were' END, ' skipped by your keyword filters.') FROM (SELECT event_id % 20 AS run_id, count(*) AS k FROM events WHERE event_type = 'signup' AND (event_id % 20) % 3 <> 0 GROUP BY 1)))",
     "live_refs": sql("v_refs v_refs_more", "SELECT job_id, count(*) FILTER (WHERE active) AS live FROM refs GROUP BY 1", REFS_SQL),
     "purge_counts": sql("v_alerts v_activity", f"SELECT 'alerts' AS table_name, count(*) FILTER (WHERE is_read AND created_at < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 90 DAY) AS expired, count(*) AS rows FROM v_alerts UNION ALL SELECT 'activity', count(*) FILTER (WHERE created_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 14 DAY), count(*) FROM v_activity"),
     "schedule_summary": sql("v_sources v_candidates", "SELECT count(*) FILTER (WHERE enabled AND schedule <> 'Manual') AS scheduled, (SELECT count(*) FROM v_candidates WHERE status IN ('Pending','Resolving')) AS in_flight FROM v_sources"),
@@ -320,7 +326,7 @@ ORACLE = {
     "latest_per_source": sql("v_runs", "SELECT source_id, run_id, status FROM v_runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1"),
     "eval_batch": sql("v_listings v_matches v_refs v_sources v_prefs", "SELECT e.user_id, e.job_id, n FROM (SELECT l.owner_id AS user_id, l.job_id, batch_size, row_number() OVER (PARTITION BY l.owner_id ORDER BY l.discovered_at DESC, l.job_id) AS n "
         f"FROM ev l JOIN v_prefs p ON p.user_id = l.owner_id JOIN coverage cv ON cv.country = l.country AND cv.location = l.location WHERE ({BLOCKED}) IS NULL) e WHERE n <= batch_size", MATCHES_SQL, EVAL_SQL, *coverage_ctes()),
-    "import_first_wins": sql("", "SELECT list_id, outcome, count(*) AS lines, min(line) AS first_line FROM (SELECT p.list_id, p.line, CASE WHEN p.domain IS NULL THEN 'No domain found' WHEN p.line = t.taken AND place <= 500 THEN 'imported' WHEN p.line > t.taken AND place <= 500 THEN 'Duplicate domain' "
+    "import_first_wins": sql("", "SELECT list_id, outcome, count(*) AS lines, min(line) AS first_line FROM (SELECT p.list_id, p.line, CASE WHEN p.domain IS NULL THEN 'No domain found' WHEN p.line = t.taken THEN 'imported' WHEN p.line > t.taken THEN 'Duplicate domain' "
         "WHEN p.line > f.taken THEN 'Import limit is 500 rows' ELSE 'Company name or domain is too long' END AS outcome FROM p LEFT JOIN t ON t.list_id = p.list_id AND t.domain = p.domain LEFT JOIN (SELECT list_id, taken FROM t WHERE place = 500) f ON f.list_id = p.list_id) GROUP BY ALL", *SEED_CTES),
     "best_link_per_url": f"SELECT page_id, concat('https://', {HOST_SQL}, '/company/careers') AS href, CAST(15 AS BIGINT) AS score FROM pages",
     "robots_longest": sql("", "SELECT CASE WHEN NOT allowed THEN concat('Disallow: ', rule) END AS matched_rule, count(*) AS pages FROM verdict GROUP BY 1", HOSTS_CTE, RULES_SQL),
@@ -328,7 +334,7 @@ ORACLE = {
     "activity_page": sql("v_activity", "SELECT id, user_id, created_at FROM act ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 100", ACT),
     "digest_top": sql("v_matches v_listings v_prefs", "SELECT user_id, job_id, CAST(score AS BIGINT) AS score, rank FROM (SELECT i.*, row_number() OVER (PARTITION BY i.user_id ORDER BY n) AS rank FROM items i JOIN v_prefs p ON p.user_id = i.user_id WHERE n <= 50 AND score >= digest_min) WHERE rank <= 5", ITEMS_SQL.format(since="2000-01-01 00:00:00")),
     "due_sources": sql("v_sources", f"SELECT source_id, owner_id, schedule FROM v_sources WHERE enabled AND schedule <> 'Manual' AND owner_id IS NOT NULL AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '{EVENTS_AS_OF}') ORDER BY next_run_at ASC NULLS LAST, source_id LIMIT 25"),
-    "alerts_page": sql("v_alerts v_listings", "SELECT alert_id, a.job_id, l.title AS job_title, l.lifecycle FROM (SELECT * FROM v_alerts WHERE user_id = 7 ORDER BY created_at DESC, alert_id DESC LIMIT 200) a LEFT JOIN v_listings l ON l.job_id = a.job_id"),
+    "alerts_page": sql("v_alerts v_listings", "SELECT alert_id, a.job_id, l.title AS job_title, l.lifecycle FROM (SELECT * FROM v_alerts WHERE user_id = 7 ORDER BY created_at DESC, alert_id DESC LIMIT 500) a LEFT JOIN v_listings l ON l.job_id = a.job_id"),
     "run_history": sql("v_runs v_sources", "SELECT run_id, source_id, status FROM v_runs WHERE source_id IN (SELECT source_id FROM v_sources WHERE owner_id = 7) ORDER BY started_at DESC, run_id DESC LIMIT 20"),
     "distinct_ids": sql("v_refs v_refs_more", "SELECT DISTINCT source_id, job_id FROM refs", REFS_SQL),
 }

@@ -182,7 +182,7 @@ def test_page_extraction(spark):
 def test_hostile_pages_stay_linear(spark):
     import time
 
-    size = 400_000
+    size = 8_000_000
     shapes = ["<a", "<div", "<nav", "<script", "<h1>", "<a href='/x'>", "<main>", '<div class="description">']
     df = spark.createDataFrame([(i, "https://acme.com/", s * (size // len(s))) for i, s in enumerate(shapes)], "page_id int, url string, html string")
     start = time.time()
@@ -211,8 +211,10 @@ def test_scan_summary(spark):
     rows = [(1, 1, 10, False, True, True), (1, 2, 5, True, False, True), (2, 1, 4999, False, True, True), (2, 2, 1, False, True, True), (2, 3, 7, True, False, True),
             (3, 1, 3, False, False, True), (4, 1, 3, True, False, False)]
     df = spark.createDataFrame(rows, "run_id int, page_no int, jobs int, complete boolean, has_next boolean, can_mark_removals boolean")
-    got = {r.run_id: (r.discovered, r.status, r.may_retire) for r in bronze.scan_summary(df).collect()}
+    got = {r.run_id: (r.discovered, r.status, r.may_retire) for r in bronze.scan_summary(df, max_jobs=5000).collect()}
     assert got == {1: (15, "Succeeded", True), 2: (5000, "Partial", False), 3: (3, "Partial", False), 4: (3, "Succeeded", False)}
+    unbounded = {r.run_id: (r.discovered, r.status, r.may_retire) for r in bronze.scan_summary(df).collect()}
+    assert unbounded == {**got, 2: (5007, "Succeeded", True)}
 
 
 def test_walk_is_bounded(spark):
