@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listingspark.llm import packing, toxicity
@@ -44,7 +45,7 @@ def test_equals_brute_force(spark, tables):
         if name == "quality":
             kept = [(i, t) for i, t in kept if quality(t)[-1]]
         elif name == "toxicity":
-            model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.doc_id.isNotNull()))
+            model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True)))
             kept = [(i, t) for i, t in kept if model.scores([t])[0] < toxicity.THRESHOLD]
         elif name == "near_duplicates":
             kept = [(i, t) for i, t in kept if any(x == i == c for x, _, c in stages["classes"])]
