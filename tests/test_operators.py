@@ -182,7 +182,7 @@ def test_page_extraction(spark):
 def test_hostile_pages_stay_linear(spark):
     import time
 
-    size = 8_000_000
+    size = 2_000_000
     shapes = ["<a", "<div", "<nav", "<script", "<h1>", "<a href='/x'>", "<main>", '<div class="description">']
     df = spark.createDataFrame([(i, "https://acme.com/", s * (size // len(s))) for i, s in enumerate(shapes)], "page_id int, url string, html string")
     start = time.time()
