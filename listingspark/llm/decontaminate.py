@@ -1,20 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts and benchmark items are read as lower-case runs of letters and digits. A seed is a hash of the 8 words that a
-fixed mask selects out of 11; the words at the other places may differ. The masks are sums of shifts (``SHIFTS``), so a
-seed array is made of three passes over the word hashes, each joining a place with one a shift further on, and the
-masks share their first pass. Seeds of documents meet seeds of items in a join; a hit names a diagonal, the distance
-between the places in text and item. Every diagonal is then compared word by word over the whole item: equal words
-count 1, different ones ``-MISMATCH``, and the best-scoring stretch is the overlap. It is a leak if it has ``MATCHES``
-equal words, or ``SHARE`` of the item's words if that is less.
+Texts and benchmark items are read as lower-case runs of letters and digits. A hit names a diagonal, the distance
+between the places in text and item. Every diagonal that is hit is compared word by word over the whole item: equal
+words count 1, different ones ``-MISMATCH``, and the best-scoring stretch is the overlap. It is a leak if it has
+``MATCHES`` equal words, or ``SHARE`` of the item's words if that is less.
+
+A seed is a hash of the 4 words that a fixed mask selects; the words at the other places may differ. No leak is without
+a seed: a best stretch never scores below 0 on its way, so its first 10 equal words (9 and 8 in items of 12 and 11
+words) come with 4 different ones at most, and each of the 416 orders in which they can stand holds one of the two masks
+(``tests/llm/test_decontaminate.py`` goes through them). The masks are sums of shifts (``SHIFTS``), so a seed array is
+made of passes over the word hashes, each joining a place with one a shift further on; masks share their first passes.
 
 The item side is broadcast in blocks of items with at most ``BLOCK_SEEDS`` seeds (about 16 MB); a larger benchmark
 takes several passes over the documents. Documents are only moved for hits.
 
 Defined cases: null and blank texts have no seeds; items with fewer words than ``SHORTEST`` are no evidence, those with
-fewer than a mask spans are looked up by runs of 8 words; rows are told apart by id and text, so equal rows are one
-and a null id stands; equal overlaps go to the earliest place; other columns are ignored; empty tables give an empty
-result.
+fewer than ``SPAN`` leak by runs of 8 words; which masks an item is looked up by depends on that item alone; rows are
+told apart by id and text, so equal rows are one and a null id stands; equal overlaps go to the earliest place; other
+columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from listingspark.functions.rows import with_once
 
 from .texts import own_columns, written
 
-#: Masks as shifts: 11011011011 and 11110001111.
-SHIFTS = ((1, 3, 6), (1, 2, 7))
-#: Runs of 8 words, for items that the masks do not fit into.
+#: Masks as shifts: 11011 and 110000011.
+SHIFTS = ((0, 1, 3), (0, 1, 7))
+#: Runs of 8 words, for items of fewer than SPAN words.
 RUN = (1, 2, 4)
 SPAN = 11
 SHORTEST = 8
@@ -49,22 +52,24 @@ def _joined(hashes: str, shift: int) -> Column:
 
 def seeds(rows: DataFrame, masks: tuple) -> DataFrame:
     """Column ``_words`` replaced by an array ``seeds`` for each mask, ``_s0``, ``_s1`` and so on."""
-    rows = with_once(rows, _pairs=_joined("_words", 1)).drop("_words")
-    names = {}
-    for _, second, _ in masks:
-        if second not in names:
-            names[second] = f"_four{second}"
-    rows = with_once(rows, **{name: _joined("_pairs", second) for second, name in names.items()}).drop("_pairs")
-    return with_once(rows, **{f"_s{k}": _joined(names[second], third) for k, (_, second, third) in enumerate(masks)}).drop(*names.values())
-
-
-def placed(rows: DataFrame, masks: tuple, key: str) -> DataFrame:
+    steps = [tuple(shift for shift in mask if shift) for mask in masks]
+    depth = max(len(s) for s in steps)
+    names = {(): "_words"}
+    for many in range(1, depth + 1):  # arrays of one shift more, made once for all masks that begin so
+        longer = {s[:many]: "_at" + "_".join(map(str, s[:many])) for s in steps if len(s) >= many}
+        rows = with_once(rows, **{name: _joined(names[s[:-1]], s[-1]) for s, name in longer.items()})
+        names |= longer
+    keep = [c for c in rows.columns if c not in names.values()]
+    return rows.select(*keep, *[F.col(names[s]).alias(f"_s{k}") for k, s in enumerate(steps)])
+
+
+def placed(rows: DataFrame, masks: tuple, *key: str) -> DataFrame:
     """``key, seed, place, mask``, a row for each seed."""
     rows = seeds(rows, masks)
     first, rest = F.col("_s0"), [F.col(f"_s{k}") for k in range(1, len(masks))]
     sizes = [F.size(f"_s{k}").alias(f"_n{k}") for k in range(len(masks))]
     # one array for all masks: places are told apart by the sizes of the arrays before
-    flat = rows.select(key, *sizes, F.concat(first, *rest).alias("_all")).select(key, *[f"_n{k}" for k in range(len(masks))], F.posexplode("_all").alias("_at", "seed"))
+    flat = rows.select(*key, *sizes, F.concat(first, *rest).alias("_all")).select(*key, *[f"_n{k}" for k in range(len(masks))], F.posexplode("_all").alias("_at", "seed"))
     before, cases = F.lit(0), []
     for k in range(len(masks)):
         cases.append((before, F.col(f"_n{k}")))
@@ -73,7 +78,7 @@ def placed(rows: DataFrame, masks: tuple, key: str) -> DataFrame:
     for k in range(len(masks) - 2, -1, -1):
         within = F.col("_at") < cases[k][0] + cases[k][1]
         mask, place = F.when(within, F.lit(k)).otherwise(mask), F.when(within, F.col("_at") - cases[k][0]).otherwise(place)
-    return flat.select(key, "seed", place.cast("int").alias("place"), mask.cast("int").alias("mask"))
+    return flat.select(*key, "seed", place.cast("int").alias("place"), mask.cast("int").alias("mask"))
 
 
 def row_key() -> Column:
@@ -87,13 +92,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(items.withColumn("item_words", F.size("_words")).filter(F.col("item_words") >= SHORTEST), "items")
     shape = items.agg(F.sum("item_words"), F.min("item_words")).first()
     masks = SHIFTS + ((RUN,) if shape[1] is not None and shape[1] < SPAN else ())
+    own_mask = (F.col("mask") == len(SHIFTS)) == (F.col("item_words") < SPAN)
     blocks = int((shape[0] or 0) * len(masks) // BLOCK_SEEDS) + 1
     rows = own_columns(docs, "doc_id", "text").filter(F.col("text").isNotNull())
     spots = placed(rows.select(row_key().alias("row_key"), word_hashes(F.col("text")).alias("_words")), masks, "row_key")
     hits = None
     for block in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        known = placed(some.select("item_id", "_words"), masks, "item_id").withColumnRenamed("place", "item_place")
+        known = placed(some.select("item_id", "item_words", "_words"), masks, "item_id", "item_words").filter(own_mask).drop("item_words").withColumnRenamed("place", "item_place")
         found = spots.join(F.broadcast(known), ["seed", "mask"]).select("row_key", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "hits")

@@ -92,3 +92,57 @@ def test_plan_is_native(spark, documents, items):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     plan = D.overlaps(documents([(1, "x")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def by_rule(docs, items):
+    """Every text and item with a leak, over all diagonals and stretches; no masks."""
+    out = set()
+    for key, text in docs:
+        w = words(text)
+        for item, sample in items:
+            v = words(sample)
+            for d in range(-len(v), len(w)):
+                same = [0 <= i + d < len(w) and w[i + d] == v[i] for i in range(len(v))]
+                best = max((sum(1 if s else -D.MISMATCH for s in same[a:b]), sum(same[a:b])) for a in range(len(v)) for b in range(a + 1, len(v) + 1))
+                if best[0] > 0 and best[1] >= min(D.MATCHES, -(-len(v) * 7 // 10)):
+                    out.add((key, item))
+    return out
+
+
+def beginnings(equal, most):
+    """Every order in which the first ``equal`` equal words of a leak can stand in at most ``most`` words."""
+    found, open_ = [], [((), 0)]
+    while open_:
+        same, score = open_.pop()
+        if sum(same) == equal:
+            found.append(same)
+        elif len(same) < most:
+            open_.append(((*same, True), score + 1))
+            if score >= D.MISMATCH:
+                open_.append(((*same, False), score - D.MISMATCH))
+    return found
+
+
+def test_every_leak_holds_a_seed():
+    masks = [sorted({a * x + b * y + c * z for x in (0, 1) for y in (0, 1) for z in (0, 1)}) for a, b, c in D.SHIFTS]
+    orders = beginnings(10, 14) + beginnings(9, 12) + beginnings(8, 11)
+    assert len(orders) > 400
+    for same in orders:
+        assert any(all(i + k < len(same) and same[i + k] for k in m) for m in masks for i in range(len(same)))
+
+
+def test_finds_whatever_the_rule_calls_a_leak(spark, documents, prose):
+    items = [(i, prose(500 + i, n)) for i, n in enumerate([59, 40, 15, 12, 11])]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        w = text.split(" ")
+        for every in (3, 4, 5):
+            docs.append(prose(i, 20) + " " + " ".join("changed" if at % every == every - 1 else x for at, x in enumerate(w)))
+        docs += [prose(i + 40, 20) + " " + " ".join(w[1 : 1 + many]) + " " + prose(i + 60, 20) for many in (7, 8, 9, 10)]
+    docs = list(enumerate(docs))
+    want = by_rule(docs, items)
+    assert {(1, 0), (2, 0), (6, 0), (26, 3)} <= want and len(want) < len(docs)
+    schema = "item_id bigint, text string"
+    leaks = lambda rows: {(r.doc_id, r.item_id) for r in D.overlaps(documents(docs), spark.createDataFrame(rows, schema)).collect()}
+    assert leaks(items) == want
+    assert leaks([*items, (9, prose(900, 9))]) == want  # whatever other items there are
