@@ -14,10 +14,10 @@ made of passes over the word hashes, each joining a place with one a shift furth
 The item side is broadcast in blocks of items with at most ``BLOCK_SEEDS`` seeds (about 16 MB); a larger benchmark
 takes several passes over the documents. Documents are only moved for hits.
 
-Defined cases: null and blank texts have no seeds; items with fewer words than ``SHORTEST`` are no evidence, those with
-fewer than ``SPAN`` leak by runs of 8 words; which masks an item is looked up by depends on that item alone; rows are
-told apart by id and text, so equal rows are one and a null id stands; equal overlaps go to the earliest place; other
-columns are ignored; empty tables give an empty result.
+Defined cases: null and blank texts have no seeds; items with fewer words than ``SHORTEST`` leak by a run of all their
+words, whatever few they are, those with fewer than ``SPAN`` by runs of 8 words; which masks an item is looked up by
+depends on that item alone; rows and items are told apart by id and text, so equal rows are one and a null id stands;
+equal overlaps go to the earliest place; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .texts import own_columns, written
 SHIFTS = ((0, 1, 3), (0, 1, 7))
 #: Runs of 8 words, for items of fewer than SPAN words.
 RUN = (1, 2, 4)
+#: Runs of 1 to 7 words, each for items of as many words.
+WHOLE = ((), (1,), (1, 1), (1, 2), (1, 1, 2), (1, 2, 2), (1, 2, 3))
 SPAN = 11
 SHORTEST = 8
 MISMATCH = 2
@@ -81,36 +83,42 @@ def placed(rows: DataFrame, masks: tuple, *key: str) -> DataFrame:
     return flat.select(*key, "seed", place.cast("int").alias("place"), mask.cast("int").alias("mask"))
 
 
-def row_key() -> Column:
+def row_key(id_: str = "doc_id") -> Column:
     """Tells rows apart by id and text."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return F.xxhash64(F.col(id_).cast("bigint"), F.col("text").cast("string"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Leaks: ``row_key, doc_id, item_id, matches, length, doc_start, item_start, item_words``, the best for each row and item."""
-    items = own_columns(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("_words"))
-    items = written(items.withColumn("item_words", F.size("_words")).filter(F.col("item_words") >= SHORTEST), "items")
-    shape = items.agg(F.sum("item_words"), F.min("item_words")).first()
-    masks = SHIFTS + ((RUN,) if shape[1] is not None and shape[1] < SPAN else ())
-    own_mask = (F.col("mask") == len(SHIFTS)) == (F.col("item_words") < SPAN)
-    blocks = int((shape[0] or 0) * len(masks) // BLOCK_SEEDS) + 1
+    named = own_columns(benchmark, "item_id", "text").select(row_key("item_id").alias("item_key"), "item_id", word_hashes(F.col("text")).alias("_words"))
+    items = written(named.withColumn("item_words", F.size("_words")).filter(F.col("item_words") > 0).dropDuplicates(["item_key"]), "items")
+    sizes = {r[0] for r in items.select(F.least("item_words", F.lit(SPAN))).distinct().collect()}
+    short = [n for n in sorted(sizes) if n < SHORTEST]
+    masks = SHIFTS + ((RUN,) if any(SHORTEST <= n < SPAN for n in sizes) else ()) + tuple(WHOLE[n - 1] for n in short)
+    at = {n: len(masks) - len(short) + k for k, n in enumerate(short)} | {n: len(SHIFTS) for n in range(SHORTEST, SPAN)}
+    own_mask = F.when(F.col("item_words") >= SPAN, F.col("mask") < len(SHIFTS)).otherwise(F.col("mask") == F.element_at(F.create_map(*[F.lit(x) for n in at.items() for x in n]), F.col("item_words")))
+    blocks = int((items.agg(F.sum("item_words")).first()[0] or 0) * len(masks) // BLOCK_SEEDS) + 1
     rows = own_columns(docs, "doc_id", "text").filter(F.col("text").isNotNull())
     spots = placed(rows.select(row_key().alias("row_key"), word_hashes(F.col("text")).alias("_words")), masks, "row_key")
     hits = None
     for block in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        known = placed(some.select("item_id", "item_words", "_words"), masks, "item_id", "item_words").filter(own_mask).drop("item_words").withColumnRenamed("place", "item_place")
-        found = spots.join(F.broadcast(known), ["seed", "mask"]).select("row_key", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+        some = items.filter(F.pmod("item_key", F.lit(blocks)) == block) if blocks > 1 else items
+        known = placed(some.select("item_key", "item_words", "_words"), masks, "item_key", "item_words").filter(own_mask).withColumnRenamed("place", "item_place")
+        diagonal = F.col("place") - F.col("item_place")
+        # of a whole short item the first place is enough, however often it occurs
+        once = F.when(F.col("item_words") >= SHORTEST, diagonal)
+        met = spots.join(F.broadcast(known), ["seed", "mask"]).select("row_key", "item_key", diagonal.alias("diagonal"), once.alias("_once"))
+        found = met.groupBy("row_key", "item_key", "_once").agg(F.min("diagonal").alias("diagonal")).drop("_once")
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "hits")
     own = rows.withColumn("row_key", row_key()).join(hits.select("row_key").distinct(), "row_key", "left_semi")
     own = own.dropDuplicates(["row_key"]).select("row_key", "doc_id", word_hashes(F.col("text")).alias("_words"))
-    compared = hits.join(own, "row_key").join(items.select("item_id", "item_words", F.col("_words").alias("_item")), "item_id")
+    compared = hits.join(own, "row_key").join(items.withColumnRenamed("_words", "_item"), "item_key")
     best = with_once(compared, best=_best(F.col("_words"), F.col("_item"), F.col("diagonal"))).drop("_words", "_item")
-    enough = F.least(F.lit(MATCHES), F.ceil(F.col("item_words") * SHARE))
+    enough = F.when(F.col("item_words") < SHORTEST, F.col("item_words")).otherwise(F.least(F.lit(MATCHES), F.ceil(F.col("item_words") * SHARE)))
     leaks = best.filter(F.col("best.matches") >= enough)
     order = F.struct(F.col("best.matches").alias("m"), (-F.col("best.first") - F.col("diagonal")).alias("p"), F.col("best.first").alias("f"), F.col("best.last").alias("l"), F.col("diagonal").alias("d"))
-    top = leaks.groupBy("row_key", "doc_id", "item_id", "item_words").agg(F.max(order).alias("t"))
+    top = leaks.groupBy("row_key", "doc_id", "item_key", "item_id", "item_words").agg(F.max(order).alias("t"))
     return top.select(
         "row_key", "doc_id", "item_id", F.col("t.m").cast("long").alias("matches"), (F.col("t.l") - F.col("t.f") + 1).cast("long").alias("length"),
         (F.col("t.f") + F.col("t.d")).cast("long").alias("doc_start"), F.col("t.f").cast("long").alias("item_start"), F.col("item_words").cast("long").alias("item_words"),

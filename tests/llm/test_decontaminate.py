@@ -146,3 +146,22 @@ def test_finds_whatever_the_rule_calls_a_leak(spark, documents, prose):
     leaks = lambda rows: {(r.doc_id, r.item_id) for r in D.overlaps(documents(docs), spark.createDataFrame(rows, schema)).collect()}
     assert leaks(items) == want
     assert leaks([*items, (9, prose(900, 9))]) == want  # whatever other items there are
+
+
+def test_items_without_id_and_items_of_the_same_id(spark, documents, prose):
+    bench = spark.createDataFrame([(None, prose(1, 20)), (None, prose(2, 20)), (7, prose(3, 20)), (7, prose(4, 20)), (7, prose(4, 20))], "item_id bigint, text string")
+    docs = documents([(k, prose(50 + k, 10) + " " + prose(k, 20)) for k in range(1, 6)])
+    got = D.overlaps(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.matches) for r in got) == [(1, 0, 20), (2, 0, 20), (3, 7, 20), (4, 7, 20)]
+    assert [r.doc_id for r in D.decontaminated(docs, bench).collect()] == [5]
+
+
+def test_short_items_are_found_whole(spark, documents, prose):
+    whole = "alpha beta gamma delta epsilon zeta eta".split()
+    bench = spark.createDataFrame([(n, " ".join(whole[-n:])) for n in range(1, 8)] + [(0, "..."), (None, "one two three")], "item_id bigint, text string")
+    docs = [(n, prose(n, 9) + ". " + " ".join(whole[-n:]).upper() + "! " + prose(n + 20, 5)) for n in range(1, 8)]
+    docs += [(10, " ".join(whole[:6])), (11, "One, two -- three; one two three"), (12, "one two x three"), (13, ""), (14, None)]
+    got = D.overlaps(documents(docs), bench).collect()
+    want = {(n, m): m for n in range(1, 8) for m in range(1, n + 1)} | {(11, None): 3}
+    assert {(r.doc_id, r.item_id): r.matches for r in got} == want and len(got) == len(want)
+    assert next(r.doc_start for r in got if r.doc_id == 11) == 0
