@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before kept; its result is written as
 Parquet and read again as the next one's ``docs``. All stages but the last return the columns of ``documents`` as they
 came. Rows without an id keep their text's verdict in the first two stages, are never dropped as copies, and are told
-apart by their text in decontamination. Repeated rows of one id are one document to the join: one row stays.
+apart by their text in decontamination. Near copies of one id, equal rows too, are one document to
+the join: one row stays; different texts of one id all stay.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of its smallest id."""
+    """One row of each near-duplicate group, one of its smallest id."""
     return jaccard_join.one_of_each(docs, NEAR)
 
 

@@ -315,6 +315,13 @@ def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -
 
 def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, Layout] | None = None, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
+    digest, classes = _classes(docs, like, layouts, star_rounds)
+    label = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return digest.join(classes.drop("root"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def _classes(docs: DataFrame, like: Likeness, layouts: dict[int, Layout] | None = None, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The digests of all rows, and ``node, root, component_id`` of each different set that has an id: its component's node and smallest id."""
     own = own_columns(docs, "doc_id", "text")
     digest = written(digests(own, like), "digests")
     named = digest.filter("doc_id is not null and n > 0")
@@ -353,14 +360,29 @@ def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, L
             roots = components(links)
 
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = nodes.join(roots.join(least, "root"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    label = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return digest.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+    return digest, nodes.join(roots.join(least, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """One row of each component, that of the smallest id, and all rows without id; all columns as they were."""
-    found = clustered(docs, like).filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = whole.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, that of the smallest id, and all rows without id; all columns as they were.
+
+    An id may be shared by several texts: each is judged by its own component, and of those of one component under its
+    smallest id the one with the least key stays. Texts without shingles are in no component; equal ones of an id are one.
+    """
+    _, classes = _classes(docs, like)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(tokens), node_of(tokens)) for tokens in sets_of(batch.column(1), like.size)]
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], ["doc_id", "text_key", "n", "node"])
+
+    key = F.xxhash64(F.col("text").cast("string")).alias("text_key")
+    own = own_columns(docs, "doc_id", "text").filter("doc_id is not null")
+    rows = written(own.select("doc_id", "text", key).mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, node bigint"), "rows")
+    named = rows.filter("n > 0").join(classes.withColumnRenamed("component_id", "doc_id"), ["node", "doc_id"])
+    found = named.groupBy("doc_id", "root").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+    found = written(found.unionByName(rows.filter("n = 0").select("doc_id", "text_key").distinct()), "found")
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = whole.join(found, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     return kept.unionByName(whole.filter("doc_id is null")).select("_row.*")

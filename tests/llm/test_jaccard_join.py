@@ -146,3 +146,11 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "a bigint, b bigint"))
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert dict(map(tuple, got.collect())) == {x: find(x) for x in linked}
+
+
+def test_different_texts_of_one_id_stay(spark, documents, prose):
+    near = prose(1, 50) + " more"
+    docs = documents([(3, prose(1, 50)), (5, near), (5, prose(2, 50)), (6, prose(3, 50)), (6, prose(4, 50)), (7, prose(5, 50)), (7, prose(5, 50) + " more"), (8, ""), (8, prose(6, 50)), (8, prose(6, 50))])
+    kept = [(r.doc_id, r.text) for r in J.one_of_each(docs, J.Likeness(5, 80)).collect()]
+    assert sorted(x for x in kept if x[0] != 7) == sorted([(3, prose(1, 50)), (5, prose(2, 50)), (6, prose(3, 50)), (6, prose(4, 50)), (8, ""), (8, prose(6, 50))])
+    assert len([x for x in kept if x[0] == 7]) == 1
