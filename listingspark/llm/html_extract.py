@@ -1,7 +1,10 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into blocks of text, each under a root-to-leaf path of tags. Parts that are not the article by their
-kind go first: scripts, forms, menus, asides and what their class, id or role calls so. Over what is left, text
+kind go first: scripts, menus, asides and what is hidden. A form, or an element that a whole class name, its id or its role
+calls so, goes only if it holds less than ``MINOR`` of the page's text and of its punctuation, and not all blocks of
+the content paths, as a wrapper of the article does; where a page has one article or main element, what lies beside it
+goes and what holds it stays. Over what is left, text
 length and punctuation are added up per path and divided by the path's blocks; each path's figure is smoothed with
 those of the paths next to it on the page, the two figures are fused, and paths above a threshold, a share of the
 mean and deviation, are content. The smallest element that holds the content paths' blocks is the article; its
@@ -40,7 +43,7 @@ SCOPES = frozenset("ul ol dl table body html article section div td th".split())
 
 # Elements, roles and name parts that mark what is not the article.
 ASIDE_TAGS = frozenset(
-    "script style template noscript iframe object embed svg canvas audio video map nav menu aside footer form button select textarea input dialog title head noframes search".split()
+    "script style template noscript iframe object embed svg canvas audio video map nav menu aside footer button select textarea input dialog title head noframes search".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
@@ -48,6 +51,7 @@ ASIDE_WORDS = frozenset(
     "header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget "
     "comment comments reply replies discussion disqus respond pagination pager toolbar skip hidden".split()
 )
+MINOR = 0.5
 HEADINGS = frozenset({"header", "masthead", "banner"})  # within an article, its own heading
 CONTENT_TAGS = frozenset({"html", "body", "article", "main"})
 
@@ -64,6 +68,8 @@ class Element:
     path: str
     aside: bool
     depth: int
+    soft: Element | None = None  # the nearest element, itself or above, that only its share of the page tells from the article
+    article: Element | None = None  # the outermost article or main element, itself or above
 
 
 @dataclass(slots=True)
@@ -139,19 +145,30 @@ def _is_aside(tag: str, rest: str, parent: Element | None) -> bool:
     if not rest.strip() or tag in ("html", "body"):
         return False
     found = attributes(rest)
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ASIDE_ROLES:
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
+def _is_soft(tag: str, rest: str, parent: Element | None) -> bool:
+    """A form, or called aside by its role, a whole class or its id."""
+    if tag == "form":
+        return True
+    if not rest.strip() or tag in ("html", "body"):
+        return False
+    found = attributes(rest)
+    if found.get("role", "").lower() in ASIDE_ROLES:
         return True
     above = parent
     while above and above.tag not in ("article", "main"):
         above = above.parent
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    return tag not in CONTENT_TAGS and any(w in ASIDE_WORDS and not (above and w in HEADINGS) for w in _WORD.findall(names))
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    said = [_WORD.findall(name) for name in names]  # all of a name's words must say so: cookie-notice, but not with-sidebar
+    return tag not in CONTENT_TAGS and any(parts and all(w in ASIDE_WORDS and not (above and w in HEADINGS) for w in parts) for parts in said)
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order, without those of elements that are aside."""
+    """Blocks with text, in page order, without those of elements that are aside whatever they hold."""
     root = Element("", None, "", False, 0)
     top, out, now = root, [], None
 
@@ -185,7 +202,12 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 now = None
             if top.depth < 512:  # deeper elements count as their parent
-                top = Element(tag, top, f"{top.path}/{tag}" if tag not in INLINE else top.path, top.aside or _is_aside(tag, rest, top), top.depth + 1)
+                new = Element(tag, top, f"{top.path}/{tag}" if tag not in INLINE else top.path, top.aside or _is_aside(tag, rest, top), top.depth + 1, top.soft, top.article)
+                if not new.article and tag in ("article", "main"):
+                    new.article = new
+                if not new.aside and _is_soft(tag, rest, top):
+                    new.soft = new
+                top = new
             continue
         above = top
         while above is not root and above.tag != tag:
@@ -222,13 +244,50 @@ def _close_until(top: Element, tags: set, scopes: frozenset | set, pop_to) -> No
 def main_text(page: str | None) -> str:
     """The article's text: each block with single spaces, blocks joined by one."""
     found = [(b.element, " ".join("".join(b.parts).split())) for b in blocks(page or "")]
-    found = [(e, t) for e, t in found if t]
+    found = _without_minor([(e, t) for e, t in found if t])
     if not found:
         return ""
     article = _container(found)
     return " ".join(t for e, t in found if article is None or _within(e, article))
 
 
+def _without_minor(found: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """Without the blocks of soft elements that hold a minor part of the page and not all of its content paths' blocks."""
+    if not any(e.soft for e, _ in found):
+        return found
+    sums: dict[int, list] = {}  # by element: text, punctuation, blocks of content paths, blocks of articles
+    soft: dict[int, Element] = {}
+    whole = [0, 0, 0, 0]
+
+    def add(to: Element | None, part: list) -> None:
+        if to:
+            sums[id(to)] = [a + b for a, b in zip(sums[id(to)], part, strict=True)]
+
+    for (e, t), content in zip(found, _content(found), strict=True):
+        at = e.soft
+        while at and id(at) not in soft:
+            soft[id(at)], sums[id(at)] = at, [0, 0, 0, 0]
+            at = at.parent.soft
+        part = [len(t), len(_PUNCTUATION.findall(t)), int(content), int(e.article is not None)]
+        whole = [a + b for a, b in zip(whole, part, strict=True)]
+        add(e.soft, part)
+    by_depth = sorted(soft.values(), key=lambda e: e.depth)
+    for e in reversed(by_depth):  # what an element holds, those around it hold, too
+        add(e.parent.soft, sums[id(e)])
+    one = len({id(e.article) for e, _ in found if e.article}) == 1
+    gone = set()
+    for e in by_depth:
+        text, marks, content, named = sums[id(e)]
+        above = e.parent.soft
+        if one and not e.article:
+            minor = not named
+        else:
+            minor = text < MINOR * whole[0] and marks <= MINOR * whole[1] and content < whole[2]
+        if minor or (above and id(above) in gone):
+            gone.add(id(e))
+    return [(e, t) for e, t in found if not e.soft or id(e.soft) not in gone]
+
+
 def _within(element: Element | None, holder: Element) -> bool:
     while element is not None and element.depth >= holder.depth:
         if element is holder:
@@ -237,8 +296,8 @@ def _within(element: Element | None, holder: Element) -> bool:
     return False
 
 
-def _container(found: list[tuple[Element, str]]) -> Element | None:
-    """The smallest element that holds all blocks of the content paths."""
+def _content(found: list[tuple[Element, str]]) -> list[bool]:
+    """Whether each block's path is content."""
     order: dict[str, int] = {}
     for e, _ in found:
         order.setdefault(e.path, len(order))
@@ -255,7 +314,12 @@ def _container(found: list[tuple[Element, str]]) -> Element | None:
     fused = smooth[0] * (1 + smooth[1]) * np.sqrt(many)
     weight = length / length.sum()
     chosen = fused >= min(0.5 * float((fused * weight).sum()), float(fused.max()))
-    holders = [e for e, _ in found if chosen[order[e.path]]]
+    return [bool(chosen[order[e.path]]) for e, _ in found]
+
+
+def _container(found: list[tuple[Element, str]]) -> Element | None:
+    """The smallest element that holds all blocks of the content paths."""
+    holders = [e for (e, _), content in zip(found, _content(found), strict=True) if content]
     common = holders[0]
     for e in holders[1:]:
         while not _within(e, common):

@@ -54,3 +54,33 @@ def test_table(spark):
     got = H.extracted(pages).orderBy("page_id", "text").collect()
     assert [(r.page_id, r.url, r.n_chars) for r in got] == [(None, "v", 0), (1, "u", len(TEXT)), (1, "u", len(TEXT)), (2, None, 0), (3, "w", 2000 * (len(TEXT) + 1) - 1)]
     assert H.extracted(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("attribute", ["class='content with-sidebar'", "class=no-comments", "class=hidden-print", "id=social-studies", "class='comments'", "role=form", "class='modal share'"])
+def test_a_wrapper_of_the_article_stays(attribute):
+    assert H.main_text(f"<div {attribute}>{BODY}</div>") == TEXT
+    assert H.main_text(f"<ul><li>One</li><li>Two</li></ul><div {attribute}><div class='ad'>Buy, now.</div>{BODY}</div><div class='related'><p>Read on, here.</p></div>") == TEXT
+
+
+def test_a_page_within_a_form():
+    assert H.main_text(f"<body><form action=x><input name=q><nav>Menu</nav><div>{BODY}</div><div class=ad>Buy this, now.</div><button>Go</button></form></body>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "no-comments", "hidden-print", "social-studies"])
+def test_parts_of_a_class_do_not_name_an_aside(name):
+    assert H.main_text(f"<article>{BODY}<p class='{name}'>Third, and last.</p></article>") == TEXT + " Third, and last."
+
+
+def test_nested_wrappers_stay_linear():
+    times = []
+    for size in (2_000, 8_000):
+        start = time.perf_counter()
+        H.main_text("<div class=modal>" * 200 + "<p class=ad>x, y.</p><p>z</p>" * size)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 12 * times[0] + 0.5
+
+
+def test_a_long_aside_beside_a_short_article_goes():
+    ad = "<div class='ad'>Buy this, now, today. And that, too, tomorrow.</div>"
+    assert H.main_text(f"{ad}<article><h1>Short one.</h1><p><b>Short one.<br></article>") == "Short one. Short one."
+    assert H.main_text(f"<div class=modal>{ad}<main><p>Short one.</main></div>{ad}") == "Short one."
