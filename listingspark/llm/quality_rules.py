@@ -21,13 +21,47 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-# The most frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
-    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all "
-    "der die und das von zu mit sich des auf ist im dem nicht ein eine auch es an werden aus er hat dass sie nach wird bei "
-    "le la les et des en un une du que est pour qui dans ce il au sur pas plus par avec ne se sont "
-    "el los las y del se por con para su al lo como más pero sus le o este sí porque esta entre"
-).split()
+# The most frequent function words by language. Single Latin letters are left out, as junk has them too.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all",
+    "de": "der die und das von zu mit sich des auf ist im dem nicht ein eine auch es an werden aus er hat dass sie nach wird bei",
+    "fr": "le la les et des en un une du que est pour qui dans ce il au sur pas plus par avec ne se sont",
+    "es": "el los las y del se con por para su al lo como más pero sus le o este sí porque esta entre",
+    "it": "di che il la per un una non con del della sono dei nel alla più le gli come anche dal ma",
+    "pt": "de que não uma para com os as do da dos das em um por mais como mas foi ao ele seu sua ou",
+    "nl": "de het een van en dat niet te zijn op voor met die aan er om ook als bij maar uit naar",
+    "sv": "och att det som en på är av för med den till inte har de ett om var jag men",
+    "da": "og at det er en til af på for ikke med den der de et har som fra var men",
+    "nb": "og det er på som av ikke med for den til en et har om var at fra men",
+    "fi": "ja on ei se että oli hän mutta kun niin myös joka ovat mitä tai kuin sen ole",
+    "pl": "się na nie do jest to że jak ale po co tak od za przez dla był oraz przy",
+    "cs": "se na je že to ve do za po jsou ale jako od pro při byl podle nebo jen která",
+    "sk": "sa na je že to vo do za po sú ale ako od pre pri bol podľa alebo len ktorá",
+    "hu": "az és hogy nem is egy ez meg volt csak de már mint vagy még van ha el",
+    "ro": "și de la în cu nu că pe din este pentru mai sau care un au fost fi ca",
+    "hr": "je da se na su za od što kao ali iz bio sam nije ili koji po ne",
+    "tr": "ve bir bu da de için ile çok ne daha olarak gibi kadar olan sonra var ama en",
+    "vi": "và của là có không được cho một các trong người với này đã để những khi như",
+    "id": "yang dan di ini itu dengan untuk dari tidak dalam pada adalah akan ke ada juga atau oleh",
+    "sw": "na ya wa kwa ni katika za la kuwa hii huo pia au lakini kama hivyo",
+    "ru": "и в не на что с по это как он из за то к от для был но у о же его все так они мы или при",
+    "uk": "і в не на що з та у до як це за по для від є але він про його або вони так був при",
+    "bg": "и на да се в за от е с не са че по като това до или които беше но при",
+    "sr": "и је да се у на су за од не са што као али из био или који по",
+    "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην ότι δεν τον ένα μια",
+    "ar": "في من على إلى أن التي الذي عن مع هذا هذه كان ما لا كل بين ذلك قد أو هو هي لم بعد ثم كما حتى كانت",
+    "fa": "و در به از که این را با است آن برای یک بر تا خود هم می شد بود ها یا",
+    "ur": "کے میں کی ہے اور سے کا کو اس کہ پر نے ہیں یہ ایک بھی نہیں تھا کر",
+    "he": "של את על לא זה הוא עם היא גם או כי אל יש היה אני כל אם רק אבל",
+    "hi": "के में की है और से को का पर ने हैं कि यह एक भी नहीं तो ही था लिए इस कर या",
+    "bn": "এবং ও এই যে থেকে করে না তার একটি জন্য হয় ছিল এক সঙ্গে কিন্তু তা বা",
+    "ta": "ஒரு என்று இந்த மற்றும் அந்த என இது உள்ள அவர் போன்ற ஆனால் அல்லது",
+    "ko": "이 그 및 수 있는 것은 있다 등 더 한 또한 그리고 것이다 위해 대한 하는",
+    "ka": "და არ რომ ეს ის იყო არის მაგრამ თუ რა ან მას",
+    "hy": "և է են որ մի այս ու իր չի համար նա էր բայց կամ",
+}
+#: As they stand, at the beginning of a sentence and in capitals: words are compared as they are.
+STOP_WORDS = list(dict.fromkeys(form for text in FUNCTION_WORDS.values() for w in text.split() for form in (w, w.capitalize(), w.upper())))
 
 #: measure, least, most: a text whose measure lies outside is rejected (None: no bound).
 RULES: tuple[tuple[str, float | None, float | None], ...] = (

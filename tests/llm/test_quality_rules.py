@@ -46,3 +46,23 @@ def test_repeated_and_missing_rows(spark, documents):
 def test_plan_is_native_and_moves_nothing(spark, documents):
     plan = Q.quality(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+CLEAN = {
+    "ru": "Вчера мы долго гуляли по старому парку и говорили о том, что скоро наступит зима, а потом вернулись домой и пили горячий чай с вареньем.",
+    "el": "Το πρωί πήγαμε στην αγορά για να αγοράσουμε φρούτα και λαχανικά, και μετά καθίσαμε σε ένα μικρό καφέ κοντά στη θάλασσα με τους φίλους μας.",
+    "ar": "ذهبنا في الصباح إلى السوق القديم من أجل شراء الفواكه والخضروات ثم جلسنا في مقهى صغير على شاطئ البحر مع الأصدقاء حتى غروب الشمس في المساء",
+    "hi": "हम सुबह पुराने बाजार में फल और सब्जी खरीदने गए और उसके बाद समुद्र के किनारे एक छोटे होटल में दोस्तों के साथ शाम तक बैठे रहे",
+    "pl": "Rano poszliśmy na stary targ po owoce i warzywa, a potem siedzieliśmy z przyjaciółmi w małej kawiarni nad morzem, bo nie padało i było jeszcze ciepło.",
+    "tr": "Sabah meyve ve sebze almak için eski pazara gittik, sonra deniz kenarında küçük bir kahvede arkadaşlarla akşama kadar oturduk ve çok güzel bir gün geçirdik.",
+    "he": "בבוקר הלכנו אל השוק הישן כדי לקנות פירות וירקות ואחר כך ישבנו עם חברים בבית קפה קטן על שפת הים עד הערב כי היה יום יפה מאוד",
+    "ko": "우리는 아침에 오래된 시장에 가서 과일과 채소를 샀다 그리고 바닷가에 있는 작은 찻집에서 친구들과 저녁까지 앉아 이야기를 나누며 이 아름다운 하루를 보냈다 정말 즐거운 날이었다",
+    "capitals": "IN THE MORNING WE WENT TO THE OLD MARKET FOR FRUIT AND GREENS, AND THEN SAT WITH FRIENDS IN A SMALL HOUSE BY THE SEA.",
+}
+
+
+def test_clean_texts_of_other_languages_and_in_capitals_are_kept(spark, documents):
+    texts = [*CLEAN.values(), *[CLEAN[x].upper() for x in ("ru", "el", "pl")], " ".join(f"zq{i * i:x}" for i in range(60)), " ".join(f"{i * 37}.{i}" for i in range(60))]
+    rows = {r.doc_id: r for r in Q.quality(documents(enumerate(texts))).collect()}
+    assert [rows[i].kept for i in range(len(texts))] == [True] * (len(texts) - 2) + [False] * 2
+    assert [by_hand(t)[-1] for t in texts] == [rows[i].kept for i in range(len(texts))]
