@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, sharding, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, periodic_runs, quality_rules, sharding, toxicity, url_filter, whitening
 from .texts import read
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -61,11 +61,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "matches", "length", "doc_start", "item_start", "item_words")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periodic_runs.periodic_runs(periodic_runs.looped(docs, F.crc32(F.col("doc_id").cast("string").cast("binary"))), periodic_runs.Shape(least=6, times=4))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return rows.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * -F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_packing, op5_license_scan, op6_url_filter, op7_language_id, op8_html_extraction, op9_sharding,
-        op10_decontamination,
+        op10_decontamination, op11_embedding_whitening, op13_periodic_runs,
     )
 }
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

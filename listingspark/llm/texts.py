@@ -62,8 +62,9 @@ def _byte_values() -> np.ndarray:
 
 
 _BYTE = _byte_values()
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[ord(c) for c in _SPACES]] = True
+#: Which bytes are white space.
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[ord(c) for c in _SPACES]] = True
 _SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _POWERS: list[np.ndarray] = []
 
@@ -96,7 +97,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, plain: bool = False, pla
     if not size:
         none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
         return (*none, np.zeros(0, np.int64)) if places else none
-    ink = ~(_SIGN if plain else _WHITE)[data]
+    ink = ~(_SIGN if plain else WHITE)[data]
     first = np.zeros(size + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(size, dtype=bool)
@@ -112,8 +113,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, plain: bool = False, pla
     return (*found, starts) if places else found
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive texts of about ``CHUNK_BYTES`` (one at least): first, behind last, bytes and offsets."""
+def text_chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive texts of about ``size`` bytes (one at least): first, behind last, bytes and offsets."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -122,7 +123,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, end, data, offsets[at : end + 1]
         at = end
 
