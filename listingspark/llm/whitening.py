@@ -43,15 +43,16 @@ class Fitted:
     trace: float
 
 
-def _whole(vector: Column, scale: int) -> Column:
-    """The vector as whole numbers; null if an entry is missing or not finite, or if there is none."""
-    fit = F.forall(vector, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
-    held = lambda c: F.greatest(F.lit(-float(BOUND)), F.least(F.lit(float(BOUND)), c.cast("double") * scale))
-    return F.when(fit & (F.size(vector) > 0), F.transform(vector, lambda c: F.floor(held(c))))
+def _rows(df: DataFrame) -> DataFrame:
+    """``vec_id, embedding`` of the rows whose entries are all there and finite, one at least."""
+    finite = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
+    return df.select(F.col("vec_id").cast("bigint"), "embedding").filter(finite & (F.size("embedding") > 0))
 
 
-def _rows(df: DataFrame, scale: int) -> DataFrame:
-    return df.select(F.col("vec_id").cast("bigint"), _whole(F.col("embedding"), scale).alias("x")).filter("x is not null")
+def _whole(vector: Column, scale: int) -> Column:
+    """The vector as whole numbers."""
+    held = lambda c: F.greatest(F.lit(-float(BOUND)), F.least(F.lit(float(BOUND)), c.cast("double") * scale))
+    return F.transform(vector, lambda c: F.floor(held(c)))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -193,12 +194,12 @@ def whitened(df: DataFrame, components: int = 4, scale: int = 256) -> DataFrame:
     component's share of the whole variance.
     """
     spark = df.sparkSession
-    rows = _rows(df, scale)
-    lengths = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = _rows(df)
+    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], _OUT)
     d = lengths.d
-    rows = rows.filter(F.size("x") == d)
+    rows = rows.filter(F.size("embedding") == d).select("vec_id", _whole(F.col("embedding"), scale).alias("x"))
     fit = written(rows.select("x").distinct(), "distinct-vectors")
     model = fitted(fit, d, components)
     k = len(model.variances)
