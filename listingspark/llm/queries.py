@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, periodic_runs, quality_rules, sharding, toxicity, url_filter, whitening
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, periodic_runs, quality_rules, secret_scan, sharding, toxicity, url_filter, whitening
 from .texts import read
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -65,6 +65,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"), components=4, scale=256)
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind != "guess")
+    kinds = F.transform("spans", lambda s: s.kind)
+    many = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return rows.select("doc_id", *many, F.sha2(secret_scan.spelled(base).cast("binary"), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = periodic_runs.periodic_runs(periodic_runs.looped(docs, F.crc32(F.col("doc_id").cast("string").cast("binary"))), periodic_runs.Shape(least=6, times=4))
@@ -81,7 +89,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_packing, op5_license_scan, op6_url_filter, op7_language_id, op8_html_extraction, op9_sharding,
-        op10_decontamination, op11_embedding_whitening, op13_periodic_runs,
+        op10_decontamination, op11_embedding_whitening, op12_secret_scan, op13_periodic_runs,
     )
 }
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
