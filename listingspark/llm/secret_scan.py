@@ -278,7 +278,7 @@ def _word_costs(df: DataFrame, found: DataFrame, wanted: DataFrame, guessing: Gu
     counts = written(counts.filter("n > 0"), "word-counts")
     total = (counts.agg(F.sum("n")).first()[0] or 0) + guessing.prior
     cost = F.least(F.log10(F.lit(float(total)) / F.col("n")), F.lit(guessing.rarest))
-    return counts.join(wanted, "word", "left_semi").select("word", cost.alias("cost"))
+    return counts.join(wanted.hint("merge"), "word", "left_semi").select("word", cost.alias("cost"))
 
 
 def _judged(distinct: DataFrame, costs: DataFrame, guessing: Guessing) -> DataFrame:
@@ -294,8 +294,8 @@ def _judged(distinct: DataFrame, costs: DataFrame, guessing: Guessing) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["value"])
 
     parts = _stretched(distinct, guessing)
-    known = parts.join(costs, "word").groupBy("value").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
-    return distinct.join(known, "value", "left").mapInArrow(cost, "value string")
+    known = parts.hint("merge").join(costs, "word").groupBy("value").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
+    return distinct.join(known.hint("merge"), "value", "left").mapInArrow(cost, "value string")
 
 
 def _stretched(distinct: DataFrame, guessing: Guessing) -> DataFrame:
@@ -316,13 +316,13 @@ def secrets(df: DataFrame, guessing: Guessing = Guessing()) -> DataFrame:
     wanted = _stretched(distinct, guessing).select("word").distinct()
     costs = _word_costs(own_columns(df, "text"), found, wanted, guessing)
     hard = written(_judged(distinct, costs, guessing).withColumn("hard", F.lit(True)), "secret-hard")
-    guessed = spread_join(found, hard, "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("guess").alias("kind"))).alias("more"))
+    guessed = spread_join(found, hard.hint("merge"), "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("guess").alias("kind"))).alias("more"))
     place = F.create_map(*[x for i, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(i))])
     spans = F.transform(
         F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda s: F.struct(s.start.alias("start"), place[s.kind].alias("place"), s.end.alias("end"), s.kind.alias("kind")))),
         lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")),
     )
-    asked = rows.filter(F.size("found") > 0).join(guessed, "row", "left")
+    asked = rows.filter(F.size("found") > 0).join(guessed.hint("merge"), "row", "left")
     others = rows.filter(F.size("found") == 0).withColumn("more", F.lit(None).cast(_SPAN))
     return asked.unionByName(others).select("doc_id", spans.alias("spans"))
 
