@@ -125,10 +125,11 @@ def board_conditions(q: str = "", work: str = "", view: str = "", score: float =
     return conditions
 
 
-def due_candidates(candidates: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
-    """Companies waiting for discovery, or stuck in it for a quarter of an hour; oldest first."""
+def due_candidates(candidates: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Companies waiting for discovery, or stuck in it for a quarter of an hour; oldest first, all of them or the first ``limit``."""
     stale = (F.col("status") == "Resolving") & (F.col("last_checked_at") < as_of - F.expr("INTERVAL 15 MINUTES"))
-    return candidates.filter((F.col("status") == "Pending") | stale).orderBy("created_at", "candidate_id").limit(limit)
+    due = candidates.filter((F.col("status") == "Pending") | stale).orderBy("created_at", "candidate_id")
+    return due if limit is None else due.limit(limit)
 
 
 def throttled_sources(sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:

@@ -294,15 +294,16 @@ def pattern_scans(runs: DataFrame) -> DataFrame:
     )
 
 
-def due_sources(sources: DataFrame, as_of: Column, limit: int = 25) -> DataFrame:
-    """Enabled scheduled sources whose time has come; those never scheduled come last, ids break ties."""
+def due_sources(sources: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Enabled scheduled sources whose time has come, all or the first ``limit``; those never scheduled come last, ids break ties."""
     due = F.col("next_run_at").isNull() | (F.col("next_run_at") <= as_of)
-    return sources.filter(
+    ready = sources.filter(
         F.col("enabled") & (F.col("schedule") != "Manual") & F.col("owner_id").isNotNull() & due
-    ).orderBy(F.asc_nulls_last("next_run_at"), "source_id").limit(limit)
+    ).orderBy(F.asc_nulls_last("next_run_at"), "source_id")
+    return ready if limit is None else ready.limit(limit)
 
 
-def advance_schedule(sources: DataFrame, as_of: Column, limit: int = 25) -> DataFrame:
+def advance_schedule(sources: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """All sources after one tick: the claimed ones move to their next aligned slot, missed slots collapse into it."""
     claimed = due_sources(sources, as_of, limit).select("source_id").withColumn("claimed", F.lit(True))
     return sources.join(claimed, "source_id", "left").withColumns({

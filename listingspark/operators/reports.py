@@ -246,13 +246,13 @@ def schedule_summary(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     return scheduled.withColumn("in_flight", waiting.scalar())
 
 
-def status_timeline(log: DataFrame, limit: int = 50) -> DataFrame:
+def status_timeline(log: DataFrame, limit: int) -> DataFrame:
     """The newest state changes of each listing, per user."""
     order = Window.partitionBy("user_id", "job_id").orderBy(F.desc("created_at"), F.desc("id"))
     return log.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
 
 
-def activity_page(activity: DataFrame, user_id: int, before: tuple | None = None, candidate_id: int | None = None, limit: int = 100) -> DataFrame:
+def activity_page(activity: DataFrame, user_id: int, limit: int, before: tuple | None = None, candidate_id: int | None = None) -> DataFrame:
     """One page of the feed, newest first, by the whole sort key; ``before`` is the last row of the page before."""
     shown = activity.filter(visible(F.col("user_id"), user_id))
     if candidate_id is not None:
@@ -278,13 +278,13 @@ def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limi
     )
 
 
-def alerts_page(alerts: DataFrame, listings: DataFrame, user_id: int, limit: int = 100) -> DataFrame:
+def alerts_page(alerts: DataFrame, listings: DataFrame, user_id: int, limit: int) -> DataFrame:
     """A person's newest alerts with the listing each is about, if any. Only the page itself is joined."""
     page = alerts.filter(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("alert_id")).limit(max(limit, 1))
     return page.join(listings.select("job_id", F.col("title").alias("job_title"), "lifecycle"), "job_id", "left")
 
 
-def run_history(runs: DataFrame, sources: DataFrame, shown: int = 20) -> DataFrame:
+def run_history(runs: DataFrame, sources: DataFrame, shown: int) -> DataFrame:
     """The newest runs over some sources."""
     return runs.join(sources.select("source_id"), "source_id", "left_semi").orderBy(F.desc("started_at"), F.desc("run_id")).limit(shown)
 

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-MAX_PAGES = 10
-MAX_LISTINGS = 100
-
 
-def link_walk(starts: DataFrame, links: DataFrame, found: DataFrame, max_pages: int = MAX_PAGES, max_listings: int = MAX_LISTINGS) -> DataFrame:
+def link_walk(starts: DataFrame, links: DataFrame, found: DataFrame, max_pages: int | None = None, max_listings: int | None = None) -> DataFrame:
     """Breadth-first walk per source over a link table: the pages read, in order, and whether it ended early.
 
     ``starts``: ``source_id, url``. ``links``: ``url, pos, href`` (only links that may be followed).
-    ``found``: ``url, listings`` per page. A walk stops after ``max_pages`` pages or once
-    ``max_listings`` listings were found; what is still queued then makes it incomplete.
+    ``found``: ``url, listings`` per page. A walk ends when no link leads to a page it has not read or, where bounds are
+    given, after ``max_pages`` pages or once ``max_listings`` listings were found; what is still queued then makes it incomplete.
 
-    Each round reads the next level of every walk at once. A level can add at most the pages a walk
-    has left, so the state stays at a few rows per source however many links there are.
+    Each round reads the next level of every walk at once: as many rounds as the deepest walk has levels. With a page
+    bound, a level adds at most the pages a walk has left.
     """
     counted = found.select("url", "listings")
     level = starts.select("source_id", "url", F.lit(1).alias("place"), F.lit(0).alias("depth"))
     visited = level
-    for depth in range(1, max_pages + 1):
+    for depth in count(1) if max_pages is None else range(1, max_pages + 1):
         reached = level.join(links, "url").select("source_id", "place", "pos", F.col("href").alias("url"))
         fresh = reached.groupBy("source_id", "url").agg(F.min(F.struct("place", "pos")).alias("at")).join(
             visited.select("source_id", "url"), ["source_id", "url"], "left_anti"
@@ -31,10 +30,14 @@ def link_walk(starts: DataFrame, links: DataFrame, found: DataFrame, max_pages:
         used = visited.groupBy("source_id").agg(F.count("*").alias("used"))
         order = Window.partitionBy("source_id").orderBy("at", "url")
         # one page past the bound is kept: it shows that something was left in the queue
-        ranked = fresh.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_pages + 1)
-        level = ranked.join(used, "source_id").filter(F.col("used") + F.col("n") <= max_pages + 1).select(
+        ranked = fresh.withColumn("n", F.row_number().over(order))
+        if max_pages is not None:
+            ranked = ranked.filter(F.col("n") <= max_pages + 1)
+        level = ranked.join(used, "source_id").select(
             "source_id", "url", (F.col("used") + F.col("n")).cast("int").alias("place"), F.lit(depth).alias("depth")
         )
+        if max_pages is not None:
+            level = level.filter(F.col("place") <= max_pages + 1)
         level = cut_lineage(level, "walk-level")
         if level.isEmpty():
             break
@@ -42,16 +45,18 @@ def link_walk(starts: DataFrame, links: DataFrame, found: DataFrame, max_pages:
     counts = visited.join(counted, "url", "left").withColumn("listings", F.coalesce("listings", F.lit(0)))
     running = Window.partitionBy("source_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("listings").over(running), F.lit(0)))
-    read = (F.col("place") <= max_pages) & (F.col("before") < max_listings)
+    read = F.lit(True) if max_pages is None else F.col("place") <= max_pages
+    if max_listings is not None:
+        read = read & (F.col("before") < max_listings)
     return before.withColumn("read", read).select("source_id", "place", "url", "depth", "listings", "before", "read")
 
 
-def walk_summary(walk: DataFrame, max_listings: int = MAX_LISTINGS) -> DataFrame:
+def walk_summary(walk: DataFrame, max_listings: int | None = None) -> DataFrame:
     """Per source: pages read, listings kept, and whether the walk saw everything it could reach."""
     listings = F.sum(F.when(F.col("read"), F.col("listings")))
     return walk.groupBy("source_id").agg(
-        F.count_if("read").alias("pages"), F.least(listings, F.lit(max_listings)).alias("listings"),
-        (F.bool_and("read") & (listings <= max_listings)).alias("complete"),
+        F.count_if("read").alias("pages"), (listings if max_listings is None else F.least(listings, F.lit(max_listings))).alias("listings"),
+        (F.bool_and("read") if max_listings is None else F.bool_and("read") & (listings <= max_listings)).alias("complete"),
     )
 
 

@@ -191,7 +191,7 @@ def challenge_page(spark, sf):
 
 
 def due_candidates(spark, sf):
-    return gates.due_candidates(view(spark, sf, "v_candidates"), instant(EVENTS_AS_OF)).select("candidate_id", "status")
+    return gates.due_candidates(view(spark, sf, "v_candidates"), instant(EVENTS_AS_OF), limit=20).select("candidate_id", "status")
 
 
 def throttled_sources(spark, sf):

@@ -164,7 +164,7 @@ def merge_patterns(spark, sf):
 
 
 def advance_schedule(spark, sf):
-    rows = merge.advance_schedule(view(spark, sf, "v_sources"), instant(EVENTS_AS_OF))
+    rows = merge.advance_schedule(view(spark, sf, "v_sources"), instant(EVENTS_AS_OF), limit=25)
     return rows.select("source_id", "claimed", F.unix_seconds("next_run_at").alias("next_s"))
 
 

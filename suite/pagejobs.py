@@ -192,6 +192,9 @@ def robots_verdict(spark, sf):
     return robots.robots_verdict(page_paths(spark, sf), rules, "PoliteBot").select("page_id", "allowed", "matched_rule")
 
 
+BUDGET = dict(max_pages=10, max_listings=100)
+
+
 def _walk(spark, sf):
     """Pages of a site form a tree: page n links to 2n+1 and 2n+2, and back to its parent."""
     pages = view(spark, sf, "pages").selectExpr("page_id % 9 AS site", "page_id DIV 9 AS k")
@@ -204,7 +207,7 @@ def _walk(spark, sf):
     known = pages.select(here.alias("href"))
     starts = pages.filter("k = 0").select(c("site").alias("source_id"), here.alias("url"))
     found = pages.select(here.alias("url"), F.expr("CASE WHEN site % 3 = 0 THEN 30 ELSE k % 5 END").cast("bigint").alias("listings"))
-    return walk.link_walk(starts, links.join(known, "href", "left_semi"), found)
+    return walk.link_walk(starts, links.join(known, "href", "left_semi"), found, **BUDGET)
 
 
 def link_walk(spark, sf):
@@ -212,7 +215,7 @@ def link_walk(spark, sf):
 
 
 def link_walk_summary(spark, sf):
-    return walk.walk_summary(_walk(spark, sf))
+    return walk.walk_summary(_walk(spark, sf), BUDGET["max_listings"])
 
 
 # Breadth-first order of that tree from page 0: children are read larger number first.

@@ -235,9 +235,9 @@ def listing_text(spark, sf):
 
 
 LISTING_SQL = (
-    "substr(concat_ws(chr(10), concat('Title: ', title), concat('Company: ', company), concat('Location: ', CASE WHEN location = '' THEN 'Unknown' ELSE location END), "
+    "concat_ws(chr(10), concat('Title: ', title), concat('Company: ', company), concat('Location: ', CASE WHEN location = '' THEN 'Unknown' ELSE location END), "
     "concat('Work: ', work_type, CASE WHEN work_type = 'Unknown' THEN ' (not stated)' ELSE '' END), concat('Employment: ', employment_type), "
-    "concat('Seniority: ', seniority, CASE WHEN seniority = 'Unknown' THEN ' (not stated)' ELSE '' END), concat('Industry: ', industry), concat('Description: ', description)), 1, 32000)"
+    "concat('Seniority: ', seniority, CASE WHEN seniority = 'Unknown' THEN ' (not stated)' ELSE '' END), concat('Industry: ', industry), concat('Description: ', description))"
 )
 
 

@@ -246,15 +246,15 @@ def robots_longest(spark, sf):
 
 def status_timeline(spark, sf):
     rows = view(spark, sf, "v_status_log").withColumn("user_id", c("user_id") % 2)
-    return reports.status_timeline(rows).select("user_id", "job_id", "id", "status", c("n").cast("bigint").alias("n"))
+    return reports.status_timeline(rows, 50).select("user_id", "job_id", "id", "status", c("n").cast("bigint").alias("n"))
 
 
 def activity_page(spark, sf):
     """The second page of the feed, after the hundredth row of the first."""
     feed = view(spark, sf, "v_activity")
-    first = reports.activity_page(feed, USER)
+    first = reports.activity_page(feed, USER, 100)
     last = first.orderBy("created_at", "id").limit(1).first()
-    second = reports.activity_page(feed, USER, before=(last.created_at, last.id))
+    second = reports.activity_page(feed, USER, 100, before=(last.created_at, last.id))
     return second.select("id", "user_id", "created_at")
 
 
@@ -264,7 +264,7 @@ def digest_top(spark, sf):
 
 
 def due_sources(spark, sf):
-    return merge.due_sources(view(spark, sf, "v_sources"), instant(EVENTS_AS_OF)).select("source_id", "owner_id", "schedule")
+    return merge.due_sources(view(spark, sf, "v_sources"), instant(EVENTS_AS_OF), limit=25).select("source_id", "owner_id", "schedule")
 
 
 def alerts_page(spark, sf):
@@ -273,7 +273,7 @@ def alerts_page(spark, sf):
 
 
 def run_history(spark, sf):
-    return reports.run_history(view(spark, sf, "v_runs"), view(spark, sf, "v_sources").filter(c("owner_id") == USER)).select("run_id", "source_id", "status")
+    return reports.run_history(view(spark, sf, "v_runs"), view(spark, sf, "v_sources").filter(c("owner_id") == USER), 20).select("run_id", "source_id", "status")
 
 
 def distinct_ids(spark, sf):

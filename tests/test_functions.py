@@ -157,3 +157,12 @@ def test_every_country_name_is_found(spark):
     cov = countries.country_coverage(spark, F.lit(""), F.concat(F.lit("Office in "), F.col("name"), F.lit(" (hybrid)")))
     missing = df.filter(~F.array_contains(cov["codes"], F.col("code"))).collect()
     assert missing == []
+
+
+def test_listing_text_is_whole_unless_bounded(spark):
+    from listingspark.functions import labels
+
+    row = spark.range(1).select(*[F.lit(v).alias(n) for n, v in zip("abcdefgh", ["T", "C", "", "Unknown", "Contract", "VP", "", "d" * 40_000])])
+    whole, cut = (row.select(labels.listing_text(*[F.col(n) for n in "abcdefgh"], limit=limit)).first()[0] for limit in (None, 32_000))
+    assert len(cut) == 32_000 and whole.startswith(cut) and whole.endswith("d" * 40_000)
+    assert whole.startswith("Title: T\nCompany: C\nLocation: Unknown\nWork: Unknown (not stated)\nEmployment: Contract")
