@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("feeds", "landed", "scalars", "gating", "joined", "totals", "merges", "pagejobs", "streams")
+TOPICS = ("feeds", "landed", "scalars", "gating", "joined", "totals", "merges", "pagejobs", "planned", "streams")
 
 
 def _modules():
