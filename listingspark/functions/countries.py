@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
+from .iso_countries import COUNTRIES
 from .text import let, trim_all
 
 # Further names of a country.
@@ -26,26 +27,14 @@ EUROPE = (
 _EUROPE_WORD = r"(?i)(?<![A-Za-z0-9_])europe(?:an union)?(?![A-Za-z0-9_])"
 _WORLD_WORD = r"(?i)(?<![A-Za-z0-9_])(?:worldwide|anywhere|global|world wide|work from anywhere)(?![A-Za-z0-9_])"
 
-_names: dict[str, str] = {}
-
-
-def country_names(spark: SparkSession) -> dict[str, str]:
-    """ISO 3166 codes with their English names, as the platform's locale data gives them."""
-    if not _names:
-        locale = spark._jvm.java.util.Locale
-        for code in locale.getISOCountries():
-            _names[code] = locale.Builder().setRegion(code).build().getDisplayCountry(locale.ENGLISH)
-    return dict(_names)
-
-
-def country_terms(spark: SparkSession) -> dict[str, list[str]]:
+def country_terms() -> dict[str, list[str]]:
     """Lower-case name or alias -> the codes it proves.
 
     A term that begins with another country's term and a non-letter proves both
     ("guinea-bissau" also reads "guinea"), so one match per position is enough.
     """
     owner = {}
-    for code, name in country_names(spark).items():
+    for code, name in COUNTRIES.items():
         for term in [name.lower(), *ALIASES.get(code, [])]:
             owner[term] = code
     terms = {}
@@ -58,14 +47,14 @@ def country_terms(spark: SparkSession) -> dict[str, list[str]]:
     return terms
 
 
-def country_coverage(spark: SparkSession, country: Column, location: Column) -> Column:
+def country_coverage(country: Column, location: Column) -> Column:
     """``struct(codes, worldwide)``: what the two texts prove about where a listing may be done.
 
     One pass over the short location text finds every country term; no join with a
     term table is needed. "Remote" alone proves nothing.
     """
-    terms = country_terms(spark)
-    codes = sorted(country_names(spark))
+    terms = country_terms()
+    codes = sorted(COUNTRIES)
     ordered = sorted(terms, key=lambda t: (-len(t), t))
     pattern = "(?=(?:^|[^a-z])(" + "|".join(re.escape(t) for t in ordered) + ")(?:$|[^a-z]))"
     proves = F.create_map(*[x for t in ordered for x in (F.lit(t), F.array(*[F.lit(c) for c in terms[t]]))])

@@ -94,7 +94,7 @@ def hard_filter(spark: SparkSession, listings: DataFrame, prefs: DataFrame) -> D
 
     Country evidence depends on the listing alone, so it is found before the join.
     """
-    covered = listings.withColumn("_coverage", country_coverage(spark, F.col("country"), F.col("location")))
+    covered = listings.withColumn("_coverage", country_coverage(F.col("country"), F.col("location")))
     rules = prefs.select(F.col("user_id").alias("owner_id"), F.struct(*PREF_FIELDS).alias("_prefs"))
     joined = spread_join(covered, rules, "owner_id", "job_id")
     reason = hard_filter_reason(

@@ -19,7 +19,7 @@ def board_rows(
     """All rows of a board. Country selection is one more predicate on the listing, before the joins."""
     shown = listings
     if countries:
-        coverage = country_coverage(spark, F.col("country"), F.col("location"))
+        coverage = country_coverage(F.col("country"), F.col("location"))
         shown = shown.filter(country_match(coverage, F.array(*[F.lit(c) for c in countries]), F.lit(worldwide), F.lit(unknown)))
     rows = board_join(shown, matches, saved, user_id)
     return rows.filter(reduce(lambda a, b: a & b, board_conditions(q, work, view, score)))

@@ -77,7 +77,7 @@ def coverage_ctes() -> list[str]:
 
 
 def country_coverage_q(spark, sf):
-    rows = view(spark, sf, "v_listings").select("job_id", country_coverage(spark, c("country"), c("location")).alias("cov"))
+    rows = view(spark, sf, "v_listings").select("job_id", country_coverage(c("country"), c("location")).alias("cov"))
     return rows.select("job_id", F.array_join("cov.codes", ",").alias("codes"), c("cov.worldwide").alias("worldwide"))
 
 
@@ -85,7 +85,7 @@ MATCH = "CASE WHEN len(countries) = 0 THEN true WHEN len(coalesce(codes, [])) >
 
 
 def country_match_q(spark, sf):
-    listings = view(spark, sf, "v_listings").withColumn("cov", country_coverage(spark, c("country"), c("location")))
+    listings = view(spark, sf, "v_listings").withColumn("cov", country_coverage(c("country"), c("location")))
     prefs = preferences(spark, sf).select(c("user_id").alias("owner_id"), "countries", "include_worldwide", "include_unknown")
     joined = spread_join(listings, prefs, "owner_id", "job_id")
     return joined.select("job_id", country_match(c("cov"), c("countries"), c("include_worldwide"), c("include_unknown")).alias("matches"))

@@ -96,7 +96,7 @@ def link_by_key(spark, sf):
 
 def country_join(spark, sf):
     """Listings per proven country."""
-    rows = view(spark, sf, "v_listings").select("job_id", country_coverage(spark, c("country"), c("location")).alias("cov"))
+    rows = view(spark, sf, "v_listings").select("job_id", country_coverage(c("country"), c("location")).alias("cov"))
     return rows.select(F.explode("cov.codes").alias("code")).groupBy("code").agg(F.count("*").alias("listings"))
 
 

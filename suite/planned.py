@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listingspark.operators import linkage
+from listingspark.functions import gazetteer
+from listingspark.operators import linkage, places as place_ops
 from listingspark.session import cut_lineage
 
 from . import duck
@@ -80,9 +81,71 @@ _BEST = "best AS (SELECT a, b FROM sides QUALIFY row_number() OVER (PARTITION BY
 _LINKS = "links AS MATERIALIZED (SELECT x.a, x.b FROM best x JOIN best y ON x.a = y.b AND x.b = y.a)"
 _REACH = "reach AS (SELECT class_id AS a, class_id AS b FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)"
 
-QUERIES = {"duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
+# Locations that name cities, regions, codes and several places at once.
+_MORE = "|Toronto, ON|London, Ontario|Portland, OR or Portland, Maine|San Francisco, CA / New York|CA|Paris, TX; Paris|Remote, Canada|North America Remote|St. Thomas, U.S. Virgin Islands|Join us in Dublin|Cambridge, Massachusetts|Work in or near Munich, Bavaria|DE|Atlanta, Georgia;Tbilisi, Georgia|nowhere at all|"
+_SPOT = {"job_id": "doc_id", "location": f"CASE WHEN doc_id % 2 = 0 THEN {_PLACE} ELSE {pick(_MORE, 'doc_id DIV 2')} END", "country": "CASE WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 7 = 0 THEN 'us/ca' WHEN doc_id % 11 = 0 THEN 'Canada, Narnia' ELSE '' END"}
+
+
+def structured_places(spark, sf):
+    rows = view(spark, sf, "documents").selectExpr(*[f"{e} AS {n}" for n, e in _SPOT.items()])
+    found = place_ops.structured_places(rows, gazetteer.gazetteer(spark))
+    return found.select("job_id", c("n").cast("bigint").alias("n"), "country", "region", "city", "remote", "confidence", "evidence", "matched", F.array_join("applicants", ",").alias("applicants"))
+
+
+def _values(rows) -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else duck.q(v)
+    return ", ".join("(" + ", ".join(map(show, row)) + ")" for row in rows)
+
+
+def _place_name(x: str) -> str:
+    return rf"trim(regexp_replace(replace(lower({x}), '.', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _hit_ctes(tag: str, parts: str, kinds: str, stated: str) -> list[str]:
+    inside = "((y.kind = 'country' AND x.kind IN ('region', 'city') AND x.country = y.country) OR (y.kind = 'region' AND x.kind = 'city' AND x.country = y.country AND x.region = y.region))"
+    mutual = inside + " OR " + inside.replace("x.", "@.").replace("y.", "x.").replace("@.", "y.")
+    return [
+        f"{tag}_met AS (SELECT DISTINCT p.country AS c0, p.location AS l0, p.n, i AS start, k AS long, g.name, g.kind, g.country, coalesce(g.region, '') AS region, coalesce(g.city, '') AS city, g.weight, g.weak, len(p.w) AS size "
+        f"FROM {parts} p, range(0, len(p.w)) r(i), range(1, 7) q(k) JOIN gaz g ON g.name = array_to_string(p.w[i + 1:i + k], ' ') WHERE i + k <= len(p.w) AND {kinds})",
+        f"{tag}_kept AS (SELECT * FROM {tag}_met h WHERE NOT EXISTS (SELECT 1 FROM {tag}_met o WHERE o.c0 = h.c0 AND o.l0 = h.l0 AND o.n = h.n AND o.start < h.start + h.long AND h.start < o.start + o.long AND (o.long > h.long OR (o.long = h.long AND o.start < h.start))))",
+        f"{tag}_rated AS (SELECT x.*, (SELECT count(DISTINCT y.start) FROM {tag}_kept y WHERE y.c0 = x.c0 AND y.l0 = x.l0 AND y.n = x.n AND y.start <> x.start AND ({mutual})) + {stated} AS support, "
+        f"CASE WHEN weak AND support = 0 THEN CASE kind WHEN 'country' THEN 3 ELSE 1 END ELSE CASE kind WHEN 'city' THEN 3 WHEN 'region' THEN 2 WHEN 'country' THEN 1 ELSE 0 END END AS specific FROM {tag}_kept x)",
+        f"{tag}_place AS (SELECT * FROM {tag}_rated WHERE NOT weak OR support > 0 OR long = size QUALIFY row_number() OVER (PARTITION BY c0, l0, n ORDER BY support DESC, weak, specific DESC, weight DESC, start, coalesce(country, ''), region, city, kind, name) = 1)",
+    ]
+
+
+def _place_parts(name: str, column: str, separators: str) -> str:
+    return (
+        f"{name} AS (SELECT country, location, unnest(range(len(ps))) AS n, string_split(unnest(ps), ' ') AS w FROM (SELECT country, location, "
+        f"list_filter(list_transform(regexp_split_to_array({column}, '{separators}'), lambda p: {_place_name('p')}), lambda p: p <> '') AS ps FROM texts))"
+    )
+
+
+PLACES_SQL = (
+    "WITH spots AS (SELECT " + ", ".join(f"{e.replace(' DIV ', ' // ')} AS {n}" for n, e in _SPOT.items()) + " FROM documents), texts AS (SELECT DISTINCT country, location FROM spots), "
+    f"raw(name, kind, city, region, country, weight, weak) AS (VALUES {_values(gazetteer.rows())}), gaz AS MATERIALIZED (SELECT DISTINCT {_place_name('name')} AS name, kind, city, region, country, weight, weak FROM raw), "
+    + ", ".join([
+        _place_parts("fields", "country", "[,;/|]"), *_hit_ctes("f", "fields", "g.kind = 'country'", "0"),
+        "told AS (SELECT c0, l0, list_sort(list(DISTINCT country)) AS stated FROM f_place GROUP BY ALL)",
+        _place_parts("parts", "location", r"(?i)\s*[;|/]\s*|\s+or\s+"),
+        *_hit_ctes("l", "parts", "true", "CASE WHEN list_contains((SELECT stated FROM told WHERE told.c0 = x.c0 AND told.l0 = x.l0), x.country) THEN 2 ELSE 0 END"),
+        "near AS (SELECT p.country AS c0, p.location AS l0, p.n, coalesce(stated, []) AS stated, regexp_matches(array_to_string(p.w, ' '), '(^| )(remote|anywhere|worldwide|global|work from home|wfh)( |$)') AS remote, "
+        "l.kind, l.support, l.country, l.region, l.city, l.name FROM parts p LEFT JOIN l_place l ON l.c0 = p.country AND l.l0 = p.location AND l.n = p.n LEFT JOIN told ON told.c0 = p.country AND told.l0 = p.location)",
+        "judged AS (SELECT *, CASE WHEN kind IS NULL AND len(stated) = 1 THEN 'country field' WHEN kind IS NULL AND remote THEN 'remote' WHEN kind IS NULL THEN 'none' WHEN list_contains(stated, country) THEN 'country field' "
+        "WHEN kind = 'city' AND support > 0 THEN 'city in context' WHEN kind = 'region' AND support > 0 THEN 'region in context' ELSE kind END AS evidence, "
+        "CASE WHEN kind IS NULL AND len(stated) = 1 THEN stated[1] ELSE country END AS said FROM near)",
+        "rows AS (SELECT c0, l0, n, said AS country, nullif(region, '') AS region, nullif(city, '') AS city, remote, evidence, name AS matched FROM judged "
+        "UNION ALL SELECT c0, l0, unnest(range(len(stated))), unnest(stated), NULL, NULL, false, 'country field', NULL FROM told WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.country = c0 AND p.location = l0))",
+    ])
+    + " SELECT job_id, n, rows.country, region, city, remote, CASE evidence " + " ".join(f"WHEN {duck.q(k)} THEN {v}::DOUBLE" for k, v in place_ops.CONFIDENCE.items()) + " END AS confidence, evidence, matched, "
+    "CASE WHEN evidence = 'area' THEN CASE matched " + " ".join(f"WHEN {duck.q(k)} THEN {duck.q(','.join(v))}" for k, v in gazetteer.AREAS.items()) + " END ELSE coalesce(rows.country, '') END AS applicants "
+    "FROM spots JOIN rows ON rows.c0 = spots.country AND rows.l0 = spots.location"
+)
+
+QUERIES = {"structured_places": structured_places, "duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
 
 ORACLE = {
+    "structured_places": PLACES_SQL,
     "duplicate_pairs": sql("", "SELECT least(aj, bj) AS first_id, greatest(aj, bj) AS second_id, score FROM pairs", *LINKAGE_CTES),
     "duplicate_listings": "WITH RECURSIVE " + ", ".join([*LINKAGE_CTES, _SIDES, _BEST, _LINKS, _REACH]) +
         ", kept AS (SELECT reach.a, arg_min(r.job_id, (r.near, r.discovered_at, r.job_id)) AS survivor_id FROM reach JOIN reps r ON r.class_id = reach.b GROUP BY reach.a), "

@@ -138,23 +138,23 @@ def test_country_coverage(spark):
         ("", "CA", ["CA"], False), ("", "Nigeria", ["NG"], False), ("", "Türkiye", ["TR"], False),
     ]
     df = spark.createDataFrame([(i, c, l) for i, (c, l, _, _) in enumerate(cases)], "i int, country string, location string")
-    rows = df.select("i", countries.country_coverage(spark, F.col("country"), F.col("location")).alias("cov")).orderBy("i").collect()
+    rows = df.select("i", countries.country_coverage(F.col("country"), F.col("location")).alias("cov")).orderBy("i").collect()
     assert [(list(r.cov.codes), r.cov.worldwide) for r in rows] == [(codes, world) for _, _, codes, world in cases]
 
 
 def test_europe_and_selection(spark):
     df = spark.createDataFrame([("", "Europe")], "country string, location string")
-    cov = countries.country_coverage(spark, F.col("country"), F.col("location"))
+    cov = countries.country_coverage(F.col("country"), F.col("location"))
     assert {"FR", "GB", "UA"} <= set(df.select(cov["codes"]).first()[0])
-    outside = countries.country_match(countries.country_coverage(spark, F.lit("US"), F.lit("")), F.array(F.lit("CA")), F.lit(True), F.lit(True))
+    outside = countries.country_match(countries.country_coverage(F.lit("US"), F.lit("")), F.array(F.lit("CA")), F.lit(True), F.lit(True))
     assert df.select(outside).first()[0] is False
 
 
 def test_every_country_name_is_found(spark):
-    names = countries.country_names(spark)
+    names = countries.COUNTRIES
     assert len(names) == 249
     df = spark.createDataFrame(list(names.items()), "code string, name string")
-    cov = countries.country_coverage(spark, F.lit(""), F.concat(F.lit("Office in "), F.col("name"), F.lit(" (hybrid)")))
+    cov = countries.country_coverage(F.lit(""), F.concat(F.lit("Office in "), F.col("name"), F.lit(" (hybrid)")))
     missing = df.filter(~F.array_contains(cov["codes"], F.col("code"))).collect()
     assert missing == []
 
