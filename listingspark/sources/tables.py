@@ -1,115 +1,81 @@
-"""Versioned tables on plain files, in parts: a change rewrites the parts it touches, readers see it only when it is complete."""
+"""Tables that batches write: one Parquet folder a batch, so that a batch which is repeated replaces what it wrote before."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BUCKETS = 16
+from ..session import cut_lineage
 
+Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
+_NOTHING_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
-def by_key(*keys: str, buckets: int = BUCKETS) -> Column:
-    """Parts by a hash of the merge key: all rows of a key, old and new, fall into one."""
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
 
+class BatchTable:
+    """Rows by key under ``path/batch=N``; of a key's rows the one of the last batch counts.
 
-class VersionedTable:
-    """Parquet under ``path/v=N/_part=P``, and under ``path/m=N`` which version holds each part.
-
-    ``part`` tells a row's part from its columns; without it the table has one. Spark writes ``_SUCCESS``
-    last, so a version whose writer was lost never becomes current, and no path being read is overwritten.
+    A batch writes the keys that it touches and nothing else. Spark moves a batch's files into place when all its tasks are
+    done, so a writer that is lost leaves no rows, and its batch is written again under the same number.
     """
 
-    def __init__(self, spark: SparkSession, path: str, part: Column | None = None):
-        self.spark = spark
-        self.path = path.rstrip("/")
-        self.part = (F.lit("all") if part is None else part).cast("string")
-
-    def _names(self, folder: str, prefix: str, having: str = "") -> list[str]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return [n[len(prefix):] for n in names if n.startswith(prefix) and (not having or fs.exists(hadoop.Path(f"{folder}/{n}/{having}")))]
-
-    def versions(self) -> list[int]:
-        return sorted(int(n) for n in self._names(self.path, "m=", "_SUCCESS"))
-
-    def state(self, before: int | None = None) -> dict[str, int]:
-        """The version that holds each part, now or as it was before a version."""
-        found = [v for v in self.versions() if before is None or v < before]
-        return {r.part: r.version for r in self.spark.read.parquet(f"{self.path}/m={found[-1]}").collect()} if found else {}
-
-    def _read(self, state: dict[str, int]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/v={v}/_part={p}" for p, v in sorted(state.items())])
-
-    def current(self) -> DataFrame | None:
-        state = self.state()
-        return self._read(state) if state else None
-
-    def _publish(self, state: dict[str, int], target: int) -> int:
-        rows = self.spark.createDataFrame(sorted(state.items()), "part string, version int")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/m={target}")
-        return target
-
-    def _next(self, version: int | None) -> int:
-        found = self.versions()
-        return version if version is not None else (found[-1] + 1 if found else 0)
-
-    def _write(self, df: DataFrame, target: int) -> dict[str, int]:
-        folder = f"{self.path}/v={target}"
-        df.withColumn("_part", self.part).write.mode("overwrite").partitionBy("_part").parquet(folder)
-        return {p: target for p in self._names(folder, "_part=")}
-
-    def replace(self, df: DataFrame, version: int | None = None) -> int:
-        """Write all parts anew. A given ``version`` makes the write repeatable: a stream's retry lands on the same one."""
-        target = self._next(version)
-        return self._publish(self._write(df, target), target)
-
-    def upsert(self, incoming: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], version: int | None = None) -> int:
-        """Merge ``incoming`` into the rows of the parts it touches; the other parts keep their files.
-
-        With a ``version`` the merge starts from the one before it. The incoming rows are used twice and so are
-        written first, under ``path/in=N``, for as long as the merge takes.
-        """
-        state = self.state(version)
-        target = self._next(version)
-        staged = f"{self.path}/in={target}"
-        incoming.write.mode("overwrite").parquet(staged)
-        incoming = self.spark.read.schema(incoming.schema).parquet(staged)
+    def __init__(self, spark: SparkSession, path: str, *keys: str):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def rows(self, before: int | None = None) -> DataFrame | None:
+        """All rows of all batches, or of those before one; None while there are none."""
         try:
-            touched = {r[0] for r in incoming.select(self.part).distinct().collect()}  # as many as the table has parts at most
-            own = {p: v for p, v in state.items() if p in touched}
-            base = self._read(own) if own else self._read(state).limit(0) if state else None
-            written = self._write(merge(base, incoming), target) if touched else {}
-            return self._publish({p: v for p, v in state.items() if p not in touched} | written, target)
-        finally:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs
-            hadoop.Path(staged).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop.Path(staged), True)
-
-    def keep(self, wanted: Callable[[str], bool], rewrite: Iterable[str] = (), rows: Callable[[DataFrame], DataFrame] | None = None) -> int:
-        """Drop the parts that are not ``wanted`` without reading them, and pass those in ``rewrite`` through ``rows``."""
-        state = {p: v for p, v in self.state().items() if wanted(p)}
-        target = self._next(None)
-        own = {p: v for p, v in state.items() if p in set(rewrite)}
-        written = self._write(rows(self._read(own)), target) if own and rows else {}
-        return self._publish({p: v for p, v in state.items() if p not in own} | written, target)
-
-    def vacuum(self, versions: int = 2) -> int:
-        """Delete the files that none of the last versions names; returns how many parts went. Readers of older versions lose them."""
-        found = self.versions()
-        used = {x for v in found[-versions:] for x in self.state(v + 1).items()}
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        gone = 0
-        for old in found[:-versions]:
-            fs.delete(hadoop.Path(f"{self.path}/m={old}"), True)
-        for version in (int(n) for n in self._names(self.path, "v=") if int(n) <= found[-1]) if found else ():
-            for part in self._names(f"{self.path}/v={version}", "_part="):
-                if (part, version) not in used:
-                    fs.delete(hadoop.Path(f"{self.path}/v={version}/_part={part}"), True)
-                    gone += 1
-        return gone
+            found = self.spark.read.parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() in _NOTHING_YET:
+                return None
+            raise
+        return found if before is None else found.filter(F.col("batch") < before)
+
+    def current(self, before: int | None = None) -> DataFrame | None:
+        """The row of every key, as it is or as it was before a batch. Each task keeps one row a key before the shuffle."""
+        found = self.rows(before)
+        if found is None:
+            return None
+        names = [n for n in found.columns if n not in (*self.keys, "batch")]
+        last = found.groupBy(*self.keys).agg(F.max_by(F.struct(F.lit(True).alias("_"), *names), "batch").alias("r"))
+        return last.select(*self.keys, *[F.col(f"r.{n}").alias(n) for n in names])
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def upsert(self, incoming: DataFrame, merge: Merge, batch: int) -> None:
+        """Write what ``merge`` makes of the incoming rows and the rows that their keys had before this batch.
+
+        ``merge`` gets None while the table has no rows.
+        """
+        incoming = cut_lineage(incoming, "incoming")
+        base = self.current(batch)
+        if base is not None:
+            base = base.join(incoming.select(*self.keys).distinct(), self.keys, "left_semi")
+        self.write(merge(base, incoming), batch)
+
+    def compacted(self, path: str) -> BatchTable:
+        """A new table with the current rows in one batch; the old one's folder can then go."""
+        table = BatchTable(self.spark, path, *self.keys)
+        found = self.current()
+        if found is not None:
+            table.write(found, self.rows().agg(F.max("batch")).first()[0])
+        return table
+
+
+def drop_expired_days(spark: SparkSession, table: str, day: str, keep: str, first_day: str) -> int:
+    """Retention on a catalog table that is partitioned by day: days before ``first_day`` are dropped unread, the rows of
+    that day which don't satisfy ``keep`` go, later days are not touched. Returns how many days were dropped."""
+    days = sorted(r.partition.split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
+    gone = [d for d in days if d < first_day]
+    if gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({day} = '{d}')" for d in gone))
+    if first_day in days:
+        own = f"{day} = DATE'{first_day}'"
+        left = cut_lineage(spark.table(table).filter(own).filter(keep), "kept-day")
+        left.drop(day).createOrReplaceTempView("_kept_day")
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({day} = '{first_day}') SELECT * FROM _kept_day")
+        spark.catalog.dropTempView("_kept_day")
+    return len(gone)

@@ -8,7 +8,7 @@ from listingspark.functions import labels
 from listingspark.operators import merge, pages as page_ops
 from listingspark.session import working_folder
 from listingspark.sources import bronze, registry, seeds, structured
-from listingspark.sources.tables import VersionedTable, by_key
+from listingspark.sources.tables import BatchTable
 
 from . import duck
 from .feeds import COMPANY, OUTPUT, payloads, shown
@@ -268,16 +268,16 @@ def provider_alias(spark, sf):
 
 
 def sink_upsert(spark, sf):
-    """Two landings into one versioned table; the second merges over the first."""
+    """Two landings into one table; the second merges over the first."""
     keys = ["owner_id", "canonical_hash"]
-    table = VersionedTable(spark, working_folder(spark, "sink-upsert"), by_key(*keys))
+    table = BatchTable(spark, working_folder(spark, "sink-upsert"), *keys)
     columns = ["title", "description_hash"]
     def into(base, rows):
         if base is None:
             return rows
         return merge.merge(base, rows, keys, touch=columns).drop("outcome")
-    table.upsert(view(spark, sf, "v_stored").select(*keys, *columns), into)
-    table.upsert(view(spark, sf, "v_incoming").select(*keys, *columns), into)
+    table.upsert(view(spark, sf, "v_stored").select(*keys, *columns), into, 0)
+    table.upsert(view(spark, sf, "v_incoming").select(*keys, *columns), into, 1)
     return table.current()
 
 

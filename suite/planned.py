@@ -108,9 +108,9 @@ def _hit_ctes(tag: str, parts: str, kinds: str, stated: str) -> list[str]:
         f"{tag}_met AS (SELECT DISTINCT p.country AS c0, p.location AS l0, p.n, i AS start, k AS long, g.name, g.kind, g.country, coalesce(g.region, '') AS region, coalesce(g.city, '') AS city, g.weight, g.weak, len(p.w) AS size "
         f"FROM {parts} p, range(0, len(p.w)) r(i), range(1, 7) q(k) JOIN gaz g ON g.name = array_to_string(p.w[i + 1:i + k], ' ') WHERE i + k <= len(p.w) AND {kinds})",
         f"{tag}_kept AS (SELECT * FROM {tag}_met h WHERE NOT EXISTS (SELECT 1 FROM {tag}_met o WHERE o.c0 = h.c0 AND o.l0 = h.l0 AND o.n = h.n AND o.start < h.start + h.long AND h.start < o.start + o.long AND (o.long > h.long OR (o.long = h.long AND o.start < h.start))))",
-        f"{tag}_rated AS (SELECT x.*, (SELECT count(DISTINCT y.start) FROM {tag}_kept y WHERE y.c0 = x.c0 AND y.l0 = x.l0 AND y.n = x.n AND y.start <> x.start AND ({mutual})) + {stated} AS support, "
-        f"CASE WHEN weak AND support = 0 THEN CASE kind WHEN 'country' THEN 3 ELSE 1 END ELSE CASE kind WHEN 'city' THEN 3 WHEN 'region' THEN 2 WHEN 'country' THEN 1 ELSE 0 END END AS specific FROM {tag}_kept x)",
-        f"{tag}_place AS (SELECT * FROM {tag}_rated WHERE NOT weak OR support > 0 OR long = size QUALIFY row_number() OVER (PARTITION BY c0, l0, n ORDER BY support DESC, weak, specific DESC, weight DESC, start, coalesce(country, ''), region, city, kind, name) = 1)",
+        f"{tag}_rated AS (SELECT x.*, (SELECT count(DISTINCT y.start) FROM {tag}_kept y WHERE y.c0 = x.c0 AND y.l0 = x.l0 AND y.n = x.n AND y.start <> x.start AND ({mutual})) + {stated} AS support FROM {tag}_kept x)",
+        f"{tag}_graded AS (SELECT *, CASE WHEN weak AND support = 0 THEN CASE kind WHEN 'country' THEN 3 ELSE 1 END ELSE CASE kind WHEN 'city' THEN 3 WHEN 'region' THEN 2 WHEN 'country' THEN 1 ELSE 0 END END AS specific FROM {tag}_rated)",
+        f"{tag}_place AS (SELECT * FROM {tag}_graded WHERE NOT weak OR support > 0 OR long = size QUALIFY row_number() OVER (PARTITION BY c0, l0, n ORDER BY support DESC, weak, specific DESC, weight DESC, start, coalesce(country, ''), region, city, kind, name) = 1)",
     ]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Row, functions as F
 import listingspark.sources.boards  # noqa: F401
 import listingspark.sources.feeds  # noqa: F401
 from listingspark.sources import bronze, registry, structured
-from listingspark.sources.tables import VersionedTable
+from listingspark.sources.tables import BatchTable, drop_expired_days
 
 LONG = "A description that is long enough to pass."
 
@@ -87,43 +87,42 @@ def test_landed_files(spark, tmp_path):
     assert bronze.read_documents(spark, str(tmp_path / "f.xml")).first().payload.startswith("<rss>")
 
 
-def test_versions_appear_only_when_complete(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
+def test_a_batch_counts_once_and_only_when_complete(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "id")
     assert table.current() is None
-    table.replace(spark.range(3))
-    (tmp_path / "t" / "v=7").mkdir()  # a write that never finished
-    assert table.versions() == [0] and table.current().count() == 3
-    add = lambda base, rows: rows if base is None else base.unionByName(rows)
-    table.upsert(spark.range(2), add, version=1)
-    table.upsert(spark.range(2), add, version=1)  # a repeated batch
-    assert table.current().count() == 5
+    (tmp_path / "t" / "batch=0" / "_temporary").mkdir(parents=True)  # the first writer was lost
+    assert table.current() is None
+    add = lambda base, rows: rows.withColumn("v", F.lit(1)) if base is None else rows.join(base, "id", "left").select("id", (F.coalesce("v", F.lit(0)) + 1).alias("v"))
+    table.upsert(spark.range(3), add, 0)
+    for _ in range(3):  # a batch that is repeated after a failure
+        table.upsert(spark.range(2, 5), add, 1)
+    (tmp_path / "t" / "batch=2" / "_temporary").mkdir(parents=True)
+    assert sorted(map(tuple, table.current().collect())) == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1)]
+    assert sorted(map(tuple, table.current(before=1).collect())) == [(0, 1), (1, 1), (2, 1)]
 
 
-def test_an_upsert_rewrites_only_the_parts_it_touches(spark, tmp_path):
-    from listingspark.sources.tables import by_key
+def test_a_batch_writes_only_the_keys_it_touches(spark, tmp_path):
     from listingspark.streaming import jobs
 
-    table = VersionedTable(spark, str(tmp_path / "t"), by_key("id", buckets=8))
+    table = BatchTable(spark, str(tmp_path / "t"), "id")
     rows = spark.range(100).withColumn("v", F.lit(0))
-    merge = jobs.keep_latest(["id"])
-    table.upsert(rows, merge)
-    before = table.state()
-    table.upsert(spark.range(5, 6).withColumn("v", F.lit(1)), merge)
-    after = table.state()
-    assert len(before) == len(after) == 8 and sum(before[p] != after[p] for p in before) == 1
-    assert sorted(map(tuple, table.current().collect())) == [(i, int(i == 5)) for i in range(100)]
-    table.upsert(rows.limit(0), merge)
-    assert table.state() == after
-    assert table.vacuum(1) == 1 and table.current().count() == 100 and len(table.versions()) == 1
-
-
-def test_retention_drops_days_unread(spark, tmp_path):
-    from listingspark.streaming import jobs
+    table.upsert(rows, jobs.keep_latest(["id"]), 0)
+    table.upsert(spark.range(5, 6).withColumn("v", F.lit(1)), jobs.keep_latest(["id"]), 1)
+    table.upsert(rows.limit(0), jobs.keep_latest(["id"]), 2)
+    assert [tuple(r) for r in table.rows().groupBy("batch").count().orderBy("batch").collect()] == [(0, 100), (1, 1)]
+    small = table.compacted(str(tmp_path / "small"))
+    for t in (table, small):
+        assert sorted(map(tuple, t.current().collect())) == [(i, int(i == 5)) for i in range(100)]
+    assert small.rows().count() == 100 and small.rows().first().batch == 1
+
 
+def test_retention_drops_days_unread(spark):
     rows = spark.sql("SELECT id, timestamp'2024-01-01' + make_dt_interval(0, id * 6) AS at FROM range(20)").withColumn("day", F.to_date("at"))
-    table = VersionedTable(spark, str(tmp_path / "t"), F.col("day"))
-    table.replace(rows)
-    jobs.purge_by_date(table, "day", "at", F.lit("2024-01-03 09:00:00").cast("timestamp"))
-    assert sorted(r.id for r in table.current().collect()) == list(range(10, 20))
-    state = table.state()
-    assert sorted(state) == ["2024-01-03", "2024-01-04", "2024-01-05"] and [state[d] for d in sorted(state)] == [1, 0, 0]
+    rows.write.partitionBy("day").saveAsTable("kept_days")
+    try:
+        assert drop_expired_days(spark, "kept_days", "day", "at >= timestamp'2024-01-03 09:00:00'", "2024-01-03") == 2
+        assert sorted(r.id for r in spark.table("kept_days").collect()) == list(range(10, 20))
+        assert [r.partition for r in spark.sql("SHOW PARTITIONS kept_days").collect()] == ["day=2024-01-03", "day=2024-01-04", "day=2024-01-05"]
+        assert drop_expired_days(spark, "kept_days", "day", "true", "2025-01-01") == 3 and spark.table("kept_days").count() == 0
+    finally:
+        spark.sql("DROP TABLE kept_days")
