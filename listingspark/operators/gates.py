@@ -125,10 +125,15 @@ def board_conditions(q: str = "", work: str = "", view: str = "", score: float =
     return conditions
 
 
+def is_due(as_of: Column) -> Column:
+    """Whether a company waits for discovery, or has been stuck in it for a quarter of an hour."""
+    stale = (F.col("status") == "Resolving") & (F.col("last_checked_at") < as_of - F.expr("INTERVAL 15 MINUTES"))
+    return (F.col("status") == "Pending") | stale
+
+
 def due_candidates(candidates: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """Companies waiting for discovery, or stuck in it for a quarter of an hour; oldest first, all of them or the first ``limit``."""
-    stale = (F.col("status") == "Resolving") & (F.col("last_checked_at") < as_of - F.expr("INTERVAL 15 MINUTES"))
-    due = candidates.filter((F.col("status") == "Pending") | stale).orderBy("created_at", "candidate_id")
+    due = candidates.filter(is_due(as_of)).orderBy("created_at", "candidate_id")
     return due if limit is None else due.limit(limit)
 
 

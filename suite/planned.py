@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingspark.functions import gazetteer
-from listingspark.operators import linkage, places as place_ops
+from listingspark.operators import linkage, places as place_ops, repair
+from listingspark.operators.contracts import FACTORS, INTEREST, QUALIFICATION
+from listingspark.plans import evaluate
 from listingspark.session import cut_lineage
 
 from . import duck
+from .gating import BLOCKED, EVENTS_AS_OF, coverage_ctes, instant, preferences
+from .joined import EVAL_SQL
+from .scalars import LISTING_SQL
+from .totals import targets
 from .views import PLACES, pick, sql, view
 
 c = F.col
@@ -142,9 +148,117 @@ PLACES_SQL = (
     "FROM spots JOIN rows ON rows.c0 = spots.country AND rows.l0 = spots.location"
 )
 
-QUERIES = {"structured_places": structured_places, "duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
+CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+def _streaks(spark, sf):
+    """Failures in a row over three batches of runs, each of which only knows the streaks that the one before left open."""
+    runs = view(spark, sf, "v_runs").withColumn("started_at", c("started_at").cast("timestamp"))
+    parts = runs.filter(c("started_at") < CUTS[0]), runs.filter((c("started_at") >= CUTS[0]) & (c("started_at") < CUTS[1])), runs.filter(c("started_at") >= CUTS[1])
+    carried, found = None, None
+    for part in parts:
+        rows = repair.failure_streaks(part, carried)
+        found = rows if found is None else found.unionByName(rows)
+        carried = cut_lineage(repair.open_streaks(part, carried), "streaks")
+    return found, carried
+
+
+def failure_streaks(spark, sf):
+    return _streaks(spark, sf)[0].select("source_id", "run_id", "streak")
+
+
+def open_streaks(spark, sf):
+    return _streaks(spark, sf)[1]
+
+
+def repair_candidates(spark, sf):
+    rows = repair.repaired_candidates(view(spark, sf, "v_candidates"), _streaks(spark, sf)[0])
+    return rows.select("candidate_id", "next_status", "resets")
+
+
+def fair_claims(spark, sf):
+    """A queue in which one user holds most of what waits."""
+    rows = view(spark, sf, "v_candidates").withColumn("user_id", F.expr("CASE WHEN candidate_id % 10 = 0 THEN user_id ELSE 3 END"))
+    return repair.fair_claims(rows, instant(EVENTS_AS_OF), 40)
+
+
+def source_conflicts(spark, sf):
+    rows = view(spark, sf, "v_candidates").filter("status = 'Resolved'").withColumn("identity", F.expr("concat('Lever:board', candidate_id % 30)"))
+    return repair.source_conflicts(rows)
+
+
+def _answers(spark, sf):
+    """What a model would say of each owned listing; it has no answer for some, and breaks its contract for a few."""
+    factors = [f"CASE WHEN doc_id % 53 = 0 THEN 1.5 ELSE ((doc_id * {k}) % 101) / CAST(100 AS DOUBLE) END AS {f}" for k, f in zip((3, 5, 7, 11, 13, 17, 19, 23), FACTORS)]
+    return view(spark, sf, "documents").filter("doc_id % 9 <> 4").selectExpr("doc_id % 20 AS user_id", "doc_id AS job_id", "concat('Reason ', doc_id % 7) AS reason", *factors)
+
+
+def evaluate_job(spark, sf):
+    """Matches of one evaluation: eligible batch, budget, scores, merge; and how many alerts each gave."""
+    matches = view(spark, sf, "v_matches").selectExpr(
+        "user_id", "job_id", "score", "timestamp_seconds(1704067200 + (job_id % 700) * 3700) AS evaluated_at", "CAST(cost_micros DIV 100 AS BIGINT) AS cost_micros", "reason")
+    known = view(spark, sf, "v_listings").withColumn("description", F.coalesce("description", F.lit("")))
+    wanted = targets(spark, sf).withColumn("target_text", F.concat(F.lit("Target of "), c("user_id").cast("string")))
+    vectors = view(spark, sf, "embeddings").select(c("vec_id").alias("job_id"), "embedding")
+    done = evaluate.evaluate(
+        spark, known, view(spark, sf, "v_refs"), view(spark, sf, "v_sources").filter("enabled"), matches, preferences(spark, sf), wanted, vectors, _answers(spark, sf),
+        view(spark, sf, "v_alerts"), instant("2024-01-31 12:00:00"))
+    alerts = done.alerts.groupBy("user_id", "job_id").agg(F.count("*").alias("alerts"))
+    scored = done.matches.filter("outcome <> 'missing'").select("user_id", "job_id", c("outcome").alias("merged"))
+    rows = done.batch.join(scored, ["user_id", "job_id"], "left").join(alerts, ["user_id", "job_id"], "left")
+    return rows.select("user_id", "job_id", "estimate", "outcome", "merged", F.coalesce("alerts", F.lit(0)).cast("bigint").alias("alerts"),
+                       *[c(n).cast("bigint").alias(n) for n in ("overall_score", "qualification_score", "interest_score")])
+
+
+STREAKS_SQL = (
+    "done AS (SELECT source_id, run_id, started_at, status = 'Failed' AS failed FROM v_runs WHERE status <> 'Running')",
+    "cut AS (SELECT *, count(*) FILTER (WHERE NOT failed) OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS breaks FROM done)",
+    "streaks AS (SELECT source_id, run_id, row_number() OVER (PARTITION BY source_id, breaks ORDER BY started_at, run_id) AS streak FROM cut WHERE failed)",
+)
+
+
+def _group_score(names) -> str:
+    total, earned = " + ".join(f"w_{n}" for n in names), " + ".join(f"{'role2' if n == 'role' else n} * w_{n}" for n in names)
+    return f"CASE WHEN outcome NOT IN ('over_budget', 'no_answer') AND problem IS NULL AND {total} <> 0 THEN CAST(floor(({earned}) / ({total}) * 100 + 0.5) AS BIGINT) END"
+
+
+_ANSWERS_SQL = "answers AS (SELECT doc_id AS job_id, concat('Reason ', doc_id % 7) AS reason, " + ", ".join(
+    f"CASE WHEN doc_id % 53 = 0 THEN 1.5 ELSE ((doc_id * {k}) % 101) / CAST(100 AS DOUBLE) END AS {f}" for k, f in zip((3, 5, 7, 11, 13, 17, 19, 23), FACTORS)) + " FROM documents WHERE doc_id % 9 <> 4)"
+EVALUATE_SQL = sql(
+    "v_listings v_matches v_refs v_sources v_prefs v_alerts v_vectors",
+    "SELECT r.user_id, r.job_id, estimate, o2 AS outcome, CASE WHEN o2 = 'scored' THEN CASE WHEN m.job_id IS NULL THEN 'added' ELSE 'updated' END END AS merged, "
+    "CASE WHEN o2 = 'scored' AND notifications_enabled AND overall_score >= notify_min THEN 1 ELSE 0 END AS alerts, overall_score, qualification_score, interest_score "
+    "FROM rated r LEFT JOIN mt m ON m.user_id = r.user_id AND m.job_id = r.job_id",
+    "mt AS (SELECT user_id, job_id, make_timestamp(CAST((1704067200 + (job_id % 700) * 3700) * 1000000 AS BIGINT)) AS evaluated_at, cost_micros // 100 AS cost FROM v_matches)",
+    EVAL_SQL, *coverage_ctes(), _ANSWERS_SQL,
+    "tg AS (SELECT user_id, arg_min(embedding, vec_id) AS target FROM v_vectors GROUP BY user_id)",
+    "picked AS (SELECT * FROM (SELECT l.* REPLACE (coalesce(description, '') AS description), p.* EXCLUDE (user_id, salary_min, currency), row_number() OVER (PARTITION BY l.owner_id ORDER BY l.discovered_at DESC, l.job_id) AS n "
+    f"FROM ev l JOIN v_prefs p ON p.user_id = l.owner_id JOIN coverage cv ON cv.country = l.country AND cv.location = l.location WHERE ({BLOCKED}) IS NULL) WHERE n <= batch_size)",
+    f"tokens AS (SELECT p.*, target, CAST(ceil(length(concat_ws(chr(10), CASE WHEN target IS NULL THEN '' ELSE concat('Target of ', p.owner_id) END, {LISTING_SQL})) / 4.0::DOUBLE) AS BIGINT) AS k FROM picked p LEFT JOIN tg ON tg.user_id = p.owner_id)",
+    "priced AS (SELECT *, CAST(ceil((k + 200) * 0.75 + 700 * 4.5 + k * 0.02) AS BIGINT) AS estimate FROM tokens)",
+    "spend AS (SELECT user_id, sum(cost) AS spent FROM mt WHERE evaluated_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1)",
+    f"gated AS (SELECT p.owner_id AS user_id, p.job_id, estimate, notifications_enabled, notify_min, target, {', '.join('w_' + f for f in FACTORS)}, coalesce(spent, 0) + sum(estimate) OVER (PARTITION BY p.owner_id ORDER BY n) <= budget_micros AS affordable FROM priced p LEFT JOIN spend s ON s.user_id = p.owner_id)",
+    "judged AS (SELECT g.*, a.* EXCLUDE (job_id), CASE WHEN v.embedding IS NULL OR target IS NULL THEN role ELSE role * 0.6 + (list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(target AS DOUBLE[])) + 1) / 2 * 0.4 END AS role2, "
+    "CASE WHEN NOT affordable THEN 'over_budget' WHEN a.job_id IS NULL THEN 'no_answer' ELSE 'open' END AS outcome, "
+    f"CASE WHEN abs({' + '.join('w_' + f for f in FACTORS)} - 100) >= 0.001 THEN 'weight_total' WHEN NOT ({' AND '.join(f + ' BETWEEN 0 AND 1' for f in FACTORS)}) THEN 'factor_range' END AS problem "
+    "FROM gated g LEFT JOIN answers a ON a.job_id = g.job_id LEFT JOIN embeddings v ON v.vec_id = g.job_id)",
+    f"rated AS (SELECT *, {_group_score(FACTORS)} AS overall_score, {_group_score(QUALIFICATION)} AS qualification_score, {_group_score(INTEREST)} AS interest_score, "
+    "CASE WHEN outcome <> 'open' THEN outcome WHEN qualification_score IS NULL OR interest_score IS NULL THEN 'problem' ELSE 'scored' END AS o2 FROM judged)",
+)
+
+QUERIES = {f.__name__: f for f in (failure_streaks, open_streaks, repair_candidates, fair_claims, source_conflicts, evaluate_job)} | {"structured_places": structured_places, "duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
 
 ORACLE = {
+    "failure_streaks": sql("v_runs", "SELECT * FROM streaks", *STREAKS_SQL),
+    "open_streaks": sql("v_runs", "SELECT source_id, count(*) FILTER (WHERE failed AND breaks = last) AS streak FROM (SELECT *, max(breaks) OVER (PARTITION BY source_id) AS last FROM cut) GROUP BY 1", *STREAKS_SQL),
+    "repair_candidates": sql("v_runs v_candidates", "SELECT candidate_id, CASE WHEN coalesce(n, 0) > 0 AND status NOT IN ('Pending', 'Resolving') THEN 'Pending' ELSE status END AS next_status, coalesce(n, 0) AS resets "
+        "FROM v_candidates k LEFT JOIN (SELECT source_id, count(*) AS n FROM streaks WHERE streak % 3 = 0 GROUP BY 1) s ON s.source_id = k.source_id", *STREAKS_SQL),
+    "fair_claims": sql("v_candidates", "SELECT candidate_id, user_id, place + coalesce(ahead, 0) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, candidate_id) AS place FROM q WHERE due) w "
+        "LEFT JOIN (SELECT user_id, count(*) AS ahead FROM q WHERE status = 'Resolving' AND NOT due GROUP BY 1) b USING (user_id) ORDER BY turn, created_at, candidate_id LIMIT 40",
+        f"q AS (SELECT * REPLACE (CASE WHEN candidate_id % 10 = 0 THEN user_id ELSE 3 END AS user_id), status = 'Pending' OR (status = 'Resolving' AND last_checked_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 15 MINUTE) AS due FROM v_candidates)"),
+    "source_conflicts": sql("v_candidates", "SELECT candidate_id, user_id, identity, holder FROM (SELECT *, arg_min(candidate_id, (created_at, candidate_id)) OVER (PARTITION BY user_id, identity) AS holder FROM "
+        "(SELECT *, concat('Lever:board', candidate_id % 30) AS identity FROM v_candidates WHERE status = 'Resolved')) WHERE candidate_id <> holder"),
+    "evaluate_job": EVALUATE_SQL,
     "structured_places": PLACES_SQL,
     "duplicate_pairs": sql("", "SELECT least(aj, bj) AS first_id, greatest(aj, bj) AS second_id, score FROM pairs", *LINKAGE_CTES),
     "duplicate_listings": "WITH RECURSIVE " + ", ".join([*LINKAGE_CTES, _SIDES, _BEST, _LINKS, _REACH]) +
