@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingspark.functions import gazetteer
-from listingspark.operators import linkage, places as place_ops, repair
+from listingspark.operators import linkage, places as place_ops, repair, vector_index
 from listingspark.operators.contracts import FACTORS, INTEREST, QUALIFICATION
 from listingspark.plans import evaluate
 from listingspark.session import cut_lineage
@@ -246,9 +246,20 @@ EVALUATE_SQL = sql(
     "CASE WHEN outcome <> 'open' THEN outcome WHEN qualification_score IS NULL OR interest_score IS NULL THEN 'problem' ELSE 'scored' END AS o2 FROM judged)",
 )
 
-QUERIES = {f.__name__: f for f in (failure_streaks, open_streaks, repair_candidates, fair_claims, source_conflicts, evaluate_job)} | {"structured_places": structured_places, "duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
+def vector_search(spark, sf):
+    """The ten nearest of all vectors to every fiftieth one."""
+    vectors = view(spark, sf, "embeddings")
+    index = vector_index.build_index(vectors, lists=64)
+    queries = vectors.filter("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding")
+    rows = vector_index.nearest(index, queries, k=10, probe=8, exact=True)
+    return rows.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), c("rank").cast("bigint").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (vector_search, failure_streaks, open_streaks, repair_candidates, fair_claims, source_conflicts, evaluate_job)} | {"structured_places": structured_places, "duplicate_pairs": duplicate_pairs, "duplicate_listings": duplicate_listings}
 
 ORACLE = {
+    "vector_search": "SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s, "
+        "row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 10",
     "failure_streaks": sql("v_runs", "SELECT * FROM streaks", *STREAKS_SQL),
     "open_streaks": sql("v_runs", "SELECT source_id, count(*) FILTER (WHERE failed AND breaks = last) AS streak FROM (SELECT *, max(breaks) OVER (PARTITION BY source_id) AS last FROM cut) GROUP BY 1", *STREAKS_SQL),
     "repair_candidates": sql("v_runs v_candidates", "SELECT candidate_id, CASE WHEN coalesce(n, 0) > 0 AND status NOT IN ('Pending', 'Resolving') THEN 'Pending' ELSE status END AS next_status, coalesce(n, 0) AS resets "
