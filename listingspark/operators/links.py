@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import SUPPORTED_VENDORS
-from ..functions.rows import with_once
+from ..functions.rows import firsts_by, with_once
 from ..functions.text import collapse, html_to_text, let
 from ..functions.urls import ATS_HOSTS, as_https, host_allowed, registrable_domain, resolve_url, url_struct, url_text
 
@@ -14,11 +14,10 @@ CAREER_TERMS = (
     "careers", "career", "jobs", "open positions", "open roles", "opportunities", "join us", "join our team",
     "work with us", "we're hiring", "we are hiring", "employment",
 )
+# What a link to a careers section says.
 CAREER_SIGNAL = r"(?i)career|job|hiring|open|role|position|vacanc|recruit|apply|talent|join|employment"
-POSTING_PATH = (
-    r"(?i)/(job|jobs|position|positions|opening|openings|role|roles|career|careers|vacancy|vacancies)"
-    r"(?![A-Za-z0-9_])[^?]*/[^/?]+|/[^/?]*-[0-9]{3,}"
-)
+# Path segments below which postings stand.
+POSTING_SEGMENTS = "job jobs position positions opening openings role roles career careers vacancy vacancies".split()
 
 # A start tag holds no raw "<". Its rest is matched possessively or in an atomic group, so that one that never ends
 # costs one look at the text up to the next "<", and a page of unclosed tags stays linear however long its tags are.
@@ -46,6 +45,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     return anchors(pages).select("page_id", "pos", "href", "text")
 
 
+def looks_like_posting(path: Column) -> Column:
+    """A segment whose first word names a list of postings, with something below it, or one that ends in a number of three digits or more."""
+
+    def below(p: Column) -> Column:
+        named = lambda i: F.regexp_extract(F.get(p, i), "^[a-z0-9_]*", 0).isin(*POSTING_SEGMENTS)
+        return F.exists(F.sequence(F.lit(1), F.size(p) - 1), lambda i: named(i) & (F.array_max(F.transform(F.slice(p, i + 2, F.size(p)), F.length)) > 0))
+
+    return path.rlike(r"/[^/]*-[0-9]{3,}") | let(F.split(F.lower(path), "/"), lambda p: F.when(F.size(p) > 2, F.coalesce(below(p), F.lit(False))).otherwise(False))
+
+
 def career_score(text: Column, path: Column, same_domain: Column) -> Column:
     """How much a link reads like a careers destination."""
 
@@ -63,15 +72,36 @@ def career_score(text: Column, path: Column, same_domain: Column) -> Column:
     return let(seen, rate) + F.when(~same_domain, 2).otherwise(0)
 
 
+def _anchor_entries(base: Column) -> Column:
+    """The anchors of ``html`` as an array of ``href, pos, text``; pages without any have an empty one."""
+    tags = F.regexp_extract_all(F.regexp_extract("html", r"(?is)^.*</a>", 0), F.lit(_ANCHOR), F.lit(0))
+    entry = lambda tag, i: F.struct(
+        as_https(resolve_url(F.regexp_extract(tag, _ANCHOR, 1), base)).alias("href"), i.alias("pos"),
+        collapse(F.regexp_replace(F.regexp_extract(tag, _ANCHOR, 2), r"<[^<>]+>", " ")).alias("text"),
+    )
+    return F.filter(F.transform(tags, entry), lambda a: a["href"].isNotNull())
+
+
 def rank_career_links(pages: DataFrame) -> DataFrame:
-    """Per page the links that lead to its careers section, best first; one row per URL."""
-    links = with_once(anchors(pages), target=url_struct(F.col("href")), home=registrable_domain(F.col("base.host")))
-    links = with_once(links, same=F.coalesce(registrable_domain(F.col("target.host")) == F.col("home"), F.lit(False)))
-    kept = links.filter(F.col("same") | F.col("target.host").rlike(ATS_HOSTS))
-    scored = with_once(kept, score=career_score(F.col("text"), F.col("target.path"), F.col("same"))).filter("score > 0")
-    best = scored.groupBy("page_id", "href").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), F.asc("pos"))
-    return best.withColumn("rank", F.row_number().over(order)).select("page_id", "href", "score", "rank")
+    """Per page the links that lead to its careers section, best first; one row per URL. All of it happens in the page's row."""
+    based = with_once(pages.select("page_id", "url", "html"), base=url_struct(F.col("url")))
+    found = with_once(based, links=_anchor_entries(F.col("base")), home=registrable_domain(F.col("base.host"))).select("page_id", "links", "home")
+
+    def rate(link: Column) -> Column:
+        def judge(target: Column) -> Column:
+            same = F.coalesce(registrable_domain(target["host"]) == F.col("home"), F.lit(False))
+            return let(same, lambda s: F.when(s | target["host"].rlike(ATS_HOSTS), career_score(link["text"], target["path"], s)))
+
+        return F.struct(link["href"].alias("href"), (-let(url_struct(link["href"]), judge)).alias("loss"), link["pos"].alias("pos"))
+
+    scored = with_once(found, scored=F.filter(F.transform("links", rate), lambda x: x["loss"] < 0)).select("page_id", "scored")
+    # both are ordered by href: the best score of each, and where it first occurs
+    best = firsts_by(F.col("scored"), "href")
+    place = firsts_by(F.transform("scored", lambda x: F.struct(x["href"].alias("href"), x["pos"].alias("pos"))), "href")
+    merged = F.array_sort(F.zip_with(best, place, lambda x, y: F.struct(x["loss"].alias("loss"), y["pos"].alias("pos"), x["href"].alias("href"))))
+    return scored.select("page_id", F.posexplode(merged).alias("place", "x")).select(
+        "page_id", F.col("x.href").alias("href"), (-F.col("x.loss")).alias("score"), (F.col("place") + 1).alias("rank")
+    )
 
 
 def _segments(parts: Column) -> Column:
@@ -114,76 +144,58 @@ def detect_vendor(url: Column) -> Column:
     return let(url_struct(url), rules)
 
 
-def candidate_urls(pages: DataFrame) -> DataFrame:
-    """URLs that may reveal a page's vendor, in the order they are believed.
-
-    The page's own URL, its redirect ``chain`` (an array column), embedded resources,
-    then anchors that present themselves as a careers link.
-    """
-    has_chain = "chain" in pages.columns
-    own = pages.select("page_id", F.lit(0).alias("tier"), F.lit(0).alias("pos"), F.col("url").alias("href"))
-    parts = own
-    if has_chain:
-        parts = parts.unionByName(
-            pages.select("page_id", F.lit(1).alias("tier"), F.posexplode("chain").alias("pos", "href"))
-        )
-    # bounded like the anchors; the first src or href of the tag counts
-    embed = rf"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^<>]*?(?:src|href)=[\"']([^\"']+)[\"']"
-    tags = pages.select("page_id", "url", F.regexp_extract_all(F.col("html"), F.lit(embed), F.lit(1)).alias("raws"))
-    raws = with_once(tags, base=url_struct(F.col("url"))).select(
-        "page_id", F.lit(2).alias("tier"), "base", F.posexplode("raws").alias("pos", "raw")
-    )
-    embeds = with_once(raws, href=resolve_url(F.col("raw"), F.col("base"))).select("page_id", "tier", "pos", "href")
-    bare = anchors(pages).filter(
-        F.col("text").rlike(CAREER_SIGNAL) | url_struct(F.col("href"))["path"].rlike(CAREER_SIGNAL)
-    ).select("page_id", F.lit(3).alias("tier"), "pos", "href")
-    return parts.unionByName(embeds).unionByName(bare).filter(F.col("href").isNotNull())
+_EMBED = r"(?is)<(?:script|iframe|link|embed)(?![A-Za-z0-9_])[^<>]*?(?:src|href)=[\"']([^\"']+)[\"']"
 
 
 def detect_ats(pages: DataFrame) -> DataFrame:
-    """The vendor board each page points to: the first candidate URL that names one."""
-    hits = with_once(candidate_urls(pages), hit=detect_vendor(F.col("href"))).filter(F.col("hit").isNotNull())
-    first = hits.groupBy("page_id").agg(F.min_by("hit", F.struct("tier", "pos")).alias("hit"))
-    return first.select(
-        "page_id", F.col("hit.vendor").alias("vendor"), F.col("hit.board").alias("board"),
-        F.col("hit.vendor").isin(*SUPPORTED_VENDORS).alias("supported"),
+    """The vendor board each page points to: the first URL that names one.
+
+    In the order they are believed: the page's own URL, its redirect ``chain`` (an array column), embedded
+    resources, then anchors that present themselves as a careers link. All of it happens in the page's row.
+    """
+    chain = F.coalesce("chain", F.array().cast("array<string>")) if "chain" in pages.columns else F.array().cast("array<string>")
+    based = with_once(pages.select("page_id", "url", "html", chain.alias("chain")), base=url_struct(F.col("url")))
+    # bounded like the anchors; the first src or href of the tag counts
+    embeds = F.transform(F.regexp_extract_all("html", F.lit(_EMBED), F.lit(1)), lambda raw: resolve_url(raw, F.col("base")))
+    signed = F.filter(_anchor_entries(F.col("base")), lambda a: a["text"].rlike(CAREER_SIGNAL) | url_struct(a["href"])["path"].rlike(CAREER_SIGNAL))
+    urls = F.concat(F.array("url"), "chain", embeds, F.transform(signed, lambda a: a["href"]))
+    hit = F.get(F.filter(F.transform(urls, detect_vendor), lambda v: v.isNotNull()), 0)
+    return with_once(based, hit=hit).filter("hit IS NOT NULL").select(
+        "page_id", F.col("hit.vendor").alias("vendor"), F.col("hit.board").alias("board"), F.col("hit.vendor").isin(*SUPPORTED_VENDORS).alias("supported"),
     )
 
 
 _START_TAG = rf"(?i)<a(?![A-Za-z0-9-])[^<>]*+>"
 
 
-def start_tags(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
-    """Start tags of a page with their position and the text that follows each up to the next one."""
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(0)).alias("tag"),
-        F.slice(F.split(F.col("html"), pattern, -1), F.lit(2), F.lit(2**30)).alias("after"),
-    )
-    tags = pages.select("page_id", "url", *keep, zipped.alias("tags"))
-    return with_once(tags, base=url_struct(F.col("url"))).select(
-        "page_id", *keep, "base", F.posexplode("tags").alias("pos", "t")
-    ).select("page_id", *keep, "base", "pos", F.col("t.tag").alias("tag"), F.col("t.after").alias("after"))
+def _tags(pages: DataFrame) -> DataFrame:
+    """Pages with the base of their links and, as arrays, their anchors' start tags."""
+    rows = pages.select("page_id", "url", F.regexp_extract_all(F.col("html"), F.lit(_START_TAG), F.lit(0)).alias("tags"), "html")
+    return with_once(rows, base=url_struct(F.col("url")))
 
 
-def _crawl_links(pages: DataFrame) -> DataFrame:
-    tags = with_once(start_tags(pages, _START_TAG), raw=F.regexp_extract("tag", rf"(?i){_HREF}", 1))
-    usable = tags.filter(F.col("raw") != "")
-    links = with_once(usable, href=resolve_url(F.col("raw"), F.col("base")), home=url_text(F.col("base")))
-    return links.filter(F.col("href").isNotNull() & host_allowed(F.col("href"), F.col("base.host")) & (F.col("href") != F.col("home")))
+def _may_follow(link: Column) -> Column:
+    return link["href"].isNotNull() & host_allowed(link["href"], F.col("base.host")) & (link["href"] != url_text(F.col("base")))
 
 
 def posting_links(pages: DataFrame) -> DataFrame:
-    """Same-site links whose path looks like one posting; the first occurrence of a URL is kept."""
-    links = _crawl_links(pages).filter(url_struct(F.col("href"))["path"].rlike(POSTING_PATH))
-    return links.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
+    """Same-site links whose path looks like one posting; the first occurrence of a URL is kept. No row leaves its page."""
+    raws = F.filter(F.transform("tags", lambda t, i: F.struct(F.regexp_extract(t, rf"(?i){_HREF}", 1).alias("raw"), i.alias("pos"))), lambda r: r["raw"] != "")
+    rows = with_once(_tags(pages).drop("html"), raws=firsts_by(raws, "raw")).drop("tags")  # a link is resolved once, however often it stands on the page
+    links = F.transform("raws", lambda r: F.struct(resolve_url(r["raw"], F.col("base")).alias("href"), r["pos"].alias("pos")))
+    kept = F.filter(links, lambda x: _may_follow(x) & looks_like_posting(url_struct(x["href"])["path"]))
+    return with_once(rows, links=firsts_by(kept, "href")).select("page_id", F.inline("links"))
 
 
 def next_page(pages: DataFrame) -> DataFrame:
-    """The first link a page marks as its next page: ``rel=next`` or the label "next"."""
-    label = F.regexp_extract("after", r"(?is)^(.*?)(?:</a(?![A-Za-z0-9_])|$)", 1)
-    is_next = F.col("tag").rlike(r"(?i)rel=[\"']next[\"']") | (F.lower(html_to_text(label)) == "next")
-    links = _crawl_links(pages).filter(is_next)
-    return links.groupBy("page_id").agg(F.min_by("href", "pos").alias("href"))
+    """The first link a page marks as its next page: ``rel=next`` or the label "next". No row leaves its page."""
+    after = F.slice(F.split(F.col("html"), _START_TAG, -1), F.lit(2), F.lit(2**30))
+    label = lambda text: F.regexp_extract(text, r"(?is)^(.*?)(?:</a(?![A-Za-z0-9_])|$)", 1)
+    marked = lambda tag, text: tag.rlike(r"(?i)rel=[\"']next[\"']") | (F.lower(html_to_text(label(text))) == "next")
+    raw = F.zip_with("tags", after, lambda tag, text: F.when(marked(tag, text), F.regexp_extract(tag, rf"(?i){_HREF}", 1)))
+    rows = with_once(_tags(pages), raws=F.array_distinct(F.filter(raw, lambda r: r.isNotNull() & (r != "")))).drop("tags", "html")
+    links = F.filter(F.transform("raws", lambda r: F.struct(resolve_url(r, F.col("base")).alias("href"))), _may_follow)
+    return with_once(rows, first=F.get(links, 0)).filter("first IS NOT NULL").select("page_id", "first.href")
 
 
 def page_evidence(pages: DataFrame, max_links: int | None = None, max_length: int | None = None) -> DataFrame:
@@ -235,6 +247,7 @@ def claims_grounded(claims: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+# What pages that test their visitor contain.
 CHALLENGE = (
     r"(?i)g-recaptcha|hcaptcha|cf-challenge|turnstile|verify you are (a )?human|are you a robot"
     r"|enable javascript and cookies to continue"
