@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.rows import with_once
 from ..functions.text import let, trim_all
 from ..functions.urls import registrable_domain, url_admitted, url_struct, url_text
+from ..operators.joins import spread_join
 
 FIELD_LIMIT = 200
 _HEADER = r"(?i)^(company|name|website|domain|url)$"
@@ -61,7 +62,7 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
         "list_id", F.col("first.line").alias("first_line"),
         F.when(F.forall("first.fields", lambda f: f.rlike(_HEADER)), F.col("first.fields")).alias("header"),
     )
-    rows = filled.join(headed, "list_id").filter(F.col("header").isNull() | (F.col("line") > F.col("first_line")))
+    rows = spread_join(filled, headed, "list_id", "line").filter(F.col("header").isNull() | (F.col("line") > F.col("first_line")))
 
     def position(pattern: str) -> Column:
         return F.array_position(F.transform("header", lambda h: h.rlike(pattern)), True)
@@ -81,6 +82,16 @@ def parse_seeds(lines: DataFrame) -> DataFrame:
     return with_once(picked, domain=domain)
 
 
+def _with_taken(marked: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The lines with the line that has their domain. Those without one have nothing to look up, and a domain that very many lines repeat is spread out."""
+    named = marked.filter(F.col("domain").isNotNull()).withColumn("key", F.xxhash64("list_id", "domain"))
+    held = accepted.select("list_id", "domain", "taken_at").withColumn("key", F.xxhash64("list_id", "domain")).select("key", "taken_at", F.col("domain").alias("held"), F.col("list_id").alias("of"))
+    found = spread_join(named, held.groupBy("key").agg(F.collect_list(F.struct("of", "held", "taken_at")).alias("held")), "key", "line", "left")
+    mine = F.filter("held", lambda h: (h["of"] == F.col("list_id")) & (h["held"] == F.col("domain")))
+    taken = found.withColumn("taken_at", F.get(mine, 0)["taken_at"]).drop("key", "held")
+    return taken.unionByName(marked.filter(F.col("domain").isNull()).withColumn("taken_at", F.lit(None).cast("int")))
+
+
 def import_seeds(lines: DataFrame, limit: int | None = None) -> DataFrame:
     """Every line with its outcome: ``imported`` or the reason it was rejected.
 
@@ -94,13 +105,13 @@ def import_seeds(lines: DataFrame, limit: int | None = None) -> DataFrame:
     takes = marked.filter("usable").groupBy("list_id", "domain").agg(F.min("line").alias("line"))
     if limit is None:
         accepted = takes.withColumnRenamed("line", "taken_at")
-        judged = marked.join(accepted, ["list_id", "domain"], "left").withColumn("full_at", F.lit(None).cast("int"))
+        judged = _with_taken(marked, accepted).withColumn("full_at", F.lit(None).cast("int"))
     else:
         order = Window.partitionBy("list_id").orderBy("line")
         placed = takes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
         accepted = placed.select("list_id", "domain", F.col("line").alias("taken_at"))
         last = placed.groupBy("list_id").agg(F.max(F.when(F.col("place") == limit, F.col("line"))).alias("full_at"))
-        judged = marked.join(accepted, ["list_id", "domain"], "left").join(last, "list_id", "left")
+        judged = spread_join(_with_taken(marked, accepted), last, "list_id", "line", "left")
     outcome = (
         F.when(F.col("domain").isNull(), "No domain found")
         .when(F.col("line") == F.col("taken_at"), "imported")

@@ -258,7 +258,7 @@ ORACLE = {
     "jsonld_postings": sql("v_feed", "SELECT n AS page_id, CAST(CASE n % 4 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS pos, concat('Role ', n % 97, CASE WHEN n % 9 = 0 THEN ' remote' ELSE '' END) AS title, url AS posting_url FROM v_feed"),
     "page_evidence": sql("v_feed", EVIDENCE_SQL),
     "claim_grounding": f"SELECT grounded, count(*) AS pages, CAST(sum(unsupported) AS BIGINT) AS unsupported FROM ({GROUND_SQL}) GROUP BY 1",
-    "find_listing_array": "SELECT doc_id AS payload_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/data/jobs' WHEN 2 THEN '/a~1b~0c/list' END AS jobs_path FROM documents",
+    "find_listing_array": "SELECT doc_id AS payload_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/data/jobs' WHEN 2 THEN '/a~1b~0c/list' WHEN 5 THEN repeat('/d', 120) END AS jobs_path FROM documents",
     "infer_field_map": "SELECT doc_id AS payload_id, ['/jobTitle','/name',NULL,'/Role','/positionName'][k] AS title, ['/absolute_url','/href',NULL,'/LINK','/url'][k] AS url, ['/id',NULL,NULL,'/reqId',NULL][k] AS id, ['/location/city','/office',NULL,'/city/text','/location_name'][k] AS location, "
         "['/content','/body',NULL,NULL,NULL][k] AS description, ['/created_at',NULL,NULL,NULL,'/updatedAt'][k] AS posted_at FROM (SELECT doc_id, doc_id % 5 + 1 AS k FROM documents)",
     "page_template": f"SELECT page_id AS request_id, CASE WHEN {HAS_PAGE} THEN concat(regexp_extract(u, '^([^?]*)', 1), '?', regexp_replace({PAGE_Q}, '(^|&)page=[^&]*', '\\1page={{page}}')) WHEN page_id % 5 = 2 THEN NULL ELSE u END AS url_template, "

@@ -211,6 +211,25 @@ def test_field_map(spark):
     assert got == {1: ("/title", "/url", "/location/city"), 2: (None, None, None)}
 
 
+def test_listing_arrays_at_any_depth(spark):
+    import json
+
+    jobs = [{"title": "a", "url": "u"}, {"jobTitle": "b", "link": "v", "n": 1}]
+    deep = jobs
+    for i in range(200):
+        deep = {f"k{i}": deep, "x": 1}
+    cases = {
+        "null": None, "text": "not json", "number": "5", "root": json.dumps(jobs), "one": json.dumps(jobs[:1]), "empty": "[]", "deep": json.dumps(deep),
+        "order": json.dumps({"z": {"list": jobs}, "a": jobs}), "escaped": json.dumps({"a/b~c": {"": jobs}}), "numbers": json.dumps({"a": [{"title": 1, "url": 2}] * 2, "b": jobs}),
+        "mixed": json.dumps({"a": [*jobs, 3]}), "blank": json.dumps([{"title": " ", "url": "u"}] * 2), "inside": json.dumps({"s": json.dumps({"l": jobs}), "o": {"p": jobs}}), "arrays": json.dumps([[jobs]]),
+    }
+    df = spark.createDataFrame(list(cases.items()), "payload_id string, payload string").repartition(3)
+    got = {r.payload_id: r.jobs_path for r in payloads.find_listing_array(df).collect()}
+    path = "/" + "/".join(f"k{i}" for i in reversed(range(200)))
+    assert got == dict.fromkeys(cases) | {"root": "", "deep": path, "order": "/z/list", "escaped": "/a~1b~0c/", "numbers": "/b", "inside": "/o/p"}
+    assert payloads.find_listing_array(df.limit(0)).collect() == []
+
+
 def test_scan_summary(spark):
     rows = [(1, 1, 10, False, True, True), (1, 2, 5, True, False, True), (2, 1, 4999, False, True, True), (2, 2, 1, False, True, True), (2, 3, 7, True, False, True),
             (3, 1, 3, False, False, True), (4, 1, 3, True, False, False)]
