@@ -218,18 +218,42 @@ def test_listing_arrays_at_any_depth(spark):
     deep = jobs
     for i in range(200):
         deep = {f"k{i}": deep, "x": 1}
+    abyss = '{"d":' * 100_000 + json.dumps(jobs) + "}" * 100_000
     cases = {
-        "null": None, "text": "not json", "number": "5", "root": json.dumps(jobs), "one": json.dumps(jobs[:1]), "empty": "[]", "deep": json.dumps(deep),
+        "null": None, "text": "not json", "number": "5", "root": json.dumps(jobs), "one": json.dumps(jobs[:1]), "empty": "[]", "deep": json.dumps(deep), "abyss": abyss, "torn": abyss[:-1],
         "order": json.dumps({"z": {"list": jobs}, "a": jobs}), "escaped": json.dumps({"a/b~c": {"": jobs}}), "numbers": json.dumps({"a": [{"title": 1, "url": 2}] * 2, "b": jobs}),
         "mixed": json.dumps({"a": [*jobs, 3]}), "blank": json.dumps([{"title": " ", "url": "u"}] * 2), "inside": json.dumps({"s": json.dumps({"l": jobs}), "o": {"p": jobs}}), "arrays": json.dumps([[jobs]]),
     }
     df = spark.createDataFrame(list(cases.items()), "payload_id string, payload string").repartition(3)
     got = {r.payload_id: r.jobs_path for r in payloads.find_listing_array(df).collect()}
     path = "/" + "/".join(f"k{i}" for i in reversed(range(200)))
-    assert got == dict.fromkeys(cases) | {"root": "", "deep": path, "order": "/z/list", "escaped": "/a~1b~0c/", "numbers": "/b", "inside": "/o/p"}
+    assert got == dict.fromkeys(cases) | {"root": "", "deep": path, "abyss": "/d" * 100_000, "order": "/z/list", "escaped": "/a~1b~0c/", "numbers": "/b", "inside": "/o/p"}
     assert payloads.find_listing_array(df.limit(0)).collect() == []
 
 
+def test_deep_reader_reads_as_the_usual_one():
+    import json
+    import random
+
+    rng = random.Random(1)
+    make = lambda n: rng.choice([1, -2.5, 'a"b{', "", None, True, [], {}]) if n == 0 else [make(n - 1) for _ in range(rng.randrange(3))] if rng.random() < 0.5 else {f"k{i}": make(n - 1) for i in range(rng.randrange(3))}
+    for _ in range(300):
+        text = json.dumps(make(4), indent=rng.choice([None, 1]))
+        assert payloads._read_deep(text) == json.loads(text)
+        torn = list(text)
+        torn[rng.randrange(len(torn))] = rng.choice('{}[],:" x')
+        torn = "".join(torn)
+        try:
+            want = json.loads(torn)
+        except ValueError:
+            want = ValueError
+        try:
+            got = payloads._read_deep(torn)
+        except ValueError:
+            got = ValueError
+        assert got == want, torn
+
+
 def test_scan_summary(spark):
     rows = [(1, 1, 10, False, True, True), (1, 2, 5, True, False, True), (2, 1, 4999, False, True, True), (2, 2, 1, False, True, True), (2, 3, 7, True, False, True),
             (3, 1, 3, False, False, True), (4, 1, 3, True, False, False)]
