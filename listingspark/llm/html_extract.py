@@ -1,10 +1,12 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into blocks of text, each under a root-to-leaf path of tags. Parts that are not the article by their
-kind go first: scripts, menus, asides and what is hidden. A form, or an element that a whole class name, its id or its role
+kind go first: scripts, menus, asides and what is hidden. A form, or an element that a class name, its id or its role
 calls so, goes only if it holds less than ``MINOR`` of the page's text and of its punctuation, and not all blocks of
 the content paths, as a wrapper of the article does; where a page has one article or main element, what lies beside it
-goes and what holds it stays. Over what is left, text
+goes and what holds it stays. Reader comments, which may be longer than the article, go as soon as the paragraphs beside them
+hold ``BESIDE`` of theirs: around an article there are menus, beside comments there is one. A class name calls an element so if it has a
+word for such a part and apart from that only words for pages and boxes (``cookie-bar``, but not ``with-sidebar``). Over what is left, text
 length and punctuation are added up per path and divided by the path's blocks; each path's figure is smoothed with
 those of the paths next to it on the page, the two figures are fused, and paths above a threshold, a share of the
 mean and deviation, are content. The smallest element that holds the content paths' blocks is the article; its
@@ -49,9 +51,20 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar aside menu nav navbar navigation breadcrumb breadcrumbs footer "
     "header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget "
-    "comment comments reply replies discussion disqus respond pagination pager toolbar skip hidden".split()
+    "comment comments reply replies discussion discussions disqus respond feedback pagination pager toolbar skip hidden".split()
 )
+# Of these, those for what readers write; words that say where a part is or what box it is; words for the article itself.
+COMMENT_WORDS = frozenset("comment comments reply replies discussion discussions disqus respond feedback".split())
+BOX_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary user users reader readers visitor visitors customer box bar area slot list section block wrap wrapper container thread threads "
+    "button buttons link links item items unit zone panel region group inner outer holder title form posts articles stories content article post entry story blog".split()
+)
+ARTICLE_WORDS = frozenset("content article post entry story blog".split())
+PAGE_WORDS = frozenset("site page global".split())
 MINOR = 0.5
+BESIDE = 0.05
+#: A paragraph has a sign of punctuation and this many characters.
+PARAGRAPH = 40
 HEADINGS = frozenset({"header", "masthead", "banner"})  # within an article, its own heading
 CONTENT_TAGS = frozenset({"html", "body", "article", "main"})
 
@@ -70,6 +83,7 @@ class Element:
     depth: int
     soft: Element | None = None  # the nearest element, itself or above, that only its share of the page tells from the article
     article: Element | None = None  # the outermost article or main element, itself or above
+    comments: bool = False  # called reader comments
 
 
 @dataclass(slots=True)
@@ -163,8 +177,23 @@ def _is_soft(tag: str, rest: str, parent: Element | None) -> bool:
     while above and above.tag not in ("article", "main"):
         above = above.parent
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-    said = [_WORD.findall(name) for name in names]  # all of a name's words must say so: cookie-notice, but not with-sidebar
-    return tag not in CONTENT_TAGS and any(parts and all(w in ASIDE_WORDS and not (above and w in HEADINGS) for w in parts) for parts in said)
+    return tag not in CONTENT_TAGS and any(_says_aside(name, above is not None) for name in names)
+
+
+def _says_aside(name: str, in_article: bool) -> bool:
+    words = set(_WORD.findall(name))
+    said = words & ASIDE_WORDS
+    if not said or not words <= ASIDE_WORDS | BOX_WORDS:
+        return False
+    if said <= HEADINGS:  # an article's own heading, in it or named after it
+        return not words & ARTICLE_WORDS and (not in_article or bool(words & PAGE_WORDS))
+    return True
+
+
+def _is_comments(rest: str) -> bool:
+    found = attributes(rest)
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    return any(_says_aside(name, False) and COMMENT_WORDS & set(_WORD.findall(name)) for name in names)
 
 
 def blocks(page: str) -> list[Block]:
@@ -206,7 +235,7 @@ def blocks(page: str) -> list[Block]:
                 if not new.article and tag in ("article", "main"):
                     new.article = new
                 if not new.aside and _is_soft(tag, rest, top):
-                    new.soft = new
+                    new.soft, new.comments = new, _is_comments(rest)
                 top = new
             continue
         above = top
@@ -255,9 +284,10 @@ def _without_minor(found: list[tuple[Element, str]]) -> list[tuple[Element, str]
     """Without the blocks of soft elements that hold a minor part of the page and not all of its content paths' blocks."""
     if not any(e.soft for e, _ in found):
         return found
-    sums: dict[int, list] = {}  # by element: text, punctuation, blocks of content paths, blocks of articles
+    sums: dict[int, list] = {}  # by element: text, punctuation, blocks of content paths, blocks of articles, text of paragraphs
     soft: dict[int, Element] = {}
-    whole = [0, 0, 0, 0]
+    whole = [0, 0, 0, 0, 0]
+    beside = 0  # text of paragraphs outside of all soft elements
 
     def add(to: Element | None, part: list) -> None:
         if to:
@@ -266,9 +296,12 @@ def _without_minor(found: list[tuple[Element, str]]) -> list[tuple[Element, str]
     for (e, t), content in zip(found, _content(found), strict=True):
         at = e.soft
         while at and id(at) not in soft:
-            soft[id(at)], sums[id(at)] = at, [0, 0, 0, 0]
+            soft[id(at)], sums[id(at)] = at, [0, 0, 0, 0, 0]
             at = at.parent.soft
-        part = [len(t), len(_PUNCTUATION.findall(t)), int(content), int(e.article is not None)]
+        marks = len(_PUNCTUATION.findall(t))
+        paragraph = len(t) if marks and len(t) >= PARAGRAPH else 0
+        part = [len(t), marks, int(content), int(e.article is not None), paragraph]
+        beside += paragraph if e.soft is None else 0
         whole = [a + b for a, b in zip(whole, part, strict=True)]
         add(e.soft, part)
     by_depth = sorted(soft.values(), key=lambda e: e.depth)
@@ -277,9 +310,11 @@ def _without_minor(found: list[tuple[Element, str]]) -> list[tuple[Element, str]
     one = len({id(e.article) for e, _ in found if e.article}) == 1
     gone = set()
     for e in by_depth:
-        text, marks, content, named = sums[id(e)]
+        text, marks, content, named, paragraphs = sums[id(e)]
         above = e.parent.soft
-        if one and not e.article:
+        if e.comments and beside and beside >= BESIDE * paragraphs:
+            minor = True
+        elif one and not e.article:
             minor = not named
         else:
             minor = text < MINOR * whole[0] and marks <= MINOR * whole[1] and content < whole[2]

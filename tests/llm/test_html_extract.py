@@ -84,3 +84,34 @@ def test_a_long_aside_beside_a_short_article_goes():
     ad = "<div class='ad'>Buy this, now, today. And that, too, tomorrow.</div>"
     assert H.main_text(f"{ad}<article><h1>Short one.</h1><p><b>Short one.<br></article>") == "Short one. Short one."
     assert H.main_text(f"<div class=modal>{ad}<main><p>Short one.</main></div>{ad}") == "Short one."
+
+
+PARTS = (
+    "comment-list user-comments post-comments comments-area discussion-thread feedback cookie-bar ad-slot site-nav main-menu site-footer page-header advertisement-box newsletter-box related-posts share-buttons"
+).split()
+OTHER = "<p>Other words that are not of it, in a sentence of some length; nobody asked for them.</p>"
+
+
+@pytest.mark.parametrize("name", PARTS)
+@pytest.mark.parametrize("tag", ["div", "section", "ul"])
+def test_named_parts_go_in_the_article_and_beside_it(name, tag):
+    part = f"<{tag} class='{name}'>{OTHER}</{tag}>"
+    for page in (f"<article>{BODY}{part}</article>", f"<article>{part}{BODY}</article>", f"<article>{BODY}</article>{part}", f"<div class=content>{BODY}{part}</div>", f"<div id=page>{part}<div>{BODY}</div></div>",
+                 f"<main><div>{BODY}</div><{tag} id={name}>{OTHER}</{tag}></main>"):
+        assert H.main_text(page) == TEXT, page
+
+
+@pytest.mark.parametrize("name", PARTS[:6])
+def test_comments_ten_times_the_article_go(name):
+    comments = f"<div class='{name}'>" + f"<div class=body>{OTHER}</div>" * 20 + "</div>"
+    for page in (f"<article>{BODY}</article>{comments}", f"<article>{BODY}{comments}</article>", f"<div>{BODY}{comments}</div>", f"<div><div>{BODY}</div>{comments}</div>",
+                 f"<div>{BODY}</div><section class='{name}'><h2>Comments</h2>" + f"<article class=comment>{OTHER}</article>" * 20 + "</section>"):
+        assert H.main_text(page) == TEXT, page
+
+
+@pytest.mark.parametrize("name", ["article-header", "entry-header", "post-header", "header"])
+def test_the_heading_of_an_article_stays(name):
+    head = f"<div class='{name}'><h1>Its heading, and more.</h1></div>"
+    assert H.main_text(f"<article>{head}{BODY}</article>") == f"Its heading, and more. {TEXT}"
+    if name != "header":
+        assert H.main_text(f"<div class=content>{head}{BODY}</div>") == f"Its heading, and more. {TEXT}"
