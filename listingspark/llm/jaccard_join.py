@@ -46,6 +46,8 @@ PAIR_COST = 40.0
 STAR_ROUNDS = 1
 #: Nodes of an entry that are compared in one task with as many others.
 BLOCK = 4096
+#: Pairs that leave a comparison at once.
+PAIRS = 50_000
 
 
 @dataclass(frozen=True)
@@ -267,38 +269,32 @@ def _near_pairs(mixed: DataFrame, texts: DataFrame, like: Likeness, best: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = [], None
-        found: set[tuple[int, int]] = set()
         for batch in batches:
             for key, i, j, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 if (key, i, j) != now:
-                    found |= _allowed(group, now, like, best)
+                    yield from _allowed(group, now, like, best)
                     group, now = [], (key, i, j)
-                    if len(found) > 50_000:
-                        yield _pair_batch(found)
-                        found = set()
                 group.append(row)
-        yield _pair_batch(found | _allowed(group, now, like, best))
+        yield from _allowed(group, now, like, best)
 
     ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.select("key", "i", "j", "node", "root", "own", "n", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    table = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-    return pa.record_batch([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
+def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group's rows ``node, root, own, n, bits`` whose parities allow a link: of different roots, and of both blocks if it has two.
 
-
-def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -> set[tuple[int, int]]:
-    """Pairs of a group's rows ``node, root, own, n, bits`` whose parities allow a link: of different roots, and of both blocks if it has two."""
+    They leave in batches of about ``PAIRS``, so that two full blocks in which all may link are never held.
+    """
     if len({row[1] for row in group}) < 2:
-        return set()
+        return
     cross = key[1] != key[2]
     least = min(len(row[4]) for row in group)
     marks = np.empty((len(group), least // 8), dtype=np.uint64)
     for k, row in enumerate(group):  # longer parities are folded to the shortest one's classes
         marks[k] = np.bitwise_xor.reduce(np.frombuffer(row[4], dtype=np.uint64).reshape(-1, least // 8), axis=0)
     node, root, own, n = (np.array([row[c] for row in group], dtype=np.int64) for c in range(4))
-    out: set[tuple[int, int]] = set()
+    firsts, seconds, held = [], [], 0
     for k in range(len(group)):
         others = np.flatnonzero((root > root[k]) & ((own != own[k]) if cross else True))
         if not len(others):
@@ -309,8 +305,14 @@ def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -
         if best and len(others):
             order = np.argsort(far, kind="stable")
             others = others[order][np.unique(root[others][order], return_index=True)[1]]
-        out |= {(min(x, y), max(x, y)) for x, y in zip([int(node[k])] * len(others), node[others].tolist(), strict=True)}
-    return out
+        firsts.append(np.minimum(node[others], node[k]))
+        seconds.append(np.maximum(node[others], node[k]))
+        held += len(others)
+        if held >= PAIRS or k == len(group) - 1:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in (firsts, seconds)], ["a", "b"])
+            firsts, seconds, held = [], [], 0
+    if firsts:
+        yield pa.record_batch([pa.array(np.concatenate(c)) for c in (firsts, seconds)], ["a", "b"])
 
 
 def clustered(docs: DataFrame, like: Likeness = Likeness(), layouts: dict[int, Layout] | None = None, star_rounds: int = STAR_ROUNDS) -> DataFrame:

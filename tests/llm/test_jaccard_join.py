@@ -154,3 +154,19 @@ def test_different_texts_of_one_id_stay(spark, documents, prose):
     kept = [(r.doc_id, r.text) for r in J.one_of_each(docs, J.Likeness(5, 80)).collect()]
     assert sorted(x for x in kept if x[0] != 7) == sorted([(3, prose(1, 50)), (5, prose(2, 50)), (6, prose(3, 50)), (6, prose(4, 50)), (8, ""), (8, prose(6, 50))])
     assert len([x for x in kept if x[0] == 7]) == 1
+
+
+def test_two_full_blocks_leave_in_small_batches():
+    import tracemalloc
+
+    from listingspark.llm import jaccard_join as J
+
+    tokens = [np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + i], dtype=np.uint64) for i in range(2 * 1024)]
+    group = [[i, i, i % 2, 10, J.parity(t)] for i, t in enumerate(tokens)]
+    tracemalloc.start()
+    total = largest = 0
+    for batch in J._allowed(group, (1, 0, 1), J.Likeness(size=4, percent=80), best=False):
+        total, largest = total + batch.num_rows, max(largest, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 1024 * 1024 and largest < J.PAIRS + len(group) and peak < 20_000_000
