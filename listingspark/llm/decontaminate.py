@@ -7,16 +7,18 @@ words count 1, different ones ``-MISMATCH``, and the best-scoring stretch is the
 
 A seed is a hash of the 4 words that a fixed mask selects; the words at the other places may differ. No leak is without
 a seed: a best stretch never scores below 0 on its way, so its first 10 equal words (9 and 8 in items of 12 and 11
-words) come with 4 different ones at most, and each of the 416 orders in which they can stand holds one of the two masks
-(``tests/llm/test_decontaminate.py`` goes through them). The masks are sums of shifts (``SHIFTS``), so a seed array is
+words) come with 4 different ones at most, and each of the 416 orders in which they can stand holds one of the two masks; items of
+8 to 10 words are looked up by the first mask and by runs of three words, of which every leak of theirs holds one
+(``tests/llm/test_decontaminate.py`` goes through all of them). The masks are sums of shifts (``SHIFTS``), so a seed array is
 made of passes over the word hashes, each joining a place with one a shift further on; masks share their first passes.
 
 The item side is broadcast in blocks of items with at most ``BLOCK_SEEDS`` seeds (about 16 MB); a larger benchmark
 takes several passes over the documents. Documents are only moved for hits.
 
 Defined cases: null and blank texts have no seeds; items with fewer words than ``SHORTEST`` leak by a run of all their
-words, whatever few they are, those with fewer than ``SPAN`` by runs of 8 words; which masks an item is looked up by
-depends on that item alone; rows and items are told apart by id and text, so equal rows are one and a null id stands;
+words, and are ``telling`` only with ``TELLING_WORDS`` words or ``TELLING_CHARS`` characters: a text that merely holds "yes" is reported but
+stays in the corpus; which masks an item is looked up by depends on that item alone; a very long text is compared with an item only along
+the diagonals that are hit; rows and items are told apart by id and text, so equal rows are one and a null id stands;
 equal overlaps go to the earliest place; other columns are ignored; empty tables give an empty result.
 """
 
@@ -30,21 +32,26 @@ from .texts import own_columns, written
 
 #: Masks as shifts: 11011 and 110000011.
 SHIFTS = ((0, 1, 3), (0, 1, 7))
-#: Runs of 8 words, for items of fewer than SPAN words.
-RUN = (1, 2, 4)
+#: Runs of 3 words, for items of fewer than SPAN words, which are looked up by the first mask as well.
+RUN = (1, 1)
 #: Runs of 1 to 7 words, each for items of as many words.
 WHOLE = ((), (1,), (1, 1), (1, 2), (1, 1, 2), (1, 2, 2), (1, 2, 3))
 SPAN = 11
 SHORTEST = 8
+TELLING_WORDS = 4
+TELLING_CHARS = 20
 MISMATCH = 2
 MATCHES = 10
 SHARE = 0.7
 BLOCK_SEEDS = 1_000_000
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def word_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
 def _joined(hashes: str, shift: int) -> Column:
@@ -89,14 +96,16 @@ def row_key(id_: str = "doc_id") -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaks: ``row_key, doc_id, item_id, matches, length, doc_start, item_start, item_words``, the best for each row and item."""
-    named = own_columns(benchmark, "item_id", "text").select(row_key("item_id").alias("item_key"), "item_id", word_hashes(F.col("text")).alias("_words"))
+    """Leaks: ``row_key, doc_id, item_id, matches, length, doc_start, item_start, item_words, telling``, the best for each row and item."""
+    telling = (F.size(_words(F.col("text"))) >= TELLING_WORDS) | (F.length(F.array_join(_words(F.col("text")), " ")) >= TELLING_CHARS)
+    named = own_columns(benchmark, "item_id", "text").select(row_key("item_id").alias("item_key"), "item_id", word_hashes(F.col("text")).alias("_words"), telling.alias("telling"))
     items = written(named.withColumn("item_words", F.size("_words")).filter(F.col("item_words") > 0).dropDuplicates(["item_key"]), "items")
     sizes = {r[0] for r in items.select(F.least("item_words", F.lit(SPAN))).distinct().collect()}
     short = [n for n in sorted(sizes) if n < SHORTEST]
     masks = SHIFTS + ((RUN,) if any(SHORTEST <= n < SPAN for n in sizes) else ()) + tuple(WHOLE[n - 1] for n in short)
     at = {n: len(masks) - len(short) + k for k, n in enumerate(short)} | {n: len(SHIFTS) for n in range(SHORTEST, SPAN)}
-    own_mask = F.when(F.col("item_words") >= SPAN, F.col("mask") < len(SHIFTS)).otherwise(F.col("mask") == F.element_at(F.create_map(*[F.lit(x) for n in at.items() for x in n]), F.col("item_words")))
+    by_size = F.col("mask") == F.element_at(F.create_map(*[F.lit(x) for n in at.items() for x in n]), F.col("item_words"))
+    own_mask = F.when(F.col("item_words") >= SPAN, F.col("mask") < len(SHIFTS)).otherwise(by_size | ((F.col("item_words") >= SHORTEST) & (F.col("mask") == 0)))
     blocks = int((items.agg(F.sum("item_words")).first()[0] or 0) * len(masks) // BLOCK_SEEDS) + 1
     rows = own_columns(docs, "doc_id", "text").filter(F.col("text").isNotNull())
     spots = placed(rows.select(row_key().alias("row_key"), word_hashes(F.col("text")).alias("_words")), masks, "row_key")
@@ -118,10 +127,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = F.when(F.col("item_words") < SHORTEST, F.col("item_words")).otherwise(F.least(F.lit(MATCHES), F.ceil(F.col("item_words") * SHARE)))
     leaks = best.filter(F.col("best.matches") >= enough)
     order = F.struct(F.col("best.matches").alias("m"), (-F.col("best.first") - F.col("diagonal")).alias("p"), F.col("best.first").alias("f"), F.col("best.last").alias("l"), F.col("diagonal").alias("d"))
-    top = leaks.groupBy("row_key", "doc_id", "item_key", "item_id", "item_words").agg(F.max(order).alias("t"))
+    top = leaks.groupBy("row_key", "doc_id", "item_key", "item_id", "item_words", "telling").agg(F.max(order).alias("t"))
     return top.select(
         "row_key", "doc_id", "item_id", F.col("t.m").cast("long").alias("matches"), (F.col("t.l") - F.col("t.f") + 1).cast("long").alias("length"),
-        (F.col("t.f") + F.col("t.d")).cast("long").alias("doc_start"), F.col("t.f").cast("long").alias("item_start"), F.col("item_words").cast("long").alias("item_words"),
+        (F.col("t.f") + F.col("t.d")).cast("long").alias("doc_start"), F.col("t.f").cast("long").alias("item_start"), F.col("item_words").cast("long").alias("item_words"), "telling",
     )
 
 
@@ -145,7 +154,7 @@ def _best(words: Column, item: Column, diagonal: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, all their columns as they were."""
-    leaks = overlaps(docs, benchmark).select("row_key").distinct()
+    """The rows of ``docs`` without a telling leak, all their columns as they were."""
+    leaks = overlaps(docs, benchmark).filter("telling").select("row_key").distinct()
     whole = docs.select(row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return whole.join(leaks, "row_key", "left_anti").select("_row.*")

@@ -58,7 +58,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return leaks.select("doc_id", "item_id", "matches", "length", "doc_start", "item_start", "item_words")
+    return leaks.select("doc_id", "item_id", "matches", "length", "doc_start", "item_start", "item_words", "telling")
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,6 @@ def words(text):
 def by_hand(docs, items):
     """Best overlap of every text and item over all diagonals that share eight words of some mask."""
     masks = [sorted({a * x + b * y + c * z for x in (0, 1) for y in (0, 1) for z in (0, 1)}) for a, b, c in D.SHIFTS]
-    if any(D.SHORTEST <= len(words(t)) < D.SPAN for _, t in items):
-        masks.append(list(range(8)))
     out = {}
     for key, text in docs:
         w = words(text)
@@ -63,10 +61,37 @@ def test_equals_by_hand(spark, documents, items, odd, prose):
         assert (6 * k, k) in got and (k == 4 or (6 * k + 1, k) in got)
 
 
-def test_short_items_are_found_by_runs(spark, documents, prose):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota")], "item_id bigint, text string")
-    docs = documents([(1, prose(1, 9) + " Alpha beta gamma delta epsilon; zeta eta theta iota"), (2, "alpha beta gamma delta x zeta eta theta iota"), (3, prose(2, 40))])
-    assert [(r.doc_id, r.matches, r.doc_start, r.item_words) for r in D.overlaps(docs, bench).collect()] == [(1, 9, 9, 9)]
+def test_items_of_eight_to_ten_words_follow_the_same_rule(spark, documents, prose):
+    whole = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = [(n, " ".join(whole[:n])) for n in (8, 9, 10)]
+    rng = random.Random(4)
+    docs = [prose(1, 9) + " Alpha beta gamma delta epsilon; zeta eta theta iota kappa " + prose(3, 4), "alpha beta gamma delta x zeta eta theta iota kappa", "alpha beta x delta epsilon y eta theta", prose(2, 40)]
+    for _ in range(60):
+        docs.append(" ".join(w if rng.random() < 0.75 else "x" for w in whole) + " " + prose(rng.randrange(99), 3))
+    docs = list(enumerate(docs))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(documents(docs), bench).collect()}
+    assert got == by_rule(docs, items) and {(0, 10), (1, 10), (1, 9), (2, 8)} <= got
+
+
+def test_every_leak_of_a_short_item_holds_a_seed():
+    masks = [[0, 1, 3, 4], [0, 1, 2]]
+    seen = 0
+    for n in range(D.SHORTEST, D.SPAN):
+        for bits in range(1 << n):
+            same = [bool(bits >> i & 1) for i in range(n)]
+            best = max((sum(1 if s else -D.MISMATCH for s in same[a:b]), sum(same[a:b])) for a in range(n) for b in range(a + 1, n + 1))
+            if best[0] > 0 and best[1] >= min(D.MATCHES, -(-n * 7 // 10)):
+                seen += 1
+                assert any(all(i + k < n and same[i + k] for k in m) for m in masks for i in range(n)), same
+    assert seen > 50
+
+
+def test_a_word_of_a_benchmark_does_not_empty_the_corpus(spark, documents, prose):
+    bench = spark.createDataFrame([(1, "yes"), (2, "in Paris"), (3, "the cat sat down"), (4, "antidisestablishmentarianism")], "item_id bigint, text string")
+    docs = documents([(1, prose(1, 9) + " yes"), (2, "It is in Paris."), (3, "So the cat sat down, yes?"), (4, "On antidisestablishmentarianism"), (5, prose(2, 9))])
+    assert sorted((r.doc_id, r.item_id, r.telling) for r in D.overlaps(docs, bench).collect()) == [(1, 1, False), (2, 2, False), (3, 1, False), (3, 3, True), (4, 4, True)]
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == [1, 2, 5]
 
 
 def test_blocks_give_the_same(spark, documents, items, prose, monkeypatch):
