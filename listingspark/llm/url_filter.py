@@ -1,37 +1,41 @@
 """URL filters: rules first, then a ratio of two character language models.
 
 URLs that a rule decides are the examples: one smoothed variable-order Markov model is counted from the allowed ones
-and one from the blocked ones. A character's probability after the ``ORDER`` characters before it is blended with that
-after fewer characters, the more the rarer the longer context is (Witten-Bell). The verdict of any other URL is the
-log-likelihood difference per character against a threshold calibrated on the examples: where two normal curves with
-the examples' means and deviations err alike.
-
-Characters fall into ``len(ALPHABET) + 2`` classes, so the model is a table of that many to the power ``ORDER + 1``
-numbers whatever the input; it enters the plan as a scalar subquery, an array indexed by class, and URLs are judged
-in their row: no join, no shuffle, no Python.
-
-Defined cases: null and URLs without ``://`` have an empty host and path and are judged like any other; a rule table
-that leaves one model without examples makes every difference 0, which allows; equal rows get equal results; other
+and one from the blocked ones, over all characters of the whole URL behind its scheme, query and fragment included. A character's
+probability after the ``ORDER`` characters before it is blended with that after fewer characters, the more the rarer the longer
+context is (Witten-Bell). The verdict of any other URL is the log-likelihood difference per character against a threshold calibrated
+on the examples: where two normal curves with the examples' means and deviations err alike.
+
+The models are tables of contexts and characters, as large as the examples make them. Every different run of ``ORDER + 1`` characters
+of all URLs gets its weight from them, one join an order, from the longest run and its context to shorter ones; a URL's weights are
+joined by run, with the runs that very many URLs have spread over tasks, and added up. No Python, and nothing but a few
+sums reaches the driver.
+
+Defined cases: null and URLs without ``://`` have an empty host and path; they are judged by all their characters, null as an empty text; a rule table
+that leaves one model without examples makes every difference 0, which allows; equal rows get equal results; a very long URL is read whole; other
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listingspark.functions.rows import with_once
+from listingspark.functions.text import let
+from listingspark.operators.joins import spread_join
 
-from .texts import own_columns
+from .texts import own_columns, written
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_"  # any digit counts as 0, any other character as class 0
-EDGE = len(ALPHABET) + 1  # the class of the places before the first and after the last character
-CLASSES = len(ALPHABET) + 2
-ORDER = 2
+#: Characters of context.
+ORDER = 4
+#: Places before the first and after the last character.
+BEGIN, END = "\x02", "\x03"
+#: One in so many: a character that no example has.
+CHARACTERS = 65_536
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -51,47 +55,39 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def _classes(text: Column) -> Column:
-    """Classes of all characters, with the edge before and behind."""
-    plain = F.regexp_replace(F.lower(text), "[0-9]", "0")
-    inner = F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.concat(F.array(*[F.lit(EDGE)] * ORDER), inner, F.array(F.lit(EDGE)))
-
-
-def _grams(classes: Column) -> Column:
-    """Number of each run of ``ORDER + 1`` classes."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(classes) - (ORDER + 1)),
-        lambda i: reduce(lambda a, k: a * CLASSES + F.get(classes, i + k), range(1, ORDER + 1), F.get(classes, i)),
-    )
-
-
-def _log_probabilities(counts: DataFrame, label: str) -> DataFrame:
-    """``gram, logp`` of every possible run, smoothed from the counts of one label."""
-    own = counts.filter(F.col("label") == label).select("gram", "n")
-    every = counts.sparkSession.range(CLASSES ** (ORDER + 1), numPartitions=1).withColumnRenamed("id", "gram")
-    rows = every.withColumn("p", F.lit(1.0 / CLASSES))
-    for length in range(ORDER + 1):  # the last `length` classes before the character
-        size = CLASSES ** (length + 1)
-        seen = own.groupBy((F.col("gram") % size).alias("run")).agg(F.sum("n").alias("seen"))
-        context = seen.groupBy(F.floor(F.col("run") / CLASSES).cast("long").alias("context")).agg(F.sum("seen").alias("all"), F.count("*").alias("kinds"))
-        rows = rows.withColumn("run", F.col("gram") % size).withColumn("context", F.floor(F.col("run") / CLASSES).cast("long"))
-        rows = rows.join(seen, "run", "left").join(context, "context", "left")
-        blended = (F.coalesce("seen", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("all") + F.col("kinds"))
-        rows = rows.select("gram", F.coalesce(blended, "p").alias("p"))
-    return rows.select("gram", F.log("p").alias("logp"))
-
-
-def model_weights(examples: DataFrame) -> DataFrame:
-    """One row, one array: the log-likelihood difference of each run. ``examples``: ``label`` (allow, block), ``classes``."""
-    grams = examples.select("label", F.explode(F.transform(_grams(F.col("classes")), lambda g: g.cast("long"))).alias("gram"))
-    counts = grams.groupBy("label", "gram").agg(F.count("*").alias("n"))
-    allowed = _log_probabilities(counts, "allow").withColumnRenamed("logp", "a")
-    blocked = _log_probabilities(counts, "block").withColumnRenamed("logp", "b")
-    both = counts.agg(F.count_distinct("label").alias("labels"))
-    pairs = allowed.join(blocked, "gram").select(F.struct("gram", (F.col("a") - F.col("b")).alias("w")).alias("pair"))
-    whole = pairs.agg(F.transform(F.array_sort(F.collect_list("pair")), lambda p: p["w"]).alias("w"))
-    return whole.select(F.when(both.scalar() == 2, F.col("w")).otherwise(F.array_repeat(F.lit(0.0), CLASSES ** (ORDER + 1))).alias("w"))
+def _runs(url: Column, host: Column) -> Column:
+    """All runs of ``ORDER + 1`` characters of the URL behind its scheme, the host in small letters; one for an empty text."""
+    text = F.coalesce(url, F.lit(""))
+    rest = F.when(text.contains("://"), F.concat(host, F.regexp_replace(text, r"(?s)^.*?://[^/?#]*", ""))).otherwise(text)
+    characters = F.concat(F.array(*[F.lit(BEGIN)] * ORDER), F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0)), F.array(F.lit(END)))
+    return let(characters, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - ORDER), lambda i: F.array_join(F.slice(c, i, ORDER + 1), "")))
+
+
+_LABELS = ("allow", "block")
+
+
+def run_weights(every: DataFrame, examples: DataFrame) -> DataFrame:
+    """``run, weight`` of every run in ``every``: the log-likelihood difference of its last character. ``examples``: ``label, run``."""
+    n = {label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0)).alias(f"n_{label}") for label in _LABELS}
+    counts = written(examples.groupBy("label", "run").agg(F.count("*").alias("n")), "url-runs")
+    rows = every.select("run", *[F.lit(1.0 / CHARACTERS).alias(f"p_{label}") for label in _LABELS])
+    for length in range(ORDER + 1):  # characters of context
+        tail = F.substr("run", F.lit(ORDER + 1 - length))
+        seen = counts.withColumn("tail", tail).groupBy("tail").agg(*n.values())
+        kinds = [F.count_if(F.col(f"n_{label}") > 0).alias(f"kinds_{label}") for label in _LABELS]
+        context = seen.groupBy(F.substr("tail", F.lit(1), F.lit(length)).alias("context")).agg(*[F.sum(f"n_{label}").alias(f"all_{label}") for label in _LABELS], *kinds)
+        rows = rows.withColumn("tail", tail).withColumn("context", F.substr(tail, F.lit(1), F.lit(length)))
+        if length:
+            rows = spread_join(rows.join(seen, "tail", "left"), context, "context", "run", "left")
+        else:  # one context, the empty one
+            total = {name: context.select(name).scalar() for name in context.columns[1:]}
+            rows = rows.join(seen, "tail", "left").withColumns({name: F.coalesce(v, F.lit(0)) for name, v in total.items()})
+        blended = {
+            f"p_{label}": F.when(F.coalesce(f"all_{label}", F.lit(0)) > 0, (F.coalesce(f"n_{label}", F.lit(0)) + F.col(f"kinds_{label}") * F.col(f"p_{label}")) / (F.col(f"all_{label}") + F.col(f"kinds_{label}")))
+            .otherwise(F.col(f"p_{label}")) for label in _LABELS
+        }
+        rows = rows.select("run", *[p.alias(name) for name, p in blended.items()])
+    return rows.select("run", (F.log("p_allow") - F.log("p_block")).alias("weight"))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -99,10 +95,12 @@ def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     host, path = url_parts(F.col("url"))
     rows = with_once(own_columns(pages, "page_id", "url"), host=host, path=path)
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = with_once(rows, rule=name, label=says, classes=_classes(F.concat("host", "path"))).select("page_id", "host", "path", "rule", "label", "classes")
-    weights = model_weights(rows.filter(F.col("label").isNotNull()).select("label", "classes")).scalar()
-    total = F.aggregate(_grams(F.col("classes")), F.lit(0.0), lambda s, g: s + F.get("_weights", g))
-    scored = with_once(rows.withColumn("_weights", weights), score=total / (F.size("classes") - ORDER)).drop("classes", "_weights")
+    rows = written(with_once(rows, rule=name, label=says).withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    runs = rows.select("row", "label", F.explode(_runs(F.col("url"), F.col("host"))).alias("run"))
+    weights = written(run_weights(runs.select("run").distinct(), runs.filter("label IS NOT NULL").select("label", "run")), "url-weights")
+    mean = spread_join(runs.select("row", "run"), weights, "run", "row").groupBy("row").agg(F.avg("weight").alias("score"))
+    both = rows.agg(F.count_distinct("label").alias("n")).scalar() == 2
+    scored = written(rows.join(mean, "row").withColumn("score", F.when(both, F.col("score")).otherwise(F.lit(0.0))).drop("row", "url"), "url-scores")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("label", F.when(F.col("score") >= threshold(scored).scalar(), "allow").otherwise("block")).alias("verdict"), "score")
 
 

@@ -26,19 +26,21 @@ def rule(host, path):
     return max(fits, key=lambda r: len(r[0])) if fits else (None, None)
 
 
-def classes(text):
-    found = [U.ALPHABET.find("0" if c.isascii() and c.isdigit() else c) + 1 for c in text.lower()]
-    return [U.EDGE] * U.ORDER + found + [U.EDGE]
+def characters(url, host):
+    text = url or ""
+    if "://" in text:
+        text = host + re.sub(r"(?s)^[^/?#]*", "", text.split("://", 1)[1])
+    return [U.BEGIN] * U.ORDER + list(text) + [U.END]
 
 
 def by_hand(urls):
     rows = [(*parts(u), *rule(*parts(u))) for u in urls]
-    seqs = [classes(h + p) for h, p, _, _ in rows]
+    seqs = [characters(u, r[0]) for u, r in zip(urls, rows, strict=True)]
     grams = lambda s: [tuple(s[i : i + U.ORDER + 1]) for i in range(len(s) - U.ORDER)]
     counts = {y: Counter(g for s, r in zip(seqs, rows, strict=True) if r[3] == y for g in grams(s)) for y in ("allow", "block")}
 
     def probability(count, gram):
-        p = 1 / U.CLASSES
+        p = 1 / U.CHARACTERS
         for k in range(U.ORDER + 1):
             context, last = gram[U.ORDER - k : U.ORDER], gram[-1]
             same = {g: n for g, n in count.items() if g[U.ORDER - k : U.ORDER] == context}
@@ -79,3 +81,20 @@ def test_without_examples_all_is_allowed(spark):
 def test_plan_is_native(spark):
     plan = U.judged(spark.createDataFrame([(1, "x")], "page_id bigint, url string"), URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
+def test_query_and_other_scripts_count(spark):
+    """URLs that differ only behind the path, or in letters that are not Latin, are told apart."""
+    rules = [("net", "/", "block"), ("org", "/", "allow")]
+    urls = [f"https://a{i}.net/x?casino={i}" for i in range(20)] + [f"https://b{i}.org/x?lesson={i}" for i in range(20)]
+    urls += [f"https://\u043a\u0430\u0437\u0438\u043d\u043e{i}.net/" for i in range(20)] + [f"https://\u0443\u0440\u043e\u043a{i}.org/" for i in range(20)]
+    asked = ["https://c.io/x?casino=1", "https://c.io/x?lesson=1", "https://\u043a\u0430\u0437\u0438\u043d\u043e.io/ab", "https://\u0443\u0440\u043e\u043a.io/ab", "https://%%%%%%.io/ab"]
+    rows = U.judged(spark.createDataFrame(list(enumerate(urls + asked)), "page_id bigint, url string"), rules).orderBy("page_id").collect()[-5:]
+    scores = [r.score for r in rows]
+    assert scores[0] < scores[1] and scores[2] < scores[3] and len(set(scores)) == 5
+    assert [r.verdict for r in rows[:4]] == ["block", "allow", "block", "allow"]
+
+
+def test_a_very_long_url(spark):
+    urls = [(1, "https://a.net/" + "x" * 200_000), (2, "https://b.org/fr/" + "\U0001f600" * 1000), (3, "https://c.io/")]
+    assert len(U.judged(spark.createDataFrame(urls, "page_id bigint, url string"), URL_RULES).collect()) == 3
