@@ -1,14 +1,18 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A text is read as words of letters and digits, A-Z lower-cased. What is compared are its lines, its paragraphs (lines
-between blank ones) and the whole of it: each as the set of its word bigrams, against each template's. The coefficient
-2|A and B| / (|A| + |B|) reaches the threshold t only if the sizes are within a factor of t / (2 - t) of each other,
-which leaves few templates to compare; and only if that share of the unit's bigrams occurs in some template at all,
-which is counted for all units of many texts at once and leaves few units to compare.
-
-Defined cases: null and blank texts have no licence; a unit of one word has no bigram; equal coefficients go to the
-first template by name, then to the earliest and smallest unit; equal texts get equal results; other columns are
-ignored; an empty table gives an empty result.
+A text is read as words of letters and digits, A-Z lower-cased, so line breaks and comment marks between words do not
+count. Its windows of consecutive words, wherever they begin and end, are compared with the templates: each as the set of
+its word bigrams. The coefficient 2|A and B| / (|A| + |B|) reaches the threshold t only if A and B share t / (2 - t) of
+the template's bigrams, and the window has no more than (2 - t) / t as many as the template. The first bound, counted for
+all templates and many texts at once, leaves few templates to a text; the second ends each window's growth. Only windows
+whose first and last bigram are the template's and occur once in them are looked at: every other window has the set of
+such a one, or a worse coefficient. So nothing that reaches the threshold is missed. Statements and notices that differ
+only in the licence's name count only where that name stands in the window.
+
+Defined cases: null and blank texts have no licence; a text of one word has no bigram; equal coefficients go to the
+first licence by name, then to the earliest of those windows and the shortest; of windows that overlap, the better one counts; very
+long texts are read whole, one at a time; equal texts get equal results; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -56,6 +60,10 @@ GNU_NOTICE = (
     "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
     "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
 )
+GNU = (
+    ("GPL-2.0", "GNU General Public License", 2), ("GPL-3.0", "GNU General Public License", 3),
+    ("LGPL-3.0", "GNU Lesser General Public License", 3), ("AGPL-3.0", "GNU Affero General Public License", 3),
+)
 BSD_HEAD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
     "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
@@ -96,10 +104,6 @@ TEXTS = {
     ),
     "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
     "BSD-3-Clause": BSD_HEAD + BSD_THIRD + BSD_TAIL,
-    "GPL-2.0": GNU_NOTICE.format("GNU General Public License", 2, "GNU General Public License"),
-    "GPL-3.0": GNU_NOTICE.format("GNU General Public License", 3, "GNU General Public License"),
-    "LGPL-3.0": GNU_NOTICE.format("GNU Lesser General Public License", 3, "GNU Lesser General Public License"),
-    "AGPL-3.0": GNU_NOTICE.format("GNU Affero General Public License", 3, "GNU Affero General Public License"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
         "https://mozilla.org/MPL/2.0/."
@@ -114,92 +118,196 @@ TEXTS = {
 }
 
 
-def templates() -> list[tuple[str, str]]:
-    """Licence and text of every template: whole texts, and each statement with each name."""
-    made = [(name, text) for name, text in TEXTS.items()]
-    made += [(name, form.format(alias)) for name, aliases in NAMES.items() for alias in aliases for form in STATEMENTS]
-    return made + [(name, f"SPDX-License-Identifier: {name}") for name in NAMES]
+@dataclass(frozen=True)
+class Template:
+    licence: str
+    text: str
+    #: What a window must hold whole, besides reaching the threshold.
+    name: str = ""
+
+
+def templates() -> list[Template]:
+    """Whole texts and notices, each statement with each name, and identifiers."""
+    made = [Template(licence, text) for licence, text in TEXTS.items()]
+    made += [Template(licence, GNU_NOTICE.format(name, version, name), f"{name} version {version}") for licence, name, version in GNU]
+    made += [Template(licence, form.format(name), name) for licence, names in NAMES.items() for name in names for form in STATEMENTS]
+    return made + [Template(licence, f"SPDX-License-Identifier: {licence}", f"Identifier: {licence}") for licence in NAMES]
+
+
+def _bigrams(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    words, _ = hashed_words(data, np.array([0, len(data)]), plain=True)
+    return np.unique(_pairs(words))
 
 
-def _bigrams(text: bytes) -> np.ndarray:
-    words, _ = hashed_words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), plain=True)
-    return np.unique(mix(words[:-1] * np.uint64(3) + words[1:])) if len(words) > 1 else words[:0]
+def _pairs(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
 
 
 @dataclass(frozen=True)
-class Templates:
-    names: list[str]
-    sets: list[np.ndarray]
+class Known:
+    """Templates ready for the scan: which bigrams there are, and which templates have each."""
+
+    licences: list[str]
     sizes: np.ndarray
     vocabulary: np.ndarray
+    #: By template: its bigrams as places in the vocabulary, and those of its name.
+    sets: list[np.ndarray]
+    musts: list[np.ndarray]
+    #: By bigram: its templates, one after the other.
+    begins: np.ndarray
+    members: np.ndarray
 
     @classmethod
-    def of(cls, pairs: Sequence[tuple[str, str]]) -> Templates:
-        both = sorted(((len(s), n, s) for n, s in ((n, _bigrams(t.encode())) for n, t in pairs) if len(s)), key=lambda x: x[:2])
-        sets = [s for _, _, s in both]
-        return cls([n for _, n, _ in both], sets, np.array([len(s) for s in sets]), np.unique(np.concatenate(sets)))
-
-    def best(self, unit: bytes, threshold: float) -> tuple[float, str] | None:
-        """Highest coefficient and licence of a unit, if it reaches the threshold."""
-        own = _bigrams(unit)
-        factor = threshold / (2 - threshold)
-        low, high = np.searchsorted(self.sizes, [len(own) * factor - 1e-9, len(own) / factor + 1e-9])
-        found = None
-        for k in range(low, high if len(own) else low):
-            dice = 2 * len(np.intersect1d(own, self.sets[k], assume_unique=True)) / (len(own) + len(self.sets[k]))
-            if dice >= threshold and (found is None or (-dice, self.names[k]) < (-found[0], found[1])):
-                found = dice, self.names[k]
-        return found
+    def of(cls, made: Sequence[Template]) -> Known:
+        whole = [(t, _bigrams(t.text)) for t in made]
+        whole = [(t, grams) for t, grams in whole if len(grams)]
+        vocabulary = np.unique(np.concatenate([grams for _, grams in whole])) if whole else np.zeros(0, np.uint64)
+        sets = [np.searchsorted(vocabulary, grams) for _, grams in whole]
+        musts = [np.searchsorted(vocabulary, np.intersect1d(_bigrams(t.name), grams)) for t, grams in whole]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        begins = np.searchsorted(flat[order], np.arange(len(vocabulary) + 1))
+        return cls([t.licence for t, _ in whole], sizes, vocabulary, sets, musts, begins, np.repeat(np.arange(len(sets)), sizes)[order])
+
+    def candidates(self, owner: np.ndarray, spot: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and templates of which the text has enough different bigrams, from the text and bigram of each hit."""
+        seen = np.unique(owner * len(self.vocabulary) + spot)
+        owner, spot = np.divmod(seen, len(self.vocabulary))
+        many = self.begins[spot + 1] - self.begins[spot]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.begins[spot], many)
+        pairs, shared = np.unique(np.repeat(owner, many) * len(self.sets) + self.members[at], return_counts=True)
+        texts, chosen = np.divmod(pairs, len(self.sets))
+        enough = shared >= self.sizes[chosen] * least - 1e-9
+        return texts[enough], chosen[enough]
 
 
 @lru_cache(1)
-def _own_templates() -> Templates:
-    return Templates.of(templates())
+def _own_templates() -> Known:
+    return Known.of(templates())
+
+
+@dataclass(frozen=True, order=True)
+class Window:
+    """Words ``first`` to ``last`` of a text, ordered from the best match to the worst."""
+
+    minus_dice: float
+    licence: str
+    first: int
+    last: int
 
 
-_LINE = re.compile(rb"[^\n]+")
-_PARAGRAPH = re.compile(rb"[^\n]+(?:\n(?![ \t\r]*(?:\n|$))[^\n]+)*")
+def _neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element, where the same value stands before it (-1) and behind it (the length)."""
+    size = len(values)
+    order = np.argsort(values, kind="stable")
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    before, behind = np.full(size, -1), np.full(size, size)
+    before[order[same + 1]] = order[same]
+    behind[order[same]] = order[same + 1]
+    return before, behind
 
 
-def scan(texts: pa.Array, threshold: float = THRESHOLD, known: Templates | None = None) -> Iterator[tuple[str | None, float, int | None, int]]:
-    """For each text: the licence, its coefficient, the byte where its unit begins, and the number of matching lines or paragraphs."""
+def _windows(spots: np.ndarray, before: np.ndarray, behind: np.ndarray, known: Known, k: int, threshold: float) -> Iterator[Window]:
+    """The best window of template ``k`` from each bigram on, if it reaches the threshold."""
+    size = int(known.sizes[k])
+    need = int(np.ceil(size * threshold / (2 - threshold) - 1e-9))
+    most = int(size * (2 - threshold) / threshold + 1e-9)
+    places = np.flatnonzero(np.isin(spots, known.sets[k]))
+    musts = [places[spots[places] == m] for m in known.musts[k]]
+    if not all(len(m) for m in musts):
+        return
+    ends = np.searchsorted(places, behind[places])
+    for s in np.flatnonzero(ends - np.arange(len(places)) >= need):
+        first = places[s]
+        bound = places[ends[s] - 1] + 1
+        step = 4 * most + 16
+        while True:  # different bigrams from here on, until they are too many
+            different = np.cumsum(before[first : min(bound, first + step)] < first)
+            if first + step >= bound or different[-1] > most:
+                break
+            step *= 4
+        behind_last = first + np.searchsorted(different, most, side="right")
+        inner = places[s : np.searchsorted(places, behind_last)]
+        shared = np.cumsum(before[inner] < first)
+        if not len(shared) or shared[-1] < need:
+            continue
+        later = [np.searchsorted(m, first) for m in musts]
+        if any(i == len(m) for i, m in zip(later, musts, strict=True)):
+            return  # no later window has the name either
+        whole = max((m[i] for i, m in zip(later, musts, strict=True)), default=first)
+        dice = np.where(inner >= whole, 2 * shared / (different[inner - first] + size), 0.0)
+        best = int(np.argmax(dice))
+        if dice[best] >= threshold - 1e-12:
+            yield Window(-float(dice[best]), known.licences[k], int(first), int(inner[best]) + 1)
+
+
+def scan(texts: pa.Array, threshold: float = THRESHOLD, known: Known | None = None) -> Iterator[list[dict]]:
+    """For each text, the windows that are licences, best first; none overlaps a better one."""
     known = known or _own_templates()
-    factor = threshold / (2 - threshold)
+    if not len(known.sets):
+        yield from ([] for _ in texts)
+        return
     for first, behind, data, offsets in text_chunks(texts):
         words, begins, starts = hashed_words(data, offsets, plain=True, places=True)
-        pairs = mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
-        spot = np.minimum(np.searchsorted(known.vocabulary, pairs), len(known.vocabulary) - 1)
-        hit = np.concatenate(([0], np.cumsum(known.vocabulary[spot] == pairs))).astype(np.int64)
+        grams = _pairs(words)
+        spots = np.minimum(np.searchsorted(known.vocabulary, grams), len(known.vocabulary) - 1)
+        spots = np.where(known.vocabulary[spots] == grams, spots, -1)
+        inner = begins[(begins > 0) & (begins < len(words))]
+        spots[inner - 1] = -1  # a pair of two texts' words
+        hits = np.flatnonzero(spots >= 0)
+        owner = np.searchsorted(begins, hits, side="right") - 1
+        found: dict[int, list[Window]] = {}
+        of_text, chosen = known.candidates(owner, spots[hits], threshold / (2 - threshold))
+        for i in np.unique(of_text).tolist():
+            low, high = begins[i], begins[i + 1] - 1
+            own = _neighbours(grams[low:high])
+            made = [w for k in chosen[of_text == i].tolist() for w in _windows(spots[low:high], *own, known, k, threshold)]
+            if made:
+                found[i] = _apart(made, int(high - low) + 1)
         for i in range(behind - first):
-            yield _scan_one(data[offsets[i] : offsets[i + 1]].tobytes(), offsets[i] - offsets[0], begins[i], begins[i + 1], starts, hit, known, threshold, factor)
-
-
-def _scan_one(text, base, low, high, starts, hit, known, threshold, factor):
-    if high - low < 2 or hit[high - 1] == hit[low]:
-        return None, 0.0, None, 0
-    found, lines = None, 0
-    for kind, units in enumerate((_LINE.finditer(text), _PARAGRAPH.finditer(text), re.compile(rb"(?s).+").finditer(text))):
-        for m in units:
-            a, b = np.searchsorted(starts[low:high], [base + m.start(), base + m.end()]) + low
-            # repeated bigrams count once in the set: the bound uses how many can differ at most
-            if b - a < 2 or hit[b - 1] - hit[a] < 1 or (hit[b - 1] - hit[a]) < factor * min(b - a - 1, int(known.sizes[-1])) * 0.5:
-                continue
-            best = known.best(m[0], threshold)
-            if best:
-                lines += kind < 2
-                rank = (-best[0], best[1], m.start(), kind)
-                found = rank if found is None or rank < found else found
-    return (found[1], -found[0], found[2], lines) if found else (None, 0.0, None, 0)
-
-
-def licensed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, licence, dice, at_byte, units`` of every row."""
+            base = offsets[i] - offsets[0]
+            text = lambda i=i: data[offsets[i] : offsets[i + 1]].tobytes()
+            yield _described(found[i], text(), starts[begins[i] : begins[i + 1]] - base) if i in found else []
+
+
+def _apart(windows: list[Window], size: int) -> list[Window]:
+    """From the best on, each window that shares no word with one taken before."""
+    taken = np.zeros(size, dtype=bool)
+    kept = []
+    for w in sorted(windows):
+        if not taken[w.first : w.last + 1].any():
+            taken[w.first : w.last + 1] = True
+            kept.append(w)
+    return kept
+
+
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def _described(windows: list[Window], text: bytes, starts: np.ndarray) -> list[dict]:
+    end = lambda w: _WORD.match(text, int(starts[w.last])).end()
+    return [{"licence": w.licence, "dice": -w.minus_dice, "at_byte": int(starts[w.first]), "end_byte": end(w)} for w in windows]
+
+
+_PLACE = pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("at_byte", pa.int64()), ("end_byte", pa.int64())])
+
+
+def licensed(docs: DataFrame, threshold: float = THRESHOLD, more: Sequence[Template] = ()) -> DataFrame:
+    """``doc_id``, the best ``licence``, its ``dice`` and ``at_byte``, the number of ``units`` found, and all of them as ``places``.
+
+    ``more`` adds templates to the library's own, such as full texts of long licences.
+    """
+    known = Known.of([*templates(), *more]) if more else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(scan(batch.column(1), threshold))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)] if found else None
-            if columns:
-                yield pa.record_batch([batch.column(0), *columns], ["doc_id", "licence", "dice", "at_byte", "units"])
+            found = list(scan(batch.column(1), threshold, known))
+            first = [f[0] if f else {"licence": None, "dice": 0.0, "at_byte": None} for f in found]
+            columns = [pa.array([f[c] for f in first], kind) for c, kind in (("licence", pa.string()), ("dice", pa.float64()), ("at_byte", pa.int64()))]
+            columns += [pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(_PLACE))]
+            yield pa.record_batch([batch.column(0), *columns], ["doc_id", "licence", "dice", "at_byte", "units", "places"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, licence string, dice double, at_byte bigint, units bigint")
+    place = "struct<licence: string, dice: double, at_byte: bigint, end_byte: bigint>"
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id bigint, licence string, dice double, at_byte bigint, units bigint, places array<{place}>")
