@@ -1,9 +1,11 @@
 """Quality rules: a threshold table compiled into one projection; no user function, no shuffle.
 
 A text is read once into words and lines, and every measure is a built-in expression over them. ``RULES`` names the
-ratios and the range each must lie in; ``verdict`` turns the table into one boolean expression.
+ratios and the range each must lie in; ``verdict`` turns the table into one boolean expression. Rules on the length and
+the choice of words say nothing of a text that is mostly in a script without a list of function words here, or written
+without spaces: there they are left out, and the others decide.
 
-Defined cases: a null or blank text has no words, fails the base rule and is not kept; equal rows get equal results;
+Defined cases: a very long text is read whole within its row; a null or blank text has no words, fails the base rule and is not kept; equal rows get equal results;
 other columns of the table are ignored; an empty table gives an empty result.
 """
 
@@ -63,6 +65,16 @@ FUNCTION_WORDS = {
 #: As they stand, at the beginning of a sentence and in capitals: words are compared as they are.
 STOP_WORDS = list(dict.fromkeys(form for text in FUNCTION_WORDS.values() for w in text.split() for form in (w, w.capitalize(), w.upper())))
 
+# First and last code points of scripts whose languages have no list above: Gurmukhi to Oriya, Telugu to Sinhala,
+# Thai to Tibetan, Myanmar, Ethiopic, Khmer, Mongolian, kana, and Han in three parts.
+UNLISTED_SCRIPTS = (
+    (0x0A00, 0x0B7F), (0x0C00, 0x0DFF), (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1200, 0x137F), (0x1780, 0x17FF), (0x1800, 0x18AF),
+    (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x323AF),
+)
+UNLISTED = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNLISTED_SCRIPTS) + "]"
+#: Rules that need words told apart, in a language of the lists; left out where more than half the characters are of other scripts.
+WORDWISE = ("mean_word_chars", "stop_word_share")
+
 #: measure, least, most: a text whose measure lies outside is rejected (None: no bound).
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 14.0),
@@ -93,6 +105,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         word_chars=F.length(F.array_join("_words", "")).cast("long"),
         n_stop=F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long"),
         n_symbols=F.regexp_count(F.col("text"), F.lit("[#*$%&|<>]")).cast("long"),
+        n_unlisted=F.regexp_count(F.col("text"), F.lit(UNLISTED)).cast("long"),
         n_lines=F.size("_lines").cast("long"),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     ).drop("_words", "_lines", "text")
@@ -110,6 +123,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         _ratio(F.col("word_chars"), n).alias("mean_word_chars"),
         _ratio(F.col("n_symbols"), n).alias("symbols_per_word"),
         _ratio(F.col("n_stop"), n).alias("stop_word_share"),
+        _ratio(F.col("n_unlisted"), F.col("word_chars")).alias("unlisted_share"),
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_share"),
         _ratio(F.col("n_stutter"), n).alias("stutter_share"),
     )
@@ -148,8 +162,9 @@ def _covered(windows: Column) -> Column:
 
 def verdict(rules=RULES) -> Column:
     """The table as one condition."""
-    tests = [F.col(name) >= least for name, least, _ in rules if least is not None] + [F.col(name) <= most for name, _, most in rules if most is not None]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+    other = F.col("unlisted_share") > 0.5
+    bounds = [(name, F.col(name) >= least) for name, least, _ in rules if least is not None] + [(name, F.col(name) <= most) for name, _, most in rules if most is not None]
+    return reduce(lambda a, b: a & b, [other | test if name in WORDWISE else test for name, test in bounds], F.lit(True))
 
 
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -115,11 +115,12 @@ c AS (SELECT doc_id, count(DISTINCT i + k) AS covered FROM h, range(8) AS r(k) W
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, len(lines) AS n_lines,
   len(list_filter(w, lambda x: list_contains({list(quality_rules.STOP_WORDS)!r}, x))) AS n_stop,
+  length(regexp_replace(text, '[^{quality_rules.UNLISTED[1:]}', '', 'g')) AS n_unlisted,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter FROM t LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  CASE WHEN base_failed THEN false ELSE word_chars / n_words BETWEEN 2::DOUBLE AND 14::DOUBLE AND n_symbols / n_words <= 0.15::DOUBLE
-    AND n_stop / n_words >= 0.03::DOUBLE AND n_dup_lines / n_lines <= 0.4::DOUBLE AND n_stutter / n_words <= 0.2::DOUBLE END AS kept
+  CASE WHEN base_failed THEN false ELSE n_symbols / n_words <= 0.15::DOUBLE
+    AND (n_unlisted / word_chars > 0.5::DOUBLE OR word_chars / n_words BETWEEN 2::DOUBLE AND 14::DOUBLE AND n_stop / n_words >= 0.03::DOUBLE) AND n_dup_lines / n_lines <= 0.4::DOUBLE AND n_stutter / n_words <= 0.2::DOUBLE END AS kept
 FROM b
 """
 

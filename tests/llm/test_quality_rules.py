@@ -14,8 +14,10 @@ def by_hand(text):
     n = len(words)
     failed = n < 20 or 100 * len(covered) > 30 * n
     part = lambda x, y: x / y if y else 0.0
-    kept = not failed and 2 <= part(sum(map(len, words)), n) <= 14 and part(len(re.findall(r"[#*$%&|<>]", text)), n) <= 0.15
-    kept = kept and part(sum(w in Q.STOP_WORDS for w in words), n) >= 0.03 and part(dup, len(lines)) <= 0.4
+    kept = not failed and part(len(re.findall(r"[#*$%&|<>]", text)), n) <= 0.15 and part(dup, len(lines)) <= 0.4
+    unlisted = sum(any(a <= ord(c) <= b for a, b in Q.UNLISTED_SCRIPTS) for c in text)
+    if 2 * unlisted <= sum(map(len, words)):
+        kept = kept and 2 <= part(sum(map(len, words)), n) <= 14 and part(sum(w in Q.STOP_WORDS for w in words), n) >= 0.03
     kept = kept and part(sum(a == b for a, b in zip(words, words[1:], strict=False)), n) <= 0.2
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, kept
 
@@ -66,3 +68,33 @@ def test_clean_texts_of_other_languages_and_in_capitals_are_kept(spark, document
     rows = {r.doc_id: r for r in Q.quality(documents(enumerate(texts))).collect()}
     assert [rows[i].kept for i in range(len(texts))] == [True] * (len(texts) - 2) + [False] * 2
     assert [by_hand(t)[-1] for t in texts] == [rows[i].kept for i in range(len(texts))]
+
+
+OTHER = {
+    "th": "เมื่อเช้านี้ เราไปตลาดเก่า เพื่อซื้อผลไม้และผัก หลังจากนั้น เรานั่งดื่มกาแฟ กับเพื่อนๆ ในร้านเล็กๆ ริมทะเล จนถึงเย็น อากาศดีมาก ท้องฟ้าสดใส ลมพัดเบาๆ เราคุยกัน เรื่องงาน เรื่องครอบครัว แล้วก็ เดินกลับบ้าน อย่างช้าๆ ด้วยกัน ก่อนค่ำ ทุกคน มีความสุข",
+    "zh": "今天早上， 我们 去了 老市场， 买了 水果 和 蔬菜， 然后 和 朋友们 坐在 海边的 一家 小咖啡馆里， 一直 聊到 傍晚。 天气 很好， 风 很轻， 大家 都 很高兴， 最后 一起 慢慢地 走回家， 路上 还 看了 日落。",
+    "ja": "今朝、 私たちは 古い市場へ 行って、 果物と 野菜を 買いました。 それから 友達と 一緒に 海の そばの 小さな 喫茶店に 座って、 夕方まで 話しました。 天気が よくて、 風も 弱く、 みんな とても 楽しかったです。 最後は ゆっくり 歩いて 帰り、 夕日も 見ました。",
+    "te": "ఈ రోజు ఉదయం మేము పాత మార్కెట్‌కు వెళ్లి పండ్లు, కూరగాయలు కొన్నాము. తరువాత స్నేహితులతో సముద్రం దగ్గర ఉన్న చిన్న హోటల్‌లో కూర్చుని సాయంత్రం వరకు మాట్లాడుకున్నాము. వాతావరణం చాలా బాగుంది, అందరూ సంతోషంగా ఇంటికి నడిచి వెళ్ళారు.",
+}
+
+
+def test_scripts_without_a_list_are_judged_by_the_other_rules(spark, documents):
+    long = "。".join(f"{x}日の朝に市場へ行きました" for x in range(30)) + " " + OTHER["ja"]
+    texts = [*OTHER.values(), long, OTHER["zh"] + " ## ** $$ %% && || << >>", OTHER["te"] + "\n" + "\n".join([OTHER["te"][:12]] * 30), "𠀀𠀁 " * 3 + OTHER["zh"]]
+    rows = {r.doc_id: r for r in Q.quality(documents(enumerate(texts))).collect()}
+    assert [rows[i].kept for i in range(5)] == [True] * 5 and not rows[5].kept and not rows[6].kept
+    assert [by_hand(t)[-1] for t in texts] == [rows[i].kept for i in range(len(texts))]
+
+
+def test_sql_agrees_on_other_scripts(spark, documents):
+    import duckdb
+
+    from listingspark.llm import queries
+
+    texts = [*OTHER.values(), *CLEAN.values(), "𠀀𠀁 " * 30, "漢字かな " + "the cat and the dog " * 3, None, "", " " * 9]
+    rows = {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in Q.quality(documents(enumerate(texts))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = con.sql(f"SELECT doc_id, n_words, base_failed, kept FROM ({queries.ORACLE['op3_quality_rules']})").fetchall()
+    assert {i: rest for i, *rest in found} == {i: list(v) for i, v in rows.items()}
