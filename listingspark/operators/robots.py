@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rows import with_once
 from ..functions.text import let, trim_all
 from .joins import spread_join
 
 
+#: A group among lines that begin with U (agent), A or D (rule): agents in a row, and the rules below them.
+_GROUP = r"(?:U[^\n]*+\n)++(?:[AD][^\n]*+\n)*+"
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
-    """Rules per host and agent from robots texts (``host, text``).
+    """Rules per host and agent from robots texts (``host, text``), one text a host. No row leaves its text.
 
     Consecutive agent lines share the rules that follow; an agent line after a rule starts a new
     group. An agent that is named without rules still appears once, with a null ``path``, because
-    its empty group replaces the wildcard group.
+    its empty group replaces the wildcard group. A null text has no rules.
     """
-    lines = files.select("host", F.posexplode(F.split("text", r"\r?\n", -1)).alias("line", "raw"))
-    clean = trim_all(F.regexp_replace("raw", r"#.*$", ""))
-    parsed = lines.withColumn("clean", clean).withColumn("at", F.instr("clean", ":")).filter("at > 0").select(
-        "host", "line",
-        F.lower(trim_all(F.substr(F.col("clean"), F.lit(1), F.col("at") - 1))).alias("directive"),
-        trim_all(F.substr(F.col("clean"), F.col("at") + 1)).alias("value"),
-    ).filter(F.col("directive").isin("user-agent", "allow", "disallow"))
-    order = Window.partitionBy("host").orderBy("line")
-    is_agent = F.col("directive") == "user-agent"
-    starts = is_agent & (F.coalesce(F.lag("directive").over(order), F.lit("")) != "user-agent")
-    grouped = parsed.withColumn("starts", starts.cast("int")).withColumn("grp", F.sum("starts").over(order))
-    rule = F.when(~is_agent & ((F.col("directive") == "allow") | (F.col("value") != "")),
-                  F.struct("line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("path")))
-    groups = grouped.filter("grp > 0").groupBy("host", "grp").agg(
-        F.array_distinct(F.collect_list(F.when(is_agent, F.lower("value")))).alias("agents"),
-        F.array_sort(F.collect_list(rule)).alias("rules"),
-    )
-    each = groups.select("host", F.explode("agents").alias("agent"), "rules")
+
+    def marked(raw: Column, line: Column) -> Column:
+        """Kind, line number and value of a line that counts, else null."""
+        clean = trim_all(F.regexp_replace(raw, r"#.*$", ""))
+        directive = F.lower(trim_all(F.substring_index(clean, ":", 1)))
+        kind = F.when(directive == "user-agent", "U").when(directive == "allow", "A").when(directive == "disallow", "D")
+        value = trim_all(F.substr(clean, F.instr(clean, ":") + 1))
+        return F.when(F.instr(clean, ":") > 0, F.concat(kind, line.cast("string"), F.lit(" "), value, F.lit("\n")))
+
+    lines = F.filter(F.transform(F.split("text", r"\r?\n", -1), marked), lambda e: e.isNotNull())
+    rows = with_once(files.select("host", "text"), marks=F.array_join(lines, "")).drop("text")
+    groups = rows.select("host", F.explode(F.regexp_extract_all("marks", F.lit(_GROUP), F.lit(0))).alias("group"))
+    split = with_once(groups, marks=F.split(F.rtrim(F.col("group"), F.lit("\n")), "\n")).drop("group")
+    value = lambda e: F.regexp_extract(e, r"(?s)^[UAD][0-9]+ (.*)$", 1)
+    rule = lambda e: F.struct(F.regexp_extract(e, "^[AD]([0-9]+)", 1).cast("int").alias("line"), e.startswith("A").alias("allow"), value(e).alias("path"))
+    binding = F.filter(F.transform(F.filter("marks", lambda e: ~e.startswith("U")), rule), lambda r: r["allow"] | (r["path"] != ""))
+    agents = F.array_distinct(F.transform(F.filter("marks", lambda e: e.startswith("U")), lambda e: F.lower(value(e))))
+    each = with_once(split, agents=agents, rules=binding).select("host", F.explode("agents").alias("agent"), "rules")
     return each.select("host", "agent", F.explode_outer("rules").alias("rule")).select(
         "host", "agent", F.col("rule.line").alias("line"), F.col("rule.allow").alias("allow"), F.col("rule.path").alias("path")
     )
