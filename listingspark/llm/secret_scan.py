@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listingspark.operators.joins import spread_join
+from listingspark.operators.joins import repeated_join
 
 from .texts import own_columns, written
 
@@ -316,7 +316,7 @@ def secrets(df: DataFrame, guessing: Guessing = Guessing()) -> DataFrame:
     wanted = _stretched(distinct, guessing).select("word").distinct()
     costs = _word_costs(own_columns(df, "text"), found, wanted, guessing)
     hard = written(_judged(distinct, costs, guessing).withColumn("hard", F.lit(True)), "secret-hard")
-    guessed = spread_join(found, hard.hint("merge"), "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("guess").alias("kind"))).alias("more"))
+    guessed = repeated_join(found, hard.hint("merge"), "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("guess").alias("kind"))).alias("more"))
     place = F.create_map(*[x for i, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(i))])
     spans = F.transform(
         F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda s: F.struct(s.start.alias("start"), place[s.kind].alias("place"), s.end.alias("end"), s.kind.alias("kind")))),

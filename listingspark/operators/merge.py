@@ -95,7 +95,7 @@ def retire_missing(refs: DataFrame, seen: DataFrame, verdicts: DataFrame) -> Dat
     """
     met = seen.select("source_id", "external_id").distinct().withColumn("_met", F.lit(True))
     allowed = verdicts.select("source_id", "may_retire")
-    joined = spread_join(refs.join(met, ["source_id", "external_id"], "left"), allowed, "source_id", "external_id", "left")
+    joined = spread_join(refs.join(met, ["source_id", "external_id"], "left"), allowed, "source_id", "external_id", "left", counted=refs)
     retired = F.col("active") & F.coalesce(F.col("may_retire"), F.lit(False)) & F.col("_met").isNull()
     return joined.withColumn("retired", retired).select(
         *[(F.col("active") & ~F.col("retired")).alias("active") if n == "active" else F.col(n) for n in refs.columns], "retired"
@@ -214,7 +214,7 @@ def mark_read(alerts: DataFrame, requests: DataFrame, as_of: Column) -> DataFram
     """Alerts after read requests: a request names one alert, or all of a user's when ``alert_id`` is null."""
     everything = requests.filter(F.col("alert_id").isNull()).select("user_id").distinct().withColumn("_all", F.lit(True))
     single = requests.filter(F.col("alert_id").isNotNull()).select("user_id", "alert_id").distinct().withColumn("_one", F.lit(True))
-    joined = spread_join(alerts, everything, "user_id", "alert_id", "left").join(single, ["user_id", "alert_id"], "left")
+    joined = spread_join(alerts, everything, "user_id", "alert_id", "left", shuffled=True).join(single, ["user_id", "alert_id"], "left")
     marked = ~F.col("is_read") & (F.coalesce(F.col("_all"), F.lit(False)) | F.coalesce(F.col("_one"), F.lit(False)))
     return joined.withColumn("marked", marked).withColumn("is_read", F.col("is_read") | F.col("marked")).drop("_all", "_one")
 

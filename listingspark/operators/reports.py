@@ -67,7 +67,7 @@ def eval_candidates(listings: DataFrame, refs: DataFrame, sources: DataFrame, ma
     owned = listings.filter(F.col("owner_id").isNotNull() & (F.col("lifecycle") == "Active") & ~F.col("archived"))
     fresh = owned.join(seen, "job_id", "left_semi").withColumnRenamed("owner_id", "user_id")
     scored = fresh.join(matches.select("user_id", "job_id", "evaluated_at"), ["user_id", "job_id"], "left")
-    dated = spread_join(scored, changed.select("user_id", "changed_at"), "user_id", "job_id", "left")
+    dated = spread_join(scored, changed.select("user_id", "changed_at"), "user_id", "job_id", "left", counted=listings.select(F.col("owner_id").alias("user_id")), shuffled=True)
     stale = (
         F.col("evaluated_at").isNull() | (F.col("evaluated_at") < F.col("updated_at"))
         | (F.col("evaluated_at") < F.col("changed_at"))
@@ -79,11 +79,11 @@ def eval_batch(candidates: DataFrame, sizes: DataFrame, largest: int = 20) -> Da
     """The newest few candidates of each user, after the hard filter.
 
     Batches never exceed ``largest``; that constant limit also runs before the shuffle, so a user
-    with very many candidates sends only a few rows per task.
+    with very many candidates sends only a few rows per task. People are not sent to every task: their file size tells too little.
     """
     order = Window.partitionBy("user_id").orderBy(F.desc("discovered_at"), "job_id")
     top = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= largest)
-    return top.join(sizes.select("user_id", "batch_size"), "user_id").filter(F.col("n") <= F.col("batch_size")).drop("batch_size")
+    return top.join(sizes.select("user_id", "batch_size").hint("merge"), "user_id").filter(F.col("n") <= F.col("batch_size")).drop("batch_size")
 
 
 def dashboard(listings: DataFrame, as_of: Column) -> DataFrame:
@@ -263,10 +263,14 @@ def activity_page(activity: DataFrame, user_id: int, limit: int, before: tuple |
     return shown.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Alerts owed to users who want them: scores at their threshold, with ``limit`` the newest of each user."""
+def alert_drafts(matches: DataFrame, listings: DataFrame, prefs: DataFrame, limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Alerts owed to users who want them: scores at their threshold, with ``limit`` the newest of each user.
+
+    ``counted``: a table with the users that is cheaper to read than ``matches``.
+    """
     wanted = prefs.filter("notifications_enabled").select("user_id", "notify_min")
-    hits = spread_join(scored_join(matches, listings), wanted, "user_id", "job_id").filter(F.col("score") >= F.col("notify_min"))
+    joined = spread_join(scored_join(matches, listings), wanted, "user_id", "job_id", counted=matches if counted is None else counted, shuffled=True)
+    hits = joined.filter(F.col("score") >= F.col("notify_min"))
     top = hits
     if limit is not None:
         order = Window.partitionBy("user_id").orderBy(F.desc("evaluated_at"), "job_id")

@@ -69,7 +69,7 @@ def similar_listings(targets: DataFrame, vectors: DataFrame) -> DataFrame:
     right = prepared_vectors(targets.select("user_id", "embedding")).select(
         "user_id", F.col("embedding").alias("target"), F.col("_norm").alias("_target_norm")
     )
-    joined = spread_join(left, right, "user_id", "vec_id").filter(F.size("embedding") == F.size("target"))
+    joined = spread_join(left, right, "user_id", "vec_id", counted=vectors, shuffled=True).filter(F.size("embedding") == F.size("target"))
     return joined.select(
         "user_id", "vec_id", (dot(F.col("embedding"), F.col("target")) / (F.col("_norm") * F.col("_target_norm"))).alias("similarity")
     )

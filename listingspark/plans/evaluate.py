@@ -22,14 +22,17 @@ PROMPT_TOKENS, ANSWER_TOKENS = 200, 700
 def eligible_batch(spark: SparkSession, listings: DataFrame, refs: DataFrame, sources: DataFrame, matches: DataFrame, prefs: DataFrame) -> DataFrame:
     """What is evaluated next for each user: the cheap filters run before anything that costs money."""
     candidates = eval_candidates(listings, refs, sources, matches, prefs)
-    passed = hard_filter(spark, candidates.withColumnRenamed("user_id", "owner_id"), prefs).filter(F.col("blocked").isNull())
+    passed = hard_filter(spark, candidates.withColumnRenamed("user_id", "owner_id"), prefs, counted=listings).filter(F.col("blocked").isNull())
     return eval_batch(passed.withColumnRenamed("owner_id", "user_id"), prefs)
 
 
-def score_rows(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Scores for factor rows that carry a ``similarity``; rows or weights that break their contract get a ``problem``."""
+def score_rows(rows: DataFrame, weights: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Scores for factor rows that carry a ``similarity``; rows or weights that break their contract get a ``problem``.
+
+    ``counted``: a table with the users of the rows that is cheaper to read, for :func:`spread_join`.
+    """
     named = weights.select("user_id", *[f"w_{f}" for f in FACTORS])
-    joined = spread_join(rows, named, "user_id", "row_id")
+    joined = spread_join(rows, named, "user_id", "row_id", counted=counted, shuffled=True)
     weight = {f: F.col(f"w_{f}") for f in FACTORS}
     raw = {f: F.col(f) for f in FACTORS}
     problem = F.coalesce(weights_violation(weight), factors_violation(raw))
@@ -43,12 +46,12 @@ def score_rows(rows: DataFrame, weights: DataFrame) -> DataFrame:
 def affordable(batch: DataFrame, spend: DataFrame, budgets: DataFrame) -> DataFrame:
     """The batch with ``affordable``: whether a user's budget still holds a row's ``estimate`` after all rows before it.
 
-    What comes before is a running sum over a user's batch, a few rows. Nothing of a row that cannot be paid is looked up or scored.
+    People are not sent to every task: their file size tells too little. What comes before is a running sum over a user's batch, a few rows. Nothing of a row that cannot be paid is looked up or scored.
     """
     order = Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = batch.withColumn("running", F.sum("estimate").over(order))
     state = budgets.select("user_id", "budget_micros").join(spend, "user_id", "left")
-    paid = summed.join(state, "user_id", "left").withColumn("affordable", F.coalesce("spent", F.lit(0)) + F.col("running") <= F.coalesce("budget_micros", F.lit(0)))
+    paid = summed.join(state.hint("merge"), "user_id", "left").withColumn("affordable", F.coalesce("spent", F.lit(0)) + F.col("running") <= F.coalesce("budget_micros", F.lit(0)))
     return paid.drop("running", "spent", "budget_micros")
 
 
@@ -81,7 +84,7 @@ def evaluate(
     paid = gated.filter("affordable").join(vectors.select("job_id", "embedding"), "job_id", "left")
     similar = paid.withColumn("similarity", F.when(F.col("embedding").isNotNull() & F.col("target").isNotNull(), cosine(F.col("embedding"), F.col("target"))))
     answered = similar.join(answers, ["user_id", "job_id"]).withColumn("row_id", F.col("job_id"))
-    scored = score_rows(answered, prefs).select("user_id", "job_id", "reason", "problem", "similarity", "overall_score", "qualification_score", "interest_score")
+    scored = score_rows(answered, prefs, counted=answers).select("user_id", "job_id", "reason", "problem", "similarity", "overall_score", "qualification_score", "interest_score")
     whole = F.col("qualification_score").isNotNull() & F.col("interest_score").isNotNull()
     outcome = F.when(~F.col("affordable"), "over_budget").when(F.col("reason").isNull(), "no_answer").when(whole, "scored").otherwise("problem")
     done = gated.drop("target").join(scored, ["user_id", "job_id"], "left").withColumn("outcome", outcome)
@@ -89,4 +92,4 @@ def evaluate(
         "user_id", "job_id", F.col("overall_score").alias("score"), as_of.alias("evaluated_at"), F.col("estimate").alias("cost_micros"), "reason"
     )
     merged = merge_matches(matches.select(*fresh.columns), fresh)
-    return Evaluation(done, merged, insert_alerts(alerts, alert_drafts(fresh, listings, prefs)))
+    return Evaluation(done, merged, insert_alerts(alerts, alert_drafts(fresh, listings, prefs, counted=answers)))

@@ -41,11 +41,11 @@ def scan(
     """
     columns = [n for n in LISTING_COLUMNS if n in normalized.columns]
     owners = sources.select("source_id", "owner_id", "run_id")
-    owned = spread_join(normalized, owners, "source_id", "external_id")
+    owned = spread_join(normalized, owners, "source_id", "external_id", counted=seen)
     good = owned.filter(F.size("violations") == 0)
     rules = prefs.select(F.col("user_id").alias("owner_id"), "include_keywords", "negative_keywords")
     gated = with_once(
-        spread_join(good, rules, "owner_id", "external_id", "left"),
+        spread_join(good, rules, "owner_id", "external_id", "left", counted=seen.join(sources.select("source_id", "owner_id"), "source_id"), shuffled=True),
         gate=keyword_verdict(
             keyword_text(F.col("title"), F.col("company"), F.col("description")),
             F.coalesce("include_keywords", F.array().cast("array<string>")),

@@ -129,7 +129,7 @@ def paged_payloads(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     empty = F.when(F.coalesce(F.size("items"), F.lit(0)) == 0, F.col("page_no"))
     # one small row per page decides where reading stops; the payloads move once, spread within a source
     stops = sized.groupBy("source_id").agg(F.min(empty).alias("stop"), F.max("page_no").alias("last_page"))
-    read = spread_join(sized, stops, "source_id", "page_no").filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
+    read = spread_join(sized, stops, "source_id", "page_no", counted=pages).filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
     cut = F.lit(False) if max_pages is None else F.col("stop").isNull() & (F.col("last_page") >= max_pages)
     return read.withColumn("ran_out", cut)
 

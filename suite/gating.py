@@ -87,7 +87,7 @@ MATCH = "CASE WHEN len(countries) = 0 THEN true WHEN len(coalesce(codes, [])) >
 def country_match_q(spark, sf):
     listings = view(spark, sf, "v_listings").withColumn("cov", country_coverage(c("country"), c("location")))
     prefs = preferences(spark, sf).select(c("user_id").alias("owner_id"), "countries", "include_worldwide", "include_unknown")
-    joined = spread_join(listings, prefs, "owner_id", "job_id")
+    joined = spread_join(listings, prefs, "owner_id", "job_id", shuffled=True)
     return joined.select("job_id", country_match(c("cov"), c("countries"), c("include_worldwide"), c("include_unknown")).alias("matches"))
 
 
