@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..functions.rows import with_once
 from ..functions.text import let
 from ..functions.urls import _form_pair, pointer_get, url_struct, url_text
 from .joins import spread_join
@@ -197,8 +198,9 @@ def page_template(requests: DataFrame) -> DataFrame:
 
 def verify_field_map(payloads: DataFrame, patterns: DataFrame) -> DataFrame:
     """Whether a stored payload still gives postings and every mapped field; ``reason`` says what is missing."""
-    rows = spread_join(payloads, patterns, "source_id", "payload").withColumn("found", pointer_get(F.try_parse_json("payload"), F.col("jobs_path")))
-    items = F.try_variant_get("found", "$", "array<variant>")
+    joined = spread_join(payloads, patterns, "source_id", "payload")
+    found = with_once(joined, found=pointer_get(F.try_parse_json("payload"), F.col("jobs_path")))
+    rows = with_once(found, items=F.try_variant_get("found", "$", "array<variant>"))
     first = F.get(F.col("items"), 0)
     reason = F.when(~F.coalesce(F.schema_of_variant("found").startswith("ARRAY"), F.lit(False)), "No postings at jobsPath").when(
         F.size("items") == 0, "Replay returned no postings"
@@ -206,6 +208,6 @@ def verify_field_map(payloads: DataFrame, patterns: DataFrame) -> DataFrame:
     for name in ("title", "url", "id", "location", "description", "posted_at"):
         pointer = F.col(f"p_{name}")
         reason = reason.when(pointer.isNotNull() & F.isnull(pointer_get(first, pointer)), f"Cannot resolve field {name}")
-    return rows.withColumn("items", items).select(
+    return rows.select(
         "source_id", reason.isNull().alias("ok"), F.when(reason.isNull(), F.size("items").cast("bigint")).alias("postings"), reason.alias("reason")
     )
