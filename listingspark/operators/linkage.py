@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let, normalized_text
 from ..session import cut_lineage
-from .joins import spread_join
+from .joins import HOT_KEYS, spread_join
 
 #: Words that tell a company's legal form, not its name.
 LEGAL_FORMS = "ag bv co company corp corporation gmbh inc incorporated limited llc ltd plc pty sa sarl se spa srl the".split()
@@ -103,7 +103,8 @@ def _rarest(tokens: DataFrame) -> DataFrame:
     named = tokens.withColumn("token", F.xxhash64("block", "token"))
     counts = named.groupBy("token").agg(F.count("*").alias("many"))
     own = Window.partitionBy("class_id", "block", "share")
-    ranked = spread_join(named, counts, "token", "class_id").withColumns({
+    hot = counts.orderBy(F.desc("many"), "token").limit(HOT_KEYS).select("token", F.lit(True).alias("_hot"))
+    ranked = spread_join(named, counts, "token", "class_id", hot=hot).withColumns({
         "n": F.row_number().over(own.orderBy("many", "token")), "size": F.count("*").over(own),
     })
     kept = ranked.filter(F.col("n") <= F.col("size") - F.ceil(F.col("share") * F.col("size") - 1e-9) + 1)
@@ -192,4 +193,5 @@ def duplicate_listings(listings: DataFrame, weights: Weights = Weights(), hot: i
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     known = reps.select("class_id", F.col("rank.job_id").alias("own")).join(survivors(links, reps), "class_id", "left").join(ends, "class_id", "left")
     found = known.select("class_id", F.coalesce("survivor", "own").alias("survivor_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return spread_join(marked.select("job_id", "class_id"), found, "class_id", "job_id").select("job_id", "class_id", "survivor_id", "links")
+    members = cut_lineage(marked.select("job_id", "class_id"), "linkage-members")
+    return spread_join(members, found, "class_id", "job_id").select("job_id", "class_id", "survivor_id", "links")
