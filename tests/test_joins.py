@@ -74,3 +74,13 @@ def test_batch_sizes_are_joined_by_shuffle(spark):
     batch = reports.eval_batch(candidates, sizes)
     assert sorted((r.user_id, r.job_id) for r in batch.collect()) == [(1, 11), (2, 12)]
     assert "BroadcastHashJoin" not in batch._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_parsed_before_the_rules_across_lines(spark):
+    """Parsed lines are written once; the plan that judges them holds no parsing, which ran for each of its branches."""
+    from listingspark.sources import seeds
+
+    lines = spark.createDataFrame([("a", 1, "Acme, acme.com"), ("a", 2, "acme.com"), ("a", 3, "Only Name")], "list_id string, line int, text string")
+    judged = seeds.import_seeds(lines)
+    assert [(r.line, r.outcome) for r in judged.orderBy("line").collect()] == [(1, "imported"), (2, "Duplicate domain"), (3, "No domain found")]
+    assert "regexp_extract_all" not in judged._jdf.queryExecution().optimizedPlan().toString()
