@@ -14,6 +14,7 @@ from ..operators.joins import spread_join
 from ..operators.merge import insert_alerts, merge_matches
 from ..operators.reports import alert_drafts, eval_batch, eval_candidates, month_spend
 from ..operators.scoring import cosine, factor_scores, role_blend
+from ..session import cut_lineage
 
 #: What a call of the model takes on top of the texts, and what it answers at most.
 PROMPT_TOKENS, ANSWER_TOKENS = 200, 700
@@ -87,7 +88,8 @@ def evaluate(
     scored = score_rows(answered, prefs, counted=answers).select("user_id", "job_id", "reason", "problem", "similarity", "overall_score", "qualification_score", "interest_score")
     whole = F.col("qualification_score").isNotNull() & F.col("interest_score").isNotNull()
     outcome = F.when(~F.col("affordable"), "over_budget").when(F.col("reason").isNull(), "no_answer").when(whole, "scored").otherwise("problem")
-    done = gated.drop("target").join(scored, ["user_id", "job_id"], "left").withColumn("outcome", outcome)
+    # written once: batch, matches and alerts would each hold the whole plan again, which the driver keeps and runs three times over
+    done = cut_lineage(gated.drop("target").join(scored, ["user_id", "job_id"], "left").withColumn("outcome", outcome), "evaluated")
     fresh = done.filter("outcome = 'scored'").select(
         "user_id", "job_id", F.col("overall_score").alias("score"), as_of.alias("evaluated_at"), F.col("estimate").alias("cost_micros"), "reason"
     )

@@ -84,3 +84,22 @@ def test_lines_are_parsed_before_the_rules_across_lines(spark):
     judged = seeds.import_seeds(lines)
     assert [(r.line, r.outcome) for r in judged.orderBy("line").collect()] == [(1, "imported"), (2, "Duplicate domain"), (3, "No domain found")]
     assert "regexp_extract_all" not in judged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_evaluation_is_planned_once(spark, tmp_path):
+    """Batch, matches and alerts are read from what was evaluated, so none of them holds the plan that looks up vectors."""
+    from suite import planned
+
+    n = spark.range(1, 61)
+    tables = {
+        "customer": n.selectExpr("id AS c_custkey"),
+        "supplier": n.selectExpr("id AS s_suppkey", "concat('S', id) AS s_name"),
+        "orders": n.selectExpr("id AS o_orderkey", "id AS o_custkey", "CAST(id * 7.5 AS DOUBLE) AS o_totalprice", "TIMESTAMP'2023-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority"),
+        "documents": n.selectExpr("id AS doc_id", "concat('A text of some length, number ', id) AS text", "'en' AS lang", "'Acme' AS source"),
+        "embeddings": n.selectExpr("id AS vec_id", "array(CAST(1 AS FLOAT), CAST(id AS FLOAT)) AS embedding", "CAST(id % 20 AS INT) AS label"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    done = planned.evaluate_job(spark, str(tmp_path))
+    assert not [f for f in done.inputFiles() if "embeddings.parquet" in f]
+    assert done.count() == done.select("user_id", "job_id").distinct().count() > 0
