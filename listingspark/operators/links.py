@@ -32,8 +32,10 @@ def anchors(pages: DataFrame, *keep: str) -> DataFrame:
     closing anchor can hold a complete one, so the lazy match stays linear.
     """
     head = F.regexp_extract(F.col("html"), r"(?is)^.*</a>", 0)
-    based = pages.select("page_id", *keep, F.regexp_extract_all(head, F.lit(_ANCHOR), F.lit(0)).alias("tags"), "url")
-    found = with_once(based, base=url_struct(F.col("url"))).select(
+    # once: the explode below would otherwise search every page a second time, in a filter on the number of tags
+    found = with_once(
+        pages.select("page_id", *keep, "html", "url"), tags=F.regexp_extract_all(head, F.lit(_ANCHOR), F.lit(0)), base=url_struct(F.col("url"))
+    ).select(
         "page_id", *keep, "base", F.posexplode("tags").alias("pos", "tag")
     )
     text = collapse(F.regexp_replace(F.regexp_extract("tag", _ANCHOR, 2), r"<[^<>]+>", " "))

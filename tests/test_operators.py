@@ -274,3 +274,14 @@ def test_walk_is_bounded(spark):
     assert (whole.pages, whole.complete) == (31, True)
     short = walk.walk_summary(walk.link_walk(starts, chain.filter("url in ('u0', 'u1')"), found)).first()
     assert (short.pages, short.complete) == (3, True)
+
+
+def test_pages_are_searched_for_anchors_once(spark):
+    html = '<a href="/a">One</a> <a href="/b">Two <b>words</b></a>'
+    rows = spark.createDataFrame([(1, "https://x.example.com/list", html), (2, "https://x.example.com/list", "none"), (3, "https://x.example.com/list", None)], "page_id int, url string, html string")
+    found = links.page_evidence(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(regexp_extract(html") == 1
+    assert [tuple(r) for r in found.orderBy("n").collect()] == [
+        (1, 1, "https://x.example.com/a", "One", 25 + 1), (1, 2, "https://x.example.com/b", "Two words", 25 + 1 + 23 + 9 + 0),
+    ]
