@@ -285,3 +285,16 @@ def test_pages_are_searched_for_anchors_once(spark):
     assert [tuple(r) for r in found.orderBy("n").collect()] == [
         (1, 1, "https://x.example.com/a", "One", 25 + 1), (1, 2, "https://x.example.com/b", "Two words", 25 + 1 + 23 + 9 + 0),
     ]
+
+
+def test_texts_are_trimmed_once(spark):
+    from listingspark.sources import registry
+
+    columns = {**registry._defaults(), "title": F.col("t"), "description": F.col("d")}
+    rows = spark.createDataFrame([(" \u00a0ab ", "x" * 20 + "\u2003"), ("a ", None)], "t string, d string").select(
+        *[c.alias(n) for n, c in columns.items()], F.lit(None).cast("string").alias("problem"))
+    checked = registry.finish(rows, "Any")
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 2
+    first, second = checked.orderBy(F.desc("title")).collect()
+    assert (first.title, first.description, first.violations) == ("ab", "x" * 20, ["company", "job_url"])
+    assert (second.title, second.description, second.violations) == ("a", None, ["title", "company", "description", "job_url"])
