@@ -17,10 +17,13 @@ from the number of sets and how many tokens two sets share on average, both meas
 Sets that share an index entry are candidates. Equal sets are one node from the start. Links only matter as far as
 they join components, so candidates are verified in rounds: first each node against the entry's smallest node that it
 shares most entries with, then against one node of another component. Nodes that share an entry but still lie in
-different components are then compared by parities, in blocks: a set's tokens are counted modulo 2 in as many hash
-classes as eight times its size, and two sets differ in at least as many tokens as classes. What that allows is
-verified, first the nearest node of each other component, at last all. Each round's links are a table in the shared
-folder; no link between components is lost, and no group of copies is expanded into all its pairs.
+different components are then compared by parities, in blocks: a set's tokens are counted modulo 2 in hash classes, two
+to four times as many as tokens, and two sets differ in at least as many tokens as classes. Of the pairs that this
+allows, a comparison gives away a forest: pairs enough to join all that the allowed pairs join. If they all verify, the
+comparison is settled, as its other allowed pairs lie within components. Where some fail, the nodes that still may link
+across components meet again with their tokens, are verified there pair by pair, and a forest of the links comes out.
+So each comparison gives fewer rows than it takes. Each round's links are a table in the shared folder; no link between
+components is lost, and no group of copies is expanded into all its pairs.
 
 Defined cases: null and blank texts have an empty set and link with nothing; rows without ``doc_id`` are returned with
 no component; equal rows are equal; other columns are ignored; an empty table gives an empty result.
@@ -46,6 +49,8 @@ PAIR_COST = 40.0
 STAR_ROUNDS = 1
 #: Nodes of an entry that are compared in one task with as many others.
 BLOCK = 4096
+#: Tokens of an entry's nodes that are verified in one task with as many others.
+TOKENS = 1 << 21
 #: Pairs that leave a comparison at once.
 PAIRS = 50_000
 
@@ -238,8 +243,8 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens per hash class, about eight classes a token. Sets that differ in d tokens differ in at most d classes."""
-    bits = 1 << min(max(len(tokens).bit_length() + 3, 6), 16)
+    """Parities of the tokens per hash class, two to four classes a token. Sets that differ in d tokens differ in at most d classes."""
+    bits = 1 << min(max(len(tokens).bit_length() + 1, 6), 16)
     odd = np.bincount(((tokens >> np.uint64(16)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -254,36 +259,104 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(rooted.join(ends, "key"), "mixed")
 
 
-def _near_pairs(mixed: DataFrame, texts: DataFrame, like: Likeness, best: bool) -> DataFrame:
-    """Pairs of nodes of different components that share an entry and whose parities allow a link.
+def _met(rows: DataFrame, marks: DataFrame, limit: int) -> DataFrame:
+    """``key, i, j, node, root, own`` and the columns of ``marks`` but its node, in order: each two blocks ``i, j`` of an entry's nodes.
 
-    An entry's nodes fall into blocks of about ``BLOCK``; two blocks are compared at a time, parity by parity, and what
-    is left comes out, with ``best`` only the nearest node of each other component.
+    ``rows`` has ``key, node, root`` and ``many``, the entry's weight; its nodes fall into blocks of about ``limit``.
     """
-    marks = texts.select("node", "n", "bits")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rows = mixed.select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("own"))
+    blocks = F.ceil(F.col("many") / limit).cast("int")
+    rows = rows.select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("own"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("key", "node", "root", "own", meets).join(marks, "node")
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "n", "bits")
+    more = [c for c in marks.columns if c != "node"]
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", *more)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "node", "root", "own", *more)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """``(key, i, j)`` and the rows of each comparison in turn."""
+    group, now = [], None
+    for batch in batches:
+        for key, i, j, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if (key, i, j) != now:
+                if group:
+                    yield now, group
+                group, now = [], (key, i, j)
+            group.append(row)
+    if group:
+        yield now, group
+
+
+def _forest(mixed: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """``key, a, b``: nodes of different components that share an entry and whose parities allow a link, of each comparison a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now = [], None
+        for now, group in _groups(batches):
+            for pairs in _allowed(group, now, like, best=True):
+                yield pa.record_batch([pa.array(np.full(pairs.num_rows, now[0], dtype=np.int64)), *pairs.columns], ["key", "a", "b"])
+
+    return _met(mixed, texts.select("node", "n", "bits"), BLOCK).mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def _unsettled(mixed: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """``key, node`` of the nodes whose parities allow a link to a node of another component in their entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, group in _groups(batches):
+            found = np.zeros(0, dtype=np.int64)
+            for pairs in _allowed(group, now, like, best=False):
+                found = np.union1d(found, np.concatenate([column.to_numpy() for column in pairs.columns]))
+            if len(found):
+                yield pa.record_batch([pa.array(np.full(len(found), now[0], dtype=np.int64)), pa.array(found)], ["key", "node"])
+
+    return _met(mixed, texts.select("node", "n", "bits"), BLOCK).mapInArrow(run, "key bigint, node bigint").distinct()
+
+
+def _exact_links(unsettled: DataFrame, roots: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """Links ``a, b`` that join all that the nodes ``key, node`` of an entry join; verified by their tokens where they meet."""
+
+    def with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, i, j, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    yield from _allowed(group, now, like, best)
-                    group, now = [], (key, i, j)
-                group.append(row)
-        yield from _allowed(group, now, like, best)
+            tokens = pa.array([t.tobytes() for t in sets_of(batch.column(3), like.size)], pa.binary())
+            yield pa.record_batch([*batch.columns[:3], tokens], ["node", "n", "bits", "tokens"])
 
-    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.select("key", "i", "j", "node", "root", "own", "n", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, group in _groups(batches):
+            yield from _linked(group, now, like)
+
+    rows = unsettled.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).join(texts.select("node", "n"), "node")
+    rows = rows.join(rows.groupBy("key").agg(F.sum("n").alias("many")), "key").select("key", "node", "root", "many")
+    wanted = texts.join(unsettled.select("node").distinct(), "node").select("node", "n", "bits", "text")
+    marks = wanted.mapInArrow(with_tokens, "node bigint, n bigint, bits binary, tokens binary")
+    return _met(rows, marks, TOKENS).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _linked(group: list[list], key: tuple, like: Likeness) -> Iterator[pa.RecordBatch]:
+    """A forest of the links between a group's rows ``node, root, own, n, bits, tokens`` of different roots."""
+    sets = {row[0]: np.frombuffer(row[5], dtype=np.uint64) for row in group}
+    own = {row[0]: row[1] for row in group}
+    above = {root: root for root in own.values()}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    found = []
+    for pairs in _allowed(group, key, like, best=False):
+        for a, b in zip(*(column.to_pylist() for column in pairs.columns), strict=True):
+            x, y = top(own[a]), top(own[b])
+            if x != y and like.linked(sets[a], sets[b]):
+                above[max(x, y)] = min(x, y)
+                found.append((a, b))
+    if found:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
 def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a group's rows ``node, root, own, n, bits`` whose parities allow a link: of different roots, and of both blocks if it has two.
 
+    With ``best`` a forest of them, which joins the roots that they join; each row gives its nearest of a root that is not joined yet.
     They leave in batches of about ``PAIRS``, so that two full blocks in which all may link are never held.
     """
     if len({row[1] for row in group}) < 2:
@@ -294,9 +367,10 @@ def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -
     for k, row in enumerate(group):  # longer parities are folded to the shortest one's classes
         marks[k] = np.bitwise_xor.reduce(np.frombuffer(row[4], dtype=np.uint64).reshape(-1, least // 8), axis=0)
     node, root, own, n = (np.array([row[c] for row in group], dtype=np.int64) for c in range(4))
+    part = np.unique(root, return_inverse=True)[1]
     firsts, seconds, held = [], [], 0
     for k in range(len(group)):
-        others = np.flatnonzero((root > root[k]) & ((own != own[k]) if cross else True))
+        others = k + np.flatnonzero((part[k:] != part[k]) & ((own[k:] != own[k]) if cross else True))
         if not len(others):
             continue
         far = np.bitwise_count(marks[others] ^ marks[k]).sum(axis=1, dtype=np.int64)
@@ -304,14 +378,15 @@ def _allowed(group: list[list], key: tuple | None, like: Likeness, best: bool) -
         others, far = others[near], far[near]
         if best and len(others):
             order = np.argsort(far, kind="stable")
-            others = others[order][np.unique(root[others][order], return_index=True)[1]]
+            others = others[order][np.unique(part[others][order], return_index=True)[1]]
+            part[np.isin(part, part[others])] = part[k]
         firsts.append(np.minimum(node[others], node[k]))
         seconds.append(np.maximum(node[others], node[k]))
         held += len(others)
-        if held >= PAIRS or k == len(group) - 1:
+        if held >= PAIRS:
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in (firsts, seconds)], ["a", "b"])
             firsts, seconds, held = [], [], 0
-    if firsts:
+    if held:
         yield pa.record_batch([pa.array(np.concatenate(c)) for c in (firsts, seconds)], ["a", "b"])
 
 
@@ -342,25 +417,37 @@ def _classes(docs: DataFrame, like: Likeness, layouts: dict[int, Layout] | None
     links = written(verified(tested, texts, like), "linked")
     roots = components(links)
     members = members.drop("rep")
-    for step in ["star"] * star_rounds + ["nearest", "all"]:
-        mixed = _mixed(members, roots)
-        if mixed.isEmpty():
-            break
-        members = mixed.select("key", "node")
-        if step == "star":
-            found = mixed.filter("root != low").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-        else:
-            found = written(_near_pairs(mixed, texts, like, step == "nearest"), "near")
-            if found.isEmpty():
-                break
-        old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = written(found.join(old, ["a", "b"], "left_anti"), "pairs")
+
+    def verify(found: DataFrame) -> None:
+        nonlocal tested, links, roots
+        new = written(found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(new)
-        more = written(verified(new, texts, like), "linked")
+        add(verified(new, texts, like))
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, roots
+        more = written(found, "linked")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
 
+    for _ in range(star_rounds):
+        mixed = _mixed(members, roots)
+        if mixed.isEmpty():
+            break
+        members = mixed.select("key", "node")
+        verify(mixed.filter("root != low").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct())
+    mixed = _mixed(members, roots)
+    forest = written(_forest(mixed, texts, like), "forest")
+    if not forest.isEmpty():
+        verify(forest.select("a", "b").distinct())
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = forest.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        mixed = _mixed(mixed.select("key", "node").join(apart.select("key").distinct(), "key", "left_semi"), roots)
+        unsettled = written(_unsettled(mixed, texts, like), "unsettled")
+        if not unsettled.isEmpty():
+            add(_exact_links(unsettled, roots, texts, like))
+
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return digest, nodes.join(roots.join(least, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -170,3 +170,61 @@ def test_two_full_blocks_leave_in_small_batches():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == 1024 * 1024 and largest < J.PAIRS + len(group) and peak < 60_000_000
+
+
+def test_a_comparison_gives_fewer_pairs_than_rows():
+    """All of 300 sets link with each other; two blocks and one block of them leave as a forest that joins them all."""
+    like = J.Likeness(size=4, percent=80)
+    tokens = [np.array([*range(1, 40), 100 + i], dtype=np.uint64) << np.uint64(20) for i in range(300)]
+    for key, own in (((1, 0, 0), lambda i: 0), ((1, 0, 1), lambda i: i % 2)):
+        group = [[i, i, own(i), 40, J.parity(t)] for i, t in enumerate(tokens)]
+        pairs = [p for batch in J._allowed(group, key, like, best=True) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        assert len(pairs) == 299 and all(own(a) != own(b) or key[1] == key[2] for a, b in pairs)
+        above = list(range(300))
+
+        def find(x):
+            while above[x] != x:
+                x = above[x]
+            return x
+
+        for a, b in pairs:
+            above[find(a)] = find(b)
+        assert len({find(x) for x in range(300)}) == 1
+        exact = [[*row, t.tobytes()] for row, t in zip(group, tokens, strict=True)]
+        assert sum(batch.num_rows for batch in J._linked(exact, key, like)) == 299
+
+
+def test_links_at_the_edge_are_found_where_a_forest_fails(spark, documents, prose):
+    """Texts of one group that differ by about as much as links allow: many allowed pairs fail, and the rest still links."""
+    rng, rows = random.Random(7), []
+    for group in range(6):
+        base = prose(300 + group, 160).split(" ")
+        for i in range(25):
+            w = list(base)
+            for k in rng.sample(range(160), rng.choice([2, 3, 3])):
+                w[k] = f"own{i}x{k}"
+            rows.append((len(rows), " ".join(w)))
+    like = J.Likeness(4, 85)
+    sets = [next(J.sets_of(pa.array([t]), 4)) for _, t in rows]
+    marks = [[i, i, 0, len(t), J.parity(t)] for i, t in enumerate(sets)]
+    forest = [p for batch in J._allowed(marks, (1, 0, 0), like, best=True) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert not all(like.linked(sets[a], sets[b]) for a, b in forest)  # the case is met
+    for rounds in (0, 1):
+        got = J.clustered(documents(rows).repartition(3), like, star_rounds=rounds)
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows, 4, 85)
+
+
+def test_exact_links_join_all_across_blocks(spark, prose, monkeypatch):
+    monkeypatch.setattr(J, "TOKENS", 500)  # many blocks
+    rng, like = random.Random(9), J.Likeness(4, 85)
+    texts = [edited(prose(400 + i % 3, 120), rng, 0.03) for i in range(45)]
+    sets = [next(J.sets_of(pa.array([t]), 4)) for t in texts]
+    table = spark.createDataFrame([(J.node_of(s), len(s), t, J.parity(s)) for s, t in zip(sets, texts, strict=True)], "node bigint, n bigint, text string, bits binary").select("node", "n", "text", "bits").dropDuplicates(["node"])
+    unsettled = table.selectExpr("7L AS key", "node")
+    links = J._exact_links(unsettled, spark.createDataFrame([], "node bigint, root bigint"), table, like)
+    got = components(links.select("a", "b"))
+    want = brute_force(list(enumerate(texts)), 4, 85)
+    of = {r.node: r.root for r in got.collect()}
+    name = [of.get(J.node_of(s), J.node_of(s)) for s in sets]
+    assert {(name[i], name[c]) for i, _, c in want} == {(name[i], name[i]) for i, _, _ in want}
+    assert len(set(name)) == len({c for _, _, c in want})
