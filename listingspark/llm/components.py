@@ -32,3 +32,18 @@ def components(links: DataFrame) -> DataFrame:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def rooted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` (``a, b``) with ``root_a, root_b``; a node without a root is its own."""
+    for x in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    return links
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links`` (``a, b``), whose ends are contracted to their roots: only these go through the steps."""
+    tops = written(components(rooted(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "tops")
+    above = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(tops.join(roots, "node", "left_anti")), "roots")

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, merged, rooted
 from .texts import hashed_words, mix, own_columns, shingle_hashes, signed, text_chunks, written
 
 #: One token in so many is counted to learn how many tokens two sets share.
@@ -414,22 +414,20 @@ def _classes(docs: DataFrame, like: Likeness, layouts: dict[int, Layout] | None
     # each node with the smallest node of an entry, the one it shares most entries with
     votes = members.filter("node != rep").groupBy("node", "rep").count().groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
     tested = written(votes.select(F.col("rep").alias("a"), F.col("node").alias("b")), "pairs")
-    links = written(verified(tested, texts, like), "linked")
-    roots = components(links)
+    roots = components(written(verified(tested, texts, like), "linked"))
     members = members.drop("rep")
 
     def verify(found: DataFrame) -> None:
-        nonlocal tested, links, roots
+        nonlocal tested
         new = written(found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(new)
         add(verified(new, texts, like))
 
     def add(found: DataFrame) -> None:
-        nonlocal links, roots
+        nonlocal roots
         more = written(found, "linked")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = merged(roots, more)
 
     for _ in range(star_rounds):
         mixed = _mixed(members, roots)
@@ -441,8 +439,7 @@ def _classes(docs: DataFrame, like: Likeness, layouts: dict[int, Layout] | None
     forest = written(_forest(mixed, texts, like), "forest")
     if not forest.isEmpty():
         verify(forest.select("a", "b").distinct())
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        apart = forest.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        apart = rooted(forest, roots).filter("root_a != root_b")
         mixed = _mixed(mixed.select("key", "node").join(apart.select("key").distinct(), "key", "left_semi"), roots)
         unsettled = written(_unsettled(mixed, texts, like), "unsettled")
         if not unsettled.isEmpty():

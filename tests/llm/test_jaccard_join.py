@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from listingspark.llm import jaccard_join as J
-from listingspark.llm.components import components
+from listingspark.llm.components import components, merged
 
 
 def words(text):
@@ -228,3 +228,15 @@ def test_exact_links_join_all_across_blocks(spark, prose, monkeypatch):
     name = [of.get(J.node_of(s), J.node_of(s)) for s in sets]
     assert {(name[i], name[c]) for i, _, c in want} == {(name[i], name[i]) for i, _, _ in want}
     assert len(set(name)) == len({c for _, _, c in want})
+
+
+def test_further_links_merge_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(170)]
+    table = lambda x: spark.createDataFrame(x, "a bigint, b bigint")
+    got = components(table(pairs[:60]))
+    for first in (60, 110):
+        got = merged(got, table(pairs[first : first + 60]))
+    inside = lambda x: {tuple(r) for r in x.collect() if r.node != r.root}
+    assert inside(got) == inside(components(table(pairs)))
+    assert got.count() == got.select("node").distinct().count()
