@@ -3,8 +3,8 @@
 Listings that agree in company, title, place and description are one class; of each class one row goes on. Two rows of different
 sources are linked when their weighted agreement reaches ``Weights.least``. Agreement in a text is the Jaccard index of its distinct
 words, for descriptions that of runs of three words. What the other parts can add at most tells how much each part must agree,
-so rows that link share a company word, a word of the rarest title words and so on. A block of more than ``hot`` rows is
-split by a further word that its links must share, rarest within the block first: place words or description runs, then description runs.
+so rows that link share a company word and one of the rarest title words. A block of more than ``hot`` rows is split by what else its
+links must share: a place word or, without one, the whole description; then by description runs, rarest within the block first, where that leaves fewer pairs.
 
 A row links to at most one row of each other source, to which it is also the best. A component of links keeps one listing:
 the one nearest to its employer, then the oldest.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rows import with_once
 from ..functions.text import let, normalized_text
 from ..session import cut_lineage
 from .joins import HOT_KEYS, spread_join
@@ -50,21 +51,25 @@ class Weights:
         return share, share
 
 
+def _words(text: Column) -> Column:
+    """Words in order; spaces are no part of them, so the text need not be rid of any."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def words_of(text: Column) -> Column:
     """Distinct words of letters and digits, in small letters."""
-    return F.array_distinct(F.array_remove(F.split(normalized_text(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+    return F.array_distinct(_words(text))
 
 
 def runs_of(text: Column) -> Column:
     """Distinct hashes of all runs of three words; of a shorter text, of all its words."""
-    words = F.array_remove(F.split(normalized_text(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
     def hashes(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
         short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
         return F.array_distinct(F.when(F.size(w) >= RUN, runs).otherwise(short))
 
-    return let(words, hashes)
+    return let(_words(text), hashes)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -82,33 +87,42 @@ def nearness(provider: Column) -> Column:
 def classes(listings: DataFrame) -> DataFrame:
     """The listings with their class (``class_id``), a hash of what they say, and their ``rank`` to survive."""
     company = F.array_except(words_of(F.col("company")), F.array(*[F.lit(w) for w in LEGAL_FORMS]))
-    sort = lambda c: F.array_join(F.array_sort(c), " ")
+    sort = lambda c: F.array_join(F.sort_array(c), " ")
     said = [sort(company), sort(words_of(F.col("title"))), sort(words_of(F.col("location"))), F.sha2(normalized_text(F.coalesce("description", F.lit(""))), 256)]
     rank = F.struct(nearness(F.col("provider")).alias("near"), F.col("discovered_at").alias("at"), F.col("job_id").alias("job_id"))
     return listings.withColumns({"class_id": F.sha2(F.concat_ws("\x1f", *said), 256), "rank": rank})
 
 
 def representatives(marked: DataFrame) -> DataFrame:
-    """One row of each class, first by rank, with its words; a large class is reduced in each task before the shuffle."""
+    """One row of each class, first by rank, with its words; a large class is reduced in each task before the shuffle.
+
+    The hashes of a description take more room than its text, so of them only the number (``runs``) and a hash of all (``said``) go along.
+    """
     first = marked.groupBy("class_id").agg(F.min_by(F.struct("rank", "source_id", "company", "title", "location", "description"), "rank").alias("r"))
     legal = F.array(*[F.lit(w) for w in LEGAL_FORMS])
-    return first.select(
+    summary = let(F.sort_array(runs_of(F.col("r.description"))), lambda d: F.struct(F.size(d).alias("runs"), F.xxhash64(d).alias("said")))
+    return with_once(first, summary=summary).select(
         "class_id", F.col("r.rank").alias("rank"), F.col("r.source_id").alias("source_id"), F.array_except(words_of(F.col("r.company")), legal).alias("company"),
-        words_of(F.col("r.title")).alias("title"), words_of(F.col("r.location")).alias("place"), runs_of(F.col("r.description")).alias("description"),
+        words_of(F.col("r.title")).alias("title"), words_of(F.col("r.location")).alias("place"), F.col("r.description").alias("description"), "summary.runs", "summary.said",
     )
 
 
+def numbered(reps: DataFrame) -> DataFrame:
+    """The representatives under a short number (``row``), without their descriptions."""
+    return cut_lineage(reps.select(F.monotonically_increasing_id().alias("row"), "class_id", "source_id", "title", "company", "place", "runs", "said"), "linkage-rows")
+
+
 def _rarest(tokens: DataFrame) -> DataFrame:
     """Of each row's tokens in a block, the rarest: as many as its partner in a link, which has ``share`` of them, cannot lack altogether."""
     named = tokens.withColumn("token", F.xxhash64("block", "token"))
     counts = named.groupBy("token").agg(F.count("*").alias("many"))
-    own = Window.partitionBy("class_id", "block", "share")
+    own = Window.partitionBy("row", "block", "share")
     hot = counts.orderBy(F.desc("many"), "token").limit(HOT_KEYS).select("token", F.lit(True).alias("_hot"))
-    ranked = spread_join(named, counts, "token", "class_id", hot=hot).withColumns({
+    ranked = spread_join(named, counts, "token", "row", hot=hot).withColumns({
         "n": F.row_number().over(own.orderBy("many", "token")), "size": F.count("*").over(own),
     })
     kept = ranked.filter(F.col("n") <= F.col("size") - F.ceil(F.col("share") * F.col("size") - 1e-9) + 1)
-    return kept.select("class_id", "source_id", F.col("token").alias("block"))
+    return kept.select("row", "source_id", "block", "token")
 
 
 def _some(column: str) -> Column:
@@ -117,44 +131,85 @@ def _some(column: str) -> Column:
 
 
 def _tokens(rows: DataFrame, column: str, share: float, block: Column) -> DataFrame:
-    return rows.select("class_id", "source_id", block.alias("block"), F.lit(share).alias("share"), F.explode(_some(column)).alias("token"))
-
-
-def blocks(reps: DataFrame, weights: Weights, hot: int) -> DataFrame:
-    """``class_id, source_id, block``: rows that may link share a block. Blocks of more than ``hot`` rows are split twice."""
-    level = _rarest(_tokens(reps.withColumn("word", F.explode(_some("company"))), "title", weights.need("title"), F.col("word")))
-    places, descriptions = weights.either()
-    further = ([("place", places), ("description", descriptions)], [("description", weights.need("description"))])
-    done = None
-    for parts in further:
-        level = cut_lineage(level.distinct(), "linkage-blocks")
-        sizes = level.groupBy("block").agg(F.count("*").alias("rows"))
-        large = cut_lineage(sizes.filter(F.col("rows") > hot).select("block", F.lit(True).alias("large")), "linkage-large")
-        marked = spread_join(level, large, "block", "class_id", "left")
-        small = marked.filter("large is null").drop("large")
-        done = small if done is None else done.unionByName(small)
-        held = marked.filter("large").drop("large").join(reps.select("class_id", "place", "description"), "class_id")
-        level = None
-        for column, share in parts:
-            split = _rarest(_tokens(held, column, share, F.xxhash64("block", F.lit(column))))
-            level = split if level is None else level.unionByName(split)
-    return done.unionByName(level)
+    return rows.select("row", "source_id", block.alias("block"), F.lit(share).alias("share"), F.explode(_some(column)).alias("token"))
+
+
+def _renamed(split: DataFrame) -> DataFrame:
+    return split.select("row", "source_id", F.col("token").alias("block"))
+
+
+def _over(level: DataFrame, hot: int, rows: DataFrame | None = None) -> DataFrame:
+    """``block, large`` of the blocks of more than ``hot`` rows; with ``rows`` only those with fewer runs in all than half their pairs."""
+    if rows is None:
+        return cut_lineage(level.groupBy("block").agg(F.count("*").alias("many")).filter(F.col("many") > hot).select("block", F.lit(True).alias("large")), "linkage-large")
+    sizes = level.join(rows.select("row", "runs"), "row").groupBy("block").agg(F.count("*").alias("many"), F.sum("runs").alias("runs"))
+    return cut_lineage(sizes.filter((F.col("many") > hot) & (F.col("runs") * 4 < F.col("many") * F.col("many"))).select("block", F.lit(True).alias("large")), "linkage-large")
+
+
+def _parted(level: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    marked = spread_join(level, large, "block", "row", "left")
+    return marked.filter("large is null").drop("large"), marked.filter("large").drop("large")
+
+
+def blocks(reps: DataFrame, weights: Weights, hot: int, rows: DataFrame | None = None) -> DataFrame:
+    """``row, source_id, block``: rows that may link share a block. ``rows``: the representatives as :func:`numbered`, where they are already.
+
+    A block of more than ``hot`` rows is split by what else its links must share: a word of the place, or else so much of the description as links
+    without one need, which is all of it by default. What is still large is split by the rarest runs of its descriptions, where that leaves fewer pairs:
+    near copies share nearly all of their runs, so there each run would bring up the same pairs again.
+    """
+    rows = numbered(reps) if rows is None else rows
+    named = _rarest(_tokens(rows.withColumn("word", F.explode(_some("company"))), "title", weights.need("title"), F.col("word")))
+    level = cut_lineage(_renamed(named).distinct(), "linkage-blocks")
+    done, held = _parted(level, _over(level, hot))
+
+    def with_runs(some: DataFrame) -> DataFrame:
+        ids = rows.select("row", "class_id").join(some.select("row").distinct(), "row")
+        return some.join(reps.select("class_id", "description").join(ids, "class_id").select("row", runs_of(F.col("description")).alias("description")), "row")
+
+    placeless = weights.need("description", place=0.0)
+    words = held.join(rows.select("row", "place"), "row").withColumn("token", F.explode(_some("place")))
+    split = words.select("row", "source_id", F.xxhash64("block", F.lit("place"), "token").alias("block"))
+    if placeless >= 1 - 1e-9:
+        same = held.join(rows.select("row", "said"), "row").select("row", "source_id", F.xxhash64("block", F.lit("description"), "said").alias("block"))
+    else:
+        same = _renamed(_rarest(_tokens(with_runs(held), "description", placeless, F.xxhash64("block", F.lit("description")))))
+    level = cut_lineage(split.unionByName(same).distinct(), "linkage-blocks")
+    large = _over(level, hot, rows)
+    if large.isEmpty():
+        return done.unionByName(level)
+    small, held = _parted(level, large)
+    runs = cut_lineage(_rarest(_tokens(with_runs(held), "description", weights.need("description"), F.col("block"))), "linkage-blocks")
+    after = runs.groupBy("block", "token").agg(F.count("*").alias("many")).groupBy("block").agg(F.sum(F.col("many") * F.col("many")).alias("after"))
+    before = held.groupBy("block").agg(F.count("*").alias("many"))
+    pays = cut_lineage(before.join(after, "block").filter(F.col("after") < F.col("many") * F.col("many")).select("block", F.lit(True).alias("large")), "linkage-large")
+    whole, _ = _parted(held, pays)
+    _, finer = _parted(runs, pays)
+    return done.unionByName(small).unionByName(whole).unionByName(_renamed(finer))
 
 
 def duplicate_pairs(reps: DataFrame, weights: Weights = Weights(), hot: int = 200) -> DataFrame:
     """``a, b, score`` of all representatives that agree enough, of different sources; a < b."""
-    keyed = blocks(reps, weights, hot)
-    left = keyed.select("block", F.col("class_id").alias("a"), F.col("source_id").alias("a_source"))
-    right = keyed.select("block", F.col("class_id").alias("b"), F.col("source_id").alias("b_source"))
-    met = left.join(right, "block").filter((F.col("a") < F.col("b")) & (F.col("a_source") != F.col("b_source"))).select("a", "b").distinct()
+    rows = numbered(reps)
+    keyed = blocks(reps, weights, hot, rows)
+    left = keyed.select("block", F.col("row").alias("x"), F.col("source_id").alias("x_source"))
+    right = keyed.select("block", F.col("row").alias("y"), F.col("source_id").alias("y_source"))
+    met = left.join(right, "block").filter((F.col("x") < F.col("y")) & (F.col("x_source") != F.col("y_source"))).select("x", "y").distinct()
     short = ("title", "company", "place")
-    side = lambda n, columns: reps.select(F.col("class_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
-    scored = met.join(side("a", short), "a").join(side("b", short), "b").withColumn(
-        "part", sum((F.lit(getattr(weights, c)) * jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in short), F.lit(0.0))
+    side = lambda n: rows.select(F.col("row").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("class_id", "runs", *short)])
+    scored = met.join(side("x"), "x").join(side("y"), "y").withColumn(
+        "part", sum((F.lit(getattr(weights, c)) * jaccard(F.col(f"x_{c}"), F.col(f"y_{c}")) for c in short), F.lit(0.0))
     )
-    # descriptions are fetched only for pairs that they can still decide
-    open_pairs = scored.filter(F.col("part") + weights.description >= weights.least - 1e-9).select("a", "b", "part")
-    whole = open_pairs.join(side("a", ["description"]), "a").join(side("b", ["description"]), "b")
+    # descriptions are fetched only for pairs that they can still decide: what two of them share is at most the smaller one
+    fewer, more = F.least("x_runs", "y_runs"), F.greatest("x_runs", "y_runs")
+    at_most = F.when(more == 0, F.lit(1.0)).otherwise(fewer.cast("double") / more)
+    open_pairs = cut_lineage(scored.filter(F.col("part") + weights.description * at_most >= weights.least - 1e-9).select(
+        F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b"), "part"
+    ), "linkage-open")
+    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    read = reps.select("class_id", "description").join(asked, "class_id", "left_semi").select("class_id", runs_of(F.col("description")).alias("description"))
+    said = lambda n: read.select(F.col("class_id").alias(n), F.col("description").alias(f"{n}_description"))
+    whole = open_pairs.join(said("a"), "a").join(said("b"), "b")
     score = F.round(F.col("part") + F.lit(weights.description) * jaccard(F.col("a_description"), F.col("b_description")), 9)
     return whole.select("a", "b", score.alias("score")).filter(F.col("score") >= weights.least)
 

@@ -78,6 +78,19 @@ def test_a_hot_block_is_split(spark):
     assert all(got[i] == 1000 + i for i in range(0, 300, 3)) and all(got[i] == i for i in range(300) if i % 3)
 
 
+def test_near_copies_are_not_split_by_what_they_share(spark):
+    """Each of their runs of words would bring up all of them again; what they may lack altogether, a place word, is looked up instead."""
+    base = [f"word{i}" for i in range(300)]
+    rows = [(i, i % 5, "Lever", "Acme", "Software Engineer", f"Town {i % 3}" if i % 7 else None, " ".join([*base[:i], f"own{i}", *base[i + 1 :]]), i) for i in range(60)]
+    rows += [(100 + i, 7, "JSON-LD", "Acme", "software engineer", "Elsewhere", rows[i][6], i) for i in range(0, 60, 5)]
+    reps = L.representatives(L.classes(spark.createDataFrame(rows, SCHEMA))).cache()
+    assert L.blocks(reps, L.Weights(), 20).count() <= 4 * len(rows)
+    ids = {r.class_id: r["rank"].job_id for r in reps.collect()}
+    got = {tuple(sorted((ids[r.a], ids[r.b]))): r.score for r in L.duplicate_pairs(reps, hot=20).collect()}
+    want = by_hand(rows)
+    assert got.keys() == want.keys() and any(b >= 100 for _, b in want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_one_of_each_source_and_survivor(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [
