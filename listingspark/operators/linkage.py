@@ -244,7 +244,8 @@ def duplicate_listings(listings: DataFrame, weights: Weights = Weights(), hot: i
     """
     marked = classes(listings)
     reps = cut_lineage(representatives(marked), "linkage-representatives")
-    links = cut_lineage(one_to_one(duplicate_pairs(reps, weights, hot), reps), "linkage-links")
+    pairs = cut_lineage(duplicate_pairs(reps, weights, hot), "linkage-pairs")
+    links = cut_lineage(one_to_one(pairs, reps), "linkage-links")
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     known = reps.select("class_id", F.col("rank.job_id").alias("own")).join(survivors(links, reps), "class_id", "left").join(ends, "class_id", "left")
     found = known.select("class_id", F.coalesce("survivor", "own").alias("survivor_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -103,6 +103,14 @@ def test_one_of_each_source_and_survivor(spark):
     assert L.duplicate_listings(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_pairs_are_scored_once(spark, monkeypatch):
+    """Links read their pairs several times; the plan of those holds no comparison any more."""
+    seen, whole = [], L.one_to_one
+    monkeypatch.setattr(L, "one_to_one", lambda pairs, reps: seen.append(pairs) or whole(pairs, reps))
+    assert L.duplicate_listings(spark.createDataFrame(listings(1, 30), SCHEMA)).count() == 30
+    assert "array_intersect" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_need_follows_from_the_weights():
     w = L.Weights()
     assert w.need("company") > 0 and w.need("title") == pytest.approx(2 / 3) and w.need("description") == pytest.approx(0.25)
