@@ -163,6 +163,26 @@ def test_seed_limit(spark):
     assert {r.outcome: r["count"] for r in seeds.import_seeds(df).groupBy("outcome").count().collect()} == {"imported": 502}
 
 
+def test_first_wins_runs_the_import_limit(spark, tmp_path):
+    """The query judges lines past the 500th accepted one as its method names them: repeats first, then the limit."""
+    from suite import totals
+
+    spark.range(3, 15_003).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.list_id, r.outcome): r.lines for r in totals.import_first_wins(spark, str(tmp_path)).collect()}
+    for one in ("list0", "list1", "list2"):
+        assert got[one, "imported"] == 500 and got[one, "Import limit is 500 rows"] > 1000 and got[one, "Duplicate domain"] > 0
+    assert sum(v for (one, _), v in got.items() if one == "list0") == sum(1 for c in range(3, 15_003, 3) if c % 17 == 0 or c % 19)
+
+
+def test_seed_quotes(spark):
+    """An empty quoted field is empty, and a quote left open takes the rest of its line."""
+    lines = ['"",acme.com', '"Beta, beta.io', '"The ""Gamma"" Co",gamma.com', '"""Delta""",delta.com', '"Eps","eps.com']
+    df = spark.createDataFrame([("l", i + 1, t) for i, t in enumerate(lines)], "list_id string, line int, text string")
+    got = {r.line: (r.name, r.domain, r.outcome) for r in seeds.import_seeds(df).collect()}
+    assert got[1] == ("acme.com", "acme.com", "imported") and got[2][1:] == (None, "No domain found")
+    assert [got[i][:2] for i in (3, 4, 5)] == [('The "Gamma" Co', "gamma.com"), ('"Delta"', "delta.com"), ("Eps", "eps.com")]
+
+
 PAGE = """<html><nav><a href="/x">x</a></nav><h1>Lead &amp; more</h1><span class="job location">Oslo</span>
 <div data-kind='the description'><div>One</div><p>Two</p></div><div>After</div>
 <a href="/company/careers">Careers</a><a href="/blog/careers-tips">Careers tips</a><a href="https://jobs.lever.co/acme">Open roles</a><a href="https://else.org/careers">Careers</a>
