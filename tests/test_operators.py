@@ -174,6 +174,15 @@ def test_first_wins_runs_the_import_limit(spark, tmp_path):
     assert sum(v for (one, _), v in got.items() if one == "list0") == sum(1 for c in range(3, 15_003, 3) if c % 17 == 0 or c % 19)
 
 
+def test_feeds_are_read_once(spark, tmp_path):
+    """All feeds are built from one written view; before, each of them read the documents and cleaned their texts again."""
+    from suite import feeds
+
+    spark.range(1, 31).selectExpr("id AS doc_id", "concat('A text of some length, number ', id) AS text", "'en' AS lang", "'Acme' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = feeds.norm_all(spark, str(tmp_path))
+    assert not [f for f in rows.inputFiles() if "documents.parquet" in f]
+
+
 def test_seed_quotes(spark):
     """An empty quoted field is empty, and a quote left open takes the rest of its line."""
     lines = ['"",acme.com', '"Beta, beta.io', '"The ""Gamma"" Co",gamma.com', '"""Delta""",delta.com', '"Eps","eps.com']
